@@ -1,6 +1,511 @@
-"""Registered telemetry queries and their SQL."""
+"""Registered telemetry queries, each with the DuckDB SQL of the same result. `events` plays the sample stream: the event type or the user is the lane."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalars as S
+from .operators import relational as R
+from .operators import series as T
+from .operators import windows as W
+from .plans.columns import plan
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+EV = "ev AS (SELECT event_id AS seq, epoch_us(ts) AS us, ts, user_id, event_type, value, props FROM events)"
+NOW = 1_706_659_200  # 2024-01-31 00:00 UTC, the end of the events
+SPANS = [(1704412800, 1704441600, 2), (1704430000, 1704450000, 3), (1705276800, 1705300000, 4), (1706000000, 1706100000, 2)]
+_SPAN_SQL = ", ".join(str(s) for s in SPANS)
+MONTH = plan(2592000, NOW - 1)
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _ev(spark: SparkSession, d: str, lane: str = "event_type") -> DataFrame:
+    e = _t(spark, d, "events")
+    return e.select(F.col("event_id").alias("seq"), T.micros("ts").alias("us"), "ts", "user_id", "event_type", "value", "props", F.col(lane).cast("string").alias("lane"))
+
+
+_FOLD = "fold AS (SELECT event_type AS lane, us // (1800 * 1000000) AS bucket, count(*) AS count, min(value) AS min, max(value) AS max, sum(value::DECIMAL(18,2))::DOUBLE AS sum FROM ev GROUP BY 1, 2)"
+
+
+@query(f"WITH {EV}, {_FOLD} SELECT * FROM fold")
+def bucket_fold_t2(s, d):
+    return T.fold(_ev(s, d), 1800)
+
+
+@query(f"WITH {EV} SELECT event_type AS lane, us // 1800000000 AS bucket, count(*) AS count, min(value) AS min, max(value) AS max, sum(value::DECIMAL(18,2))::DOUBLE AS sum FROM ev GROUP BY 1, 2")
+def rollup_t1_t2(s, d):
+    return T.rollup(T.fold(_ev(s, d), 120), 15)
+
+
+_COLUMNS = f"""cols AS (SELECT l.lane, c.c AS "column", (c.c * {MONTH.per_column} + {MONTH.lower}) * {MONTH.step} AS start_s, f.count, f.min, f.sum / f.count AS avg, f.max
+  FROM (SELECT DISTINCT lane FROM fold) l CROSS JOIN (SELECT unnest(range({MONTH.columns})) AS c) c LEFT JOIN fold f ON f.lane = l.lane AND f.bucket = {MONTH.lower} + c.c)"""
+
+
+@query(f"WITH {EV}, {_FOLD}, {_COLUMNS} SELECT * FROM cols")
+def column_resample_month(s, d):
+    return T.columns(T.fold(_ev(s, d), 1800), MONTH)
+
+
+@query(f"WITH {EV}, {_FOLD}, {_COLUMNS} SELECT lane, sum(count)::BIGINT AS count, min(min) AS min, max(max) AS max, sum((avg * count)::DECIMAL(24,4))::DOUBLE / sum(count) AS avg FROM cols WHERE count > 0 GROUP BY lane")
+def lane_summary(s, d):
+    return T.summary(T.columns(T.fold(_ev(s, d), 1800), MONTH))
+
+
+@query("SELECT strftime(ts::TIMESTAMP AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Berlin', '%Y%m%d')::INT AS day, sum(greatest((value * 100)::BIGINT, 0))::BIGINT AS upload, sum(greatest(user_id, 0))::BIGINT AS download FROM events GROUP BY 1")
+def daily_totals_local(s, d):
+    return R.daily_totals(_t(s, d, "events"), F.col("ts").cast("timestamp"), "Europe/Berlin", F.round(F.col("value") * 100).cast("long"), F.col("user_id"))
+
+
+@query(f"""WITH {EV}, {_FOLD}, spans(f, t, r) AS (VALUES {_SPAN_SQL}), spine AS (SELECT lane, b FROM (SELECT DISTINCT lane FROM fold) CROSS JOIN (SELECT unnest(range({MONTH.lower}, {MONTH.upper})) AS b)),
+  cover AS (SELECT b, arg_max(r, CASE r WHEN 4 THEN 3 WHEN 2 THEN 2 ELSE 1 END) AS r FROM (SELECT DISTINCT b FROM spine) JOIN spans ON b * 1800 < t AND b * 1800 + 1800 > f GROUP BY b), firsts AS (SELECT lane, min(bucket) AS fb FROM fold GROUP BY lane)
+  SELECT s.lane, s.b AS bucket, CASE WHEN f.bucket IS NOT NULL THEN 1 WHEN s.b < x.fb THEN 0 WHEN c.r IS NOT NULL THEN c.r WHEN s.b > {MONTH.upper - 20} THEN 3 ELSE 0 END::BIGINT AS reason
+  FROM spine s LEFT JOIN fold f ON f.lane = s.lane AND f.bucket = s.b LEFT JOIN firsts x ON x.lane = s.lane LEFT JOIN cover c ON c.b = s.b""")
+def gap_reasons(s, d):
+    slots = T.fold(_ev(s, d), 1800)
+    spine = slots.select("lane").distinct().withColumn("bucket", F.explode(F.sequence(F.lit(MONTH.lower).cast("long"), F.lit(MONTH.upper - 1).cast("long"))))
+    spans = s.createDataFrame(SPANS, "from_s long, to_s long, reason long")
+    return T.gap_reasons(slots, spine, spans, 1800, MONTH.upper - 20)
+
+
+@query(f"WITH {EV}, r AS (SELECT *, us - lag(us) OVER w AS d FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)) SELECT seq, user_id::VARCHAR AS lane, value / CASE WHEN d IS NULL THEN 60 ELSE least(d / 1000000, 60) END AS rate FROM r WHERE d IS NULL OR d > 0")
+def rate_from_counter(s, d):
+    return T.rates(_ev(s, d, "user_id").withColumn("interval_s", F.lit(60))).select("seq", "lane", F.col("value").alias("rate"))
+
+
+_ATTR = "attr AS (SELECT user_id::VARCHAR AS lane, us, seq, value, greatest((us - 60000000) // 10000000, coalesce(lag(us) OVER w // 10000000, 0)) AS lo, us // 10000000 AS hi FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, seq))"
+_SPREAD = "SELECT lane, b AS bucket, count(*) AS count, min(value) AS min, max(value) AS max, sum(value::DECIMAL(18,2))::DOUBLE AS sum FROM (SELECT lane, value, unnest(range(lo, hi + 1)) AS b FROM attr) GROUP BY 1, 2"
+
+
+@query(f"WITH {EV}, {_ATTR} {_SPREAD}")
+def span_attribution(s, d):
+    return T.attribute_spans(_ev(s, d, "user_id").withColumn("interval_s", F.lit(60)), 10)
+
+
+@query(f"""WITH {EV}, {_ATTR}, nx AS (SELECT *, coalesce(lead(lo) OVER (PARTITION BY lane ORDER BY us, seq), {NOW} // 10) AS n FROM attr), held AS (SELECT lane, value, unnest(range(hi + 1, least(n - 1, (us + 899999999) // 10000000) + 1)) AS b FROM nx)
+  SELECT *, 1::BIGINT AS reason FROM ({_SPREAD}) UNION ALL SELECT lane, b, 1, value, value, value, 5 FROM held""")
+def step_hold(s, d):
+    return T.hold(_ev(s, d, "user_id").withColumn("interval_s", F.lit(60)), 10, NOW * T.MICRO)
+
+
+@query("SELECT DISTINCT user_id, event_type, substr(sha256('events|' || user_id::VARCHAR || '|' || event_type), 1, 32) AS lane FROM events")
+def lane_identity(s, d):
+    e = _t(s, d, "events").select("user_id", "event_type").distinct()
+    return e.withColumn("lane", R.lane_identity(F.lit("events"), F.col("user_id").cast("string"), F.col("event_type")))
+
+
+@query(f"WITH {EV}, a AS (SELECT user_id AS pos, user_id AS lane, min(us // 10000000) AS first_bucket FROM ev GROUP BY 1), b AS (SELECT pos, CASE WHEN pos % 3 = 0 THEN lane + 1 ELSE lane END AS lane, first_bucket - 7 AS first_bucket FROM a WHERE pos % 5 > 0) SELECT a.pos, a.lane, CASE WHEN a.lane = b.lane THEN b.first_bucket ELSE a.first_bucket END AS first_bucket FROM a LEFT JOIN b USING (pos)")
+def directory_reconcile(s, d):
+    fine = _ev(s, d).groupBy(F.col("user_id").alias("pos")).agg(F.first("user_id").alias("lane"), F.min(T.bucket("us", 10)).alias("first_bucket"))
+    coarse = fine.where("pos % 5 > 0").select("pos", F.expr("CASE WHEN pos % 3 = 0 THEN lane + 1 ELSE lane END AS lane"), (F.col("first_bucket") - 7).alias("first_bucket"))
+    return R.reconcile(fine, coarse)
+
+
+@query("SELECT strftime(ts, '%Y%m%d')::INT AS day, count(*) AS n FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 14")
+def retention_days(s, d):
+    days = _t(s, d, "events").groupBy(F.date_format("ts", "yyyyMMdd").cast("int").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return R.newest(days, "day", 14)
+
+
+@query(f"WITH {EV}, {_FOLD}, m AS (SELECT lane, max(bucket) AS m FROM fold GROUP BY 1) SELECT fold.* FROM fold JOIN m USING (lane) WHERE bucket > m - 100")
+def ring_retention(s, d):
+    return T.retained(T.fold(_ev(s, d), 1800), 100)
+
+
+@query("SELECT user_id, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1")
+def last_record_wins(s, d):
+    return R.last_wins(_t(s, d, "events").select("user_id", "value", "event_id"), "user_id", "event_id")
+
+
+_SHUFFLED = "late AS (SELECT event_type AS lane, us - (seq % 7) * 600000000 AS us, seq FROM ev)"
+
+
+@query(f"WITH {EV}, {_SHUFFLED}, m AS (SELECT *, max(us // 10000000) OVER (PARTITION BY lane ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM late) SELECT seq, lane, us FROM m WHERE m IS NULL OR us // 10000000 >= m - 16")
+def late_data_drop(s, d):
+    e = _ev(s, d).withColumn("us", F.col("us") - (F.col("seq") % 7) * 600_000_000)
+    return T.drop_late(e, 10, 16).select("seq", "lane", "us")
+
+
+@query(f"WITH {EV}, c AS (SELECT seq, user_id, (us + CASE WHEN seq % 50 < 25 THEN 0 ELSE 5000000 END) AS wall, us AS mono FROM ev), s AS (SELECT *, (wall - lag(wall) OVER w) - (mono - lag(mono) OVER w) AS step_us FROM c WINDOW w AS (PARTITION BY user_id ORDER BY seq)) SELECT seq, user_id, step_us FROM s WHERE abs(step_us) > 2000000")
+def clock_steps(s, d):
+    e = _ev(s, d).withColumn("wall", F.col("us") + F.when(F.col("seq") % 50 < 25, 0).otherwise(5_000_000))
+    return W.clock_steps(e, "user_id", "wall", "us").select("seq", "user_id", "step_us")
+
+
+@query(f"""WITH {EV}, k AS (SELECT user_id, us, seq, CASE WHEN event_type = 'signup' THEN 1 WHEN event_type = 'error' THEN 0 END AS kind FROM ev), e AS (SELECT *, lag(kind) OVER w AS p FROM k WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)),
+  c AS (SELECT *, lead(us) OVER (PARTITION BY user_id ORDER BY us, seq) AS to_us FROM e WHERE p IS DISTINCT FROM kind) SELECT user_id, us AS from_us, to_us FROM c WHERE kind = 1 AND to_us IS NOT NULL AND us // 1000000 < to_us // 1000000""")
+def sleep_spans(s, d):
+    return W.session_spans(_ev(s, d), "user_id", F.col("event_type") == "signup", F.col("event_type") == "error")
+
+
+@query(f"WITH {EV}, {_FOLD}, done AS (SELECT lane, min(bucket) + 700 AS done FROM fold GROUP BY 1) SELECT fold.* FROM fold JOIN done USING (lane) WHERE bucket >= done")
+def catchup_rollup(s, d):
+    fine = T.fold(_ev(s, d), 120)
+    done = fine.groupBy("lane").agg((F.floor(F.min("bucket") / 15) + 700).cast("long").alias("done"))
+    return T.catch_up(fine, done, 15)
+
+
+@query(f"""WITH {EV}, {_FOLD}, p AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY bucket) - 1 AS i, count(*) OVER (PARTITION BY lane) AS n FROM fold), c AS (SELECT DISTINCT lane, n, unnest(range(400)) AS c FROM p)
+  SELECT c.lane, c.c AS "column", sum(p.count)::BIGINT AS count, min(p.min) AS min, sum(p.sum::DECIMAL(18,2))::DOUBLE / sum(p.count) AS avg, max(p.max) AS max FROM c LEFT JOIN p ON p.lane = c.lane AND p.i >= c.c * c.n // 400 AND p.i < (c.c + 1) * c.n // 400 GROUP BY 1, 2""")
+def resample_fractional(s, d):
+    return T.resample_fractional(T.fold(_ev(s, d), 1800), 400)
+
+
+@query("SELECT * FROM (VALUES (3600, 't0', 360, 10), (21600, 't0', 720, 30), (86400, 't1', 720, 120), (604800, 't1', 504, 1200), (2592000, 't2', 1440, 1800), (31536000, 't2', 1460, 21600)) AS t(range_s, tier, columns, seconds)")
+def column_plan_table(s, d):
+    rows = [(r, p.tier, p.columns, p.seconds) for r in (3600, 21600, 86400, 604800, 2592000, 31536000) for p in [plan(r, 1_700_000_000)]]
+    return s.createDataFrame(rows, "range_s int, tier string, columns int, seconds int")
+
+
+# ordered operators
+_W = "WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)"
+_COUNTER = "(value * 100)::BIGINT"
+
+
+@query(f"WITH {EV}, c AS (SELECT seq, user_id, us, {_COUNTER} AS c FROM ev), l AS (SELECT *, lag(c) OVER w AS p, (us - lag(us) OVER w) / 1000000 AS dt FROM c {_W}) SELECT seq, user_id, CASE WHEN c >= p AND dt > 0 THEN (c - p) / dt ELSE 0 END AS rate FROM l")
+def counter_rate_rebaseline(s, d):
+    e = _ev(s, d).withColumn("c", F.round(F.col("value") * 100).cast("long"))
+    return W.counter_rate(e, "user_id", "c").select("seq", "user_id", "rate")
+
+
+@query(f"WITH {EV}, c AS (SELECT seq, user_id, us, (seq * 2654435761) % 4294967296 AS c FROM ev) SELECT seq, user_id, (c - lag(c) OVER w + 4294967296) % 4294967296 AS delta FROM c {_W}")
+def counter_wrap(s, d):
+    e = _ev(s, d).withColumn("c", F.col("seq") * F.lit(2654435761) % F.lit(1 << 32))
+    return W.wrapped_delta(e, "user_id", "c").select("seq", "user_id", "delta")
+
+
+@query("SELECT event_id, CASE WHEN value * 1000000 > (CASE WHEN user_id % 2 > 0 THEN 1000 * 1e6 / 8 * 1.5 ELSE 12.5e9 END) * 1 OR value < 0 THEN 0 ELSE value * 1000000 END AS guarded FROM events")
+def outlier_guard(s, d):
+    e = _t(s, d, "events").withColumn("delta", F.col("value") * 1000000)
+    return W.outlier_guard(e, "delta", (F.col("user_id") % 2) * 1000, F.lit(1)).select("event_id", "guarded")
+
+
+@query(f"WITH {EV}, p AS (SELECT seq, user_id, us, coalesce(round(value * (us - lag(us) OVER w) / 3600000000, 6), 0)::DECIMAL(24,6) AS p FROM ev {_W}) SELECT seq, user_id, sum(p) OVER (PARTITION BY user_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING)::DOUBLE AS watt_hours FROM p")
+def energy_integral(s, d):
+    return W.energy_integral(_ev(s, d), "user_id", "value").select("seq", "user_id", "watt_hours")
+
+
+@query(f"WITH {EV} SELECT seq, user_id, coalesce((value - lag(value) OVER w) / ((us - lag(us) OVER w) / 1000000) / (CASE seq % 4 WHEN 0 THEN 1e3::DOUBLE WHEN 1 THEN 1e6::DOUBLE WHEN 2 THEN 1e9::DOUBLE END), 0) AS watts FROM ev {_W}")
+def energy_to_power(s, d):
+    e = _ev(s, d).withColumn("unit", F.expr("element_at(array('mJ', 'uJ', 'nJ', '?'), cast(seq % 4 + 1 as int))"))
+    return W.energy_to_power(e, "user_id", "value", "unit").select("seq", "user_id", "watts")
+
+
+@query(f"WITH {EV}, a AS (SELECT user_id, us, seq, abs(value - lag(value) OVER w) AS a FROM ev {_W}), l AS (SELECT user_id, list(a ORDER BY us, seq) AS l FROM a WHERE a IS NOT NULL GROUP BY 1) SELECT user_id, round(list_reduce(l, lambda j, x: j + (x - j) / 16), 6) AS jitter, len(l) AS steps FROM l")
+def ewma_jitter(s, d):
+    return W.ewma_jitter(_ev(s, d), "user_id", "value")
+
+
+@query("SELECT user_id, sum((value * (event_id % 10))::DECIMAL(18,2))::DOUBLE / sum(event_id % 10) AS mean FROM events WHERE event_id % 10 > 0 GROUP BY 1")
+def weighted_mean(s, d):
+    e = _t(s, d, "events").withColumn("w", F.col("event_id") % 10).where("w > 0")
+    return e.groupBy("user_id").agg((T.exact_sum(F.col("value") * F.col("w")) / F.sum("w")).alias("mean"))
+
+
+@query(f"""WITH {EV}, p AS (SELECT user_id, value, us, us - (seq % 200 + 1) * 1000000 AS st FROM ev), m AS (SELECT *, unnest(range(st // 60000000, (us - 1) // 60000000 + 1)) AS minute FROM p), x AS (SELECT user_id, minute, value, (least(us, (minute + 1) * 60000000) - greatest(st, minute * 60000000)) / 1000000 AS sec FROM m)
+  SELECT user_id, minute, sum((value * sec)::DECIMAL(24,4))::DOUBLE / nullif(sum(sec::DECIMAL(24,4))::DOUBLE, 0) AS average, min(value) AS minimum, max(value) AS maximum, count(*) AS count, sum(sec::DECIMAL(24,4))::DOUBLE AS duration FROM x GROUP BY 1, 2""")
+def duration_weighted_minutes(s, d):
+    x = R.split_minutes(_ev(s, d), F.col("seq") % 200 + 1)
+    x = x.select("user_id", "minute", F.col("value").alias("average"), F.col("value").alias("minimum"), F.col("value").alias("maximum"), F.lit(1).alias("count"), F.col("seconds").alias("duration"))
+    return R.duration_weighted(x, "user_id", "minute").withColumn("count", F.col("count").cast("long"))
+
+
+@query("SELECT event_id, '/field:k' AS path, (props->>'k')::DOUBLE AS number FROM events WHERE props->>'k' IS NOT NULL")
+def json_flatten(s, d):
+    e = _t(s, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("k", "v"))
+    return e.select("event_id", F.concat(F.lit("/field:"), F.replace(F.replace("k", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))).alias("path"), F.col("v").try_cast("double").alias("number")).where("number is not null")
+
+
+@query(f"WITH {EV} SELECT seq, user_id, floor(sum(value::DECIMAL(18,2)) OVER w::DOUBLE / count(value) OVER w * 100 + 0.5) / 100 AS rolling FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, seq ROWS BETWEEN 89 PRECEDING AND CURRENT ROW)")
+def rolling_mean_90(s, d):
+    return W.rolling_mean(_ev(s, d), "user_id", "value", 90).select("seq", "user_id", "rolling")
+
+
+@query(f"WITH {EV}, b AS (SELECT user_id, value, us, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, seq DESC) AS b FROM ev), sp AS (SELECT DISTINCT user_id, unnest(range(1, 121)) AS slot FROM ev) SELECT sp.user_id, sp.slot::INT AS slot, us, value FROM sp LEFT JOIN b ON b.user_id = sp.user_id AND 121 - b.b = sp.slot")
+def ring_last_n(s, d):
+    return W.ring(_ev(s, d).select("user_id", "us", "seq", "value"), "user_id", 120).select("user_id", "slot", "us", "value")
+
+
+@query(f"""WITH {EV}, g AS (SELECT seq, user_id, us, (us - lag(us) OVER w) / 1000000 AS dd FROM ev {_W}), r AS (SELECT user_id, dd, row_number() OVER (PARTITION BY user_id ORDER BY dd) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM g WHERE dd > 0), t AS (SELECT user_id, dd AS t FROM r WHERE n >= 2 AND r = n // 2 + 1)
+  SELECT seq, user_id, CASE WHEN dd >= 2 AND dd > 1.5 * t THEN least(round(dd / t) - 1, 119) ELSE 0 END::BIGINT AS empty_before FROM g LEFT JOIN t USING (user_id)""")
+def gap_insertion(s, d):
+    return W.gap_insertion(_ev(s, d), "user_id", 120).select("seq", "user_id", "empty_before")
+
+
+@query(f"WITH {EV} SELECT seq, user_id, least(coalesce(lead(us) OVER w, {NOW}000000), us + 10000000) AS end_us FROM ev {_W}")
+def sample_lifetime(s, d):
+    return W.sample_lifetime(_ev(s, d), "user_id", 10, NOW * T.MICRO).select("seq", "user_id", "end_us")
+
+
+_ISLAND = "i AS (SELECT *, (lag(state) OVER w IS DISTINCT FROM state)::INT AS c FROM st WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)), r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS run FROM i)"
+
+
+@query(f"WITH {EV}, st AS (SELECT *, value > 20 AS state FROM ev), {_ISLAND} SELECT user_id, any_value(state) AS state, min(us) AS from_us, max(us) AS to_us, count(*) AS rows FROM r GROUP BY user_id, run")
+def empty_runs(s, d):
+    return W.islands(_ev(s, d).withColumn("state", F.col("value") > 20), "user_id", "state")
+
+
+@query(f"""WITH {EV}, sp AS (SELECT user_id, seq, us AS start_us, CASE WHEN seq % 3 > 0 THEN lead(us) OVER w ELSE us + 1 END AS end_us FROM ev {_W}), n AS (SELECT *, CASE WHEN lag(end_us) OVER v = start_us THEN 0 ELSE 1 END AS n FROM sp WHERE end_us IS NOT NULL WINDOW v AS (PARTITION BY user_id ORDER BY start_us, end_us)),
+  r AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY start_us, end_us ROWS UNBOUNDED PRECEDING) AS run FROM n) SELECT user_id, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS parts FROM r GROUP BY user_id, run""")
+def coalesce_intervals(s, d):
+    nxt = F.expr("lead(us) over (partition by user_id order by us, seq)")
+    spans = _ev(s, d).select("user_id", F.col("us").alias("start_us"), F.when(F.col("seq") % 3 > 0, nxt).otherwise(F.col("us") + 1).alias("end_us")).where("end_us is not null")
+    return W.coalesce_intervals(spans, "user_id")
+
+
+@query(f"WITH {EV}, p AS (SELECT *, lag(event_type) OVER w AS p, row_number() OVER w AS n FROM ev {_W}) SELECT seq, user_id, event_type FROM p WHERE n = 1 OR p IS DISTINCT FROM event_type")
+def change_only(s, d):
+    return W.change_only(_ev(s, d), "user_id", "event_type").select("seq", "user_id", "event_type")
+
+
+@query(f"WITH {EV} SELECT seq, user_id, sum(value::DECIMAL(18,2)) OVER (PARTITION BY user_id, date_trunc('week', ts) ORDER BY us, seq ROWS UNBOUNDED PRECEDING)::DOUBLE AS total FROM ev")
+def running_total_reset(s, d):
+    return W.running_total(_ev(s, d), "user_id", "value", F.date_trunc("week", "ts")).select("seq", "user_id", "total")
+
+
+@query(f"WITH {EV} SELECT seq, user_id, last_value(CASE WHEN value BETWEEN 10 AND 120 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS held FROM ev")
+def hold_previous(s, d):
+    return W.hold_previous(_ev(s, d), "user_id", "value", 10, 120).select("seq", "user_id", "held")
+
+
+@query(f"WITH {EV}, st AS (SELECT *, value >= 50 AS state FROM ev), {_ISLAND}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY us, seq) AS k FROM r WHERE state) SELECT seq, user_id, value FROM k WHERE k = 2")
+def alert_streak(s, d):
+    return W.alert_streak(_ev(s, d), "user_id", "value", 50.0).select("seq", "user_id", "value")
+
+
+@query(f"""WITH {EV}, i AS (SELECT *, value >= 20 AS bad, coalesce((lag(value >= 20) OVER w IS DISTINCT FROM (value >= 20)) OR us - lag(us) OVER w > 43200000000, true)::INT AS c FROM ev {_W}), r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS run FROM i),
+  t AS (SELECT *, min(us) OVER (PARTITION BY user_id, run) AS st FROM r WHERE bad), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY us, seq) AS k FROM t WHERE us - st >= 3600000000) SELECT seq, user_id, value FROM k WHERE k = 1""")
+def alert_sustained(s, d):
+    return W.alert_sustained(_ev(s, d), "user_id", "value", 20.0, 3600, 43200).select("seq", "user_id", "value")
+
+
+# relational
+@query(f"WITH {EV} SELECT event_type, us // 3600000000 AS \"window\", arg_max(value, seq) AS value, count(*) AS merged FROM ev GROUP BY 1, 2")
+def conflate_latest(s, d):
+    return R.conflate(_ev(s, d), "event_type", "value", 3_600_000_000)
+
+
+@query("SELECT user_id, sum(value::DECIMAL(18,2))::DOUBLE AS usage FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
+def topk_mem_grouped(s, d):
+    return R.grouped_top(_t(s, d, "events"), "user_id", "value", 8)
+
+
+@query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 8")
+def topk_cpu(s, d):
+    return _t(s, d, "events").select("event_id", "value").orderBy(F.desc("value"), "event_id").limit(8)
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity, l_discount * 100 AS disc FROM lineitem ORDER BY greatest(l_quantity, l_discount * 100) DESC, least(l_quantity, l_discount * 100) DESC, id LIMIT 12")
+def topk_disk(s, d):
+    x = _t(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_quantity", (F.col("l_discount") * 100).alias("disc"))
+    return R.pair_top(x, "id", "l_quantity", "disc", 12)
+
+
+@query(f"WITH {EV}, l AS (SELECT user_id AS lane, max(us) AS last_us FROM ev GROUP BY 1) SELECT lane, last_us FROM l WHERE last_us <= {NOW}000000 - 86400000000 ORDER BY last_us, lane LIMIT 1")
+def lru_victim(s, d):
+    lanes = _ev(s, d).groupBy(F.col("user_id").alias("lane")).agg(F.max("us").alias("last_us"))
+    return R.lru_victim(lanes, NOW * T.MICRO, 86_400_000_000)
+
+
+@query("WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error') (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)")
+def symmetric_difference(s, d):
+    e = _t(s, d, "events")
+    return R.symmetric_difference(e.where("event_type = 'signup'").select("user_id"), e.where("event_type = 'error'").select("user_id"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def anti_join_removed(s, d):
+    return _t(s, d, "customer").join(_t(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+
+
+@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def semi_join_live(s, d):
+    live = _t(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return _t(s, d, "customer").join(live, "c_custkey", "left_semi").select("c_custkey").distinct()
+
+
+@query("WITH a AS (SELECT c_custkey AS k, c_name AS n, NULL AS v FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT c_custkey AS k, 'b' || c_name AS n, c_acctbal AS v FROM customer WHERE c_custkey % 3 = 0) SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, b.n) AS n, coalesce(a.v, b.v) AS v FROM a FULL JOIN b ON a.k = b.k")
+def full_outer_upsert(s, d):
+    c = _t(s, d, "customer")
+    a = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"), F.lit(None).cast("double").alias("v"))
+    b = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.concat(F.lit("b"), "c_name").alias("n"), F.col("c_acctbal").alias("v"))
+    return R.upsert([a, b], "k", ["n", "v"])
+
+
+_RESOLVE = "t AS (SELECT p_partkey AS target_id, p_name AS a, p_brand || p_type AS b, p_size AS c FROM part WHERE p_partkey % 2 = 0), it AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS a, p_brand || p_type AS b, p_size AS c FROM part)"
+
+
+@query(f"""WITH {_RESOLVE}, ua AS (SELECT a, min(target_id) AS x FROM t WHERE a IS NOT NULL GROUP BY a HAVING count(*) = 1), ub AS (SELECT b, min(target_id) AS x FROM t WHERE b IS NOT NULL GROUP BY b HAVING count(*) = 1),
+  m AS (SELECT item_id, coalesce(ua.x, ub.x) AS x, CASE WHEN ua.x IS NOT NULL THEN 0 WHEN ub.x IS NOT NULL THEN 1 END AS r FROM it LEFT JOIN ua USING (a) LEFT JOIN ub ON ub.b = it.b), k AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY r, item_id) AS k FROM m) SELECT item_id, CASE WHEN x IS NOT NULL AND k = 1 THEN x END AS target_id FROM k""")
+def entity_resolution(s, d):
+    p = _t(s, d, "part").select("p_partkey", F.col("p_name").alias("a"), F.concat("p_brand", "p_type").alias("b"))
+    targets = p.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "target_id")
+    items = p.select(F.col("p_partkey").alias("item_id"), F.when(F.col("p_partkey") % 3 == 0, F.col("a")).alias("a"), "b")
+    return R.resolve(items, targets, ["a", "b"])
+
+
+@query("SELECT s_suppkey, CASE WHEN n.n_nationkey IS NULL THEN 'ungrouped' ELSE n_name END AS grp FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 > 0) n ON s_nationkey = n.n_nationkey")
+def group_membership(s, d):
+    groups = _t(s, d, "nation").where("n_nationkey % 4 > 0")
+    sup = _t(s, d, "supplier")
+    return sup.join(groups, sup["s_nationkey"] == groups["n_nationkey"], "left").select("s_suppkey", F.coalesce("n_name", F.lit("ungrouped")).alias("grp"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_regionkey AS ord FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_suppkey FROM supplier),
+  h AS (SELECT id, 0::BIGINT AS depth, printf('%06d', ord::BIGINT) AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.id, h.depth + 1, h.path || '/' || printf('%06d', n.ord::BIGINT) FROM n JOIN h ON n.parent = h.id) SELECT * FROM h""")
+def hierarchy_dfs(s, d):
+    r = _t(s, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_regionkey").cast("long").alias("ord"))
+    n = _t(s, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey")).alias("parent"), F.col("n_nationkey").cast("long").alias("ord"))
+    p = _t(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"), F.concat(F.lit("n"), F.col("s_nationkey")).alias("parent"), F.col("s_suppkey").alias("ord"))
+    return R.hierarchy(r.unionByName(n).unionByName(p), 3)
+
+
+@query("SELECT s_nationkey, count(*) FILTER (s_acctbal > 0) AS up, count(*) AS total, CASE WHEN count(*) FILTER (s_acctbal > 0) = count(*) THEN 'green' WHEN count(*) FILTER (s_acctbal > 0) > 0 THEN 'orange' ELSE 'red' END AS colour FROM supplier GROUP BY 1")
+def status_rollup(s, d):
+    return R.status_rollup(_t(s, d, "supplier"), "s_nationkey", F.col("s_acctbal") > 0)
+
+
+@query("SELECT n_nationkey, row_number() OVER (ORDER BY CASE WHEN n_nationkey % 3 = 0 THEN 100 - n_nationkey ELSE 2147483647 END, lower(n_name), n_nationkey)::INT AS position FROM nation")
+def custom_order(s, d):
+    n = _t(s, d, "nation")
+    order = n.where("n_nationkey % 3 = 0").select("n_nationkey", (100 - F.col("n_nationkey")).alias("idx"))
+    return R.custom_order(n.select("n_nationkey", "n_name"), order, "n_nationkey", "n_name").select("n_nationkey", "position")
+
+
+@query("WITH c AS (SELECT user_id, floor(value / 25)::BIGINT AS code, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, code, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, code) AS k FROM c) WHERE k = 1")
+def mode_tiebreak(s, d):
+    return R.mode(_t(s, d, "events").select("user_id", F.floor(F.col("value") / 25).cast("long").alias("code")), "user_id", "code")
+
+
+# scalars
+_SPEED = "CASE WHEN v < 1e3 THEN '0 KB/s' WHEN v < 1e6 THEN floor(v / 1e3)::BIGINT || ' KB/s' WHEN v < 1e8 THEN floor(v / 1e6)::BIGINT || '.' || floor(v / 1e6 * 10)::BIGINT % 10 || ' MB/s' WHEN v < 1e9 THEN floor(v / 1e6)::BIGINT || ' MB/s' WHEN v < 1e12 THEN floor(v / 1e9)::BIGINT || '.' || floor(v / 1e9 * 10)::BIGINT % 10 || ' GB/s' ELSE floor(v / 1e12)::BIGINT || '.' || floor(v / 1e12 * 10)::BIGINT % 10 || ' TB/s' END"
+
+
+@query(f"SELECT event_id, {_SPEED} AS speed FROM (SELECT event_id, value * pow(10, event_id % 11) AS v FROM events)")
+def units_speed(s, d):
+    return _t(s, d, "events").select("event_id", S.speed(F.col("value") * F.pow(F.lit(10.0), F.col("event_id") % 11)).alias("speed"))
+
+
+@query("SELECT event_id, CASE WHEN event_id <= 0 THEN 'n/a' ELSE (event_id // 3600) || 'h ' || lpad(((event_id % 3600) // 60)::VARCHAR, 2, '0') || 'min' END AS text FROM events")
+def duration_text(s, d):
+    return _t(s, d, "events").select("event_id", S.duration_text(F.col("event_id")).alias("text"))
+
+
+@query("WITH l AS (SELECT p_partkey, p_partkey || '  ' || p_name || '  ' || (p_size * 40) || ['K','M','G'][p_partkey % 3 + 1] AS line, (p_size * 40)::VARCHAR AS sz, p_partkey % 3 AS u, p_name FROM part) SELECT p_partkey AS pid, trim(p_name) AS name, CASE WHEN u = 2 THEN sz::DOUBLE * 1024 WHEN u = 0 THEN sz::DOUBLE / 1024 WHEN length(sz) = 4 THEN sz::DOUBLE / 1024 * 1000 ELSE sz::DOUBLE END * 1e6 AS bytes FROM l")
+def parse_top_line(s, d):
+    line = F.concat(F.col("p_partkey").cast("string"), F.lit("  "), "p_name", F.lit("  "), (F.col("p_size") * 40).cast("string"), F.expr("element_at(array('K','M','G'), cast(p_partkey % 3 + 1 as int))"))
+    return _t(s, d, "part").select(*[c.alias(n) for n, c in S.top_line(line).items()])
+
+
+@query("SELECT a.p_partkey, a.p_size % 3 || '.' || a.p_partkey % 20 || '.' || a.p_size AS version, lpad((a.p_size % 3)::VARCHAR, 6, '0') || lpad((a.p_partkey % 20)::VARCHAR, 6, '0') || lpad(a.p_size::VARCHAR, 6, '0') || '999999' AS ordered FROM part a")
+def version_compare(s, d):
+    v = F.concat_ws(".", F.col("p_size") % 3, F.col("p_partkey") % 20, "p_size")
+    return _t(s, d, "part").select("p_partkey", v.alias("version"), S.version_key(v).alias("ordered"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size * 100 WHEN 1 THEN p_size * 1000 ELSE 0 END::BIGINT AS mbit FROM part")
+def media_rate(s, d):
+    text = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat(p_size * 100, 'Base-T') WHEN 1 THEN concat(p_size, 'GbaseT') ELSE 'none' END")
+    return _t(s, d, "part").select("p_partkey", S.media_mbit(text).alias("mbit"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN p_size / 256 WHEN 2 THEN p_size / 4 END::DOUBLE AS value FROM part")
+def smc_decode(s, d):
+    kind = F.expr("element_at(array('ui16', 'sp78', 'fpe2', '????'), cast(p_partkey % 4 + 1 as int))")
+    return _t(s, d, "part").select("p_partkey", S.smc_decode(kind, F.lpad(F.hex("p_size"), 4, "0")).alias("value"))
+
+
+@query("SELECT event_id, pw * CASE WHEN sh <= 1 THEN 1 WHEN sh <= 2 THEN 2 WHEN sh <= 2.5 THEN 2.5 WHEN sh <= 5 THEN 5 ELSE 10 END AS bound FROM (SELECT event_id, pow(10, floor(log10(value)))::DOUBLE AS pw, round(value / pow(10, floor(log10(value))), 9) AS sh FROM events)")
+def axis_scale(s, d):
+    return _t(s, d, "events").select("event_id", S.nice_bound(F.col("value")).alias("bound"))
+
+
+@query("SELECT event_id, value * 9 / 5 + 32 AS fahrenheit FROM events")
+def temperature(s, d):
+    return _t(s, d, "events").select("event_id", S.fahrenheit(F.col("value")).alias("fahrenheit"))
+
+
+@query("SELECT event_id, CASE WHEN value / 100 < 0.6 THEN 'normal' WHEN value / 100 < 0.8 THEN 'warning' ELSE 'critical' END AS band FROM events")
+def bands(s, d):
+    return _t(s, d, "events").select("event_id", S.band(F.col("value") / 100).alias("band"))
+
+
+@query("SELECT event_id, list_filter([CASE WHEN event_id & 1 > 0 THEN 'spare' END, CASE WHEN event_id & 2 > 0 THEN 'temperature' END, CASE WHEN event_id & 4 > 0 THEN 'reliability' END], lambda x: x IS NOT NULL).array_to_string(',') AS flags FROM events")
+def bitmask(s, d):
+    return _t(s, d, "events").select("event_id", S.flag_names(F.col("event_id"), ["spare", "temperature", "reliability"]).alias("flags"))
+
+
+@query("SELECT p_partkey, replace(replace(replace(p_type || ',$%', '%', '%25'), ',', '%2C'), '$', '%24') AS field FROM part")
+def escape_codec(s, d):
+    return _t(s, d, "part").select("p_partkey", S.escape_field(F.concat("p_type", F.lit(",$%"))).alias("field"))
+
+
+@query("SELECT event_id, 'history@v2@' || base64(encode(event_type)) || '@1' || lpad(event_id::VARCHAR, 20, '0') AS key FROM events")
+def keyed_store_codec(s, d):
+    return _t(s, d, "events").select("event_id", S.bucket_key(F.col("event_type"), F.col("event_id")).alias("key"))
+
+
+@query("SELECT event_id, date_trunc('day', ts) + INTERVAL 1 DAY AS next_day, date_trunc('week', ts) + INTERVAL 7 DAY AS next_week, date_trunc('month', ts) + INTERVAL 1 MONTH AS next_month FROM events")
+def local_boundaries(s, d):
+    return _t(s, d, "events").select("event_id", *[F.expr(f"cast(date_trunc('{u}', ts) + INTERVAL {n} as timestamp_ntz) AS next_{u}") for u, n in (("day", "1 DAY"), ("week", "7 DAY"), ("month", "1 MONTH"))])
+
+
+# streaming: rows only, append output leaves the newest windows open
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    e = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)  # a streaming source reads a folder
+    return e.select(F.col("user_id").cast("string").alias("lane"), F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+def _drained(s: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    import uuid
+
+    from .sources.shared import shared_folder
+    from .streaming.folds import drain
+
+    return drain(stream, name, f"{shared_folder(s)}/stream-{uuid.uuid4().hex}")
+
+
+@query()
+def stream_fold(s, d):
+    from .streaming.folds import stream_fold as f
+
+    return _drained(s, f(_stream(s, d), 1800, "1 hour"), "fold")
+
+
+@query()
+def stream_alerts(s, d):
+    from .streaming.folds import stream_streaks
+
+    return _drained(s, stream_streaks(_stream(s, d), 50.0, 2), "alerts")
+
+
+@query()
+def stream_stateful_hold(s, d):
+    from .streaming.folds import stream_hold as f
+
+    return _drained(s, f(_stream(s, d)), "hold")
+
+
+@query()
+def csv_rows(s, d):
+    from .sources.export import csv_lines
+
+    return csv_lines(T.columns(T.fold(_ev(s, d), 1800), MONTH), "value")
