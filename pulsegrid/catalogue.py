@@ -220,7 +220,7 @@ def weighted_mean(s, d):
 
 
 @query(f"""WITH {EV}, p AS (SELECT user_id, value, us, us - (seq % 200 + 1) * 1000000 AS st FROM ev), m AS (SELECT *, unnest(range(st // 60000000, (us - 1) // 60000000 + 1)) AS minute FROM p), x AS (SELECT user_id, minute, value, (least(us, (minute + 1) * 60000000) - greatest(st, minute * 60000000)) / 1000000 AS sec FROM m)
-  SELECT user_id, minute, sum((value * sec)::DECIMAL(24,4))::DOUBLE / nullif(sum(sec::DECIMAL(24,4))::DOUBLE, 0) AS average, min(value) AS minimum, max(value) AS maximum, count(*) AS count, sum(sec::DECIMAL(24,4))::DOUBLE AS duration FROM x GROUP BY 1, 2""")
+  SELECT user_id, minute, sum((value * sec)::DECIMAL(28,8))::DOUBLE / nullif(sum(sec::DECIMAL(28,8))::DOUBLE, 0) AS average, min(value) AS minimum, max(value) AS maximum, count(*) AS count, sum(sec::DECIMAL(28,8))::DOUBLE AS duration FROM x GROUP BY 1, 2""")
 def duration_weighted_minutes(s, d):
     x = R.split_minutes(_ev(s, d), F.col("seq") % 200 + 1)
     x = x.select("user_id", "minute", F.col("value").alias("average"), F.col("value").alias("minimum"), F.col("value").alias("maximum"), F.lit(1).alias("count"), F.col("seconds").alias("duration"))

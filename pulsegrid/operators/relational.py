@@ -110,8 +110,8 @@ def custom_order(rows: DataFrame, order: DataFrame, key: str, name: str) -> Data
 
 def duration_weighted(rows: DataFrame, *keys: str) -> DataFrame:
     """Merge of statistics (average, minimum, maximum, count, duration): the average weighted by duration."""
-    weighted = F.try_divide(F.sum((F.col("average") * F.col("duration")).cast("decimal(24,4)")).cast("double"), F.sum(F.col("duration").cast("decimal(24,4)")).cast("double"))
-    return rows.groupBy(*keys).agg(weighted.alias("average"), F.min("minimum").alias("minimum"), F.max("maximum").alias("maximum"), F.sum("count").alias("count"), F.sum(F.col("duration").cast("decimal(24,4)")).cast("double").alias("duration"))
+    weighted = F.try_divide(F.sum((F.col("average") * F.col("duration")).cast("decimal(28,8)")).cast("double"), F.sum(F.col("duration").cast("decimal(28,8)")).cast("double"))
+    return rows.groupBy(*keys).agg(weighted.alias("average"), F.min("minimum").alias("minimum"), F.max("maximum").alias("maximum"), F.sum("count").alias("count"), F.sum(F.col("duration").cast("decimal(28,8)")).cast("double").alias("duration"))
 
 
 def split_minutes(rows: DataFrame, duration_s: Column) -> DataFrame:
