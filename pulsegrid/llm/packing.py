@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .word_tokens import WordEncoder
+from .word_tokens import encoder as word_encoder
 
 CAPACITY = 4096
 #: Rows of (task, length) counts that are broadcast at most (24 bytes each); beyond, that join shuffles.
@@ -127,7 +127,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, task, seen = WordEncoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
+        encoder, task, seen = word_encoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path
-from .word_tokens import WordEncoder
+from .word_tokens import encoder as word_encoder
 
 MAGIC = b"PGDAC001"
 BLOCK = 512
@@ -120,7 +120,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
         from pyarrow import fs
         from pyspark import TaskContext
 
-        encoder, task = WordEncoder(tokenizer), TaskContext.get()
+        encoder, task = word_encoder(tokenizer), TaskContext.get()
         files, root = fs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
         doc_ids: list[int | None] = []

@@ -1,35 +1,73 @@
 """Encoding with a tokenizers file on executors. White space separates tokens in these files and is dropped, so each distinct piece between
-blanks is encoded once and remembered, in a memo of bounded size; the result equals that of encoding the whole text."""
+blanks is encoded once and remembered, in a memo of bounded size that a worker keeps for its next tasks; the result equals that of encoding the
+whole text."""
 
 from __future__ import annotations
 
-from itertools import chain
+import functools
+import os
 
 import numpy as np
 
-MEMO_PIECES = 300_000
+MEMO_PIECES = 250_000
 MEMO_CHARS = 64
+#: Signs that the tokenizer's pattern cuts off behind a letter or digit, wherever they stand.
+TAIL = ".,!?;:%&*$#|"
 
 
 class WordEncoder:
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism; threads would only wait for each other
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, bytes] = {}
+
+    def _library(self, pieces: list[str]) -> dict[str, bytes]:
+        out = {}
+        for at in range(0, len(pieces), 2048):
+            some = pieces[at : at + 2048]
+            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)  # one call; word_ids tells whose ids they are
+            ids = np.array(e.ids, dtype="<u4").tobytes()
+            bounds = (4 * np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(some) + 1))).tolist()
+            for k, p in enumerate(some):
+                out[p] = ids[bounds[k] : bounds[k + 1]]
+        return out
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of pieces, by those of their lower-cased stems and of the signs behind them."""
+        cut, memo = {}, self.memo
+        for p in new:
+            stem = p.rstrip(TAIL)
+            tail = p[len(stem) :]
+            if not tail or not stem or not stem.lower()[-1].isalnum():
+                stem, tail = p, ""
+            cut[p] = (stem.lower() if stem.isascii() else stem, tail)
+        parts = self._library([x for x in {x for pair in cut.values() for x in pair if x} if x not in memo])
+        parts[""] = b""
+        for x, ids in parts.items():
+            if len(x) <= MEMO_CHARS:
+                memo[x] = ids
+        get = lambda x: parts[x] if x in parts else memo[x]
+        found = {p: get(a) + get(b) for p, (a, b) in cut.items()}
+        for p, ids in found.items():
+            if len(p) <= MEMO_CHARS:
+                memo[p] = ids
+        return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text; none for null."""
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.memo) > MEMO_PIECES:
-            self.memo = {}
+            self.memo.clear()
         memo = self.memo
-        new = list({p for pieces in split for p in pieces if p not in memo})
-        long = {}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                (memo if len(p) <= MEMO_CHARS else long)[p] = e.ids
-        look = memo.__getitem__ if not long else lambda p: memo[p] if p in memo else long[p]
-        return [np.fromiter(chain.from_iterable(map(look, pieces)), dtype=np.uint32) for pieces in split]
+        found = self._learn([p for p in set().union(*split) if p not in memo]) if split else {}
+        look = memo.__getitem__ if all(len(p) <= MEMO_CHARS for p in found) else lambda p: memo[p] if p in memo else found[p]
+        return [np.frombuffer(b"".join(map(look, pieces)), dtype="<u4") for pieces in split]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """This worker's encoder, with what it has met in earlier tasks."""
+    return WordEncoder(path)
