@@ -1,70 +1,105 @@
-"""Encoding with a tokenizers file on executors. White space separates tokens in these files and is dropped, so each distinct piece between
-blanks is encoded once and remembered, in a memo of bounded size that a worker keeps for its next tasks; the result equals that of encoding the
-whole text."""
+"""Encoding with a tokenizers file on executors, equal to encoding each whole text with the library.
+
+White space separates tokens in these files and is dropped. A text of plain characters (PLAIN: ASCII and the letters of Latin-1, all of them unchanged by
+NFC) is lower-cased and cut here by the file's own pattern, and each distinct word goes through the file's BPE model once. In other texts the pieces
+between blanks that aren't plain go through the library. Ids are remembered in memos of bounded size that a worker keeps for its next tasks.
+"""
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 
 import numpy as np
 
-MEMO_PIECES = 250_000
+MEMO_PIECES = 400_000
 MEMO_CHARS = 64
-#: Signs that the tokenizer's pattern cuts off behind a letter or digit, wherever they stand.
-TAIL = ".,!?;:%&*$#|"
+
+_LETTERS = "a-z\xdf-\xf6\xf8-\xff"
+PLAIN = re.compile(r"[\t-\r\x20-\x7e\xc0-\xff¡¿«»“”‘’„–—…€]*")
+#: The file's pattern over lower-cased plain text.
+WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\t-\r\x20{_LETTERS}0-9]+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level files: printable bytes are themselves, the others follow from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)}
+
+
+class _Words(dict):
+    """word -> ids (little-endian unsigned 32-bit) by the BPE model alone."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize, self.letters = model.tokenize, byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(spelt)])
+        if len(word) <= MEMO_CHARS:
+            self[word] = ids
+        return ids
+
+
+class _Pieces(dict):
+    """piece without blanks -> ids by the library, or by the words of a plain piece."""
+
+    def __init__(self, encoder: WordEncoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        if self.encoder.plain(piece):
+            ids = self.encoder.by_words(piece)
+        else:
+            ids = np.array(self.encoder.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(piece) <= MEMO_CHARS:
+            self[piece] = ids
+        return ids
 
 
 class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism; threads would only wait for each other
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {}
-
-    def _library(self, pieces: list[str]) -> dict[str, bytes]:
-        out = {}
-        for at in range(0, len(pieces), 2048):
-            some = pieces[at : at + 2048]
-            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)  # one call; word_ids tells whose ids they are
-            ids = np.array(e.ids, dtype="<u4").tobytes()
-            bounds = (4 * np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(some) + 1))).tolist()
-            for k, p in enumerate(some):
-                out[p] = ids[bounds[k] : bounds[k + 1]]
-        return out
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = spec["normalizer"]["normalizers"], spec["pre_tokenizer"]["pretokenizers"]
+        known = [x["type"] for x in steps[0]] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps[1]] == ["Split", "ByteLevel"]
+        self.known = known and steps[1][0]["pattern"] == {"Regex": PATTERN}  # of any other file, every piece goes through the library
+        self.words, self.pieces = _Words(self.tokenizer.model), _Pieces(self)
+
+    def plain(self, text: str) -> bool:
+        return self.known and PLAIN.fullmatch(text) is not None
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of pieces, by those of their lower-cased stems and of the signs behind them."""
-        cut, memo = {}, self.memo
-        for p in new:
-            stem = p.rstrip(TAIL)
-            tail = p[len(stem) :]
-            if not tail or not stem or not stem.lower()[-1].isalnum():
-                stem, tail = p, ""
-            cut[p] = (stem.lower() if stem.isascii() else stem, tail)
-        parts = self._library([x for x in {x for pair in cut.values() for x in pair if x} if x not in memo])
-        parts[""] = b""
-        for x, ids in parts.items():
-            if len(x) <= MEMO_CHARS:
-                memo[x] = ids
-        get = lambda x: parts[x] if x in parts else memo[x]
-        found = {p: get(a) + get(b) for p, (a, b) in cut.items()}
-        for p, ids in found.items():
-            if len(p) <= MEMO_CHARS:
-                memo[p] = ids
-        return found
+    def by_words(self, text: str) -> bytes:
+        words = self.words
+        return b"".join([words[w] for w in WORDS.findall(text.lower())])
+
+    def encode_one(self, text: str) -> bytes:
+        if self.plain(text):
+            return self.by_words(text)
+        pieces = self.pieces
+        return b"".join([pieces[p] for p in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if p])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text; none for null."""
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        memo = self.memo
-        found = self._learn([p for p in set().union(*split) if p not in memo]) if split else {}
-        look = memo.__getitem__ if all(len(p) <= MEMO_CHARS for p in found) else lambda p: memo[p] if p in memo else found[p]
-        return [np.frombuffer(b"".join(map(look, pieces)), dtype="<u4") for pieces in split]
+        out = []
+        for text in texts:
+            for memo in (self.words, self.pieces):
+                if len(memo) > MEMO_PIECES:
+                    memo.clear()
+            out.append(np.frombuffer(self.encode_one(text or ""), dtype="<u4"))
+        return out
 
 
 @functools.lru_cache(maxsize=1)
