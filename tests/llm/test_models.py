@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pulsegrid.llm import byte_bpe, html_extract, language_id, near_dedup, packing, queries, token_store
+from pulsegrid.llm import byte_bpe, html_extract, language_id, near_dedup, packing, queries, token_store, word_tokens
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "it's the x 　  y\x85z\n\n  a", "a" * 3000 + " " * 500 + "b", "日本語テキスト 😀😀 naïve Ünï\x1fx 1234567 ---===***", "​ q\x1c\x1dw <|endoftext|> İ", "the the the " * 2000]
@@ -178,3 +178,12 @@ def test_pipeline(spark):
     want = {ids[r] for r in roots}
     assert {r["doc_id"] for r in rows} == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "secret_scan", "packing"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("aAbé É'sStTrRevVmMlLdD0 1½\t\n\r\x0b\x85\xa0.,!¿ßẞ́’İςΣ日<|>"), max_size=60))
+def test_word_encoder_equals_the_library(text):
+    ours = word_tokens.encoder(queries.WORD_TOKENIZER)
+    library = ours.tokenizer
+    assert ours.known
+    assert ours.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
