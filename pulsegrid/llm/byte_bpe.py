@@ -1,22 +1,28 @@
 """Byte-level BPE with Spark higher-order functions.
 
-A pattern cuts a text into words. A word that is a token is its rank; any other is an array of bytes (in hex) over which a fold merges the
-neighbours of least rank, leftmost first, until no pair has a rank. Ranks are looked up in literal arrays: a cuckoo table with two places for each
-key, both given by xxhash64. The HOT_WORDS most frequent distinct words of a bounded sample are folded once and put into a second such table; it
-only saves work, any other word is folded where it stands. No row moves between tasks. Decoding concatenates the pieces of the ids.
+Python cuts the texts of a partition into words by the pattern and numbers the distinct ones; Spark folds each distinct word of a task once; Python puts the
+words' ids in the texts' order. The fold takes a word as an array of bytes and merges the neighbours of least rank, leftmost first, until no pair has a
+rank. Ranks come from a literal array: a cuckoo table of pairs of ids with two places for each pair, both given by xxhash64. Decoding concatenates the
+pieces of the ids.
 
-The fold takes time with the square of a word's length, so texts with a run of more than LONG_RUN characters that the pattern may not cut are
-encoded by the tiktoken library, with the same ranks and pattern.
+All of it is one narrow stage: no row moves between tasks, nothing is sampled, collected or broadcast but the ranks. A task keeps MEMO_WORDS distinct words
+at most; then it starts anew, which costs folds and changes no result. Rows between the steps hold the documents of about CHUNK_CHARS characters.
+
+The fold takes time with the square of a word's length, so single words of more than LONG_WORD bytes are encoded by the tiktoken library, with the same
+ranks.
 
 Defined results: null counts as empty and has no tokens. Each row gives one row, repeated rows included. Extra columns are ignored, whatever their
-names. An empty table gives an empty result. A vocabulary that lacks a byte is refused.
+names. An empty table gives an empty result. A vocabulary that lacks a byte, or with ids of over 20 bits, is refused.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -24,10 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-HOT_WORDS = 60_000
-SAMPLE_DOCS = 4000
-LONG_RUN = 200
-_SEPARATOR = "\x1f"
+MEMO_WORDS = 400_000
+CHUNK_CHARS = 1_000_000
+LONG_WORD = 1000
+SLICE_IDS = 500_000
+#: Bits of an id in a key.
+ID_BITS = 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -35,15 +43,18 @@ def load_ranks(path: str) -> dict[bytes, int]:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     if any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("the vocabulary lacks a byte")
+    if max(ranks.values()) >= (1 << ID_BITS) - 1:
+        raise ValueError(f"an id has more than {ID_BITS} bits")
     return ranks
 
 
-def _cuckoo(keys: list[str]) -> tuple[list[int | None], int]:
-    """For each slot the number of its key; slots are a power of two. A key is in slot h mod slots or (h >> 20) mod slots, h being Spark's xxhash64."""
-    bits = max(4, (3 * len(keys)).bit_length())
+def _cuckoo(entries: dict[int, int]) -> tuple[list[int], int]:
+    """Slots (key << ID_BITS | value, or -1), a power of two of them. A key is in slot h mod slots or (h >> 20) mod slots, h being Spark's xxhash64."""
+    keys = list(entries)
+    hashes = [xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 42) for k in keys]
+    bits = max(4, (2 * len(keys)).bit_length())
     while True:
         slots: list[int | None] = [None] * (1 << bits)
-        hashes = [xxhash.xxh64_intdigest(k.encode(), 42) for k in keys]
         places = [(h % (1 << bits), (h >> 20) % (1 << bits)) for h in hashes]
         for k in range(len(keys)):
             at, held = places[k][0], k
@@ -55,133 +66,176 @@ def _cuckoo(keys: list[str]) -> tuple[list[int | None], int]:
             else:
                 break
         else:
-            return slots, bits
+            return [-1 if s is None else keys[s] << ID_BITS | entries[keys[s]] for s in slots], bits
         bits += 1
 
 
-def _strings(values: list[str]) -> Column:
-    """A literal array<string>, folded by the optimiser."""
-    return F.split(F.lit(_SEPARATOR.join(values)), _SEPARATOR, -1)
-
-
-def _longs(values: list[int]) -> Column:
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
-
-
-class LiteralMap:
-    """string -> int as expressions over literals. Keys must not hold the separator.
-
-    The literals stand once in a query: `table` is bound to a lambda variable, which get() takes.
-    """
+class PairRanks:
+    """(id, id) -> id of their concatenation, as expressions over one literal array; `table` is bound to a lambda variable, so that it stands once in a query."""
 
-    def __init__(self, entries: dict[str, int]):
-        keys = list(entries)
-        slots, self.bits = _cuckoo(keys)
-        self.table = F.struct(
-            _strings(["" if s is None else keys[s] for s in slots]).alias("keys"),
-            _longs([-1 if s is None else entries[keys[s]] for s in slots]).alias("values"),
-        )
-
-    def get(self, table: Column, key: Column) -> Column:
-        """The value, or null. The empty string is in no map."""
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    pairs[left << ID_BITS | right] = rank
+        slots, self.bits = _cuckoo(pairs)
+        self.table = F.split(F.lit(",".join(map(str, slots))), ",").cast("array<bigint>")
+
+    def get(self, table: Column, left: Column, right: Column) -> Column:
+        """The id, or null. -1 stands for the end of a word and is in no pair."""
         mask = F.lit((1 << self.bits) - 1).cast("long")
-        first, second = lambda h: h.bitwiseAND(mask).cast("int"), lambda h: F.shiftrightunsigned(h, 20).bitwiseAND(mask).cast("int")
-        found = lambda at: F.when(F.get(table["keys"], at) == key, F.get(table["values"], at))
-        return let(F.xxhash64(key), lambda h: F.coalesce(found(first(h)), found(second(h))))
+        value = lambda slot: slot.bitwiseAND(F.lit((1 << ID_BITS) - 1).cast("long")).cast("int")
 
+        def found(key: Column, at: Column) -> Column:
+            slot = F.get(table, at.bitwiseAND(mask).cast("int"))
+            return F.when(F.shiftright(slot, ID_BITS) == key, value(slot))
 
-class Codec:
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = LiteralMap({k.hex().upper(): v for k, v in ranks.items()})
-        size = max(ranks.values()) + 1
-        pieces = [""] * size
-        for k, v in ranks.items():
-            pieces[v] = k.hex()
-        self.pieces = _strings(pieces)
-        self.little = _strings([v.to_bytes(4, "little").hex() for v in range(size)])
+        key = F.shiftleft(left.cast("long"), ID_BITS) + right
+        return let(key, lambda k: let(F.xxhash64(k), lambda h: F.coalesce(found(k, h), found(k, F.shiftrightunsigned(h, 20)))))
 
     def fold(self, table: Column, word: Column) -> Column:
-        """array<int>: the ids of one word. table: the bound ranks."""
-        rank = lambda code: self.ranks.get(table, code)
-        pair_ranks = lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: rank(F.concat(a, b)))
-
-        def merged(p: Column, at: Column) -> Column:
-            return F.concat(F.slice(p, F.lit(1), at - 1), F.array(F.concat(F.get(p, at - 1), F.get(p, at))), F.slice(p, at + 2, F.size(p)))
-
-        def step(p: Column, _: Column) -> Column:
-            return F.when(F.size(p) < 2, p).otherwise(
-                let(pair_ranks(p), lambda r: let(F.array_min(r), lambda least: F.when(least.isNull(), p).otherwise(merged(p, F.array_position(r, least).cast("int")))))
-            )
-
-        def by_merges(code: Column) -> Column:
-            start = F.regexp_extract_all(code, F.lit(".."), F.lit(0))
-            n = F.length(code) / 2
-            return F.transform(F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)).cast("int")), start, step), rank)
-
-        return let(F.hex(F.encode(word, "UTF-8")), lambda code: let(rank(code), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(by_merges(code))))
-
-    def binary(self, ids: Column) -> Column:
-        return let(self.little, lambda little: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(little, i)), "")))
-
-    def decode(self, ids: Column) -> Column:
-        return let(self.pieces, lambda pieces: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")))
-
-
-class HotWords:
-    """Words folded once: word -> slice of a literal array of ids."""
+        """array<int>: the ids of a word, from the ids of its bytes. The state is the parts between two ends, and the rank of each pair of neighbours."""
+        rank = lambda a, b: self.get(table, a, b)
+        end = F.array(F.lit(-1))
+
+        def merged(s: Column, least: Column, at: Column) -> Column:
+            p, r, n = s["p"], s["r"], F.size(s["p"])
+            parts = F.concat(F.slice(p, F.lit(1), at - 1), F.array(least), F.slice(p, at + 2, n))
+            ranks = F.concat(F.slice(r, F.lit(1), at - 2), F.array(rank(F.get(p, at - 2), least), rank(least, F.get(p, at + 1))), F.slice(r, at + 2, n))
+            return F.struct(parts.alias("p"), ranks.alias("r"))
+
+        def step(s: Column, _: Column) -> Column:
+            return let(F.array_min(s["r"]), lambda m: F.when(m.isNull(), s).otherwise(let(F.array_position(s["r"], m).cast("int"), lambda at: merged(s, m, at))))
+
+        def by_merges(p: Column) -> Column:
+            n = F.size(p)
+            start = F.struct(p.alias("p"), F.zip_with(F.slice(p, F.lit(1), n - 1), F.slice(p, F.lit(2), n - 1), rank).alias("r"))
+            done = F.aggregate(F.sequence(F.lit(1), n - 3), start, step, lambda s: s["p"])
+            return let(done, lambda d: F.slice(d, F.lit(2), F.size(d) - 2))
+
+        return F.when(F.size(word) < 2, word).otherwise(let(F.concat(end, word, end), by_merges))
+
+
+@functools.lru_cache(maxsize=4)
+def cutter(pattern: str) -> re.Pattern:
+    r"""The pattern for `re`, with \p{L}, \p{N} and \s spelt out as ranges of code points, so that they mean what they mean to the library."""
+    import regex
+
+    every = "".join(map(chr, [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]))
+    ranges = lambda kind: "".join(f"\\U{ord(m[0][0]):08x}-\\U{ord(m[0][-1]):08x}" for m in regex.finditer(kind + "+", every))
+    kinds = {r"\p{L}": ranges(r"\p{L}"), r"\p{N}": ranges(r"\p{N}"), r"\s": ranges(r"\p{White_Space}")}
+    out, inside = "", False
+    for part in re.findall(r"\\[pP]\{\w+\}|\\.|.", pattern, re.DOTALL):
+        if part in kinds:
+            out += kinds[part] if inside else f"[{kinds[part]}]"
+        elif part == r"\S" and not inside:
+            out += f"[^{kinds[chr(92) + 's']}]"
+        elif re.match(r"\\[a-zA-Z]", part) and part not in (r"\n", r"\r", r"\t"):
+            raise ValueError(f"the pattern has {part}, which is not known here")
+        else:
+            inside = part == "[" or inside and part != "]"
+            out += part
+    return re.compile(out)
 
-    def __init__(self, words: dict[str, list[int]]):
-        starts, at, flat = {}, 1, []
-        for w, ids in words.items():
-            starts[w] = at << 8 | len(ids)  # fewer than 256 ids
-            flat += ids
-            at += len(ids)
-        self.at = LiteralMap(starts)
-        self.table = F.struct(self.at.table.alias("at"), _longs(flat or [0]).alias("flat"))
 
-    def get(self, table: Column, word: Column) -> Column:
-        return let(self.at.get(table["at"], word), lambda x: F.when(x.isNotNull(), F.slice(table["flat"], F.shiftright(x, 8), x.bitwiseAND(F.lit(255)))))
+class _Numbers(dict):
+    """word -> its number; new words wait in `fresh` as ids to fold: those of its bytes, the one of a word that is a token, or -1 - id if they are final."""
 
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        import tiktoken
 
-def _java(pattern: str) -> str:
-    """The pattern with the classes' Unicode meaning in Java."""
-    return "(?U)" + pattern
+        self.ranks, self.of_byte, self.fresh, self.n = ranks, [ranks[bytes([b])] for b in range(256)], [], 0
+        self.library = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
+    def __missing__(self, word: str) -> int:
+        code, whole = word.encode(), self.ranks.get(word.encode())
+        if whole is not None:
+            self.fresh.append([whole])
+        elif len(code) > LONG_WORD:
+            self.fresh.append([-1 - i for i in self.library._encode_single_piece(code)])
+        else:
+            of_byte = self.of_byte
+            self.fresh.append([of_byte[b] for b in code])
+        number, self.n = self.n, self.n + 1
+        if len(code) <= LONG_WORD:
+            self[word] = number
+        return number
 
-def hot_words(docs: DataFrame, codec: Codec, pattern: str, n_words: int, n_docs: int) -> HotWords:
-    """The most frequent words of at most n_docs documents, folded."""
-    ids = F.broadcast(docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs))
-    sample = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").where(~_long(F.col("text")))
-    words = sample.select(F.explode(F.regexp_extract_all("text", F.lit(_java(pattern)), F.lit(0))).alias("w")).where(~F.contains("w", F.lit(_SEPARATOR)))
-    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(n_words).select("w").repartition(12)
-    folded = {r["w"]: r["ids"] for r in top.select("w", let(codec.ranks.table, lambda t: codec.fold(t, F.col("w"))).alias("ids")).collect()}  # at most n_words rows
-    return HotWords({w: ids for w, ids in folded.items() if len(ids) < 256})
+    def restart(self) -> None:
+        self.clear()
+        self.n = 0
 
 
-def _long(text: Column) -> Column:
-    return F.coalesce(text.rlike(rf"(?U)\S{{{LONG_RUN}}}|\s{{{LONG_RUN}}}"), F.lit(False))
+def _lists(values: list[list[int]]) -> pa.Array:
+    offsets = np.zeros(len(values) + 1, dtype=np.int32)
+    np.cumsum([len(v) for v in values], out=offsets[1:])
+    flat = np.fromiter((i for v in values for i in v), dtype=np.int32, count=int(offsets[-1]))
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, n_hot: int = HOT_WORDS, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded (bytes) of every row."""
-    ranks = load_ranks(ranks_path)
-    codec = Codec(ranks)
-    hot = hot_words(docs, codec, pattern, n_hot, sample_docs)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    tables = F.struct(codec.ranks.table.alias("ranks"), hot.table.alias("hot"))
-    one = lambda t, w: F.coalesce(hot.get(t["hot"], w), codec.fold(t["ranks"], w))
-    ids = let(tables, lambda t: F.flatten(F.transform(F.regexp_extract_all("text", F.lit(_java(pattern)), F.lit(0)), lambda w: one(t, w))))
-    usual = rows.where(~_long(F.col("text"))).select("doc_id", ids.alias("i"))
-    usual = usual.select("doc_id", F.size("i").cast("long").alias("n_tokens"), codec.binary(F.col("i")).alias("ids"), codec.decode(F.col("i")).alias("decoded"))
-
-    def by_library(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        import tiktoken
+    pairs = PairRanks(load_ranks(ranks_path))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
-        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
+    def number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each chunk: are numbers given anew, the ids of documents, how many words each has, the words' numbers, the new words."""
+        cut, numbers = cutter(pattern).findall, _Numbers(load_ranks(ranks_path))
+        restarted = True
         for batch in batches:
-            for at in range(batch.num_rows):
-                x = encoding.encode_ordinary(batch.column(1)[at].as_py())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([len(x)], pa.int64()), pa.array([np.array(x, dtype="<u4").tobytes()], pa.binary()), pa.array([encoding.decode_bytes(x)], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            at, texts = 0, batch.column(1)
+            while at < batch.num_rows:
+                first, chars, codes = at, 0, []
+                while at < batch.num_rows and chars < CHUNK_CHARS:
+                    text = texts[at].as_py() or ""
+                    codes.append(np.fromiter(map(numbers.__getitem__, cut(text)), dtype="<i4"))
+                    chars, at = chars + len(text), at + 1
+                ids = batch.column(0).slice(first, at - first)
+                columns = [
+                    pa.array([restarted]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays([ids])),
+                    pa.array([np.array([len(c) for c in codes], dtype="<i8").tobytes()], pa.binary()), pa.array([np.concatenate(codes).tobytes()], pa.binary()), _lists(numbers.fresh),
+                ]
+                numbers.fresh, restarted = [], numbers.n > MEMO_WORDS
+                if restarted:
+                    numbers.restart()
+                yield pa.RecordBatch.from_arrays(columns, names=["restarted", "doc_ids", "counts", "codes", "words"])
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The documents of each chunk. The chunks of a task come in the order in which their words were numbered."""
+        pieces = {rank: piece for piece, rank in load_ranks(ranks_path).items()}
+        starts, lengths, flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+        def ids_of(codes: np.ndarray) -> Iterator[np.ndarray]:
+            for at in range(0, len(codes), SLICE_IDS):
+                part = codes[at : at + SLICE_IDS]
+                n = lengths[part]
+                ends = np.cumsum(n)
+                yield flat[np.repeat(starts[part] - ends + n, n) + np.arange(ends[-1])]
 
-    return usual.unionByName(rows.where(_long(F.col("text"))).mapInArrow(by_library, "doc_id long, n_tokens long, ids binary, decoded binary"))
+        for batch in batches:
+            for row in range(batch.num_rows):
+                restarted, doc_ids, counts, codes, folded = (batch.column(k)[row] for k in range(5))
+                if restarted.as_py():
+                    starts, lengths, flat = starts[:0], lengths[:0], flat[:0]
+                folded = folded.values
+                size = np.diff(folded.offsets.to_numpy()).astype(np.int64)
+                starts = np.concatenate([starts, len(flat) + np.cumsum(size) - size])
+                lengths, flat = np.concatenate([lengths, size]), np.concatenate([flat, folded.flatten().to_numpy().astype("<u4")])
+                codes, ends = np.frombuffer(codes.as_buffer(), "<i4"), np.cumsum(np.frombuffer(counts.as_buffer(), "<i8"))
+                n_tokens, ids, decoded = [], [], []
+                for begin, end in zip([0, *ends[:-1]], ends, strict=True):
+                    parts = list(ids_of(codes[begin:end]))
+                    n_tokens.append(sum(map(len, parts)))
+                    ids.append(b"".join([x.tobytes() for x in parts]))
+                    decoded.append(b"".join([b"".join(map(pieces.__getitem__, x.tolist())) for x in parts]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([doc_ids.values]), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"]
+                )
+
+    chunks = docs.select("doc_id", "text").mapInArrow(number_words, f"restarted boolean, doc_ids array<{id_type}>, counts binary, codes binary, words array<array<int>>")
+    word = lambda table, w: F.when(F.get(w, F.lit(0)) < 0, F.transform(w, lambda i: -1 - i)).otherwise(pairs.fold(table, w))
+    folded = chunks.withColumn("words", let(pairs.table, lambda table: F.transform("words", lambda w: word(table, w))))
+    return folded.mapInArrow(put_together, f"doc_id {id_type}, n_tokens bigint, ids binary, decoded binary")

@@ -90,10 +90,13 @@ def test_plan_uses_each_piece_once(counts):
         assert at <= 40
 
 
-def test_byte_bpe(spark, docs):
+@pytest.mark.parametrize(("memo", "chunk"), [(400_000, 1_000_000), (50, 700)])
+def test_byte_bpe(spark, docs, monkeypatch, memo, chunk):
+    monkeypatch.setattr(byte_bpe, "MEMO_WORDS", memo)
+    monkeypatch.setattr(byte_bpe, "CHUNK_CHARS", chunk)
     encoding = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(queries.BYTE_RANKS), special_tokens={})
-    got = byte_bpe.encode_decode(docs.where("doc_id < 120 or doc_id is null"), queries.BYTE_RANKS, P.PATTERN, n_hot=500, sample_docs=20).collect()
-    rows = docs.where("doc_id < 120 or doc_id is null").collect()
+    got = byte_bpe.encode_decode(docs, queries.BYTE_RANKS, P.PATTERN).collect()
+    rows = docs.collect()
     want = Counter((r["doc_id"], np.array(encoding.encode_ordinary(r["text"] or ""), dtype="<u4").tobytes(), (r["text"] or "").encode()) for r in rows)
     assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in got) == want
 
