@@ -2,8 +2,8 @@
 
 Python cuts the texts of a partition into words by the pattern and numbers the distinct ones; Spark folds each distinct word of a task once; Python puts the
 words' ids in the texts' order. The fold takes a word as an array of bytes and merges the neighbours of least rank, leftmost first, until no pair has a
-rank. Ranks come from a literal array: a cuckoo table of pairs of ids with two places for each pair, both given by xxhash64. Decoding concatenates the
-pieces of the ids.
+rank. Ranks come from literal arrays: a sparse matrix of pairs of ids, its rows shifted so that their entries don't meet. Decoding concatenates the pieces
+of the ids.
 
 All of it is one narrow stage: no row moves between tasks, nothing is sampled, collected or broadcast but the ranks. A task keeps MEMO_WORDS distinct words
 at most; then it starts anew, which costs folds and changes no result. Rows between the steps hold the documents of about CHUNK_CHARS characters.
@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +33,9 @@ MEMO_WORDS = 400_000
 CHUNK_CHARS = 1_000_000
 LONG_WORD = 1000
 SLICE_IDS = 500_000
-#: Bits of an id in a key.
 ID_BITS = 20
+#: Stands for no id and for no rank.
+NONE = (1 << ID_BITS) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -43,79 +43,84 @@ def load_ranks(path: str) -> dict[bytes, int]:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     if any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("the vocabulary lacks a byte")
-    if max(ranks.values()) >= (1 << ID_BITS) - 1:
+    if max(ranks.values()) >= NONE:
         raise ValueError(f"an id has more than {ID_BITS} bits")
     return ranks
 
 
-def _cuckoo(entries: dict[int, int]) -> tuple[list[int], int]:
-    """Slots (key << ID_BITS | value, or -1), a power of two of them. A key is in slot h mod slots or (h >> 20) mod slots, h being Spark's xxhash64."""
-    keys = list(entries)
-    hashes = [xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 42) for k in keys]
-    bits = max(4, (2 * len(keys)).bit_length())
-    while True:
-        slots: list[int | None] = [None] * (1 << bits)
-        places = [(h % (1 << bits), (h >> 20) % (1 << bits)) for h in hashes]
-        for k in range(len(keys)):
-            at, held = places[k][0], k
-            for _ in range(500):
-                held, slots[at] = slots[at], held
-                if held is None:
-                    break
-                at = places[held][0] + places[held][1] - at
-            else:
+def _pairs(ranks: dict[bytes, int]) -> dict[int, dict[int, int]]:
+    """left id -> right id -> id of their concatenation."""
+    pairs: dict[int, dict[int, int]] = {}
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                pairs.setdefault(left, {})[right] = rank
+    return pairs
+
+
+def _displaced(rows: dict[int, dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A sparse matrix as (shifts, owners, values): an entry (l, r) stands at shifts[l] + r, where owners has l. Long rows are placed first, each at the first place where it fits."""
+    size = 2 * sum(map(len, rows.values())) + (1 << ID_BITS) + 1
+    shifts, owners, values = np.zeros(max(rows, default=0) + 1, np.int64), np.full(size, -1), np.zeros(size, np.int64)
+    low, end = 0, 0
+    for left in sorted(rows, key=lambda x: (-len(rows[x]), x)):
+        columns = np.array(sorted(rows[left]))
+        at, window = low, 256
+        while True:
+            free = at + np.flatnonzero(owners[at : at + window] < 0)
+            for c in columns[1:]:
+                free = free[owners[free + (c - columns[0])] < 0]
+            if len(free):
                 break
-        else:
-            return [-1 if s is None else keys[s] << ID_BITS | entries[keys[s]] for s in slots], bits
-        bits += 1
+            at, window = at + window, 8192
+        shifts[left] = free[0] - columns[0]
+        owners[columns + shifts[left]], values[columns + shifts[left]] = left, [rows[left][c] for c in columns.tolist()]
+        end = max(end, int(columns[-1] + shifts[left]) + 1)
+        while owners[low] >= 0:
+            low += 1
+    return shifts, owners[:end], values[:end]
+
+
+def _ints(values: np.ndarray) -> Column:
+    """A literal array<int>, folded by the optimiser."""
+    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<int>")
 
 
 class PairRanks:
-    """(id, id) -> id of their concatenation, as expressions over one literal array; `table` is bound to a lambda variable, so that it stands once in a query."""
+    """The ranks of pairs as literal arrays, and the fold over them.
+
+    A word is an array of parts, after one element that ends it on the left. A part is rank << 2 * ID_BITS | place << ID_BITS | id: the rank of the pair
+    that it makes with the part after it (NONE if none), the place of its first byte, and its id. So the least part is the leftmost pair of least rank.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
-        pairs = {}
-        for token, rank in ranks.items():
-            for cut in range(1, len(token)):
-                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
-                if left is not None and right is not None:
-                    pairs[left << ID_BITS | right] = rank
-        slots, self.bits = _cuckoo(pairs)
-        self.table = F.split(F.lit(",".join(map(str, slots))), ",").cast("array<bigint>")
-
-    def get(self, table: Column, left: Column, right: Column) -> Column:
-        """The id, or null. -1 stands for the end of a word and is in no pair."""
-        mask = F.lit((1 << self.bits) - 1).cast("long")
-        value = lambda slot: slot.bitwiseAND(F.lit((1 << ID_BITS) - 1).cast("long")).cast("int")
-
-        def found(key: Column, at: Column) -> Column:
-            slot = F.get(table, at.bitwiseAND(mask).cast("int"))
-            return F.when(F.shiftright(slot, ID_BITS) == key, value(slot))
-
-        key = F.shiftleft(left.cast("long"), ID_BITS) + right
-        return let(key, lambda k: let(F.xxhash64(k), lambda h: F.coalesce(found(k, h), found(k, F.shiftrightunsigned(h, 20)))))
-
-    def fold(self, table: Column, word: Column) -> Column:
-        """array<int>: the ids of a word, from the ids of its bytes. The state is the parts between two ends, and the rank of each pair of neighbours."""
-        rank = lambda a, b: self.get(table, a, b)
-        end = F.array(F.lit(-1))
-
-        def merged(s: Column, least: Column, at: Column) -> Column:
-            p, r, n = s["p"], s["r"], F.size(s["p"])
-            parts = F.concat(F.slice(p, F.lit(1), at - 1), F.array(least), F.slice(p, at + 2, n))
-            ranks = F.concat(F.slice(r, F.lit(1), at - 2), F.array(rank(F.get(p, at - 2), least), rank(least, F.get(p, at + 1))), F.slice(r, at + 2, n))
-            return F.struct(parts.alias("p"), ranks.alias("r"))
-
-        def step(s: Column, _: Column) -> Column:
-            return let(F.array_min(s["r"]), lambda m: F.when(m.isNull(), s).otherwise(let(F.array_position(s["r"], m).cast("int"), lambda at: merged(s, m, at))))
-
-        def by_merges(p: Column) -> Column:
-            n = F.size(p)
-            start = F.struct(p.alias("p"), F.zip_with(F.slice(p, F.lit(1), n - 1), F.slice(p, F.lit(2), n - 1), rank).alias("r"))
-            done = F.aggregate(F.sequence(F.lit(1), n - 3), start, step, lambda s: s["p"])
-            return let(done, lambda d: F.slice(d, F.lit(2), F.size(d) - 2))
-
-        return F.when(F.size(word) < 2, word).otherwise(let(F.concat(end, word, end), by_merges))
+        self.tables = [_ints(x) for x in _displaced(_pairs(ranks))]
+
+    def fold_all(self, words: Column) -> Column:
+        """Each word with its merges made. The tables are bound to lambda variables, so that they stand once in a query."""
+        shifts, owners, values = self.tables
+        return let(shifts, lambda s: let(owners, lambda o: let(values, lambda v: F.transform(words, lambda w: self.fold(s, o, v, w)))))
+
+    @staticmethod
+    def fold(shifts: Column, owners: Column, values: Column, word: Column) -> Column:
+        long = lambda x: F.lit(x).cast("bigint")
+        id_of = lambda part: part.bitwiseAND(long(NONE)).cast("int")
+
+        def rank(left: Column, right: Column) -> Column:
+            at = F.get(shifts, left) + right
+            return F.shiftleft(F.when(F.get(owners, at) == left, F.get(values, at)).otherwise(F.lit(NONE)).cast("bigint"), 2 * ID_BITS)
+
+        def merged(p: Column, least: Column, at: Column) -> Column:
+            whole, before = F.shiftright(least, 2 * ID_BITS).cast("int"), F.get(p, at - 2)
+            neighbour = rank(id_of(before), whole) + before.bitwiseAND(long((1 << 2 * ID_BITS) - 1))
+            part = rank(whole, id_of(F.get(p, at + 1))) + least.bitwiseAND(long(NONE << ID_BITS)) + whole
+            return F.concat(F.slice(p, F.lit(1), at - 2), F.array(neighbour, part), F.slice(p, at + 2, F.size(p)))
+
+        def step(p: Column, _: Column) -> Column:
+            return let(F.array_min(p), lambda m: F.when(m >= long(NONE << 2 * ID_BITS), p).otherwise(let(F.array_position(p, m).cast("int"), lambda at: merged(p, m, at))))
+
+        return F.when(F.array_min(word) >= long(NONE << 2 * ID_BITS), word).otherwise(F.aggregate(F.sequence(F.lit(1), F.size(word) - 2), word, step))
 
 
 @functools.lru_cache(maxsize=4)
@@ -141,39 +146,50 @@ def cutter(pattern: str) -> re.Pattern:
 
 
 class _Numbers(dict):
-    """word -> its number; new words wait in `fresh` as ids to fold: those of its bytes, the one of a word that is a token, or -1 - id if they are final."""
+    """word -> its number. New words wait to be folded: their bytes, or the ids of a word that is a token or too long to be folded."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         import tiktoken
 
-        self.ranks, self.of_byte, self.fresh, self.n = ranks, [ranks[bytes([b])] for b in range(256)], [], 0
+        self.ranks, self.n, self.fresh, self.final = ranks, 0, [], []
         self.library = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.of_pair = np.array([ranks.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)], np.int64)
 
     def __missing__(self, word: str) -> int:
-        code, whole = word.encode(), self.ranks.get(word.encode())
-        if whole is not None:
-            self.fresh.append([whole])
-        elif len(code) > LONG_WORD:
-            self.fresh.append([-1 - i for i in self.library._encode_single_piece(code)])
+        code, number = word.encode(), self.n
+        if code in self.ranks or len(code) > LONG_WORD:
+            ids = [self.ranks[code]] if code in self.ranks else self.library._encode_single_piece(code)
+            self.final.append((len(self.fresh), ids))
+            self.fresh.append(bytes(len(ids)))
         else:
-            of_byte = self.of_byte
-            self.fresh.append([of_byte[b] for b in code])
-        number, self.n = self.n, self.n + 1
+            self.fresh.append(code)
+        self.n = number + 1
         if len(code) <= LONG_WORD:
             self[word] = number
         return number
 
-    def restart(self) -> None:
-        self.clear()
-        self.n = 0
-
-
-def _lists(values: list[list[int]]) -> pa.Array:
-    offsets = np.zeros(len(values) + 1, dtype=np.int32)
-    np.cumsum([len(v) for v in values], out=offsets[1:])
-    flat = np.fromiter((i for v in values for i in v), dtype=np.int32, count=int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+    def parts(self) -> pa.Array:
+        """One list of the waiting words, each an array of parts."""
+        n = np.array([len(x) for x in self.fresh], np.int64)
+        starts, raw = np.cumsum(n) - n, np.frombuffer(b"".join(self.fresh), np.uint8).astype(np.int64)
+        place, ranks = np.arange(len(raw)) - np.repeat(starts, n), np.full(len(raw), NONE)
+        ranks[:-1] = self.of_pair[raw[:-1] << 8 | raw[1:]]
+        ranks[starts + n - 1] = NONE
+        flat = np.full(len(raw) + len(n), NONE << 2 * ID_BITS | NONE)
+        flat[np.arange(len(raw)) + np.repeat(np.arange(len(n)) + 1, n)] = ranks << 2 * ID_BITS | place << ID_BITS | self.of_byte[raw]
+        for k, ids in self.final:
+            at = starts[k] + k + 1
+            flat[at : at + len(ids)] = NONE << 2 * ID_BITS | np.array(ids)
+        offsets = np.append(starts + np.arange(len(n)), len(flat)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+
+    def taken(self, restart: bool) -> None:
+        self.fresh, self.final = [], []
+        if restart:
+            self.clear()
+            self.n = 0
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -196,11 +212,10 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 ids = batch.column(0).slice(first, at - first)
                 columns = [
                     pa.array([restarted]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays([ids])),
-                    pa.array([np.array([len(c) for c in codes], dtype="<i8").tobytes()], pa.binary()), pa.array([np.concatenate(codes).tobytes()], pa.binary()), _lists(numbers.fresh),
+                    pa.array([np.array([len(c) for c in codes], dtype="<i8").tobytes()], pa.binary()), pa.array([np.concatenate(codes).tobytes()], pa.binary()), numbers.parts(),
                 ]
-                numbers.fresh, restarted = [], numbers.n > MEMO_WORDS
-                if restarted:
-                    numbers.restart()
+                restarted = numbers.n > MEMO_WORDS
+                numbers.taken(restarted)
                 yield pa.RecordBatch.from_arrays(columns, names=["restarted", "doc_ids", "counts", "codes", "words"])
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,9 +236,10 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 if restarted.as_py():
                     starts, lengths, flat = starts[:0], lengths[:0], flat[:0]
                 folded = folded.values
-                size = np.diff(folded.offsets.to_numpy()).astype(np.int64)
+                size = np.diff(folded.offsets.to_numpy()).astype(np.int64) - 1
+                parts = folded.flatten().to_numpy() & NONE
                 starts = np.concatenate([starts, len(flat) + np.cumsum(size) - size])
-                lengths, flat = np.concatenate([lengths, size]), np.concatenate([flat, folded.flatten().to_numpy().astype("<u4")])
+                lengths, flat = np.concatenate([lengths, size]), np.concatenate([flat, parts[parts != NONE].astype("<u4")])
                 codes, ends = np.frombuffer(codes.as_buffer(), "<i4"), np.cumsum(np.frombuffer(counts.as_buffer(), "<i8"))
                 n_tokens, ids, decoded = [], [], []
                 for begin, end in zip([0, *ends[:-1]], ends, strict=True):
@@ -235,7 +251,6 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                     [pa.concat_arrays([doc_ids.values]), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"]
                 )
 
-    chunks = docs.select("doc_id", "text").mapInArrow(number_words, f"restarted boolean, doc_ids array<{id_type}>, counts binary, codes binary, words array<array<int>>")
-    word = lambda table, w: F.when(F.get(w, F.lit(0)) < 0, F.transform(w, lambda i: -1 - i)).otherwise(pairs.fold(table, w))
-    folded = chunks.withColumn("words", let(pairs.table, lambda table: F.transform("words", lambda w: word(table, w))))
+    chunks = docs.select("doc_id", "text").mapInArrow(number_words, f"restarted boolean, doc_ids array<{id_type}>, counts binary, codes binary, words array<array<bigint>>")
+    folded = chunks.withColumn("words", pairs.fold_all(F.col("words")))
     return folded.mapInArrow(put_together, f"doc_id {id_type}, n_tokens bigint, ids binary, decoded binary")
