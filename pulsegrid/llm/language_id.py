@@ -5,9 +5,15 @@ trigrams of a text aren't independent), the declared markup language (through th
 address suffix and the host. The last two are priors computed by grouped aggregation of first guesses, smoothed hierarchically: the corpus prior
 smooths each suffix, and the suffix prior each host.
 
+Beside the languages stands an unknown class: letters drawn one by one, as often as the fit texts have them, or any trigram alike. Every language's
+table gives the same share UNSEEN to trigrams it hasn't met, whatever its sample. So text that no fitted language explains better than loose letters (other
+languages, gibberish) goes to the unknown class and is rejected; lang_posterior is the best language's share among all languages and the unknown class.
+
 The trigram tables are fitted on the declared languages of at most FIT_DOCS documents, the lowest by hash of doc_id; all other counts cover every
 row. Texts never move: rows stay where they are read, and the host table is broadcast up to BROADCAST_HOSTS hosts (else it is joined by shuffle).
 
+Only trigrams with two letters or more count: digits and punctuation speak for no language.
+
 Defined results: null text and text without letters have no text evidence and are rejected (lang still names the best guess from the other evidence); a null or unknown declaration is no evidence; null
 hosts share one prior. A corpus without declarations gives lang null and rejects nothing. Input columns are passed on, except lang_id, lang_posterior
 and lang_kept, which are replaced. Repeated rows are judged alike. An empty table gives an empty result.
@@ -24,7 +30,11 @@ from pyspark.sql import functions as F
 
 FIT_DOCS = 4000
 MAX_LANGUAGES = 64
-BITS = 15
+BITS = 17
+#: Share of each language's table that is spread over all buckets, met or not: equal for every language.
+UNSEEN = 0.1
+#: Prior of the unknown class.
+UNKNOWN = 0.01
 #: A text counts as at most so many independent trigrams.
 EFFECTIVE = 80
 #: Pseudo-counts that a suffix takes from the corpus, and a host from its suffix.
@@ -33,14 +43,45 @@ MIN_POSTERIOR = 0.5
 BROADCAST_HOSTS = 100_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_LETTER = np.array([97 <= c <= 122 or c >= 128 for c in range(256)]).astype(np.int8)
 
 
-def trigrams(text: bytes) -> np.ndarray:
-    """Hash bucket of each byte trigram of a lower-cased text."""
-    b = np.frombuffer(text.translate(_LOWER), dtype=np.uint8).astype(np.uint32)
+def _hashed(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((a | b << np.uint32(8) | c << np.uint32(16)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+
+
+def _lettered(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a lower-cased text, and whether a trigram of two letters or more begins at each."""
+    b = np.frombuffer(text.translate(_LOWER), dtype=np.uint8)
     if len(b) < 3:
+        return b, np.zeros(0, dtype=bool)
+    letter = _LETTER[b]
+    return b, letter[:-2] + letter[1:-1] + letter[2:] >= 2
+
+
+def trigrams(text: bytes) -> np.ndarray:
+    """Hash bucket of each byte trigram with two letters or more of a lower-cased text."""
+    b, at = _lettered(text)
+    if not len(at):
         return np.zeros(0, dtype=np.uint32)
-    return ((b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+    b = b.astype(np.uint32)
+    return _hashed(b[:-2], b[1:-1], b[2:])[at]
+
+
+def _unknown(letters: np.ndarray) -> np.ndarray:
+    """p(bucket | unknown) from the counts of 256 bytes: half of independent bytes, half of any bucket alike."""
+    out = np.full(1 << BITS, 1.0)
+    met = np.flatnonzero(letters).astype(np.uint32)
+    if len(met):
+        share = letters[met] / letters.sum()
+        pairs = _LETTER[met][:, None] + _LETTER[met][None, :]
+        drawn = np.zeros(1 << BITS)
+        for first, p in zip(met, share, strict=True):
+            b, c = np.nonzero(_LETTER[first] + pairs >= 2)
+            drawn += np.bincount(_hashed(first, met[b], met[c]), weights=p * share[b] * share[c], minlength=1 << BITS)
+        if drawn.any():
+            out = out / (1 << BITS) + drawn / drawn.sum()
+    return out / out.sum()
 
 
 def _has_letters(text: Column) -> Column:
@@ -48,7 +89,7 @@ def _has_letters(text: Column) -> Column:
 
 
 def fit(docs: DataFrame, declared: Column, limit: int = FIT_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages, and log p(bucket | language) as (languages, buckets), from a bounded sample of declared documents."""
+    """Languages, and log p(bucket | language) as (languages + 1, buckets), the unknown class last, from a bounded sample of declared documents."""
     rows = docs.select("doc_id", declared.alias("lang"), "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     langs = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
     if not langs:
@@ -60,16 +101,28 @@ def fit(docs: DataFrame, declared: Column, limit: int = FIT_DOCS) -> tuple[list[
     def count(batches):
         for batch in batches:
             sums = np.zeros((len(langs), 1 << BITS), dtype=np.int64)
+            letters = np.zeros(256, dtype=np.int64)
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if lang in number:
-                    sums[number[lang]] += np.bincount(trigrams(text), minlength=1 << BITS)
+                    grams = trigrams(text)
+                    b, n = np.unique(grams, return_counts=True)
+                    sums[number[lang], b] += n
+                    b, at = _lettered(text)
+                    for shift in range(3 if len(at) else 0):
+                        letters += np.bincount(b[shift : len(at) + shift][at], minlength=256)
             k, b = np.nonzero(sums)
             yield pa.RecordBatch.from_pydict({"k": k.astype(np.int32), "b": b.astype(np.int32), "n": sums[k, b]})
+            b = np.flatnonzero(letters)
+            yield pa.RecordBatch.from_pydict({"k": np.full(len(b), -1, dtype=np.int32), "b": b.astype(np.int32), "n": letters[b]})
 
-    counts = np.full((len(langs), 1 << BITS), 0.5)
+    counts, letters = np.zeros((len(langs), 1 << BITS)), np.zeros(256)
     for r in sample.mapInArrow(count, "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).collect():  # languages x buckets at most
-        counts[r["k"], r["b"]] += r["n"]
-    return langs, np.log(counts / counts.sum(axis=1, keepdims=True))
+        if r["k"] < 0:
+            letters[r["b"]] = r["n"]
+        else:
+            counts[r["k"], r["b"]] = r["n"]
+    seen = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
+    return langs, np.log(np.vstack([(1 - UNSEEN) * seen + UNSEEN / (1 << BITS), _unknown(letters)]))
 
 
 def _likelihoods(table: np.ndarray):
@@ -97,7 +150,7 @@ def _likelihoods(table: np.ndarray):
 
 
 def _best(scores: Column) -> Column:
-    """Position (from 1) of the largest; the first of equal ones."""
+    """Position (from 1) of the largest; the first of equal ones, so a language before the unknown class."""
     return F.array_position(scores, F.array_max(scores)).cast("int")
 
 
@@ -114,9 +167,9 @@ def identify(docs: DataFrame, declared: Column | None = None, host: Column | Non
     suffix = F.lower(F.regexp_extract(host, r"\.([A-Za-z]{2,})(?::[0-9]+)?$", 1))
     evidence = docs.select(F.struct(*[F.col(c) for c in keep]).alias("__row"), declared.alias("__declared"), host.alias("__host"), suffix.alias("__suffix"), _has_letters(F.col("text")).alias("__letters"), _likelihoods(table)(F.col("text")).alias("__text"))
 
-    # how often declarations agree with texts, and first guesses by host: both in one pass over the corpus
+    # how often declarations agree with texts, and first guesses by host: both in one pass over the corpus, without what goes to the unknown class
     guess = _best(F.col("__text"))
-    counted = evidence.where("__letters").groupBy("__host", "__suffix", F.element_at(names, guess).alias("guess"), F.coalesce(F.col("__declared") == F.element_at(names, guess), F.lit(False)).alias("same")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains(names, F.col("__declared"))).alias("told"))
+    counted = evidence.where(F.col("__letters") & (guess <= n)).groupBy("__host", "__suffix", F.element_at(names, guess).alias("guess"), F.coalesce(F.col("__declared") == F.element_at(names, guess), F.lit(False)).alias("same")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains(names, F.col("__declared"))).alias("told"))
     counted = counted.persist()
     try:
         sums = {r["guess"]: (r["n"], r["told"], r["agree"]) for r in counted.groupBy("guess").agg(F.sum("n").alias("n"), F.sum("told").alias("told"), F.sum(F.when(F.col("same"), F.col("told")).otherwise(0)).alias("agree")).collect()}  # one row a language
@@ -140,10 +193,12 @@ def identify(docs: DataFrame, declared: Column | None = None, host: Column | Non
         hosts = F.broadcast(hosts)
     joined = evidence.join(hosts, F.col("__host") == F.col("__h"), "left")
     default = F.array(*[F.lit(math.log(p)) for p in corpus])
-    said = F.transform(names, lambda x: F.when(~F.array_contains(names, F.coalesce("__declared", F.lit(""))), F.lit(0.0)).when(x == F.col("__declared"), F.lit(math.log(1 - differ))).otherwise(F.lit(math.log(differ / max(1, n - 1)))))
-    logs = F.zip_with(F.zip_with("__text", said, lambda a, b: a + b), F.coalesce("__prior", default), lambda a, b: a + b)
-    fused = joined.select("__row", "__letters", logs.alias("__logs"))
+    declares = F.array_contains(names, F.coalesce("__declared", F.lit("")))
+    said = F.transform(names, lambda x: F.when(~declares, F.lit(0.0)).when(x == F.col("__declared"), F.lit(math.log(1 - differ))).otherwise(F.lit(math.log(differ / max(1, n - 1)))))
+    logs = F.zip_with(F.zip_with(F.slice("__text", 1, n), said, lambda a, b: a + b), F.coalesce("__prior", default), lambda a, b: a + b)
+    unknown = F.get("__text", F.lit(n)) + F.when(declares, F.lit(-math.log(n))).otherwise(F.lit(0.0)) + F.lit(math.log(UNKNOWN))
+    fused = joined.select("__row", "__letters", logs.alias("__logs"), unknown.alias("__unknown"))
     top = F.array_max("__logs")
-    posterior = 1 / F.aggregate(F.transform("__logs", lambda x: F.exp(x - F.array_max("__logs"))), F.lit(0.0), lambda a, x: a + x)
+    posterior = 1 / F.aggregate(F.transform("__logs", lambda x: F.exp(x - F.array_max("__logs"))), F.exp(F.col("__unknown") - top), lambda a, x: a + x)
     judged = fused.select("__row", F.element_at(names, F.array_position("__logs", top).cast("int")).alias("lang_id"), F.round(posterior, 6).alias("lang_posterior"), "__letters")
     return judged.select(*[F.col("__row").getField(c).alias(c) for c in keep], "lang_id", "lang_posterior", (F.col("__letters") & (F.col("lang_posterior") >= min_posterior)).alias("lang_kept"))

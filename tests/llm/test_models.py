@@ -152,6 +152,21 @@ def test_language(spark):
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
+def test_unknown_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(5)
+    foreign = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in (40, 200, 1500)] + [
+        "Съешь же ещё этих мягких французских булок, да выпей чаю. В начале было слово, и слово было у людей на берегу большой реки.",
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    ]
+    rows = spark.createDataFrame([(-1 - 2 * i - k, t, lang, "src0", len(t)) for i, t in enumerate(foreign) for k, lang in enumerate((None, "en"))], docs.schema)
+    got = {r["doc_id"]: r for r in language_id.identify(docs.unionByName(rows)).collect()}
+    assert not any(r["lang_kept"] for r in got.values() if r["doc_id"] < 0)
+    assert all(r["lang_kept"] and r["lang_id"] == r["lang"] for r in got.values() if r["doc_id"] >= 0)
+
+
 def test_blocks():
     page = "<div>a<b>b</b> c&nbsp;d &amp; e<p>x<p>y<!-- z --><script>if(a<b){}</script><ul><li>1<li>2</ul>q <i>r</i><br>s<textarea>no</textarea></div>tail <unclosed"
     assert [t for t, _, _ in html_extract.blocks(page)] == ["ab c d & e", "x", "y", "1", "2", "q r s", "tail <unclosed"]
