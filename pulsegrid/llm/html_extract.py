@@ -37,6 +37,13 @@ ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 HIDDEN_TEXT = frozenset("script style noscript template title textarea select option button svg math iframe object canvas head".split())
 RAW = frozenset("script style textarea title".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+#: Elements that a start tag ends at the top of the stack (besides p and inline ones), and in a table or select at any depth in it: their end tags may be left out.
+_SECTIONS = frozenset("td th tr thead tbody tfoot caption colgroup".split())
+ENDS = {
+    "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]), "optgroup": frozenset(["option", "optgroup"]),
+    "td": frozenset(["td", "th", "caption", "colgroup"]), "th": frozenset(["td", "th", "caption", "colgroup"]), "tr": frozenset(["td", "th", "tr", "caption", "colgroup"]), "thead": _SECTIONS, "tbody": _SECTIONS, "tfoot": _SECTIONS,
+}
+WITHIN = {"option": "select", "optgroup": "select", **dict.fromkeys(("td", "th", "tr", "thead", "tbody", "tfoot"), "table")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Names in tags, classes, ids and roles that mark what is not the article, and what is.
 BESIDE = frozenset(
@@ -78,6 +85,7 @@ def blocks(page: str) -> list[tuple[str, _Node, float]]:
     """(text, innermost block element, share of link text) of each block with text, in page order."""
     out: list[tuple[str, _Node, float]] = []
     stack: list[_Node] = [_Node("html", (), None)]
+    opened: dict[str, list[int]] = {}  # positions in the stack by tag, the root's left out
     text: list[str] = []
     linked = 0
 
@@ -94,6 +102,11 @@ def blocks(page: str) -> list[tuple[str, _Node, float]]:
             text.clear()
             linked = 0
 
+    def drop(k: int) -> None:
+        for node in stack[k:]:
+            opened[node.tag].pop()
+        del stack[k:]
+
     at, end = 0, len(page)
     while at < end:
         raw = False
@@ -115,22 +128,27 @@ def blocks(page: str) -> list[tuple[str, _Node, float]]:
             if closing or closing2:
                 if not inline:
                     close()
-                for k in range(len(stack) - 1, max(0, len(stack) - 200), -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
+                if opened.get(tag):
+                    drop(opened[tag][-1])
                 continue
             if tag == "br":
                 text.append(" ")
                 continue
             if not inline:
                 close()
-                if tag not in HIDDEN_TEXT and tag not in VOID:
-                    while len(stack) > 1 and (stack[-1].inline or stack[-1].tag == "p" or stack[-1].tag == tag == "li"):
-                        stack.pop()
+                ends = ENDS.get(tag, ())
+                if (ends or tag not in HIDDEN_TEXT) and tag not in VOID:
+                    while len(stack) > 1 and (stack[-1].inline or stack[-1].tag == "p" or stack[-1].tag in ends):
+                        drop(len(stack) - 1)
+                    if opened.get(WITHIN.get(tag, "")):
+                        outer = opened[WITHIN[tag]][-1]
+                        ended = [opened[x][-1] for x in ends if opened.get(x) and opened[x][-1] > outer]
+                        if ended:
+                            drop(min(ended))
             attributes = attributes or attributes2 or ""
             if tag in VOID or attributes.endswith("/"):
                 continue
+            opened.setdefault(tag, []).append(len(stack))
             stack.append(stack[-1].child(m.group(), tag, attributes))
             if tag in RAW:  # its content is no markup
                 found = re.compile(f"</{tag}", re.I).search(page, at)

@@ -173,6 +173,26 @@ def test_blocks():
     assert html_extract.blocks("") == [] and html_extract.blocks("<script>never closed") == []
 
 
+def test_end_tags_are_found_at_any_depth():
+    story = "</aside><article><p>story</article>tail"
+
+    def seen(side):
+        return [(t, node.beside, node.article) for t, node, _ in html_extract.blocks("<aside>" + side + story)][-2:]
+
+    want = [("story", 0, 1), ("tail", 0, 0)]
+    assert seen("<form><select>" + "<option>x" * 250 + "</select></form>") == want
+    assert seen("<form><select>" + "<optgroup><option>x" * 250 + "</select></form>") == want
+    assert seen("<table><tr>" + "<td><div>x" * 250) == want
+    assert seen("<table>" + "<tr><td>x" * 250) == want
+    assert seen("<dl>" + "<dt>x<dd>y" * 250) == want
+    assert seen("<div>" * 5000) == want
+    depth = [len(node.path) for _, node, _ in html_extract.blocks("<table>" + "<tr><td>x" * 9 + "<tbody><tr><td>y</table>z")]
+    assert set(depth[:9]) == {depth[0]} and depth[10] < depth[0]
+    nested = html_extract.blocks("<table><tr><td>a<table><tr><td>b<td>c</table>d<td>e</table>f")
+    assert [(t, node.tag) for t, node, _ in nested] == [("a", "td"), ("b", "td"), ("c", "td"), ("d", "td"), ("e", "td"), ("f", "html")]
+    assert nested[0][1] is nested[3][1]
+
+
 def test_extraction(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     odd = spark.createDataFrame([(-1, None, None), (-2, "u", "<nav>menu</nav><article><p>Some story text here.</p><div class='comments'><p>first!</p></div></article>")], pages.schema)
