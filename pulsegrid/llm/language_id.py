@@ -9,8 +9,10 @@ Beside the languages stands an unknown class: letters drawn one by one, as often
 table gives the same share UNSEEN to trigrams it hasn't met, whatever its sample. So text that no fitted language explains better than loose letters (other
 languages, gibberish) goes to the unknown class and is rejected; lang_posterior is the best language's share among all languages and the unknown class.
 
-The trigram tables are fitted on the declared languages of at most FIT_DOCS documents, the lowest by hash of doc_id; all other counts cover every
-row. Texts never move: rows stay where they are read, and the host table is broadcast up to BROADCAST_HOSTS hosts (else it is joined by shuffle).
+Every declared language is a candidate; tags with a script or region (en-US, pt_BR, zh-Hant) count as their language. A language's trigram table is
+fitted on all its documents, or beyond FIT_DOCS of them on about FIT_DOCS, taken by hash of doc_id; all other counts cover every row. A language with
+too little text to tell is rejected, not renamed. Tables take half a MB a language on each worker. Texts never move: rows stay where they are read, and
+the host table is broadcast up to BROADCAST_CELLS hosts x languages (else it is joined by shuffle).
 
 Only trigrams with two letters or more count: digits and punctuation speak for no language.
 
@@ -28,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Documents of each language that its trigram table is fitted on.
 FIT_DOCS = 4000
-MAX_LANGUAGES = 64
 BITS = 17
 #: Share of each language's table that is spread over all buckets, met or not: equal for every language.
 UNSEEN = 0.1
@@ -40,7 +42,7 @@ EFFECTIVE = 80
 #: Pseudo-counts that a suffix takes from the corpus, and a host from its suffix.
 SMOOTHING = 25.0
 MIN_POSTERIOR = 0.5
-BROADCAST_HOSTS = 100_000
+BROADCAST_CELLS = 400_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LETTER = np.array([97 <= c <= 122 or c >= 128 for c in range(256)]).astype(np.int8)
@@ -90,39 +92,42 @@ def _has_letters(text: Column) -> Column:
 
 def fit(docs: DataFrame, declared: Column, limit: int = FIT_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages, and log p(bucket | language) as (languages + 1, buckets), the unknown class last, from a bounded sample of declared documents."""
-    rows = docs.select("doc_id", declared.alias("lang"), "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    langs = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    rows = docs.select("doc_id", declared.alias("lang"), "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    langs = sorted(sizes)
     if not langs:
         return [], np.zeros((0, 1 << BITS))
     number = {x: k for k, x in enumerate(langs)}
-    ids = F.broadcast(rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
-    sample = rows.join(ids, "doc_id", "left_semi").select("lang", "text")
+    spark = docs.sparkSession
+    shares = F.broadcast(spark.createDataFrame([(x, min(1.0, limit / sizes[x])) for x in langs], "lang string, share double"))
+    drawn = F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sample = rows.join(shares, "lang").where(drawn < F.col("share")).select("lang", "text")
 
     def count(batches):
         for batch in batches:
-            sums = np.zeros((len(langs), 1 << BITS), dtype=np.int64)
-            letters = np.zeros(256, dtype=np.int64)
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                if lang in number:
-                    grams = trigrams(text)
-                    b, n = np.unique(grams, return_counts=True)
-                    sums[number[lang], b] += n
+            for start in range(0, batch.num_rows, 256):
+                some = batch.slice(start, 256)
+                keys, letters = [], np.zeros(256, dtype=np.int64)
+                for lang, text in zip(some.column(0).to_pylist(), some.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                    keys.append(trigrams(text).astype(np.int64) + (number[lang] << BITS))
                     b, at = _lettered(text)
                     for shift in range(3 if len(at) else 0):
                         letters += np.bincount(b[shift : len(at) + shift][at], minlength=256)
-            k, b = np.nonzero(sums)
-            yield pa.RecordBatch.from_pydict({"k": k.astype(np.int32), "b": b.astype(np.int32), "n": sums[k, b]})
-            b = np.flatnonzero(letters)
-            yield pa.RecordBatch.from_pydict({"k": np.full(len(b), -1, dtype=np.int32), "b": b.astype(np.int32), "n": letters[b]})
-
-    counts, letters = np.zeros((len(langs), 1 << BITS)), np.zeros(256)
-    for r in sample.mapInArrow(count, "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).collect():  # languages x buckets at most
-        if r["k"] < 0:
-            letters[r["b"]] = r["n"]
-        else:
-            counts[r["k"], r["b"]] = r["n"]
-    seen = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
-    return langs, np.log(np.vstack([(1 - UNSEEN) * seen + UNSEEN / (1 << BITS), _unknown(letters)]))
+                key, n = np.unique(np.concatenate(keys), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"k": (key >> BITS).astype(np.int32), "b": (key & ((1 << BITS) - 1)).astype(np.int32), "n": n.astype(np.int64)})
+                b = np.flatnonzero(letters)
+                yield pa.RecordBatch.from_pydict({"k": np.full(len(b), -1, dtype=np.int32), "b": b.astype(np.int32), "n": letters[b]})
+
+    found = sample.mapInArrow(count, "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).toArrow()  # the buckets met by each language
+    k, b, n = (found.column(x).to_numpy() for x in ("k", "b", "n"))
+    letters = np.zeros(256)
+    letters[b[k < 0]] = n[k < 0]
+    k, b, n = k[k >= 0], b[k >= 0], n[k >= 0]
+    totals = np.bincount(k, weights=n, minlength=len(langs))
+    table = np.full((len(langs) + 1, 1 << BITS), math.log(UNSEEN / (1 << BITS)), dtype=np.float32)
+    table[k, b] = np.log((1 - UNSEEN) * n / totals[k] + UNSEEN / (1 << BITS))
+    table[-1] = np.log(_unknown(letters))
+    return langs, table
 
 
 def _likelihoods(table: np.ndarray):
@@ -154,9 +159,15 @@ def _best(scores: Column) -> Column:
     return F.array_position(scores, F.array_max(scores)).cast("int")
 
 
+def _language(tag: Column) -> Column:
+    """A declaration in lower case, without script and region; null if blank."""
+    tag = F.lower(F.btrim(tag))
+    return F.nullif(F.regexp_replace(tag, r"^([a-z]{2,3})[-_](?:[a-z]{2}|[a-z]{4}|[0-9]{3})(?:[-_].*)?$", "$1"), F.lit(""))
+
+
 def identify(docs: DataFrame, declared: Column | None = None, host: Column | None = None, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
     """docs with lang_id, lang_posterior and lang_kept. By default lang is the declaration and source the host."""
-    declared = F.lower(declared if declared is not None else F.col("lang"))
+    declared = _language(declared if declared is not None else F.col("lang"))
     host = F.coalesce(host if host is not None else F.col("source"), F.lit(""))
     keep = [c for c in docs.columns if c not in ("lang_id", "lang_posterior", "lang_kept")]
     langs, table = fit(docs, declared)
@@ -165,36 +176,42 @@ def identify(docs: DataFrame, declared: Column | None = None, host: Column | Non
     n = len(langs)
     names = F.array(*[F.lit(x) for x in langs])
     suffix = F.lower(F.regexp_extract(host, r"\.([A-Za-z]{2,})(?::[0-9]+)?$", 1))
-    evidence = docs.select(F.struct(*[F.col(c) for c in keep]).alias("__row"), declared.alias("__declared"), host.alias("__host"), suffix.alias("__suffix"), _has_letters(F.col("text")).alias("__letters"), _likelihoods(table)(F.col("text")).alias("__text"))
+    evidence = docs.select(F.struct(*[F.col(c) for c in keep]).alias("__row"), F.array_position(names, F.coalesce(declared, F.lit(""))).alias("__said"), host.alias("__host"), suffix.alias("__suffix"), _has_letters(F.col("text")).alias("__letters"), _likelihoods(table)(F.col("text")).alias("__text"))
 
     # how often declarations agree with texts, and first guesses by host: both in one pass over the corpus, without what goes to the unknown class
     guess = _best(F.col("__text"))
-    counted = evidence.where(F.col("__letters") & (guess <= n)).groupBy("__host", "__suffix", F.element_at(names, guess).alias("guess"), F.coalesce(F.col("__declared") == F.element_at(names, guess), F.lit(False)).alias("same")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains(names, F.col("__declared"))).alias("told"))
+    counted = evidence.where(F.col("__letters") & (guess <= n)).groupBy("__host", "__suffix", guess.alias("guess"), (F.col("__said") == guess).alias("same")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__said") > 0).alias("told"))
     counted = counted.persist()
     try:
         sums = {r["guess"]: (r["n"], r["told"], r["agree"]) for r in counted.groupBy("guess").agg(F.sum("n").alias("n"), F.sum("told").alias("told"), F.sum(F.when(F.col("same"), F.col("told")).otherwise(0)).alias("agree")).collect()}  # one row a language
         told, agree = sum(v[1] for v in sums.values()), sum(v[2] for v in sums.values())
         differ = min(0.4, max(1e-3, (told - agree + 1) / (told + 2)))
         all_n = sum(v[0] for v in sums.values())
-        corpus = [(sums.get(x, (0,))[0] + 1) / (all_n + n) for x in langs]
-        by = lambda key: counted.groupBy(key).pivot("guess", langs).agg(F.sum("n"))
-        share = lambda x, prior: (F.coalesce(F.col(f"`{x}`"), F.lit(0)) + F.lit(SMOOTHING) * prior)
-        total = sum((F.coalesce(F.col(f"`{x}`"), F.lit(0)) for x in langs), F.lit(SMOOTHING))
-        suffixes = by("__suffix").select("__suffix", F.array(*[share(x, F.lit(p)) / total for x, p in zip(langs, corpus, strict=True)]).alias("__suffix_prior"))
-        hosts = counted.groupBy("__host", "__suffix").pivot("guess", langs).agg(F.sum("n")).join(suffixes, "__suffix")
-        hosts = hosts.select(F.col("__host").alias("__h"), F.array(*[F.log(share(x, F.get("__suffix_prior", F.lit(k))) / total) for k, x in enumerate(langs)]).alias("__prior"))
+        corpus = [(sums.get(k + 1, (0,))[0] + 1) / (all_n + n) for k in range(n)]
+        prior = F.array(*[F.lit(p) for p in corpus])
+
+        def guesses(*keys):
+            each = counted.groupBy(*keys, "guess").agg(F.sum("n").alias("n"))
+            return each.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("guess", "n"))).alias("__n"), F.sum("n").alias("__all"))  # an entry a language at most
+
+        def shares(smooth: Column) -> Column:
+            return F.transform(smooth, lambda p, k: (F.coalesce(F.try_element_at("__n", k + 1), F.lit(0)) + F.lit(SMOOTHING) * p) / (F.col("__all") + F.lit(SMOOTHING)))
+
+        suffixes = guesses("__suffix").select("__suffix", shares(prior).alias("__suffix_prior"))
+        hosts = guesses("__host", "__suffix").join(suffixes, "__suffix")
+        hosts = hosts.select(F.col("__host").alias("__h"), F.transform(shares(F.col("__suffix_prior")), lambda p: F.log(p)).alias("__prior"))
         n_hosts = counted.select("__host").distinct().count()
         from .common import materialise
 
         hosts = materialise(hosts, "hosts")
     finally:
         counted.unpersist()
-    if n_hosts <= BROADCAST_HOSTS:
+    if n_hosts * n <= BROADCAST_CELLS:
         hosts = F.broadcast(hosts)
     joined = evidence.join(hosts, F.col("__host") == F.col("__h"), "left")
     default = F.array(*[F.lit(math.log(p)) for p in corpus])
-    declares = F.array_contains(names, F.coalesce("__declared", F.lit("")))
-    said = F.transform(names, lambda x: F.when(~declares, F.lit(0.0)).when(x == F.col("__declared"), F.lit(math.log(1 - differ))).otherwise(F.lit(math.log(differ / max(1, n - 1)))))
+    declares = F.col("__said") > 0
+    said = F.transform(names, lambda x, k: F.when(~declares, F.lit(0.0)).when(k + 1 == F.col("__said"), F.lit(math.log(1 - differ))).otherwise(F.lit(math.log(differ / max(1, n - 1)))))
     logs = F.zip_with(F.zip_with(F.slice("__text", 1, n), said, lambda a, b: a + b), F.coalesce("__prior", default), lambda a, b: a + b)
     unknown = F.get("__text", F.lit(n)) + F.when(declares, F.lit(-math.log(n))).otherwise(F.lit(0.0)) + F.lit(math.log(UNKNOWN))
     fused = joined.select("__row", "__letters", logs.alias("__logs"), unknown.alias("__unknown"))

@@ -167,6 +167,22 @@ def test_unknown_languages_are_rejected(spark):
     assert all(r["lang_kept"] and r["lang_id"] == r["lang"] for r in got.values() if r["doc_id"] >= 0)
 
 
+def test_every_declared_language_is_a_candidate(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(70):
+        lang = "ab"[k // 35] + chr(97 + k % 26) + chr(97 + k // 26)
+        syllables = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(12)]
+        for i in range(120 if k == 0 else 5 if k < 68 else 4):
+            text = " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(80))
+            rows.append((len(rows), text, lang + ("", "-US", "_latn_gb")[i % 3] if k == 0 else lang, None, len(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = language_id.identify(docs).collect()
+    assert len(got) == len(rows) and all(r["lang_kept"] and r["lang_id"] == r["lang"][:3] for r in got)
+    langs, table = language_id.fit(docs.selectExpr("doc_id", "left(lang, 3) AS lang", "text"), language_id.F.col("lang"), limit=20)
+    assert len(langs) == 70 and all(len(np.unique(row)) > 2 for row in table)
+
+
 def test_blocks():
     page = "<div>a<b>b</b> c&nbsp;d &amp; e<p>x<p>y<!-- z --><script>if(a<b){}</script><ul><li>1<li>2</ul>q <i>r</i><br>s<textarea>no</textarea></div>tail <unclosed"
     assert [t for t, _, _ in html_extract.blocks(page)] == ["ab c d & e", "x", "y", "1", "2", "q r s", "tail <unclosed"]
