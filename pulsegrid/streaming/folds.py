@@ -15,6 +15,13 @@ def stream_fold(samples: DataFrame, seconds: int, delay: str) -> DataFrame:
     return windows.agg(F.count(F.lit(1)).alias("count"), F.min("value").alias("min"), F.max("value").alias("max"), F.sum("value").alias("sum")).select("lane", F.col("w.start").alias("start"), "count", "min", "max", "sum")
 
 
+def _in_order(batches: Iterator) -> Iterator:
+    """(ts, value) of all a key's rows of a trigger, in order of time: a key with more rows than an Arrow batch comes in several frames that overlap."""
+    import pandas as pd
+
+    return pd.concat([pdf[["ts", "value"]] for pdf in batches]).sort_values(["ts", "value"], kind="stable").itertuples(index=False)
+
+
 def stream_streaks(samples: DataFrame, threshold: float, streak: int) -> DataFrame:
     """Alerts by lane: fires when `streak` samples in a row reach the threshold, once until a lower one clears it. State: length of the run, whether it has fired."""
 
@@ -23,15 +30,14 @@ def stream_streaks(samples: DataFrame, threshold: float, streak: int) -> DataFra
 
         run, fired = state.get if state.exists else (0, False)
         out = []
-        for pdf in batches:
-            for ts, value in pdf.sort_values("ts")[["ts", "value"]].itertuples(index=False):
-                if value < threshold:
-                    run, fired = 0, False
-                else:
-                    run += 1
-                    if run >= streak and not fired:
-                        fired = True
-                        out.append((key[0], ts, value))
+        for ts, value in _in_order(batches):
+            if value < threshold:
+                run, fired = 0, False
+            else:
+                run += 1
+                if run >= streak and not fired:
+                    fired = True
+                    out.append((key[0], ts, value))
         state.update((run, fired))
         yield pd.DataFrame(out, columns=["lane", "ts", "value"])
 
@@ -46,10 +52,9 @@ def stream_hold(samples: DataFrame) -> DataFrame:
 
         last = state.get[0] if state.exists else None
         out = []
-        for pdf in batches:
-            for ts, value in pdf.sort_values("ts")[["ts", "value"]].itertuples(index=False):
-                out.append((key[0], ts, value, last))
-                last = value
+        for ts, value in _in_order(batches):
+            out.append((key[0], ts, value, last))
+            last = value
         state.update((last,))
         yield pd.DataFrame(out, columns=["lane", "ts", "value", "previous"]).astype({"previous": "float64"})
 

@@ -5,6 +5,7 @@ from pulsegrid.functions import scalars as S
 from pulsegrid.operators import series as T
 from pulsegrid.operators import windows as W
 from pulsegrid.plans.columns import plan
+from pulsegrid.streaming import folds
 
 NOW = 1_700_000_000
 
@@ -88,3 +89,16 @@ def test_top_line(spark):
     got = rows.select(*[c.alias(n) for n, c in parts.items()]).collect()
     assert got[0]["bytes"] == 611e6 and got[2]["bytes"] == 11 * 1024e6 and got[4]["name"] == "Some App 2023"
     assert abs(got[1]["bytes"] - 1819 / 1024 * 1000 * 1e6) < 1
+
+
+def test_streams_order_a_large_lane(spark, tmp_path):
+    n = 25_000
+    value = F.when(F.col("id") % 7 < 3, 60.0 + F.col("id")).otherwise(-F.col("id").cast("double"))
+    rows = spark.range(n).select(F.lit("hot").alias("lane"), F.timestamp_seconds("id").alias("ts"), value.alias("value"), F.col("id").alias("at"))
+    rows.orderBy(F.xxhash64("id")).select("lane", "ts", "value").repartition(6).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("lane string, ts timestamp, value double").parquet(f"{tmp_path}/in")
+    values = [60.0 + i if i % 7 < 3 else -float(i) for i in range(n)]
+    held = sorted(folds.drain(folds.stream_hold(stream), "hold", str(tmp_path)).collect(), key=lambda r: r["ts"])
+    assert [r["value"] for r in held] == values and [r["previous"] for r in held] == [None, *values[:-1]]
+    alerts = folds.drain(folds.stream_streaks(stream, 50.0, 2), "alerts", str(tmp_path)).collect()
+    assert sorted(r["value"] for r in alerts) == [values[i] for i in range(n) if i % 7 == 1]
