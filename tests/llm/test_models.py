@@ -90,15 +90,38 @@ def test_plan_uses_each_piece_once(counts):
         assert at <= 40
 
 
-@pytest.mark.parametrize(("memo", "chunk"), [(400_000, 1_000_000), (50, 700)])
-def test_byte_bpe(spark, docs, monkeypatch, memo, chunk):
+@pytest.mark.parametrize(("memo", "chunk", "short", "head"), [(400_000, 1_000_000, 64, 250_000), (50, 700, 0, 40), (400_000, 20_000, 3, 0)])
+def test_byte_bpe(spark, docs, monkeypatch, memo, chunk, short, head):
     monkeypatch.setattr(byte_bpe, "MEMO_WORDS", memo)
     monkeypatch.setattr(byte_bpe, "CHUNK_CHARS", chunk)
+    monkeypatch.setattr(byte_bpe, "SHORT_WORD", short)
     encoding = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(queries.BYTE_RANKS), special_tokens={})
-    got = byte_bpe.encode_decode(docs, queries.BYTE_RANKS, P.PATTERN).collect()
+    got = byte_bpe.encode_decode(docs, queries.BYTE_RANKS, P.PATTERN, head_words=head).collect()
     rows = docs.collect()
     want = Counter((r["doc_id"], np.array(encoding.encode_ordinary(r["text"] or ""), dtype="<u4").tobytes(), (r["text"] or "").encode()) for r in rows)
     assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in got) == want
+    assert byte_bpe.encode_decode(docs.limit(0), queries.BYTE_RANKS, P.PATTERN).count() == 0
+
+
+def test_long_words(spark):
+    rng = random.Random(3)
+    words = ["a" * 5000, "ab" * 3000 + "c", "acgt" * 500 + "".join(rng.choices("acgt", k=4000)), "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3000)), "日本語東京都" * 300, "!" * 777 + "=-" * 400, "aaab" * 999, "thethat" * 400]
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string").repartition(4)
+    encoding = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(queries.BYTE_RANKS), special_tokens={})
+    got = {r["doc_id"]: r for r in byte_bpe.encode_decode(docs, queries.BYTE_RANKS, P.PATTERN).collect()}
+    for i, w in enumerate(words):
+        assert np.frombuffer(got[i]["ids"], "<u4").tolist() == encoding.encode_ordinary(w) and bytes(got[i]["decoded"]) == w.encode()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aAbé É''sStTrRevVmMlLdD0 1½\t\n\r\x0b\x85\xa0.,!¿ßẞ́’İςΣ日<|>😀  "), max_size=40), max_size=5))
+def test_cutting_equals_the_pattern(texts):
+    import pyarrow as pa
+    import regex
+
+    words, counts = byte_bpe._words(pa.array(texts, pa.string()), P.PATTERN)
+    want = [regex.findall(P.PATTERN, t) for t in texts]
+    assert [w.decode() for w in words.to_pylist()] == [w for x in want for w in x] and counts.tolist() == [len(x) for x in want]
 
 
 def components(texts, size, percent):
