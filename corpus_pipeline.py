@@ -1,4 +1,9 @@
-"""The corpus pipeline: language ID, exact duplicates, near duplicates, secret scans, packing. Each stage reads what the one before has written."""
+"""The corpus pipeline: language ID, exact duplicates, near duplicates, secret scans, packing. Each stage reads what the one before has written.
+
+Defined results: stages decide by row, so repeated and null doc_ids never make a row lost or kept in another's place. Null and empty texts have no language:
+the first stage rejects them. Of rows with equal texts one stays, that of the largest doc_id (null first); of near duplicates one, that of the smallest (null
+last). Extra columns are passed on to the last stage whatever their names, which gives only its own columns. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -7,23 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import exact_dedup, language_id, near_dedup, packing, secrets
-from pulsegrid.llm.common import materialise
+from pulsegrid.llm.common import materialise, scratch
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; the others go."""
-    return language_id.identify(docs).where("lang_kept").select(*docs.columns)
+    judged = language_id.identify(docs.select(F.struct("*").alias("__doc"), "doc_id", "text", "lang", "source"), keep=["__doc"])
+    return judged.where("lang_kept").select("__doc.*")
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest doc_id."""
-    return exact_dedup.exact_dedup(docs).where("kept").select(*docs.columns)
+    return exact_dedup.survivors(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates (five words a shingle, similarity 0.8 or more), the document with the smallest doc_id."""
-    dropped = near_dedup.near_dedup(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return near_dedup.survivors(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, name)
-    return docs
+    return run_over(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+
+
+def run_over(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The stages over docs; a stage's scratch tables go when its result is written."""
+    for name, stage in STAGES[:-1]:
+        with scratch(spark):
+            docs = materialise(stage(spark, docs, sf_dir), name, outer=True)
+    return STAGES[-1][1](spark, docs, sf_dir)

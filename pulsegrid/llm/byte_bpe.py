@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import let
 
 HEAD_DOCS = 16_000
-HEAD_WORDS = 250_000
+HEAD_WORDS = 150_000
 MEMO_WORDS = 300_000
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 SHORT_WORD = 64
 ID_BITS = 20
 #: Stands for no id and for no rank.

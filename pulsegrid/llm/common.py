@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +17,20 @@ WS_CHARS = " \t\n\x0b\f\r"
 WS_CLASS = r"[\x20\x09-\x0D]"
 
 _local_folders: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests, one machine), a temporary one for this application."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a temporary one for this application on a local master, and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_folders:
         _local_folders[app] = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
+        atexit.register(shutil.rmtree, _local_folders[app][7:], True)
     return _local_folders[app]
 
 
@@ -31,13 +38,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/pulsegrid-{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, runs upstream work once."""
+def materialise(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, runs upstream work once.
+
+    The table goes at the end of the scratch() that it is made in (outer: of the one around that), or stays where there is none.
+    """
     path = new_path(df.sparkSession, name)
+    if len(_scopes) > outer:
+        _scopes[-1 - outer].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialise() makes inside are deleted at the end."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate value once and use it many times in body."""
     return F.element_at(F.transform(F.array(value), body), 1)

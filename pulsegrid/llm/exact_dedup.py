@@ -4,8 +4,9 @@ Pass 1 maps each text's SHA-256 to PROBES cells of a bit filter and counts rows
 than once. Pass 2 probes every row: a row with an unset cell is the only one with its text and passes straight through; the others (all true
 repeats and a few false ones) are shuffled and grouped by the full SHA-256, which decides.
 
-The filter has about BITS_PER_ROW bits a row. Up to BROADCAST_BITS it is broadcast (so at most BROADCAST_BITS / 8 bytes); beyond that the
-filter is joined as a table on its block number, and only 41-byte keys move.
+The filter has about BITS_PER_ROW bits a row. Cells are counted with a partial aggregate on each task, so pass 1 moves one row for each cell that a task
+hit. Up to BROADCAST_BITS the filter is broadcast (so at most BROADCAST_BITS / 8 bytes); beyond that it is joined as a table on its block number,
+and the rows move: for survivors() and for input without texts that is digests and ids; exact_dedup moves whatever other columns it passes on.
 
 Defined results: null counts as the empty text, and empty texts are equal to each other; of equal texts the largest doc_id stays (null ids
 only if all are null), and rows that repeat that doc_id too are each marked kept. Extra columns are passed on; columns named like the result's
@@ -17,12 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, scratch
 
 PROBES = 2
 BITS_PER_ROW = 16
 MIN_BITS = 1 << 18
 BROADCAST_BITS = 1 << 28
+#: Row numbers that survivors() broadcasts at most (8 bytes each).
+BROADCAST_ROWS = 500_000
 #: Bits in one block of Spark's bitmap functions: 4096 bytes.
 BLOCK = 32768
 RESULT = ["keep_id", "group_size", "kept", "text_sha256"]
@@ -47,29 +50,57 @@ def _is_set(bitmap: Column, cell: Column) -> Column:
     return F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))).cast("int"), F.lit(2)) == 1, F.lit(False))
 
 
-def exact_dedup(docs: DataFrame, bits: int | None = None, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
-    """docs with keep_id, group_size, kept and text_sha256."""
-    keep = [c for c in docs.columns if c not in RESULT]
-    rows = docs.select(*keep, F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+def _filter(rows: DataFrame, bits: int | None, broadcast_bits: int) -> tuple[DataFrame, int]:
+    """The filter of rows' text_sha256, to be broadcast if it is small enough, and its bits."""
     if bits is None:
         bits = MIN_BITS
-        wanted = BITS_PER_ROW * docs.count()  # from Parquet footers: no column is read
+        wanted = BITS_PER_ROW * rows.count()  # from Parquet footers: no column is read
         while bits < wanted:
             bits *= 2
     found = repeat_filter(rows.select(F.col("text_sha256").alias("sha")), bits)
-    if bits <= broadcast_bits:
-        found = F.broadcast(found)
-    probed = rows
-    for k, cell in enumerate(_cells(F.col("text_sha256"), bits)):
+    return F.broadcast(found) if bits <= broadcast_bits else found, bits
+
+
+def _probed(rows: DataFrame, found: DataFrame, bits: int) -> DataFrame:
+    """rows with __seen: may another row have this text?"""
+    columns, cells = rows.columns, _cells(F.col("text_sha256"), bits)
+    for k, cell in enumerate(cells):
         part = found.select(F.col("block").alias(f"__block{k}"), F.col("bitmap").alias(f"__bitmap{k}"))
-        probed = probed.join(part, F.floor(cell / BLOCK).cast("int") == F.col(f"__block{k}"), "left")
+        rows = rows.join(part, F.floor(cell / BLOCK).cast("int") == F.col(f"__block{k}"), "left")
     seen = F.lit(True)
-    for k, cell in enumerate(_cells(F.col("text_sha256"), bits)):
+    for k, cell in enumerate(cells):
         seen = seen & _is_set(F.col(f"__bitmap{k}"), cell)
-    probed = probed.select(*keep, "text_sha256", seen.alias("__seen"))
+    return rows.select(*columns, seen.alias("__seen"))
+
+
+def exact_dedup(docs: DataFrame, bits: int | None = None, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
+    """docs with keep_id, group_size, kept and text_sha256."""
+    keep = [c for c in docs.columns if c not in RESULT]
+    rows = docs.select(*keep, F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    found, bits = _filter(rows, bits, broadcast_bits)
+    probed = _probed(rows, found, bits)
     alone = probed.where(~F.col("__seen")).select(*keep, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = probed.where("__seen")
     groups = materialise(maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     # both sides of this join come straight from an exchange, so that AQE can split a hot text over many tasks
     settled = maybe.join(groups, "text_sha256").select(*keep, "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return alone.unionByName(settled)
+
+
+def survivors(docs: DataFrame, bits: int | None = None, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
+    """The rows of docs that stay: of equal texts one row, that of the largest doc_id (null first), also where ids are repeated or null.
+
+    Rows get a number when they are written with their digest; the filter is probed, and repeats are grouped, by digest and number alone. Texts move once at
+    most, and only to be told that they go: to the numbers of the rows that do, which are broadcast up to BROADCAST_ROWS.
+    """
+    columns = [F.col(c) for c in docs.columns]
+    rows = materialise(docs.select(F.struct(*columns).alias("__row"), "doc_id", F.monotonically_increasing_id().alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")), "numbered")
+    keys = rows.select("text_sha256", "doc_id", "row")
+    with scratch(docs.sparkSession):
+        found, bits = _filter(keys, bits, broadcast_bits)
+        maybe = _probed(keys, found, bits).where("__seen").drop("__seen")
+        stays = materialise(maybe.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row"))["row"].alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "stays")
+        gone = materialise(maybe.join(stays, "text_sha256").where("row != stays").select("row"), "gone", outer=True)
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, "row", "left_anti").select("__row.*")

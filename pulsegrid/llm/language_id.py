@@ -11,8 +11,11 @@ languages, gibberish) goes to the unknown class and is rejected; lang_posterior
 
 Every declared language is a candidate; tags with a script or region (en-US, pt_BR, zh-Hant) count as their language. A language's trigram table is
 fitted on all its documents, or beyond FIT_DOCS of them on about FIT_DOCS, taken by hash of doc_id; all other counts cover every row. A language with
-too little text to tell is rejected, not renamed. Tables take half a MB a language on each worker. Texts never move: rows stay where they are read, and
-the host table is broadcast up to BROADCAST_CELLS hosts x languages (else it is joined by shuffle).
+too little text to tell is rejected, not renamed. Tables take half a MB a language on each worker.
+
+Each text is scored once: the columns to pass on are written with their scores, and counts and verdicts are made from that table. The priors of hosts are
+broadcast up to BROADCAST_CELLS hosts x languages; with more hosts, those with most rows are broadcast and only the rows of the others move, once, to
+their hosts. So no host's rows come together, however many it has.
 
 Only trigrams with two letters or more count: digits and punctuation speak for no language.
 
@@ -24,11 +27,15 @@ and lang_kept, which are replaced. Repeated rows are judged alike. An empty tabl
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+from .common import materialise, scratch
 
 #: Documents of each language that its trigram table is fitted on.
 FIT_DOCS = 4000
@@ -130,28 +137,29 @@ def fit(docs: DataFrame, declared: Column, limit: int = FIT_DOCS) -> tuple[list[
     return langs, table
 
 
-def _likelihoods(table: np.ndarray):
-    """A column function: array of tempered log likelihoods of a text, less the largest."""
+def _scored(rows: DataFrame, table: np.ndarray) -> DataFrame:
+    """rows, with the array of its tempered log likelihoods, less the largest, in place of each text (column __text)."""
     flat = np.ascontiguousarray(table.T.astype(np.float32))
+    width = flat.shape[1]
+    fields = [f for f in rows.schema if f.name != "__text"]
+    schema = StructType([*fields, StructField("__text", ArrayType(DoubleType()))])
 
-    @F.pandas_udf("array<double>")
-    def score(texts):
-        import pandas as pd
-
-        out = []
-        for t in texts:
-            grams = trigrams((t or "").encode())
-            if len(grams):
-                total = np.zeros(flat.shape[1])
-                for at in range(0, len(grams), 1 << 16):
-                    total += flat[grams[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
-                total *= min(1.0, EFFECTIVE / len(grams))
-                out.append((total - total.max()).round(6))
-            else:
-                out.append(np.zeros(flat.shape[1]))
-        return pd.Series(out)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                some = batch.slice(start, 256)
+                out = np.zeros((some.num_rows, width))
+                for i, text in enumerate(some.column(some.num_columns - 1).cast(pa.binary())):
+                    grams = trigrams(text.as_py() or b"")
+                    if len(grams):
+                        for at in range(0, len(grams), 1 << 16):
+                            out[i] += flat[grams[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
+                        out[i] *= min(1.0, EFFECTIVE / len(grams))
+                        out[i] = (out[i] - out[i].max()).round(6)
+                scores = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, width, dtype=np.int32)), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], scores], names=[*[f.name for f in fields], "__text"])
 
-    return score
+    return rows.select(*[f.name for f in fields], "__text").mapInArrow(score, schema)
 
 
 def _best(scores: Column) -> Column:
@@ -165,25 +173,29 @@ def _language(tag: Column) -> Column:
     return F.nullif(F.regexp_replace(tag, r"^([a-z]{2,3})[-_](?:[a-z]{2}|[a-z]{4}|[0-9]{3})(?:[-_].*)?$", "$1"), F.lit(""))
 
 
-def identify(docs: DataFrame, declared: Column | None = None, host: Column | None = None, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
-    """docs with lang_id, lang_posterior and lang_kept. By default lang is the declaration and source the host."""
+def identify(docs: DataFrame, declared: Column | None = None, host: Column | None = None, min_posterior: float = MIN_POSTERIOR, keep: list[str] | None = None) -> DataFrame:
+    """docs with lang_id, lang_posterior and lang_kept. By default lang is the declaration, source the host, and all columns are kept."""
     declared = _language(declared if declared is not None else F.col("lang"))
     host = F.coalesce(host if host is not None else F.col("source"), F.lit(""))
-    keep = [c for c in docs.columns if c not in ("lang_id", "lang_posterior", "lang_kept")]
+    keep = [c for c in keep or docs.columns if c not in ("lang_id", "lang_posterior", "lang_kept")]
+    spark = docs.sparkSession
     langs, table = fit(docs, declared)
     if not langs:
         return docs.select(*keep, F.lit(None).cast("string").alias("lang_id"), F.lit(None).cast("double").alias("lang_posterior"), F.lit(True).alias("lang_kept"))
     n = len(langs)
     names = F.array(*[F.lit(x) for x in langs])
     suffix = F.lower(F.regexp_extract(host, r"\.([A-Za-z]{2,})(?::[0-9]+)?$", 1))
-    evidence = docs.select(F.struct(*[F.col(c) for c in keep]).alias("__row"), F.array_position(names, F.coalesce(declared, F.lit(""))).alias("__said"), host.alias("__host"), suffix.alias("__suffix"), _has_letters(F.col("text")).alias("__letters"), _likelihoods(table)(F.col("text")).alias("__text"))
-
-    # how often declarations agree with texts, and first guesses by host: both in one pass over the corpus, without what goes to the unknown class
-    guess = _best(F.col("__text"))
-    counted = evidence.where(F.col("__letters") & (guess <= n)).groupBy("__host", "__suffix", guess.alias("guess"), (F.col("__said") == guess).alias("same")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__said") > 0).alias("told"))
-    counted = counted.persist()
-    try:
-        sums = {r["guess"]: (r["n"], r["told"], r["agree"]) for r in counted.groupBy("guess").agg(F.sum("n").alias("n"), F.sum("told").alias("told"), F.sum(F.when(F.col("same"), F.col("told")).otherwise(0)).alias("agree")).collect()}  # one row a language
+    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("__row"), F.array_position(names, F.coalesce(declared, F.lit(""))).alias("__said"), host.alias("__host"), suffix.alias("__suffix"), _has_letters(F.col("text")).alias("__letters"), F.col("text").alias("__text"))
+    evidence = materialise(_scored(rows, table), "evidence")
+
+    with scratch(spark):
+        # how often declarations agree with texts, and first guesses by host: both in one pass over the corpus; what goes to the unknown class has no guess
+        best = _best(F.col("__text"))
+        guess = F.when(F.col("__letters") & (best <= n), best)
+        counted = evidence.groupBy("__host", "__suffix", guess.alias("guess"), (F.col("__said") == guess).alias("same")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__said") > 0).alias("told"))
+        counted = materialise(counted, "guesses")
+        sums = counted.where("guess is not null").groupBy("guess").agg(F.sum("n").alias("n"), F.sum("told").alias("told"), F.sum(F.when(F.col("same"), F.col("told")).otherwise(0)).alias("agree"))
+        sums = {r["guess"]: (r["n"], r["told"], r["agree"]) for r in sums.collect()}  # one row a language
         told, agree = sum(v[1] for v in sums.values()), sum(v[2] for v in sums.values())
         differ = min(0.4, max(1e-3, (told - agree + 1) / (told + 2)))
         all_n = sum(v[0] for v in sums.values())
@@ -192,27 +204,28 @@ def identify(docs: DataFrame, declared: Column | None = None, host: Column | Non
 
         def guesses(*keys):
             each = counted.groupBy(*keys, "guess").agg(F.sum("n").alias("n"))
-            return each.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("guess", "n"))).alias("__n"), F.sum("n").alias("__all"))  # an entry a language at most
+            found = F.filter(F.collect_list(F.struct("guess", "n")), lambda x: x["guess"].isNotNull())  # an entry a language at most
+            return each.groupBy(*keys).agg(F.map_from_entries(found).alias("__n"), F.coalesce(F.sum(F.when(F.col("guess").isNotNull(), F.col("n"))), F.lit(0)).alias("__all"), F.sum("n").alias("__rows"))
 
         def shares(smooth: Column) -> Column:
             return F.transform(smooth, lambda p, k: (F.coalesce(F.try_element_at("__n", k + 1), F.lit(0)) + F.lit(SMOOTHING) * p) / (F.col("__all") + F.lit(SMOOTHING)))
 
         suffixes = guesses("__suffix").select("__suffix", shares(prior).alias("__suffix_prior"))
         hosts = guesses("__host", "__suffix").join(suffixes, "__suffix")
-        hosts = hosts.select(F.col("__host").alias("__h"), F.transform(shares(F.col("__suffix_prior")), lambda p: F.log(p)).alias("__prior"))
-        n_hosts = counted.select("__host").distinct().count()
-        from .common import materialise
-
-        hosts = materialise(hosts, "hosts")
-    finally:
-        counted.unpersist()
-    if n_hosts * n <= BROADCAST_CELLS:
-        hosts = F.broadcast(hosts)
-    joined = evidence.join(hosts, F.col("__host") == F.col("__h"), "left")
-    default = F.array(*[F.lit(math.log(p)) for p in corpus])
+        hosts = hosts.select(F.col("__host").alias("__h"), F.transform(shares(F.col("__suffix_prior")), lambda p: F.log(p)).alias("__prior"), "__rows")
+        hosts = materialise(hosts, "hosts", outer=True)
+        room = max(1, BROADCAST_CELLS // n)
+        many = hosts.count() > room
+        heavy = materialise(hosts.orderBy(F.desc("__rows"), "__h").limit(room), "heavy", outer=True) if many else hosts
+
+    joined = evidence.join(F.broadcast(heavy.drop("__rows")), F.col("__host") == F.col("__h"), "left")
+    if many:
+        light = hosts.join(F.broadcast(heavy.select("__h")), "__h", "left_anti").select("__h", "__prior")
+        rest = joined.where("__prior is null").drop("__h", "__prior").join(light, F.col("__host") == F.col("__h"))
+        joined = joined.where("__prior is not null").unionByName(rest)
     declares = F.col("__said") > 0
     said = F.transform(names, lambda x, k: F.when(~declares, F.lit(0.0)).when(k + 1 == F.col("__said"), F.lit(math.log(1 - differ))).otherwise(F.lit(math.log(differ / max(1, n - 1)))))
-    logs = F.zip_with(F.zip_with(F.slice("__text", 1, n), said, lambda a, b: a + b), F.coalesce("__prior", default), lambda a, b: a + b)
+    logs = F.zip_with(F.zip_with(F.slice("__text", 1, n), said, lambda a, b: a + b), F.col("__prior"), lambda a, b: a + b)
     unknown = F.get("__text", F.lit(n)) + F.when(declares, F.lit(-math.log(n))).otherwise(F.lit(0.0)) + F.lit(math.log(UNKNOWN))
     fused = joined.select("__row", "__letters", logs.alias("__logs"), unknown.alias("__unknown"))
     top = F.array_max("__logs")

@@ -14,6 +14,7 @@
 Defined results: null text, or text without words, has an empty set, is linked with nothing and stays. A text with fewer words than a shingle has one
 shingle. Repeated rows and equal texts are linked. component_id ignores null ids (null only if a component has no other); a row is kept if its
 doc_id equals component_id, null equal to null. Extra columns are ignored, whatever their names. An empty table gives an empty result.
+survivors() decides by row, not by doc_id: one row of each component stays, that of the smallest doc_id (null last), also where ids are repeated or null.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import materialise
+from .common import materialise, scratch
 
 SHINGLE = 5
 SYMBOLS = 60
@@ -37,6 +39,8 @@ SIMILARITY_PERCENT = 80
 BLOCK_MEMBERS = 256
 BLOCK_SHINGLES = 400_000
 MAX_ROUNDS = 60
+#: Row numbers that survivors() broadcasts at most (8 bytes each).
+BROADCAST_ROWS = 500_000
 
 _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -105,22 +109,25 @@ def set_name(shingles: np.ndarray) -> int:
         return int(_mix(_mix(shingles + _U(0x51ED)).sum(dtype=_U) ^ _mix(np.array([len(shingles)], dtype=_U))[0]).astype(np.int64))
 
 
-def _sketches(docs: DataFrame, size: int) -> DataFrame:
+def _sketches(docs: DataFrame, size: int, keep: list[str]) -> DataFrame:
+    """__row (the columns to keep but for the text), text, row (a number), doc_id, n_shingles, class, signature of every row."""
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                sets = [shingle_set(x, size) for x in some.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": some.column(0),
-                        "n_shingles": pa.array([len(x) for x in sets], pa.int64()),
-                        "class": pa.array([set_name(x) if len(x) else None for x in sets], pa.int64()),
-                        "signature": pa.array([signature(x).tobytes() if len(x) else None for x in sets], pa.binary()),
-                    }
-                )
+                sets = [shingle_set(x, size) for x in some.column(0).cast(pa.binary()).to_pylist()]
+                made = [
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array([set_name(x) if len(x) else None for x in sets], pa.int64()),
+                    pa.array([signature(x).tobytes() if len(x) else None for x in sets], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays([*some.columns, *made], names=[*some.schema.names, "n_shingles", "class", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, class long, signature binary")
+    kept = [F.col(c) for c in keep if c != "text"] or [F.lit(None).cast("string").alias("none")]
+    rows = docs.select("text", "doc_id", F.monotonically_increasing_id().alias("row"), F.struct(*kept).alias("__row"))
+    more = [StructField("n_shingles", LongType()), StructField("class", LongType()), StructField("signature", BinaryType())]
+    return rows.mapInArrow(sketch, StructType([*rows.schema, *more]))
 
 
 def index_keys(signatures: np.ndarray) -> np.ndarray:
@@ -282,44 +289,58 @@ def _confirmed(members: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs."""
-    sketches = materialise(_sketches(docs, size), "sketches")
-    classes = materialise(
-        sketches.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")),
-        "classes",
-    )
+def _grouped(sketches: DataFrame, size: int, percent: int) -> DataFrame:
+    """class, component_id, keep_row of each class that has more than one row, or links: the component's smallest doc_id, and the number of the row that has it."""
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = sketches.where(F.col("class").isNotNull()).groupBy("class")
+    classes = materialise(classes.agg(F.min(first).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")), "classes")
     clusters = components(_neighbours(_keys(classes)))
     # blocks: members of a cluster in order of size, cut by number of members and of shingles
-    sized = clusters.join(classes.select(F.col("class").alias("node"), "n", "signature", "least"), "node").select(F.col("root").alias("cluster"), F.col("node").alias("class"), "n", "signature", "least")
+    sized = clusters.join(classes.select(F.col("class").alias("node"), "n", "signature", "least"), "node").select(F.col("root").alias("cluster"), F.col("node").alias("class"), "n", "signature", F.col("least.row").alias("row"))
     sized = materialise(sized, "clusters")
-    weights = sized.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"), F.max("n").alias("longest"))
+    weights = sized.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.max("n").alias("longest"))
     per = F.greatest(F.lit(1), F.least(F.lit(BLOCK_MEMBERS), F.floor(F.lit(BLOCK_SHINGLES) / F.col("longest"))))
     weights = materialise(weights.select("cluster", F.ceil(F.col("members") / per).cast("int").alias("blocks")), "weights")
     blocked = sized.join(weights, "cluster").withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")).cast("int"))
     # the texts of the members' representatives; their sets are made again, those of other texts are not kept
-    wanted = blocked.select("cluster", "class", "signature", "block", "blocks", F.col("least").alias("wanted"))
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted"))).select("cluster", "class", "signature", "block", "blocks", "text")
+    texts = sketches.select("row", "text").join(blocked, "row").select("cluster", "class", "signature", "block", "blocks", "text")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                sets = [shingle_set(x, size) for x in some.column(5).cast(pa.binary()).to_pylist()]
-                ours = pa.array([len(x) > 0 and set_name(x) == c for x, c in zip(sets, some.column(1).to_pylist(), strict=True)])
-                made = pa.RecordBatch.from_arrays([*[some.column(k) for k in range(5)], pa.array([x.tobytes() for x in sets], pa.binary())], names=["cluster", "class", "signature", "block", "blocks", "shingles"])
-                yield made.filter(ours)
+                sets = [shingle_set(x, size).tobytes() for x in some.column(5).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*some.columns[:5], pa.array(sets, pa.binary())], names=["cluster", "class", "signature", "block", "blocks", "shingles"])
 
     made = texts.mapInArrow(shingles, "cluster long, class long, signature binary, block int, blocks int, shingles binary")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
     members = made.select("cluster", "class", "signature", "shingles", "block", F.explode(pair).alias("p"))
     members = members.select("cluster", "class", "signature", "shingles", "p.i", "p.j", (F.col("block") == F.col("p.i")).alias("left"), (F.col("block") == F.col("p.j")).alias("right"))
     roots = components(materialise(_confirmed(members, percent), "confirmed"))
-    # the least doc_id of each component, for classes that have company
+    # the least row of each component, for classes that have company
     named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "least", "copies", F.coalesce("root", "class").alias("root"), F.col("root").isNotNull().alias("linked"))
     named = materialise(named.where("linked or copies > 1"), "named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = materialise(named.join(least, "root").select("class", "component_id"), "final")
+    least = named.groupBy("root").agg(F.min("least").alias("first"))
+    return named.join(least, "root").select("class", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("keep_row"))
+
+
+def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILARITY_PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs."""
+    sketches = materialise(_sketches(docs, size, []), "sketches")
+    with scratch(docs.sparkSession):
+        final = materialise(_grouped(sketches, size, percent), "final", outer=True)
     out = sketches.select("doc_id", "n_shingles", "class").join(final.withColumn("known", F.lit(True)), "class", "left")
     component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def survivors(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILARITY_PERCENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs that stay, one of each component; rows are told apart by a number of their own."""
+    sketches = materialise(_sketches(docs, size, docs.columns), "sketches")
+    with scratch(docs.sparkSession):
+        final = _grouped(sketches, size, percent).select("class", "keep_row")
+        gone = sketches.select("row", "class").join(final, "class").where("row != keep_row").select("row")
+        gone = materialise(gone, "gone", outer=True)
+    if gone.count() <= broadcast_rows:
+        gone = F.broadcast(gone)
+    return sketches.join(gone, "row", "left_anti").select(*[F.col(c) if c == "text" else F.col("__row").getField(c).alias(c) for c in docs.columns])

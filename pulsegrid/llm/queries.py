@@ -59,7 +59,7 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = language_id.identify(_table(spark, sf_dir, "documents"))
+    judged = language_id.identify(_table(spark, sf_dir, "documents"), keep=["doc_id", "lang"])
     return judged.select("doc_id", F.col("lang").alias("declared"), "lang_id", "lang_posterior", F.col("lang_kept").alias("kept"))
 
 

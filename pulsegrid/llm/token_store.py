@@ -145,6 +145,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
                         doc_ids, ids, held, n = [], [], 0, n + 1
         if doc_ids:
             yield close()
+        encoder.forget()
 
     made = sorted(tuple(r) for r in ordered.mapInArrow(write, "part long, n long, path string, docs long, tokens long").collect())
     manifest, first = [], 0

@@ -2,7 +2,11 @@
 
 White space separates tokens in these files and is dropped. A text of plain characters (PLAIN: ASCII and the letters of Latin-1, all of them unchanged by
 NFC) is lower-cased and cut here by the file's own pattern, and each distinct word goes through the file's BPE model once. In other texts the pieces
-between blanks that aren't plain go through the library. Ids are remembered in memos of bounded size that a worker keeps for its next tasks.
+between blanks that aren't plain go through the library. Ids are remembered in memos that hold MEMO_BYTES at most and end with the task; the encoder itself
+stays with the worker.
+
+The strings of the file's special tokens in a text are ordinary text (encode_special_tokens), as the tokenizer files' own README has it: a document can't
+forge an end mark.
 """
 
 from __future__ import annotations
@@ -13,7 +17,9 @@ import re
 
 import numpy as np
 
-MEMO_PIECES = 400_000
+#: Bytes that each of the two memos holds, about; an entry counts its key, its ids and ENTRY_BYTES of Python's own.
+MEMO_BYTES = 32_000_000
+ENTRY_BYTES = 180
 MEMO_CHARS = 64
 
 _LETTERS = "a-z\xdf-\xf6\xf8-\xff"
@@ -30,7 +36,15 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)}
 
 
-class _Words(dict):
+class _Memo(dict):
+    held = 0
+
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
+
+class _Words(_Memo):
     """word -> ids (little-endian unsigned 32-bit) by the BPE model alone."""
 
     def __init__(self, model):
@@ -42,10 +56,11 @@ class _Words(dict):
         ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(spelt)])
         if len(word) <= MEMO_CHARS:
             self[word] = ids
+            self.held += ENTRY_BYTES + len(word) + len(ids)
         return ids
 
 
-class _Pieces(dict):
+class _Pieces(_Memo):
     """piece without blanks -> ids by the library, or by the words of a plain piece."""
 
     def __init__(self, encoder: WordEncoder):
@@ -59,6 +74,7 @@ class _Pieces(dict):
             ids = np.array(self.encoder.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(piece) <= MEMO_CHARS:
             self[piece] = ids
+            self.held += ENTRY_BYTES + len(piece) + len(ids)
         return ids
 
 
@@ -96,13 +112,18 @@ class WordEncoder:
         out = []
         for text in texts:
             for memo in (self.words, self.pieces):
-                if len(memo) > MEMO_PIECES:
-                    memo.clear()
+                if memo.held > MEMO_BYTES:
+                    memo.forget()
             out.append(np.frombuffer(self.encode_one(text or ""), dtype="<u4"))
         return out
 
 
+    def forget(self) -> None:
+        self.words.forget()
+        self.pieces.forget()
+
+
 @functools.lru_cache(maxsize=1)
 def encoder(path: str) -> WordEncoder:
-    """This worker's encoder, with what it has met in earlier tasks."""
+    """This worker's encoder. Tasks call forget() when they end."""
     return WordEncoder(path)
