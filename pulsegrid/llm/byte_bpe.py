@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import let
 
 HEAD_DOCS = 16_000
-HEAD_WORDS = 150_000
-MEMO_WORDS = 300_000
-CHUNK_CHARS = 500_000
+HEAD_WORDS = 120_000
+MEMO_WORDS = 120_000
+CHUNK_CHARS = 1_000_000
 SHORT_WORD = 64
 ID_BITS = 20
 #: Stands for no id and for no rank.
@@ -103,9 +103,9 @@ class PairRanks:
         self.tables = [_ints(x) for x in _displaced(_pairs(ranks))]
 
     def fold_all(self, words: Column) -> Column:
-        """Each word with its merges made. The tables are bound to lambda variables, so that they stand once in a query."""
+        """The ids of each word with its merges made, after one element NONE. The tables are bound to lambda variables, so that they stand once in a query."""
         shifts, owners, values = self.tables
-        return let(shifts, lambda s: let(owners, lambda o: let(values, lambda v: F.transform(words, lambda w: self.fold(s, o, v, w)))))
+        return let(shifts, lambda s: let(owners, lambda o: let(values, lambda v: F.transform(words, lambda w: F.transform(self.fold(s, o, v, w), lambda x: x.bitwiseAND(F.lit(NONE).cast("bigint")).cast("int"))))))
 
     @staticmethod
     def fold(shifts: Column, owners: Column, values: Column, word: Column) -> Column:
@@ -307,7 +307,7 @@ class _Numbers(dict):
 
 def _ids(folded: pa.Array) -> pa.Array:
     """The ids (little-endian unsigned 32-bit) of each folded word, as binary."""
-    parts = folded.flatten().to_numpy() & NONE
+    parts = folded.flatten().to_numpy()
     ends = (folded.offsets.to_numpy().astype(np.int64) - folded.offsets[0].as_py()) - np.arange(len(folded) + 1)
     ids = parts[parts != NONE].astype("<u4")
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(folded), [None, pa.py_buffer((4 * ends).tobytes()), pa.py_buffer(ids.tobytes())])
@@ -355,7 +355,7 @@ def head(docs: DataFrame, pairs: PairRanks, ranks_path: str, pattern: str, n_doc
                 for w, k in zip(words.dictionary.to_pylist(), n.tolist(), strict=True):
                     if len(w) <= SHORT_WORD:
                         met[w] = met.get(w, 0) + k
-            if len(met) > MEMO_WORDS:
+            if len(met) > MEMO_WORDS // 2:
                 yield pa.RecordBatch.from_pydict({"word": pa.array(list(met), pa.binary()), "n": pa.array(list(met.values()), pa.int64())})
                 met = {}
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(met), pa.binary()), "n": pa.array(list(met.values()), pa.int64())})
