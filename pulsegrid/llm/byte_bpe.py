@@ -125,11 +125,17 @@ class PairRanks:
             part = rank(whole, id_of(F.get(p, at + 1))) + least.bitwiseAND(long(NONE << ID_BITS)) + whole
             return F.concat(F.slice(p, F.lit(1), at - 2), F.array(neighbour, part), F.slice(p, at + 2, F.size(p)))
 
-        def first_merged(p: Column, least: Column) -> Column:
-            return let(F.array_position(p, least).cast("int"), lambda at: merged(p, least, at))
-
         def step(p: Column, _: Column) -> Column:
-            return let(F.array_min(p), lambda m: F.when(m >= never, p).otherwise(first_merged(p, m)))
+            """One merge. Places make the parts of a short word unique, so that one goes by its value and its neighbours change by theirs; no array is cut up."""
+
+            def first(m: Column, at: Column, before: Column) -> Column:
+                whole = rank_of(m).cast("int")
+                part = rank(whole, id_of(F.get(p, at + 1))) + m.bitwiseAND(long(NONE << ID_BITS)) + whole
+                neighbour = rank(id_of(before), whole) + placed(before)
+                return F.transform(F.array_remove(p, F.get(p, at)), lambda x: F.when(x == m, part).when(x == before, neighbour).otherwise(x))
+
+            found = lambda m: let(F.array_position(p, m).cast("int"), lambda at: let(F.get(p, at - 2), lambda before: first(m, at, before)))
+            return let(F.array_min(p), lambda m: F.when(m >= never, p).otherwise(found(m)))
 
         def all_merged(p: Column, least: Column) -> Column:
             """Every second hit of each run of hits (parts of the least rank), from the run's first; only the first hit of all, if a new pair comes before."""
