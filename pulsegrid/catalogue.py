@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
@@ -42,17 +42,46 @@ def _ev(spark: SparkSession, d: str, lane: str = "event_type") -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), T.micros("ts").alias("us"), "ts", "user_id", "event_type", "value", "props", F.col(lane).cast("string").alias("lane"))
 
 
-_FOLD = "fold AS (SELECT event_type AS lane, us // (1800 * 1000000) AS bucket, count(*) AS count, min(value) AS min, max(value) AS max, sum(value::DECIMAL(18,2))::DOUBLE AS sum FROM ev GROUP BY 1, 2)"
+def sig(x: str) -> str:
+    """DuckDB SQL of a double with 12 significant digits."""
+    return f"printf('%.11e', {x})::DOUBLE"
+
+
+def fold_sql(step: int, lane: str = "event_type") -> str:
+    """Slots of the events: counts stop at 65,535 and sums with them; the envelope goes on."""
+    return f"""SELECT lane, bucket, least(count(*), 65535)::BIGINT AS count, min(value) AS min, max(value) AS max,
+        {sig("sum(value) FILTER (k <= 65535)")} AS sum
+      FROM (SELECT {lane}::VARCHAR AS lane, us // {step * 1_000_000} AS bucket, value,
+                   row_number() OVER (PARTITION BY {lane}, us // {step * 1_000_000} ORDER BY us, seq) AS k
+            FROM ev WHERE isfinite(value) AND us > 0)
+      GROUP BY 1, 2"""
+
+
+_FOLD = f"fold AS ({fold_sql(1800)})"
+
+
+def _fold(s: SparkSession, d: str, step: int, lane: str = "event_type") -> DataFrame:
+    return T.fold(_ev(s, d, lane), step, ("us", "seq"))
 
 
 @query(f"WITH {EV}, {_FOLD} SELECT * FROM fold")
 def bucket_fold_t2(s, d):
-    return T.fold(_ev(s, d), 1800)
+    return _fold(s, d, 1800)
 
 
-@query(f"WITH {EV} SELECT event_type AS lane, us // 1800000000 AS bucket, count(*) AS count, min(value) AS min, max(value) AS max, sum(value::DECIMAL(18,2))::DOUBLE AS sum FROM ev GROUP BY 1, 2")
+@query(f"""WITH {EV}, fine AS ({fold_sql(120)})
+  SELECT lane, bucket // 15 AS bucket, sum(count)::BIGINT AS count, min(min) AS min, max(max) AS max, {sig("sum(sum)")} AS sum
+  FROM fine GROUP BY 1, 2""")
 def rollup_t1_t2(s, d):
-    return T.rollup(T.fold(_ev(s, d), 120), 15)
+    return T.rollup(_fold(s, d, 120), 15)
+
+
+@query(f"""WITH {EV}, few AS (SELECT *, us // 86400000000 AS bucket, row_number() OVER (PARTITION BY event_type, us // 86400000000 ORDER BY us, seq) AS k FROM ev)
+  SELECT event_type AS lane, bucket, least(count(*), 30)::BIGINT AS count, min(value) AS min, max(value) AS max, {sig("sum(value) FILTER (k <= 30)")} AS sum
+  FROM few GROUP BY 1, 2""")
+def bucket_fold_saturating(s, d):
+    """The rule of full buckets, with 30 in place of 65,535 so that small tables reach it."""
+    return T.fold(_ev(s, d), 86_400, ("us", "seq"), most=30)
 
 
 _COLUMNS = f"""cols AS (SELECT l.lane, c.c AS "column", (c.c * {MONTH.per_column} + {MONTH.lower}) * {MONTH.step} AS start_s, f.count, f.min, f.sum / f.count AS avg, f.max
@@ -61,17 +90,17 @@ _COLUMNS = f"""cols AS (SELECT l.lane, c.c AS "column", (c.c * {MONTH.per_column
 
 @query(f"WITH {EV}, {_FOLD}, {_COLUMNS} SELECT * FROM cols")
 def column_resample_month(s, d):
-    return T.columns(T.fold(_ev(s, d), 1800), MONTH)
+    return T.columns(_fold(s, d, 1800), MONTH)
 
 
-@query(f"WITH {EV}, {_FOLD}, {_COLUMNS} SELECT lane, sum(count)::BIGINT AS count, min(min) AS min, max(max) AS max, sum((avg * count)::DECIMAL(24,4))::DOUBLE / sum(count) AS avg FROM cols WHERE count > 0 GROUP BY lane")
+@query(f"WITH {EV}, {_FOLD}, {_COLUMNS} SELECT lane, sum(count)::BIGINT AS count, min(min) AS min, max(max) AS max, {sig('sum(avg * count) / sum(count)')} AS avg FROM cols WHERE count > 0 GROUP BY lane")
 def lane_summary(s, d):
-    return T.summary(T.columns(T.fold(_ev(s, d), 1800), MONTH))
+    return T.summary(T.columns(_fold(s, d, 1800), MONTH))
 
 
 @query("SELECT strftime(ts::TIMESTAMP AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Berlin', '%Y%m%d')::INT AS day, sum(greatest((value * 100)::BIGINT, 0))::BIGINT AS upload, sum(greatest(user_id, 0))::BIGINT AS download FROM events GROUP BY 1")
 def daily_totals_local(s, d):
-    return R.daily_totals(_t(s, d, "events"), F.col("ts").cast("timestamp"), "Europe/Berlin", F.round(F.col("value") * 100).cast("long"), F.col("user_id"))
+    return R.daily_totals(_t(s, d, "events"), F.col("ts"), "Europe/Berlin", F.round(F.col("value") * 100).cast("long"), F.col("user_id"))
 
 
 @query(f"""WITH {EV}, {_FOLD}, spans(f, t, r) AS (VALUES {_SPAN_SQL}), spine AS (SELECT lane, b FROM (SELECT DISTINCT lane FROM fold) CROSS JOIN (SELECT unnest(range({MONTH.lower}, {MONTH.upper})) AS b)),
@@ -79,7 +108,7 @@ def daily_totals_local(s, d):
   SELECT s.lane, s.b AS bucket, CASE WHEN f.bucket IS NOT NULL THEN 1 WHEN s.b < x.fb THEN 0 WHEN c.r IS NOT NULL THEN c.r WHEN s.b > {MONTH.upper - 20} THEN 3 ELSE 0 END::BIGINT AS reason
   FROM spine s LEFT JOIN fold f ON f.lane = s.lane AND f.bucket = s.b LEFT JOIN firsts x ON x.lane = s.lane LEFT JOIN cover c ON c.b = s.b""")
 def gap_reasons(s, d):
-    slots = T.fold(_ev(s, d), 1800)
+    slots = _fold(s, d, 1800)
     spine = slots.select("lane").distinct().withColumn("bucket", F.explode(F.sequence(F.lit(MONTH.lower).cast("long"), F.lit(MONTH.upper - 1).cast("long"))))
     spans = s.createDataFrame(SPANS, "from_s long, to_s long, reason long")
     return T.gap_reasons(slots, spine, spans, 1800, MONTH.upper - 20)
@@ -91,7 +120,7 @@ def rate_from_counter(s, d):
 
 
 _ATTR = "attr AS (SELECT user_id::VARCHAR AS lane, us, seq, value, greatest((us - 60000000) // 10000000, coalesce(lag(us) OVER w // 10000000, 0)) AS lo, us // 10000000 AS hi FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, seq))"
-_SPREAD = "SELECT lane, b AS bucket, count(*) AS count, min(value) AS min, max(value) AS max, sum(value::DECIMAL(18,2))::DOUBLE AS sum FROM (SELECT lane, value, unnest(range(lo, hi + 1)) AS b FROM attr) GROUP BY 1, 2"
+_SPREAD = "SELECT lane, b AS bucket, count(*) AS count, min(value) AS min, max(value) AS max, " + sig("sum(value)") + " AS sum FROM (SELECT lane, value, unnest(range(lo, hi + 1)) AS b FROM attr) GROUP BY 1, 2"
 
 
 @query(f"WITH {EV}, {_ATTR} {_SPREAD}")
@@ -111,11 +140,16 @@ def lane_identity(s, d):
     return e.withColumn("lane", R.lane_identity(F.lit("events"), F.col("user_id").cast("string"), F.col("event_type")))
 
 
-@query(f"WITH {EV}, a AS (SELECT user_id AS pos, user_id AS lane, min(us // 10000000) AS first_bucket FROM ev GROUP BY 1), b AS (SELECT pos, CASE WHEN pos % 3 = 0 THEN lane + 1 ELSE lane END AS lane, first_bucket - 7 AS first_bucket FROM a WHERE pos % 5 > 0) SELECT a.pos, a.lane, CASE WHEN a.lane = b.lane THEN b.first_bucket ELSE a.first_bucket END AS first_bucket FROM a LEFT JOIN b USING (pos)")
+@query(f"""WITH {EV}, a AS (SELECT user_id AS pos, 'l' || user_id AS lane, min(us // 10000000) AS first_bucket FROM ev GROUP BY 1),
+  b AS (SELECT user_id AS pos, CASE WHEN max(value) > 300 THEN 'x' ELSE 'l' END || user_id AS lane, min(us // 1800000000) AS first_bucket
+        FROM ev WHERE event_type = 'signup' GROUP BY 1)
+  SELECT a.pos, a.lane, CASE WHEN a.lane = b.lane THEN b.first_bucket ELSE a.first_bucket END AS first_bucket FROM a LEFT JOIN b USING (pos)""")
 def directory_reconcile(s, d):
-    fine = _ev(s, d).groupBy(F.col("user_id").alias("pos")).agg(F.first("user_id").alias("lane"), F.min(T.bucket("us", 10)).alias("first_bucket"))
-    coarse = fine.where("pos % 5 > 0").select("pos", F.expr("CASE WHEN pos % 3 = 0 THEN lane + 1 ELSE lane END AS lane"), (F.col("first_bucket") - 7).alias("first_bucket"))
-    return R.reconcile(fine, coarse)
+    """The coarse tier's directory knows the lanes that signed up; a large value there stands for another identity at the position."""
+    e, lane = _ev(s, d), F.col("user_id").cast("string")
+    fine = e.groupBy(F.col("user_id").alias("pos")).agg(F.min(T.bucket("us", 10)).alias("first_bucket")).withColumn("lane", F.concat(F.lit("l"), F.col("pos").cast("string")))
+    coarse = e.where("event_type = 'signup'").groupBy(F.col("user_id").alias("pos"), lane.alias("u")).agg(F.max("value").alias("top"), F.min(T.bucket("us", 1800)).alias("first_bucket"))
+    return R.reconcile(fine, coarse.withColumn("lane", F.concat(F.when(F.col("top") > 300, "x").otherwise("l"), "u")))
 
 
 @query("SELECT strftime(ts, '%Y%m%d')::INT AS day, count(*) AS n FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 14")
@@ -126,7 +160,7 @@ def retention_days(s, d):
 
 @query(f"WITH {EV}, {_FOLD}, m AS (SELECT lane, max(bucket) AS m FROM fold GROUP BY 1) SELECT fold.* FROM fold JOIN m USING (lane) WHERE bucket > m - 100")
 def ring_retention(s, d):
-    return T.retained(T.fold(_ev(s, d), 1800), 100)
+    return T.retained(_fold(s, d, 1800), 100)
 
 
 @query("SELECT user_id, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1")
@@ -157,15 +191,15 @@ def sleep_spans(s, d):
 
 @query(f"WITH {EV}, {_FOLD}, done AS (SELECT lane, min(bucket) + 700 AS done FROM fold GROUP BY 1) SELECT fold.* FROM fold JOIN done USING (lane) WHERE bucket >= done")
 def catchup_rollup(s, d):
-    fine = T.fold(_ev(s, d), 120)
+    fine = _fold(s, d, 120)
     done = fine.groupBy("lane").agg((F.floor(F.min("bucket") / 15) + 700).cast("long").alias("done"))
     return T.catch_up(fine, done, 15)
 
 
 @query(f"""WITH {EV}, {_FOLD}, p AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY bucket) - 1 AS i, count(*) OVER (PARTITION BY lane) AS n FROM fold), c AS (SELECT DISTINCT lane, n, unnest(range(400)) AS c FROM p)
-  SELECT c.lane, c.c AS "column", sum(p.count)::BIGINT AS count, min(p.min) AS min, sum(p.sum::DECIMAL(18,2))::DOUBLE / sum(p.count) AS avg, max(p.max) AS max FROM c LEFT JOIN p ON p.lane = c.lane AND p.i >= c.c * c.n // 400 AND p.i < (c.c + 1) * c.n // 400 GROUP BY 1, 2""")
+  SELECT c.lane, c.c AS "column", sum(p.count)::BIGINT AS count, min(p.min) AS min, {sig("sum(p.sum)")} / sum(p.count) AS avg, max(p.max) AS max FROM c LEFT JOIN p ON p.lane = c.lane AND p.i >= c.c * c.n // 400 AND p.i < (c.c + 1) * c.n // 400 GROUP BY 1, 2""")
 def resample_fractional(s, d):
-    return T.resample_fractional(T.fold(_ev(s, d), 1800), 400)
+    return T.resample_fractional(_fold(s, d, 1800), 400)
 
 
 @query("SELECT * FROM (VALUES (3600, 't0', 360, 10), (21600, 't0', 720, 30), (86400, 't1', 720, 120), (604800, 't1', 504, 1200), (2592000, 't2', 1440, 1800), (31536000, 't2', 1460, 21600)) AS t(range_s, tier, columns, seconds)")
@@ -179,7 +213,7 @@ _W = "WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)"
 _COUNTER = "(value * 100)::BIGINT"
 
 
-@query(f"WITH {EV}, c AS (SELECT seq, user_id, us, {_COUNTER} AS c FROM ev), l AS (SELECT *, lag(c) OVER w AS p, (us - lag(us) OVER w) / 1000000 AS dt FROM c {_W}) SELECT seq, user_id, CASE WHEN c >= p AND dt > 0 THEN (c - p) / dt ELSE 0 END AS rate FROM l")
+@query(f"WITH {EV}, c AS (SELECT seq, user_id, us, {_COUNTER} AS c FROM ev), l AS (SELECT *, lag(c) OVER w AS p, (us - lag(us) OVER w) / 1000000 AS dt FROM c {_W}) SELECT seq, user_id, CASE WHEN c >= p AND dt > 0 THEN trunc((c - p) / dt)::BIGINT ELSE 0 END AS rate FROM l")
 def counter_rate_rebaseline(s, d):
     e = _ev(s, d).withColumn("c", F.round(F.col("value") * 100).cast("long"))
     return W.counter_rate(e, "user_id", "c").select("seq", "user_id", "rate")
@@ -197,14 +231,16 @@ def outlier_guard(s, d):
     return W.outlier_guard(e, "delta", (F.col("user_id") % 2) * 1000, F.lit(1)).select("event_id", "guarded")
 
 
-@query(f"WITH {EV}, p AS (SELECT seq, user_id, us, coalesce(round(value * (us - lag(us) OVER w) / 3600000000, 6), 0)::DECIMAL(24,6) AS p FROM ev {_W}) SELECT seq, user_id, sum(p) OVER (PARTITION BY user_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING)::DOUBLE AS watt_hours FROM p")
+@query(f"""WITH {EV}, p AS (SELECT seq, user_id, us, coalesce(value * (us - lag(us) OVER w) / 3600000000, 0) AS p, us - min(us) OVER w AS since FROM ev {_W}),
+  t AS (SELECT *, {sig("sum(p) OVER (PARTITION BY user_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING)")} AS watt_hours FROM p)
+  SELECT seq, user_id, watt_hours, CASE WHEN since > 0 THEN {sig("watt_hours * 3600 / (since / 1000000)")} END AS average_watts FROM t""")
 def energy_integral(s, d):
-    return W.energy_integral(_ev(s, d), "user_id", "value").select("seq", "user_id", "watt_hours")
+    return W.energy_integral(_ev(s, d), "user_id", "value").select("seq", "user_id", "watt_hours", "average_watts")
 
 
-@query(f"WITH {EV} SELECT seq, user_id, coalesce((value - lag(value) OVER w) / ((us - lag(us) OVER w) / 1000000) / (CASE seq % 4 WHEN 0 THEN 1e3::DOUBLE WHEN 1 THEN 1e6::DOUBLE WHEN 2 THEN 1e9::DOUBLE END), 0) AS watts FROM ev {_W}")
+@query(f"WITH {EV} SELECT seq, user_id, coalesce((value - lag(value) OVER w) / ((us - lag(us) OVER w) / 1000000) / (CASE seq % 5 WHEN 0 THEN 1e3::DOUBLE WHEN 1 THEN 1e6::DOUBLE WHEN 2 THEN 1e9::DOUBLE WHEN 3 THEN 1e12::DOUBLE END), 0) AS watts FROM ev {_W}")
 def energy_to_power(s, d):
-    e = _ev(s, d).withColumn("unit", F.expr("element_at(array('mJ', 'uJ', 'nJ', '?'), cast(seq % 4 + 1 as int))"))
+    e = _ev(s, d).withColumn("unit", F.expr("element_at(array('mJ', 'uJ', 'nJ', 'pJ', '?'), cast(seq % 5 + 1 as int))"))
     return W.energy_to_power(e, "user_id", "value", "unit").select("seq", "user_id", "watts")
 
 
@@ -213,10 +249,10 @@ def ewma_jitter(s, d):
     return W.ewma_jitter(_ev(s, d), "user_id", "value")
 
 
-@query("SELECT user_id, sum((value * (event_id % 10))::DECIMAL(18,2))::DOUBLE / sum(event_id % 10) AS mean FROM events WHERE event_id % 10 > 0 GROUP BY 1")
+@query(f"SELECT user_id, {sig('sum(value * (event_id % 10)) / sum(event_id % 10)')} AS mean FROM events GROUP BY 1")
 def weighted_mean(s, d):
-    e = _t(s, d, "events").withColumn("w", F.col("event_id") % 10).where("w > 0")
-    return e.groupBy("user_id").agg((T.exact_sum(F.col("value") * F.col("w")) / F.sum("w")).alias("mean"))
+    e = _t(s, d, "events").withColumn("w", F.col("event_id") % 10)
+    return e.groupBy("user_id").agg(T.significant(F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("mean"))
 
 
 @query(f"""WITH {EV}, p AS (SELECT user_id, value, us, us - (seq % 200 + 1) * 1000000 AS st FROM ev), m AS (SELECT *, unnest(range(st // 60000000, (us - 1) // 60000000 + 1)) AS minute FROM p), x AS (SELECT user_id, minute, value, (least(us, (minute + 1) * 60000000) - greatest(st, minute * 60000000)) / 1000000 AS sec FROM m)
@@ -233,9 +269,11 @@ def json_flatten(s, d):
     return e.select("event_id", F.concat(F.lit("/field:"), F.replace(F.replace("k", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))).alias("path"), F.col("v").try_cast("double").alias("number")).where("number is not null")
 
 
-@query(f"WITH {EV} SELECT seq, user_id, floor(sum(value::DECIMAL(18,2)) OVER w::DOUBLE / count(value) OVER w * 100 + 0.5) / 100 AS rolling FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, seq ROWS BETWEEN 89 PRECEDING AND CURRENT ROW)")
+@query(f"""WITH {EV}, m AS (SELECT seq, user_id, event_type, {sig("avg(value) OVER w")} AS m
+    FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, seq ROWS BETWEEN 89 PRECEDING AND CURRENT ROW))
+  SELECT seq, user_id, CASE WHEN event_type <> 'error' THEN floor(m * 100 + 0.5) / 100 END AS rolling FROM m""")
 def rolling_mean_90(s, d):
-    return W.rolling_mean(_ev(s, d), "user_id", "value", 90).select("seq", "user_id", "rolling")
+    return W.rolling_mean(_ev(s, d), "user_id", "value", 90, F.col("event_type") != "error").select("seq", "user_id", "rolling")
 
 
 @query(f"WITH {EV}, b AS (SELECT user_id, value, us, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, seq DESC) AS b FROM ev), sp AS (SELECT DISTINCT user_id, unnest(range(1, 121)) AS slot FROM ev) SELECT sp.user_id, sp.slot::INT AS slot, us, value FROM sp LEFT JOIN b ON b.user_id = sp.user_id AND 121 - b.b = sp.slot")
@@ -249,9 +287,11 @@ def gap_insertion(s, d):
     return W.gap_insertion(_ev(s, d), "user_id", 120).select("seq", "user_id", "empty_before")
 
 
-@query(f"WITH {EV} SELECT seq, user_id, least(coalesce(lead(us) OVER w, {NOW}000000), us + 10000000) AS end_us FROM ev {_W}")
+@query(f"""WITH {EV}, e AS (SELECT seq, user_id, least(coalesce(lead(us) OVER w, {NOW}000000), us + 10000000) AS end_us FROM ev {_W})
+  SELECT * FROM e WHERE end_us >= {NOW - 864000}000000""")
 def sample_lifetime(s, d):
-    return W.sample_lifetime(_ev(s, d), "user_id", 10, NOW * T.MICRO).select("seq", "user_id", "end_us")
+    """The last ten days of a chart whose samples live ten seconds."""
+    return W.sample_lifetime(_ev(s, d), "user_id", 10, NOW * T.MICRO, 864_000).select("seq", "user_id", "end_us")
 
 
 _ISLAND = "i AS (SELECT *, (lag(state) OVER w IS DISTINCT FROM state)::INT AS c FROM st WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)), r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS run FROM i)"
@@ -275,9 +315,10 @@ def change_only(s, d):
     return W.change_only(_ev(s, d), "user_id", "event_type").select("seq", "user_id", "event_type")
 
 
-@query(f"WITH {EV} SELECT seq, user_id, sum(value::DECIMAL(18,2)) OVER (PARTITION BY user_id, date_trunc('week', ts) ORDER BY us, seq ROWS UNBOUNDED PRECEDING)::DOUBLE AS total FROM ev")
+@query(f"""WITH {EV} SELECT seq, user_id,
+    {sig("sum(value) OVER (PARTITION BY user_id, date_trunc('week', ts) ORDER BY us, seq ROWS UNBOUNDED PRECEDING)")} AS total FROM ev""")
 def running_total_reset(s, d):
-    return W.running_total(_ev(s, d), "user_id", "value", F.date_trunc("week", "ts")).select("seq", "user_id", "total")
+    return W.running_total(_ev(s, d), "user_id", "value", F.weekofyear("ts")).select("seq", "user_id", "total")
 
 
 @query(f"WITH {EV} SELECT seq, user_id, last_value(CASE WHEN value BETWEEN 10 AND 120 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS held FROM ev")
@@ -290,10 +331,20 @@ def alert_streak(s, d):
     return W.alert_streak(_ev(s, d), "user_id", "value", 50.0).select("seq", "user_id", "value")
 
 
-@query(f"""WITH {EV}, i AS (SELECT *, value >= 20 AS bad, coalesce((lag(value >= 20) OVER w IS DISTINCT FROM (value >= 20)) OR us - lag(us) OVER w > 43200000000, true)::INT AS c FROM ev {_W}), r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS run FROM i),
-  t AS (SELECT *, min(us) OVER (PARTITION BY user_id, run) AS st FROM r WHERE bad), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY us, seq) AS k FROM t WHERE us - st >= 3600000000) SELECT seq, user_id, value FROM k WHERE k = 1""")
+@query(f"""WITH {EV}, i AS (SELECT seq, user_id, us, value, value <= 30 AS bad, (us - lag(us) OVER w) / 1000000 AS gap, lag(value <= 30) OVER w AS was FROM ev {_W}),
+  g AS (SELECT *, last_value(CASE WHEN gap >= 0.5 THEN gap END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i),
+  c AS (SELECT *, (was IS DISTINCT FROM bad)::INT AS turned, (was IS DISTINCT FROM bad OR coalesce(before IS NOT NULL AND gap > greatest(5, before * 2.5), false))::INT AS fresh FROM g),
+  r AS (SELECT *, sum(fresh) OVER w AS run, sum(turned) OVER w AS stretch FROM c WINDOW w AS (PARTITION BY user_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING)),
+  t AS (SELECT *, min(us) OVER (PARTITION BY user_id, run) AS start FROM r WHERE bad),
+  k AS (SELECT *, row_number() OVER (PARTITION BY user_id, stretch ORDER BY us, seq) AS k FROM t WHERE us - start >= 3600000000)
+  SELECT seq, user_id, value FROM k WHERE k = 1""")
 def alert_sustained(s, d):
-    return W.alert_sustained(_ev(s, d), "user_id", "value", 20.0, 3600, 43200).select("seq", "user_id", "value")
+    return W.alert_sustained(_ev(s, d), "user_id", "value", 30.0, 3600, less=True).select("seq", "user_id", "value")
+
+
+@query(f"WITH {EV}, st AS (SELECT *, value <= 20 AS state FROM ev), {_ISLAND}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY us, seq) AS k FROM r WHERE state) SELECT seq, user_id, value FROM k WHERE k = 3")
+def alert_streak_less(s, d):
+    return W.alert_streak(_ev(s, d), "user_id", "value", 20.0, 3, less=True).select("seq", "user_id", "value")
 
 
 # relational
@@ -302,7 +353,7 @@ def conflate_latest(s, d):
     return R.conflate(_ev(s, d), "event_type", "value", 3_600_000_000)
 
 
-@query("SELECT user_id, sum(value::DECIMAL(18,2))::DOUBLE AS usage FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
+@query(f"SELECT user_id, {sig('sum(value)')} AS usage FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
 def topk_mem_grouped(s, d):
     return R.grouped_top(_t(s, d, "events"), "user_id", "value", 8)
 
@@ -324,68 +375,77 @@ def lru_victim(s, d):
     return R.lru_victim(lanes, NOW * T.MICRO, 86_400_000_000)
 
 
-@query("WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error') (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)")
+@query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND value > 55), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND value > 65)
+  (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def symmetric_difference(s, d):
     e = _t(s, d, "events")
-    return R.symmetric_difference(e.where("event_type = 'signup'").select("user_id"), e.where("event_type = 'error'").select("user_id"))
+    return R.symmetric_difference(e.where("event_type = 'signup' and value > 55").select("user_id"), e.where("event_type = 'error' and value > 65").select("user_id"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
 def anti_join_removed(s, d):
-    return _t(s, d, "customer").join(_t(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    gone = _t(s, d, "orders").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'")
+    return R.without(_t(s, d, "customer").select("c_custkey"), gone.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def semi_join_live(s, d):
     live = _t(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
-    return _t(s, d, "customer").join(live, "c_custkey", "left_semi").select("c_custkey").distinct()
+    return R.only(_t(s, d, "customer").select("c_custkey"), live, "c_custkey")
 
 
-@query("WITH a AS (SELECT c_custkey AS k, c_name AS n, NULL AS v FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT c_custkey AS k, 'b' || c_name AS n, c_acctbal AS v FROM customer WHERE c_custkey % 3 = 0) SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, b.n) AS n, coalesce(a.v, b.v) AS v FROM a FULL JOIN b ON a.k = b.k")
+@query("""WITH a AS (SELECT c_custkey AS k, c_name AS n, NULL AS v FROM customer), b AS (SELECT s_suppkey AS k, 'b' || s_name AS n, s_acctbal AS v FROM supplier),
+  c AS (SELECT o_orderkey AS k, NULL AS n, o_totalprice AS v FROM orders)
+  SELECT coalesce(a.k, b.k, c.k) AS k, coalesce(a.n, b.n, c.n) AS n, coalesce(a.v, b.v, c.v) AS v FROM a FULL JOIN b ON a.k = b.k FULL JOIN c ON coalesce(a.k, b.k) = c.k""")
 def full_outer_upsert(s, d):
-    c = _t(s, d, "customer")
-    a = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"), F.lit(None).cast("double").alias("v"))
-    b = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.concat(F.lit("b"), "c_name").alias("n"), F.col("c_acctbal").alias("v"))
-    return R.upsert([a, b], "k", ["n", "v"])
+    a = _t(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"), F.lit(None).cast("double").alias("v"))
+    b = _t(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("b"), "s_name").alias("n"), F.col("s_acctbal").alias("v"))
+    c = _t(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(None).cast("string").alias("n"), F.col("o_totalprice").alias("v"))
+    return R.upsert([a, b, c], "k", ["n", "v"])
 
 
-_RESOLVE = "t AS (SELECT p_partkey AS target_id, p_name AS a, p_brand || p_type AS b, p_size AS c FROM part WHERE p_partkey % 2 = 0), it AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS a, p_brand || p_type AS b, p_size AS c FROM part)"
+_RESOLVE = "t AS (SELECT p_partkey AS target_id, p_name AS a, p_brand || p_type AS b FROM part), it AS (SELECT p_partkey AS item_id, CASE WHEN p_retailprice > 1000 THEN p_name END AS a, p_brand || p_type AS b FROM part)"
 
 
 @query(f"""WITH {_RESOLVE}, ua AS (SELECT a, min(target_id) AS x FROM t WHERE a IS NOT NULL GROUP BY a HAVING count(*) = 1), ub AS (SELECT b, min(target_id) AS x FROM t WHERE b IS NOT NULL GROUP BY b HAVING count(*) = 1),
   m AS (SELECT item_id, coalesce(ua.x, ub.x) AS x, CASE WHEN ua.x IS NOT NULL THEN 0 WHEN ub.x IS NOT NULL THEN 1 END AS r FROM it LEFT JOIN ua USING (a) LEFT JOIN ub ON ub.b = it.b), k AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY r, item_id) AS k FROM m) SELECT item_id, CASE WHEN x IS NOT NULL AND k = 1 THEN x END AS target_id FROM k""")
 def entity_resolution(s, d):
-    p = _t(s, d, "part").select("p_partkey", F.col("p_name").alias("a"), F.concat("p_brand", "p_type").alias("b"))
-    targets = p.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "target_id")
-    items = p.select(F.col("p_partkey").alias("item_id"), F.when(F.col("p_partkey") % 3 == 0, F.col("a")).alias("a"), "b")
-    return R.resolve(items, targets, ["a", "b"])
+    p = _t(s, d, "part").select("p_partkey", "p_retailprice", F.col("p_name").alias("a"), F.concat("p_brand", "p_type").alias("b"))
+    items = p.select(F.col("p_partkey").alias("item_id"), F.when(F.col("p_retailprice") > 1000, F.col("a")).alias("a"), "b")
+    return R.resolve(items, p.withColumnRenamed("p_partkey", "target_id"), ["a", "b"])
 
 
-@query("SELECT s_suppkey, CASE WHEN n.n_nationkey IS NULL THEN 'ungrouped' ELSE n_name END AS grp FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 > 0) n ON s_nationkey = n.n_nationkey")
+@query("""SELECT s_suppkey, coalesce(g.n_name, 'ungrouped') AS grp
+  FROM supplier LEFT JOIN (SELECT n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name LIKE 'A%') g ON s_nationkey = g.n_nationkey""")
 def group_membership(s, d):
-    groups = _t(s, d, "nation").where("n_nationkey % 4 > 0")
-    sup = _t(s, d, "supplier")
-    return sup.join(groups, sup["s_nationkey"] == groups["n_nationkey"], "left").select("s_suppkey", F.coalesce("n_name", F.lit("ungrouped")).alias("grp"))
+    """Members of groups that aren't there any more (nations of other regions) count as ungrouped; a group without members has no row."""
+    n, r = _t(s, d, "nation"), _t(s, d, "region").where("r_name like 'A%'")
+    groups = n.join(r, n["n_regionkey"] == r["r_regionkey"], "left_semi")
+    return R.grouped(_t(s, d, "supplier"), groups, "s_nationkey", "n_nationkey", "n_name").select("s_suppkey", "grp")
 
 
-@query("""WITH RECURSIVE n AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_regionkey AS ord FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_suppkey FROM supplier),
-  h AS (SELECT id, 0::BIGINT AS depth, printf('%06d', ord::BIGINT) AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.id, h.depth + 1, h.path || '/' || printf('%06d', n.ord::BIGINT) FROM n JOIN h ON n.parent = h.id) SELECT * FROM h""")
+@query("""WITH RECURSIVE n AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_regionkey AS ord FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey FROM nation
+    UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_suppkey FROM supplier),
+  h AS (SELECT id, 0::BIGINT AS depth, [ord::BIGINT] AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.id, h.depth + 1, list_append(h.path, n.ord::BIGINT) FROM n JOIN h ON n.parent = h.id)
+  SELECT id, depth, array_to_string(path, '/') AS path FROM h""")
 def hierarchy_dfs(s, d):
     r = _t(s, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_regionkey").cast("long").alias("ord"))
     n = _t(s, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey")).alias("parent"), F.col("n_nationkey").cast("long").alias("ord"))
     p = _t(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"), F.concat(F.lit("n"), F.col("s_nationkey")).alias("parent"), F.col("s_suppkey").alias("ord"))
-    return R.hierarchy(r.unionByName(n).unionByName(p), 3)
+    return R.hierarchy(r.unionByName(n).unionByName(p)).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "/"))
 
 
-@query("SELECT s_nationkey, count(*) FILTER (s_acctbal > 0) AS up, count(*) AS total, CASE WHEN count(*) FILTER (s_acctbal > 0) = count(*) THEN 'green' WHEN count(*) FILTER (s_acctbal > 0) > 0 THEN 'orange' ELSE 'red' END AS colour FROM supplier GROUP BY 1")
+@query("""WITH n AS (SELECT s_nationkey, count(*) FILTER (s_acctbal > 0) AS up, count(*) FILTER (s_acctbal < -300) AS down, count(*) AS total FROM supplier GROUP BY 1)
+  SELECT *, CASE WHEN up = total THEN 'green' WHEN down = total THEN 'red' ELSE 'orange' END AS colour FROM n""")
 def status_rollup(s, d):
-    return R.status_rollup(_t(s, d, "supplier"), "s_nationkey", F.col("s_acctbal") > 0)
+    """Suppliers between -300 and 0 are neither up nor down."""
+    return R.status_rollup(_t(s, d, "supplier"), "s_nationkey", F.col("s_acctbal") > 0, F.col("s_acctbal") < -300)
 
 
-@query("SELECT n_nationkey, row_number() OVER (ORDER BY CASE WHEN n_nationkey % 3 = 0 THEN 100 - n_nationkey ELSE 2147483647 END, lower(n_name), n_nationkey)::INT AS position FROM nation")
+@query("SELECT n_nationkey, row_number() OVER (ORDER BY CASE WHEN n_name < 'J' THEN 100 - n_nationkey ELSE 2147483647 END, lower(n_name), n_nationkey)::INT AS position FROM nation")
 def custom_order(s, d):
     n = _t(s, d, "nation")
-    order = n.where("n_nationkey % 3 = 0").select("n_nationkey", (100 - F.col("n_nationkey")).alias("idx"))
+    order = n.where("n_name < 'J'").select("n_nationkey", (100 - F.col("n_nationkey")).alias("idx"))
     return R.custom_order(n.select("n_nationkey", "n_name"), order, "n_nationkey", "n_name").select("n_nationkey", "position")
 
 
@@ -395,17 +455,22 @@ def mode_tiebreak(s, d):
 
 
 # scalars
-_SPEED = "CASE WHEN v < 1e3 THEN '0 KB/s' WHEN v < 1e6 THEN floor(v / 1e3)::BIGINT || ' KB/s' WHEN v < 1e8 THEN floor(v / 1e6)::BIGINT || '.' || floor(v / 1e6 * 10)::BIGINT % 10 || ' MB/s' WHEN v < 1e9 THEN floor(v / 1e6)::BIGINT || ' MB/s' WHEN v < 1e12 THEN floor(v / 1e9)::BIGINT || '.' || floor(v / 1e9 * 10)::BIGINT % 10 || ' GB/s' ELSE floor(v / 1e12)::BIGINT || '.' || floor(v / 1e12 * 10)::BIGINT % 10 || ' TB/s' END"
-
-
-@query(f"SELECT event_id, {_SPEED} AS speed FROM (SELECT event_id, value * pow(10, event_id % 11) AS v FROM events)")
+@query("""SELECT event_id, CASE WHEN v < 1e3 THEN '0 KB/s' WHEN v < 1e6 THEN printf('%.0f KB/s', v / 1e3) WHEN v < 1e8 THEN printf('%.1f MB/s', v / 1e6) WHEN v < 1e9 THEN printf('%.0f MB/s', v / 1e6)
+    WHEN v < 1e12 THEN printf('%.1f GB/s', v / 1e9) ELSE printf('%.1f TB/s', v / 1e12) END AS speed,
+  CASE WHEN b < 1e3 THEN '0 Kb/s' WHEN b < 1e6 THEN printf('%.0f Kb/s', b / 1e3) WHEN b < 1e8 THEN printf('%.1f Mb/s', b / 1e6) WHEN b < 1e9 THEN printf('%.0f Mb/s', b / 1e6)
+    WHEN b < 1e12 THEN printf('%.1f Gb/s', b / 1e9) ELSE printf('%.1f Tb/s', b / 1e12) END AS bits, printf('%.2f M', v / 1e6) || 'B/s' AS fixed
+  FROM (SELECT event_id, v, v * 8 AS b FROM (SELECT event_id, floor(value * pow(10, event_id % 11)) - 5 AS v FROM events))""")
 def units_speed(s, d):
-    return _t(s, d, "events").select("event_id", S.speed(F.col("value") * F.pow(F.lit(10.0), F.col("event_id") % 11)).alias("speed"))
+    v = F.floor(F.col("value") * F.pow(F.lit(10.0), F.col("event_id") % 11)).cast("double") - 5
+    return _t(s, d, "events").select("event_id", S.speed(v).alias("speed"), S.speed(v, "bit").alias("bits"), S.speed(v, unit="MB").alias("fixed"))
 
 
-@query("SELECT event_id, CASE WHEN event_id <= 0 THEN 'n/a' ELSE (event_id // 3600) || 'h ' || lpad(((event_id % 3600) // 60)::VARCHAR, 2, '0') || 'min' END AS text FROM events")
+@query("""WITH t AS (SELECT event_id, s, trunc(s / 3600)::BIGINT AS h, trunc((s % 3600) / 60)::BIGINT AS m FROM (SELECT event_id, event_id * 7 - 2000 AS s FROM events)),
+  x AS (SELECT *, CASE WHEN m > 9 THEN '' ELSE '0' END || m AS mm, s = 0 OR h < 0 OR m < 0 AS none FROM t)
+  SELECT event_id, CASE WHEN none THEN 'n/a' WHEN h = 0 THEN mm || 'min' WHEN m = 0 THEN h || 'h' ELSE h || 'h ' || mm || 'min' END AS text, CASE WHEN none THEN 'n/a' ELSE h || ':' || mm END AS short FROM x""")
 def duration_text(s, d):
-    return _t(s, d, "events").select("event_id", S.duration_text(F.col("event_id")).alias("text"))
+    v = F.col("event_id") * 7 - 2000
+    return _t(s, d, "events").select("event_id", S.duration_text(v).alias("text"), S.duration_text(v, short=True).alias("short"))
 
 
 @query("WITH l AS (SELECT p_partkey, p_partkey || '  ' || p_name || '  ' || (p_size * 40) || ['K','M','G'][p_partkey % 3 + 1] AS line, (p_size * 40)::VARCHAR AS sz, p_partkey % 3 AS u, p_name FROM part) SELECT p_partkey AS pid, trim(p_name) AS name, CASE WHEN u = 2 THEN sz::DOUBLE * 1024 WHEN u = 0 THEN sz::DOUBLE / 1024 WHEN length(sz) = 4 THEN sz::DOUBLE / 1024 * 1000 ELSE sz::DOUBLE END * 1e6 AS bytes FROM l")
@@ -414,10 +479,23 @@ def parse_top_line(s, d):
     return _t(s, d, "part").select(*[c.alias(n) for n, c in S.top_line(line).items()])
 
 
-@query("SELECT a.p_partkey, a.p_size % 3 || '.' || a.p_partkey % 20 || '.' || a.p_size AS version, lpad((a.p_size % 3)::VARCHAR, 6, '0') || lpad((a.p_partkey % 20)::VARCHAR, 6, '0') || lpad(a.p_size::VARCHAR, 6, '0') || '999999' AS ordered FROM part a")
+def _version_sql(k: str) -> str:
+    """major, minor, patch, fork and beta that _version() spells."""
+    return f"p_size % 3 AS major{k}, ({k} // 2) % 4 AS minor{k}, p_size % 5 AS patch{k}, CASE WHEN {k} % 3 = 1 THEN {k} % 7 ELSE 0 END AS fork{k}, CASE WHEN {k} % 3 = 2 THEN {k} % 4 END AS beta{k}"
+
+
+def _version(k: Column) -> Column:
+    tail = F.when(k % 3 == 1, F.concat(F.lit("."), (k % 7).cast("string"))).when(k % 3 == 2, F.concat(F.lit("-beta"), (k % 4).cast("string"))).otherwise("")
+    return F.concat(F.when(k % 2 == 0, "v").otherwise(""), F.concat_ws(".", F.col("p_size") % 3, F.floor(k / 2) % 4, F.col("p_size") % 5), tail)
+
+
+@query(f"""WITH k AS (SELECT p_partkey, p_size, p_partkey AS a, p_partkey * 7 + p_size AS b FROM part), v AS (SELECT p_partkey, {_version_sql("a")}, {_version_sql("b")} FROM k),
+  j AS (SELECT *, majorb > majora AS m1, minorb > minora AND majorb >= majora AS m2, patchb > patcha AND minorb >= minora AND majorb >= majora AS m3,
+               patchb >= patcha AND minorb >= minora AND majorb >= majora AS m4 FROM v)
+  SELECT p_partkey, CASE WHEN betaa IS NULL AND betab IS NULL THEN m1 OR m2 OR m3 OR (forkb > forka AND m4) WHEN betaa IS NULL THEN false ELSE m1 OR m2 OR m4 END AS newer FROM j""")
 def version_compare(s, d):
-    v = F.concat_ws(".", F.col("p_size") % 3, F.col("p_partkey") % 20, "p_size")
-    return _t(s, d, "part").select("p_partkey", v.alias("version"), S.version_key(v).alias("ordered"))
+    k = F.col("p_partkey")
+    return _t(s, d, "part").select("p_partkey", S.is_newer(_version(k), _version(k * 7 + F.col("p_size"))).alias("newer"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size * 100 WHEN 1 THEN p_size * 1000 ELSE 0 END::BIGINT AS mbit FROM part")
@@ -426,15 +504,24 @@ def media_rate(s, d):
     return _t(s, d, "part").select("p_partkey", S.media_mbit(text).alias("mbit"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN p_size / 256 WHEN 2 THEN p_size / 4 END::DOUBLE AS value FROM part")
+@query("""WITH x AS (SELECT p_partkey, p_partkey % 8 AS k, (p_size - 1) % 256 AS hi, p_partkey % 256 AS lo FROM part)
+  SELECT p_partkey, CASE WHEN hi = 0 AND lo = 0 THEN NULL WHEN k = 0 THEN hi * 256 + lo WHEN k = 1 THEN (hi * 256 + lo) / 256 WHEN k = 2 THEN hi * 64 + lo // 4 WHEN k = 3 THEN hi
+    WHEN k = 4 THEN (hi * 256 + lo) / 16384 WHEN k = 5 THEN (hi * 256 + lo) * 65536 WHEN k = 6 THEN (hi * 256 + lo) / 32 END::DOUBLE AS value FROM x""")
 def smc_decode(s, d):
-    kind = F.expr("element_at(array('ui16', 'sp78', 'fpe2', '????'), cast(p_partkey % 4 + 1 as int))")
-    return _t(s, d, "part").select("p_partkey", S.smc_decode(kind, F.lpad(F.hex("p_size"), 4, "0")).alias("value"))
+    kind = F.expr("element_at(array('ui16', 'sp78', 'fpe2', 'ui8', 'sp1e', 'ui32', 'spa5', '????'), cast(p_partkey % 8 + 1 as int))")
+    raw = F.concat(F.lpad(F.hex((F.col("p_size") - 1) % 256), 2, "0"), F.lpad(F.hex(F.col("p_partkey") % 256), 2, "0"))
+    return _t(s, d, "part").select("p_partkey", S.smc_decode(kind, F.when(kind == "ui32", F.concat(raw, F.lit("0000"))).otherwise(raw)).alias("value"))
 
 
-@query("SELECT event_id, pw * CASE WHEN sh <= 1 THEN 1 WHEN sh <= 2 THEN 2 WHEN sh <= 2.5 THEN 2.5 WHEN sh <= 5 THEN 5 ELSE 10 END AS bound FROM (SELECT event_id, pow(10, floor(log10(value)))::DOUBLE AS pw, round(value / pow(10, floor(log10(value))), 9) AS sh FROM events)")
+@query("""WITH v AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN value WHEN 1 THEN -value / 1000 ELSE floor(value / 100) * 0 END AS v FROM events),
+  n AS (SELECT event_id, v, pow(10, floor(log10(abs(v)))) AS p, abs(v) / pow(10, floor(log10(abs(v)))) AS x FROM v WHERE v <> 0),
+  o AS (SELECT event_id, v, p, CASE WHEN x <= 1 THEN 1 WHEN x <= 2 THEN 2 WHEN x <= 2.5 THEN 2.5 WHEN x <= 5 THEN 5 ELSE 10 END::DOUBLE AS up,
+               CASE WHEN x >= 10 THEN 10 WHEN x >= 5 THEN 5 WHEN x >= 2.5 THEN 2.5 WHEN x >= 2 THEN 2 ELSE 1 END::DOUBLE AS down FROM n)
+  SELECT event_id, sign(v) * CASE WHEN v > 0 THEN up ELSE down END * p AS upper, sign(v) * CASE WHEN v < 0 THEN up ELSE down END * p AS lower FROM o
+  UNION ALL SELECT event_id, 0, 0 FROM v WHERE v = 0""")
 def axis_scale(s, d):
-    return _t(s, d, "events").select("event_id", S.nice_bound(F.col("value")).alias("bound"))
+    v = F.expr("CASE event_id % 3 WHEN 0 THEN value WHEN 1 THEN -value / 1000 ELSE 0D END")
+    return _t(s, d, "events").select("event_id", S.nice_bound(v).alias("upper"), S.nice_bound(v, up=False).alias("lower"))
 
 
 @query("SELECT event_id, value * 9 / 5 + 32 AS fahrenheit FROM events")
@@ -502,10 +589,3 @@ def stream_stateful_hold(s, d):
     from .streaming.folds import stream_hold as f
 
     return _drained(s, f(_stream(s, d)), "hold")
-
-
-@query()
-def csv_rows(s, d):
-    from .sources.export import csv_lines
-
-    return csv_lines(T.columns(T.fold(_ev(s, d), 1800), MONTH), "value")

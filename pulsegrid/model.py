@@ -15,3 +15,19 @@ MAX_COUNT = 65535
 SPAN_BUCKETS = 16
 HOLD_SECONDS = 900
 SAMPLE_LIFETIME = 10
+MAX_LANES = 256
+RECLAIM_IDLE = 86_400
+SLOT_BYTES = 20
+#: first_valid of a lane that nothing was written for.
+NO_BUCKET = 4_294_967_295
+#: Flags of a lane.
+ORPHAN, RECLAIMED = 1, 2
+SPAN_RETENTION = 365 * 86_400
+DAYS_KEPT = 400
+MODULES = ("cpu", "ram", "gpu", "net", "disk", "battery", "sensors")
+UNITS = ("percent", "bytesPerSec", "bytes", "celsius", "watts", "volts", "rpm")
+KINDS = ("rate", "gauge", "step")
+UNIT_SYMBOLS = {"percent": "%", "bytesPerSec": "B/s", "bytes": "B", "celsius": "°C", "watts": "W", "volts": "V", "rpm": "RPM"}
+REASONS = ("nodata", "measured", "asleep", "notRunning", "clockStep", "held")
+#: range in seconds: seconds between refreshes
+REFRESH = {3600: 10, 21600: 10, 86400: 60, 604800: 60, 2592000: 300, 31536000: 300}

@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import I64_MAX, day_key
+from ..sources.shared import written
+from .series import significant, total
+from .windows import throttled
+
 
 def lane_identity(module: Column, source: Column, metric: Column) -> Column:
     """The first 16 bytes of the SHA-256 of 'module|source|metric', in hex."""
@@ -31,14 +36,20 @@ def last_wins(rows: DataFrame, key: str, seq: str) -> DataFrame:
 
 
 def conflate(rows: DataFrame, key: str, value: str, window_us: int) -> DataFrame:
-    """The last value of each key in each window."""
+    """The last value of each key in each window of the epoch's grid."""
     w = F.floor(F.col("us") / window_us).cast("long")
     return rows.groupBy(key, w.alias("window")).agg(F.max_by(value, F.struct("us", "seq")).alias(value), F.count(F.lit(1)).alias("merged"))
 
 
 def grouped_top(rows: DataFrame, key: str, value: str, k: int) -> DataFrame:
     """The k keys of largest sum; ties by key."""
-    return rows.groupBy(key).agg(F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("usage")).orderBy(F.desc("usage"), key).limit(k)
+    return rows.groupBy(key).agg(total(value).alias("usage")).orderBy(F.desc("usage"), key).limit(k)
+
+
+def responsible_top(rows: DataFrame, key: str, name: str, value: str, order: str, k: int) -> DataFrame:
+    """The k groups of largest sum, each with the name of its first row by `order`; ties by key."""
+    grouped = rows.groupBy(key).agg(F.min_by(name, order).alias(name), total(value).alias("usage"), F.count(F.lit(1)).alias("members"))
+    return grouped.orderBy(F.desc("usage"), key).limit(k)
 
 
 def pair_top(rows: DataFrame, key: str, a: str, b: str, k: int) -> DataFrame:
@@ -55,6 +66,22 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.subtract(b).unionByName(b.subtract(a))
 
 
+def only(rows: DataFrame, live: DataFrame, key: str) -> DataFrame:
+    """Distinct rows whose key is live."""
+    return rows.join(live, key, "left_semi").distinct()
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows whose key isn't gone."""
+    return rows.join(gone, key, "left_anti")
+
+
+def grouped(members: DataFrame, groups: DataFrame, key: str, group_key: str, name: str, none: str = "ungrouped") -> DataFrame:
+    """members with grp: the name of their group, or `none` if there is no such group."""
+    g = groups.select(F.col(group_key).alias(key), F.col(name).alias("__grp"))
+    return members.join(g, key, "left").withColumn("grp", F.coalesce("__grp", F.lit(none))).drop("__grp")
+
+
 def upsert(sources: list[DataFrame], key: str, fields: list[str]) -> DataFrame:
     """Full outer merge; each field from the first source that has it."""
     named = [s.select(key, *[F.col(f).alias(f"__{i}_{f}") for f in fields]) for i, s in enumerate(sources)]
@@ -70,28 +97,61 @@ def resolve(items: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
         unique = targets.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("target_id").alias(f"__t_{k}"), F.count(F.lit(1)).alias("__n")).where("__n = 1").drop("__n")
         out = out.join(unique, k, "left")
     rank = F.coalesce(*[F.when(F.col(f"__t_{k}").isNotNull(), F.lit(i)) for i, k in enumerate(keys)])
-    out = out.withColumn("target_id", F.coalesce(*[F.col(f"__t_{k}") for k in keys])).withColumn("__rank", rank)
-    first = F.row_number().over(Window.partitionBy("target_id").orderBy("__rank", "item_id"))
-    return out.withColumn("__i", F.when(F.col("target_id").isNotNull(), first).otherwise(F.lit(1))).withColumn("target_id", F.when(F.col("__i") == 1, F.col("target_id"))).select("item_id", "target_id")
+    out = out.select("item_id", F.coalesce(*[F.col(f"__t_{k}") for k in keys]).alias("target_id"), rank.alias("__rank"))
+    # the winner of each target by a partial aggregate; items without one don't meet on NULL
+    won = out.where("target_id is not null").groupBy("target_id").agg(F.min(F.struct("__rank", "item_id")).alias("__w")).select(F.col("__w.item_id").alias("item_id"), F.col("target_id").alias("__won"))
+    return out.join(won, "item_id", "left").select("item_id", F.when(F.col("target_id") == F.col("__won"), F.col("target_id")).alias("target_id"))
+
+
+def normalized(text: Column) -> Column:
+    """An address or name as it is compared: trimmed, lower case, dashes for colons; NULL if empty."""
+    return F.nullif(F.lower(F.replace(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit(":"), F.lit("-"))), F.lit(""))
+
+
+def resolve_accessories(items: DataFrame, devices: DataFrame, hid: DataFrame) -> DataFrame:
+    """items(item_id, address, name, vendor, product) with target_id of devices(target_id, address, name, vendor, product); hid(name, address).
+
+    In turn: the device of the same address; of the address that the one HID device of the same name has (two such addresses end the search); the only device
+    of the same name; the only device of the same vendor and product. A target goes to one item, as in resolve().
+    """
+    own = items.select("item_id", normalized(F.col("address")).alias("a"), normalized(F.col("name")).alias("n"), F.when(F.col("vendor").isNotNull() & F.col("product").isNotNull(), F.struct("vendor", "product")).alias("vp"))
+    known = devices.select("target_id", normalized(F.col("address")).alias("a"), normalized(F.col("name")).alias("n"), F.struct("vendor", "product").alias("vp"))
+    via = hid.select(normalized(F.col("name")).alias("n"), normalized(F.col("address")).alias("a")).where("n is not null").groupBy("n").agg(F.count_distinct("a").alias("__addresses"), F.min("a").alias("__hid"))
+    first = lambda k, out: known.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("target_id").alias(out), F.count(F.lit(1)).alias(f"{out}_n"))
+    found = own.join(first("a", "__1"), "a", "left").join(via, "n", "left").join(first("a", "__2").withColumnRenamed("a", "__hid"), "__hid", "left").join(first("n", "__3"), "n", "left").join(first("vp", "__4"), "vp", "left")
+    only = lambda k: F.when(F.col(f"{k}_n") == 1, F.col(k))
+    by_name = F.coalesce(only("__2"), only("__3"))
+    stopped = F.coalesce(F.col("__addresses") > 1, F.lit(False))
+    target = F.coalesce(F.col("__1"), F.when(~stopped, F.coalesce(by_name, only("__4"))))
+    rank = F.when(F.col("__1").isNotNull(), 0).when(only("__2").isNotNull(), 1).when(only("__3").isNotNull(), 2).otherwise(3)
+    out = found.select("item_id", target.alias("target_id"), rank.alias("__rank"))
+    won = out.where("target_id is not null").groupBy("target_id").agg(F.min(F.struct("__rank", "item_id")).alias("__w")).select(F.col("__w.item_id").alias("item_id"), F.col("target_id").alias("__won"))
+    return out.join(won, "item_id", "left").select("item_id", F.when(F.col("target_id") == F.col("__won"), F.col("target_id")).alias("target_id"))
 
 
 def hierarchy(nodes: DataFrame, max_depth: int = 16) -> DataFrame:
-    """id, depth, path of nodes(id, parent, ord) in preorder; each level is one join, a cycle ends at max_depth without rows."""
-    key = lambda: F.format_string("%06d", F.col("ord"))
-    level = nodes.where("parent is null").select("id", F.lit(0).cast("long").alias("depth"), key().alias("path"))
-    out = level
-    children = nodes.where("parent is not null")
-    for _ in range(max_depth):
+    """id, depth, path of nodes(id, parent, ord): the ords from the root down, whose order is preorder. A cycle has no root and no rows.
+
+    Each level is written before the next is made (one join a level), and the walk ends at the first empty one.
+    """
+    spark = nodes.sparkSession
+    children = nodes.where("parent is not null").select("id", "parent", "ord")
+    level = nodes.where("parent is null").select("id", F.lit(0).cast("long").alias("depth"), F.array(F.col("ord").cast("long")).alias("path"))
+    out = []
+    for _ in range(max_depth + 1):
+        level = written(spark, level, "level")
+        if level.isEmpty():
+            break
+        out.append(level)
         up = level.select(F.col("id").alias("parent"), F.col("depth").alias("__d"), F.col("path").alias("__p"))
-        level = children.join(up, "parent").select("id", (F.col("__d") + 1).alias("depth"), F.concat("__p", F.lit("/"), key()).alias("path"))
-        out = out.unionByName(level)
-    return out
+        level = children.join(up, "parent").select("id", (F.col("__d") + 1).alias("depth"), F.concat("__p", F.array(F.col("ord").cast("long"))).alias("path"))
+    return reduce(DataFrame.unionByName, out) if out else level
 
 
-def status_rollup(hosts: DataFrame, group: str, up: Column) -> DataFrame:
-    """Colour of each group: green all up, orange some, red none, gray if empty."""
-    n = hosts.groupBy(group).agg(F.count_if(up).alias("up"), F.count(F.lit(1)).alias("total"))
-    return n.withColumn("colour", F.when(F.col("total") == 0, "gray").when(F.col("up") == F.col("total"), "green").when(F.col("up") > 0, "orange").otherwise("red"))
+def status_rollup(hosts: DataFrame, group: str, up: Column, down: Column) -> DataFrame:
+    """Colour of each group: green all up, red all down, orange any other mix (hosts that are neither count), gray for none."""
+    n = hosts.groupBy(group).agg(F.count_if(up).alias("up"), F.count_if(down).alias("down"), F.count(F.lit(1)).alias("total"))
+    return n.withColumn("colour", F.when(F.col("total") == 0, "gray").when(F.col("up") == F.col("total"), "green").when(F.col("down") == F.col("total"), "red").otherwise("orange"))
 
 
 def mode(rows: DataFrame, key: str, code: str) -> DataFrame:
@@ -122,7 +182,73 @@ def split_minutes(rows: DataFrame, duration_s: Column) -> DataFrame:
     return spread.withColumn("seconds", (F.least(F.col("us"), (F.col("minute") + 1) * minute) - F.greatest(F.col("__s"), F.col("minute") * minute)) / 1_000_000).drop("__s")
 
 
-def daily_totals(rows: DataFrame, ts: Column, zone: str, up: Column, down: Column) -> DataFrame:
-    """day (YYYYMMDD of the local calendar), upload, download; negatives count as none."""
-    day = F.date_format(F.from_utc_timestamp(ts, zone), "yyyyMMdd").cast("int")
-    return rows.groupBy(day.alias("day")).agg(F.sum(F.greatest(up, F.lit(0))).cast("long").alias("upload"), F.sum(F.greatest(down, F.lit(0))).cast("long").alias("download"))
+def daily_totals(rows: DataFrame, utc: Column, zone: str, up: Column, down: Column) -> DataFrame:
+    """day (YYYYMMDD of the zone's calendar), upload, download; negatives count as none, and sums stop at the largest 64-bit integer."""
+    return rows.groupBy(day_key(utc, zone).alias("day")).agg(saturating_sum(up).alias("upload"), saturating_sum(down).alias("download"))
+
+
+def saturating_sum(value: Column) -> Column:
+    """Sum of whole numbers, negatives as none, held at the largest 64-bit integer (adding is monotonous, so holding the exact sum is the same)."""
+    exact = F.sum(F.greatest(value, F.lit(0)).cast("decimal(20,0)"))
+    return F.least(exact, F.lit(I64_MAX).cast("decimal(38,0)")).cast("long")
+
+
+def two_days(totals: DataFrame, today: int, yesterday: int) -> DataFrame:
+    """One row: upload and download of today and of yesterday (days as YYYYMMDD), 0 without a record."""
+    part = lambda c, d: F.coalesce(F.sum(F.when(F.col("day") == d, F.col(c))), F.lit(0)).cast("long")
+    return totals.where(F.col("day").isin(today, yesterday)).agg(part("upload", today).alias("upload"), part("download", today).alias("download"), part("upload", yesterday).alias("upload_before"), part("download", yesterday).alias("download_before"))
+
+
+def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The row of least `order` for each key: the first to come holds."""
+    kept = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*kept), order).alias("__r")).select(key, "__r.*")
+
+
+def append_new(rows: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """rows, and those of `more` whose key they don't have."""
+    return rows.unionByName(more.join(rows.select(key), key, "left_anti").select(*rows.columns))
+
+
+def patch(state: DataFrame, update: DataFrame, key: str) -> DataFrame:
+    """state with each field of an update that is not null in place of its own; updates of unknown keys change nothing."""
+    fields = [c for c in state.columns if c != key]
+    new = update.select(key, *[F.col(c).alias(f"__{c}") for c in fields if c in update.columns])
+    return state.join(new, key, "left").select(key, *[F.coalesce(f"__{c}", c).alias(c) if c in update.columns else F.col(c) for c in fields])
+
+
+def first_unused(left: DataFrame, right: DataFrame, matches: Column, left_order: str, right_order: str) -> DataFrame:
+    """Each left row, in order, with the first right row that matches and no earlier left row took; NULL without one. For two short lists: the pairs that match
+    are walked in one task."""
+    import pandas as pd
+
+    pairs = F.broadcast(right.select(F.col(right_order).alias("__r"), *[c for c in right.columns if c != right_order])).join(left, matches).select(F.col(left_order).alias("l"), F.col("__r").alias("r"))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        used, out = set(), []
+        for l, rs in pdf.sort_values(["l", "r"]).groupby("l")["r"]:  # noqa: E741
+            free = next((r for r in rs if r not in used), None)
+            if free is not None:
+                used.add(free)
+                out.append((l, free))
+        return pd.DataFrame(out, columns=["l", "r"]).astype(pdf.dtypes.to_dict())
+
+    taken = pairs.groupBy(F.lit(0)).applyInPandas(walk, pairs.schema)
+    return left.join(taken.withColumnRenamed("l", left_order), left_order, "left").withColumnRenamed("r", right_order)
+
+
+def usage_by_pid(rows: DataFrame, interval_s: float) -> DataFrame:
+    """pid, name, usage (percent) of each tick after a client's one before: the clients' steps of GPU time over the elapsed time, summed by process.
+
+    rows: client, pid, name, queues, gpu_ns, tick_ns. A client counts if it had the same process and number of queues and no more time at the tick before;
+    a tick that comes under 0.25 s after the last that counted is left out, and one after three intervals (of a second or more) is only a new base.
+    """
+    # a row a tick; throttled() counts its seconds in units of `us`, here nanoseconds
+    ticks = throttled(rows.select(F.lit(0).alias("one"), F.col("tick_ns").alias("us"), F.lit(0).alias("seq")).distinct(), "one", 250.0)
+    ticks = ticks.select(F.col("us").alias("tick_ns"), F.lag("us").over(Window.partitionBy("one").orderBy("us")).alias("__before"))
+    ticks = ticks.withColumn("__elapsed", F.col("tick_ns") - F.col("__before")).where(F.col("__elapsed") <= max(interval_s, 1) * 3e9)
+    before = rows.select("client", F.col("tick_ns").alias("__before"), F.col("pid").alias("__pid"), F.col("queues").alias("__queues"), F.col("gpu_ns").alias("__gpu"))
+    both = rows.join(F.broadcast(ticks), "tick_ns").join(before, ["client", "__before"])
+    same = both.where((F.col("pid") == F.col("__pid")) & (F.col("queues") == F.col("__queues")) & (F.col("gpu_ns") >= F.col("__gpu")))
+    share = (F.col("gpu_ns") - F.col("__gpu")) / F.col("__elapsed") * 100
+    return same.groupBy("tick_ns", "pid").agg(F.min_by("name", "client").alias("name"), significant(F.sum(share)).alias("usage"))

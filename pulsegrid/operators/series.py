@@ -1,7 +1,7 @@
 """Samples to slots to columns. Samples: lane, us (microseconds since 1970), value, and where needed interval_s and a tie-break.
 
-Everything here is grouped aggregation, equi-joins and windows by lane; nothing is collected. Sums go through DECIMAL, so that they don't depend
-on the order in which partitions arrive."""
+Everything here is grouped aggregation, equi-joins and windows by lane; nothing is collected. Sums are of doubles, given with DIGITS significant digits, so
+that the order in which partitions arrive doesn't show."""
 
 from __future__ import annotations
 
@@ -29,13 +29,36 @@ def bucket(us: Column | str, step: int) -> Column:
     return F.when(us > 0, F.floor(us / (step * MICRO))).otherwise(0).cast("long")
 
 
-def exact_sum(value: Column | str) -> Column:
-    return F.sum(F.col(value).cast("decimal(18,2)") if isinstance(value, str) else value.cast("decimal(18,2)")).cast("double")
+DIGITS = 12
 
 
-def fold(samples: DataFrame, step: int) -> DataFrame:
-    """lane, bucket, count, min, max, sum."""
-    return accepted(samples).groupBy("lane", bucket("us", step).alias("bucket")).agg(F.least(F.count(F.lit(1)), F.lit(MAX_COUNT)).cast("long").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"), exact_sum("value").alias("sum"))
+def significant(value: Column) -> Column:
+    """value with DIGITS significant digits."""
+    return F.format_string(f"%.{DIGITS - 1}e", value).cast("double")
+
+
+def total(value: Column | str) -> Column:
+    return significant(F.sum(value))
+
+
+def _frozen(slots: DataFrame, rows: DataFrame, order: tuple[str, ...], most: int) -> DataFrame:
+    """slots(lane, bucket, count, min, max, sum) of rows(lane, bucket, value): counts stop at `most`, and sums with them, after the first so many in `order`.
+
+    Only rows of buckets over `most` are ordered; the list of those buckets has a row for each `most` rows of input at most.
+    """
+    over = slots.where(F.col("count") > most).select("lane", "bucket")
+    place = F.row_number().over(Window.partitionBy("lane", "bucket").orderBy(*order))
+    first = rows.join(F.broadcast(over), ["lane", "bucket"], "left_semi").withColumn("__place", place).where(F.col("__place") <= most)
+    sums = first.groupBy("lane", "bucket").agg(total("value").alias("__frozen"))
+    out = slots.join(sums, ["lane", "bucket"], "left").withColumn("sum", F.coalesce("__frozen", "sum"))
+    return out.withColumn("count", F.least("count", F.lit(most)).cast("long")).drop("__frozen")
+
+
+def fold(samples: DataFrame, step: int, order: tuple[str, ...] = ("us",), most: int = MAX_COUNT) -> DataFrame:
+    """lane, bucket, count, min, max, sum. From `most` samples of a bucket on (in order), count and sum stand still and min and max go on."""
+    rows = accepted(samples).withColumn("bucket", bucket("us", step))
+    slots = rows.groupBy("lane", "bucket").agg(F.count(F.lit(1)).alias("count"), F.min("value").alias("min"), F.max("value").alias("max"), total("value").alias("sum"))
+    return _frozen(slots, rows, order, most).select("lane", "bucket", "count", "min", "max", "sum")
 
 
 def rollup(slots: DataFrame, factor: int) -> DataFrame:
@@ -50,7 +73,7 @@ def rollup(slots: DataFrame, factor: int) -> DataFrame:
             .cast("long")
             .alias("reason")
         ]
-    return slots.groupBy("lane", F.floor(F.col("bucket") / factor).cast("long").alias("bucket")).agg(F.sum("count").cast("long").alias("count"), F.min("min").alias("min"), F.max("max").alias("max"), exact_sum("sum").alias("sum"), *reasons)
+    return slots.groupBy("lane", F.floor(F.col("bucket") / factor).cast("long").alias("bucket")).agg(F.sum("count").cast("long").alias("count"), F.min("min").alias("min"), F.max("max").alias("max"), total("sum").alias("sum"), *reasons)
 
 
 def catch_up(fine: DataFrame, coarse_done: DataFrame, factor: int) -> DataFrame:
@@ -78,7 +101,8 @@ def _attributed(samples: DataFrame, step: int) -> DataFrame:
 def attribute_spans(samples: DataFrame, step: int) -> DataFrame:
     """Each sample counts in every bucket that [t - interval, t] touches, from the lane's open bucket on."""
     spread = _attributed(samples, step).where("lo <= hi").withColumn("bucket", F.explode(F.sequence("lo", "hi")))
-    return spread.groupBy("lane", "bucket").agg(F.count(F.lit(1)).cast("long").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"), exact_sum("value").alias("sum"))
+    slots = spread.groupBy("lane", "bucket").agg(F.count(F.lit(1)).alias("count"), F.min("value").alias("min"), F.max("value").alias("max"), total("value").alias("sum"))
+    return _frozen(slots, spread, ("us", "seq"), MAX_COUNT).select("lane", "bucket", "count", "min", "max", "sum")
 
 
 def hold(samples: DataFrame, step: int, now_us: int) -> DataFrame:
@@ -129,19 +153,33 @@ def gap_reasons(slots: DataFrame, spine: DataFrame, spans: DataFrame, step: int,
     return out.select("lane", "bucket", reason.cast("long").alias("reason"))
 
 
-def columns(slots: DataFrame, plan: ColumnPlan) -> DataFrame:
-    """lane, column, start_s, count, min, avg, max for every lane and column of the plan; NULL, not zero, where there is nothing."""
+def columns(slots: DataFrame, plan: ColumnPlan, gaps: DataFrame | None = None) -> DataFrame:
+    """lane, column, start_s, count, min, avg, max for every lane and column of the plan; NULL, not zero, where there is nothing.
+
+    With gaps(lane, bucket, reason) of every bucket (gap_reasons), also reason: MEASURED or HELD where there is data (slots may have a reason column; without
+    one all are measured), else the first reason by position that isn't NODATA, with a count of zero; NULL throughout where no bucket has a reason.
+    """
     inside = slots.where(F.col("bucket").between(plan.lower, plan.upper - 1))
-    filled = inside.groupBy("lane", F.floor((F.col("bucket") - plan.lower) / plan.per_column).cast("long").alias("column")).agg(F.sum("count").cast("long").alias("count"), F.min("min").alias("min"), F.max("max").alias("max"), exact_sum("sum").alias("__sum"))
+    column = F.floor((F.col("bucket") - plan.lower) / plan.per_column).cast("long").alias("column")
+    data = F.max(F.when(F.col("reason") == HELD, 0).otherwise(1)) if "reason" in slots.columns else F.max(F.lit(1))
+    filled = inside.where("count > 0").groupBy("lane", column).agg(F.sum("count").cast("long").alias("count"), F.min("min").alias("min"), F.max("max").alias("max"), total("sum").alias("__sum"), data.alias("__measured"))
     spine = slots.select("lane").distinct().withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(plan.columns - 1)))).withColumn("column", F.col("column").cast("long"))
     out = spine.join(filled, ["lane", "column"], "left")
-    return out.select("lane", "column", ((F.col("column") * plan.per_column + plan.lower) * plan.step).cast("long").alias("start_s"), "count", "min", (F.col("__sum") / F.col("count")).alias("avg"), "max")
+    start = ((F.col("column") * plan.per_column + plan.lower) * plan.step).cast("long").alias("start_s")
+    if gaps is None:
+        return out.select("lane", "column", start, "count", "min", (F.col("__sum") / F.col("count")).alias("avg"), "max")
+    holes = gaps.where(F.col("bucket").between(plan.lower, plan.upper - 1) & ~F.col("reason").isin(NODATA, MEASURED, HELD))
+    holes = holes.groupBy("lane", column).agg(F.min_by("reason", "bucket").alias("__gap"))
+    reason = F.when(F.col("__measured") == 1, MEASURED).when(F.col("__measured") == 0, HELD).otherwise(F.col("__gap")).cast("long")
+    count = F.coalesce("count", F.when(F.col("__gap").isNotNull(), 0)).cast("long")
+    out = out.join(holes, ["lane", "column"], "left")
+    return out.select("lane", "column", start, count.alias("count"), "min", (F.col("__sum") / F.col("count")).alias("avg"), "max", reason.alias("reason"))
 
 
 def summary(cols: DataFrame) -> DataFrame:
     """lane, count, min, max, avg over columns with data, weighted by count."""
     data = cols.where("count > 0")
-    return data.groupBy("lane").agg(F.sum("count").cast("long").alias("count"), F.min("min").alias("min"), F.max("max").alias("max"), (F.sum((F.col("avg") * F.col("count")).cast("decimal(24,4)")).cast("double") / F.sum("count")).alias("avg"))
+    return data.groupBy("lane").agg(F.sum("count").cast("long").alias("count"), F.min("min").alias("min"), F.max("max").alias("max"), significant(F.sum(F.col("avg") * F.col("count")) / F.sum("count")).alias("avg"))
 
 
 def resample_fractional(slots: DataFrame, n: int) -> DataFrame:
@@ -151,6 +189,6 @@ def resample_fractional(slots: DataFrame, n: int) -> DataFrame:
     # column c holds positions from c * len div n to (c + 1) * len div n - 1
     spread = placed.withColumn("column", F.expr(f"((__i + 1) * {n} - 1) div __len"))
     spread = spread.where(F.expr(f"(column * __len) div {n} <= __i and __i < ((column + 1) * __len) div {n}"))
-    filled = spread.groupBy("lane", "column").agg(F.sum("count").cast("long").alias("count"), F.min("min").alias("min"), F.max("max").alias("max"), exact_sum("sum").alias("__sum"))
+    filled = spread.groupBy("lane", "column").agg(F.sum("count").cast("long").alias("count"), F.min("min").alias("min"), F.max("max").alias("max"), total("sum").alias("__sum"))
     spine = slots.select("lane").distinct().withColumn("column", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     return spine.join(filled, ["lane", "column"], "left").select("lane", "column", "count", "min", (F.col("__sum") / F.col("count")).alias("avg"), "max")

@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; where it is unset (tests), a folder of this machine."""
+    """What spark.checkpoint.dir names; where that is unset, a folder of this machine on a local master, and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    return "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
+
+
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: cuts lineage, survives lost executors."""
+    path = f"{shared_folder(spark)}/pulsegrid-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
