@@ -1,16 +1,15 @@
 """Exact duplicates by two-pass Bloom filtering. Native: DataFrame functions only.
 
-Pass 1 maps each text's SHA-256 to PROBES cells of a bit filter and counts rows per cell; the filter has a bit set where a cell was hit more
-than once. Pass 2 probes every row: a row with an unset cell is the only one with its text and passes straight through; the others (all true
+Pass 1 maps each text's SHA-256 to PROBES bits of one block of a bit filter and counts rows per bit, on each task first; the filter has a bit set where a bit
+was hit more than once. Pass 2 probes every row: a row with an unset bit is the only one with its text and passes straight through; the others (all true
 repeats and a few false ones) are shuffled and grouped by the full SHA-256, which decides.
 
-The filter has about BITS_PER_ROW bits a row. Cells are counted with a partial aggregate on each task, so pass 1 moves one row for each cell that a task
-hit. Up to BROADCAST_BITS the filter is broadcast (so at most BROADCAST_BITS / 8 bytes); beyond that it is joined as a table on its block number,
-and the rows move: for survivors() and for input without texts that is digests and ids; exact_dedup moves whatever other columns it passes on.
+The filter has about BITS_PER_ROW bits a row. Up to BROADCAST_BITS it is broadcast (so at most BROADCAST_BITS / 8 bytes); beyond that it is joined as a table on
+its block number, one join for all probes, and the rows move once, to their blocks.
 
 Defined results: null counts as the empty text, and empty texts are equal to each other; of equal texts the largest doc_id stays (null ids
-only if all are null), and rows that repeat that doc_id too are each marked kept. Extra columns are passed on; columns named like the result's
-are replaced. An empty table gives an empty result.
+only if all are null), and rows that repeat that doc_id too are each marked kept. survivors() keeps one row of equal texts, whatever their ids. Extra columns
+are passed on; columns named like the result's are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,67 +17,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch
+from .common import materialise
 
 PROBES = 2
 BITS_PER_ROW = 16
 MIN_BITS = 1 << 18
 BROADCAST_BITS = 1 << 28
-#: Row numbers that survivors() broadcasts at most (8 bytes each).
-BROADCAST_ROWS = 500_000
 #: Bits in one block of Spark's bitmap functions: 4096 bytes.
 BLOCK = 32768
 RESULT = ["keep_id", "group_size", "kept", "text_sha256"]
 
 
-def _cells(sha: Column, bits: int) -> list[Column]:
-    """PROBES cells of the filter: pieces of the digest, each below 2^52."""
-    return [F.pmod(F.conv(F.substring(sha, 1 + 13 * k, 13), 16, 10).cast("long"), F.lit(bits)) for k in range(PROBES)]
+def _block(sha: Column, blocks: int) -> Column:
+    return F.pmod(F.conv(F.substring(sha, 1, 13), 16, 10).cast("long"), F.lit(blocks))
 
 
-def repeat_filter(shas: DataFrame, bits: int) -> DataFrame:
-    """(block, bitmap): the cells that two or more rows hit. Column of shas: sha."""
-    cells = shas.select(F.explode(F.array_distinct(F.array(*_cells(F.col("sha"), bits)))).alias("cell"))
-    hit = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    block, bit = F.floor(F.col("cell") / BLOCK).cast("int"), F.pmod("cell", F.lit(BLOCK))
-    return hit.groupBy(block.alias("block")).agg(F.bitmap_construct_agg(bit).alias("bitmap"))
+def _bits(sha: Column) -> list[Column]:
+    """PROBES bits of a block: pieces of the digest."""
+    return [F.pmod(F.conv(F.substring(sha, 14 + 4 * k, 4), 16, 10).cast("long"), F.lit(BLOCK)) for k in range(PROBES)]
 
 
-def _is_set(bitmap: Column, cell: Column) -> Column:
-    bit = F.pmod(cell, F.lit(BLOCK)).cast("int")
+def repeat_filter(shas: DataFrame, blocks: int) -> DataFrame:
+    """(block, bitmap): the bits that two or more rows hit. Column of shas: sha."""
+    hits = shas.select(_block(F.col("sha"), blocks).alias("block"), F.explode(F.array_distinct(F.array(*_bits(F.col("sha"))))).alias("bit"))
+    more = hits.groupBy("block", "bit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return more.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def _is_set(bitmap: Column, bit: Column) -> Column:
     byte = F.conv(F.hex(F.substring(bitmap, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))).cast("int"), F.lit(2)) == 1, F.lit(False))
 
 
-def _filter(rows: DataFrame, bits: int | None, broadcast_bits: int) -> tuple[DataFrame, int]:
-    """The filter of rows' text_sha256, to be broadcast if it is small enough, and its bits."""
+def _probed(rows: DataFrame, bits: int | None, broadcast_bits: int) -> DataFrame:
+    """rows (with text_sha256) with __seen: may another row have this text?"""
     if bits is None:
         bits = MIN_BITS
         wanted = BITS_PER_ROW * rows.count()  # from Parquet footers: no column is read
         while bits < wanted:
             bits *= 2
-    found = repeat_filter(rows.select(F.col("text_sha256").alias("sha")), bits)
-    return F.broadcast(found) if bits <= broadcast_bits else found, bits
+    blocks = max(1, bits // BLOCK)
+    found = repeat_filter(rows.select(F.col("text_sha256").alias("sha")), blocks).select(F.col("block").alias("__block"), F.col("bitmap").alias("__bitmap"))
+    if bits <= broadcast_bits:
+        found = F.broadcast(found)
+    joined = rows.join(found, _block(F.col("text_sha256"), blocks) == F.col("__block"), "left")
+    seen = F.lit(True)
+    for bit in _bits(F.col("text_sha256")):
+        seen = seen & _is_set(F.col("__bitmap"), bit)
+    return joined.select(*rows.columns, seen.alias("__seen"))
 
 
-def _probed(rows: DataFrame, found: DataFrame, bits: int) -> DataFrame:
-    """rows with __seen: may another row have this text?"""
-    columns, cells = rows.columns, _cells(F.col("text_sha256"), bits)
-    for k, cell in enumerate(cells):
-        part = found.select(F.col("block").alias(f"__block{k}"), F.col("bitmap").alias(f"__bitmap{k}"))
-        rows = rows.join(part, F.floor(cell / BLOCK).cast("int") == F.col(f"__block{k}"), "left")
-    seen = F.lit(True)
-    for k, cell in enumerate(cells):
-        seen = seen & _is_set(F.col(f"__bitmap{k}"), cell)
-    return rows.select(*columns, seen.alias("__seen"))
+def _hashed(docs: DataFrame, columns: list) -> DataFrame:
+    return docs.select(*columns, F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, bits: int | None = None, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
     """docs with keep_id, group_size, kept and text_sha256."""
     keep = [c for c in docs.columns if c not in RESULT]
-    rows = docs.select(*keep, F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    found, bits = _filter(rows, bits, broadcast_bits)
-    probed = _probed(rows, found, bits)
+    probed = _probed(_hashed(docs, keep), bits, broadcast_bits)
     alone = probed.where(~F.col("__seen")).select(*keep, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = probed.where("__seen")
     groups = materialise(maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
@@ -88,19 +84,11 @@ def exact_dedup(docs: DataFrame, bits: int | None = None, broadcast_bits: int =
 
 
 def survivors(docs: DataFrame, bits: int | None = None, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
-    """The rows of docs that stay: of equal texts one row, that of the largest doc_id (null first), also where ids are repeated or null.
+    """The rows of docs that stay: of equal texts one row, one of those with the largest doc_id (null if all are), also where ids are repeated.
 
-    Rows get a number when they are written with their digest; the filter is probed, and repeats are grouped, by digest and number alone. Texts move once at
-    most, and only to be told that they go: to the numbers of the rows that do, which are broadcast up to BROADCAST_ROWS.
+    Each task keeps one row of a text before any moves, so a text that a third of all rows have moves once a task.
     """
-    columns = [F.col(c) for c in docs.columns]
-    rows = materialise(docs.select(F.struct(*columns).alias("__row"), "doc_id", F.monotonically_increasing_id().alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")), "numbered")
-    keys = rows.select("text_sha256", "doc_id", "row")
-    with scratch(docs.sparkSession):
-        found, bits = _filter(keys, bits, broadcast_bits)
-        maybe = _probed(keys, found, bits).where("__seen").drop("__seen")
-        stays = materialise(maybe.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row"))["row"].alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "stays")
-        gone = materialise(maybe.join(stays, "text_sha256").where("row != stays").select("row"), "gone", outer=True)
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return rows.join(gone, "row", "left_anti").select("__row.*")
+    probed = _probed(_hashed(docs, [F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.col("doc_id").alias("__id")]), bits, broadcast_bits)
+    order = F.struct(F.col("__id").isNotNull(), "__id")
+    one = probed.where("__seen").groupBy("text_sha256").agg(F.max_by("__row", order).alias("__row"))
+    return probed.where(~F.col("__seen")).select("__row.*").unionByName(one.select("__row.*"))
