@@ -46,7 +46,7 @@ def materialise(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     path = new_path(df.sparkSession, name)
     if len(_scopes) > outer:
         _scopes[-1 - outer].append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
