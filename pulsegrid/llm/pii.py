@@ -4,7 +4,8 @@ Base kinds (email, ip, card, phone) always stay when their check passes. The met
 pattern that counts only if the words before it lift its score to ACCEPT).
 
 The patterns are forms of the fixed ones that match the same spans in linear time and without deep recursion: a run starts only where the last
-match ended or no character of the run stands before, and card digits are matched in pieces of at most 200, of which only a whole run can pass.
+match ended or no character of the run stands before, and card digits are matched in pieces of at most 200, of which only a whole run can pass. An iban has the
+length of its country and ends at a word's end, so that words and digits behind it don't count.
 
 Defined results: a null text counts as empty; a text without spans gives zero counts, an empty span list and the SHA-256 of the empty string.
 Each row gives one row, repeated rows included. Input columns beside doc_id and text are ignored, whatever their names. An empty table gives
@@ -18,11 +19,16 @@ from pyspark.sql import functions as F
 
 from .common import joined_spans, let, spans
 
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)(?:\.[A-Za-z0-9-]++){0,199}+"
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){13,199}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: Length of an iban by country. Fixed values of the public registry.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ XK LT LU", 21: "HR LV LI CH", 22: "BH BG CR GE DE IE ME RS GB VA", 23: "TL GI IQ IL AE", 24: "AD CZ MD PK RO SA SK ES SE TN VG",
+    25: "PT ST LY", 26: "IS TR", 27: "FR GR IT MR MC SM BI", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR PS QA UA EG", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+IBAN = r"(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_COUNTRIES.items()) + r")(?![A-Za-z0-9])"
 NATIONAL_ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
 #: Score of a confirmed span; a context word before it adds LIFT; added kinds need ACCEPT.
