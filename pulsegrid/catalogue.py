@@ -544,9 +544,9 @@ def escape_codec(s, d):
     return _t(s, d, "part").select("p_partkey", S.escape_field(F.concat("p_type", F.lit(",$%"))).alias("field"))
 
 
-@query("SELECT event_id, 'history@v2@' || base64(encode(event_type)) || '@1' || lpad(event_id::VARCHAR, 20, '0') AS key FROM events")
+@query("SELECT event_id, 'history@v2@' || base64(encode(event_type)) || '@' || lpad((event_id::HUGEINT - 500 + 9223372036854775808)::VARCHAR, 20, '0') AS key FROM events")
 def keyed_store_codec(s, d):
-    return _t(s, d, "events").select("event_id", S.bucket_key(F.col("event_type"), F.col("event_id")).alias("key"))
+    return _t(s, d, "events").select("event_id", S.bucket_key(F.col("event_type"), F.col("event_id") - 500).alias("key"))
 
 
 @query("SELECT event_id, date_trunc('day', ts) + INTERVAL 1 DAY AS next_day, date_trunc('week', ts) + INTERVAL 7 DAY AS next_week, date_trunc('month', ts) + INTERVAL 1 MONTH AS next_month FROM events")
@@ -554,7 +554,7 @@ def local_boundaries(s, d):
     return _t(s, d, "events").select("event_id", *[F.expr(f"cast(date_trunc('{u}', ts) + INTERVAL {n} as timestamp_ntz) AS next_{u}") for u, n in (("day", "1 DAY"), ("week", "7 DAY"), ("month", "1 MONTH"))])
 
 
-# streaming: rows only, append output leaves the newest windows open
+# streaming
 def _stream(s: SparkSession, d: str) -> DataFrame:
     schema = s.read.parquet(f"{d}/events.parquet").schema
     e = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)  # a streaming source reads a folder
@@ -568,24 +568,3 @@ def _drained(s: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     from .streaming.folds import drain
 
     return drain(stream, name, f"{shared_folder(s)}/stream-{uuid.uuid4().hex}")
-
-
-@query()
-def stream_fold(s, d):
-    from .streaming.folds import stream_fold as f
-
-    return _drained(s, f(_stream(s, d), 1800, "1 hour"), "fold")
-
-
-@query()
-def stream_alerts(s, d):
-    from .streaming.folds import stream_streaks
-
-    return _drained(s, stream_streaks(_stream(s, d), 50.0, 2), "alerts")
-
-
-@query()
-def stream_stateful_hold(s, d):
-    from .streaming.folds import stream_hold as f
-
-    return _drained(s, f(_stream(s, d)), "hold")

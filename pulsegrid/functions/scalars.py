@@ -368,20 +368,25 @@ def day_bounds(utc: Column, zone: str) -> tuple[Column, Column]:
     return from_zone(start, zone), from_zone(start + F.expr("INTERVAL 1 DAY"), zone)
 
 
-#: Front of the keys of the minute store. Fixed value.
+#: Front of the keys of the minute store, and what is added to their times so that none is negative. Fixed values.
 KEY_FRONT = "history@v2@"
+KEY_BIAS = 1 << 63
+
+
+def _biased() -> Column:
+    return F.lit(str(KEY_BIAS)).cast("decimal(20,0)")
 
 
 def bucket_key(name: Column, ts: Column) -> Column:
-    """Keys whose order as text is that of time: a base64 name and a biased, padded number."""
-    biased = F.lpad(F.when(ts < 0, ts + F.lit(I64_MAX) + 1).otherwise(ts).cast("string"), 20, "0")
-    return F.concat(F.lit(KEY_FRONT), F.base64(F.encode(name, "UTF-8")), F.lit("@"), F.when(ts < 0, "0").otherwise("1"), biased)
+    """Keys whose order as text is that of time: a base64 name, and the time plus the bias in 20 digits."""
+    number = (ts.cast("decimal(20,0)") + _biased()).cast("decimal(20,0)").cast("string")
+    return F.concat(F.lit(KEY_FRONT), F.base64(F.encode(name, "UTF-8")), F.lit("@"), F.lpad(number, 20, "0"))
 
 
 def bucket_key_parts(key: Column) -> tuple[Column, Column]:
     """name and ts of a key; NULL for what is none."""
-    pattern = "^" + KEY_FRONT + "([A-Za-z0-9+/=]*)@([01])([0-9]{20})$"
-    name, sign, number = (F.regexp_extract(key, pattern, k) for k in (1, 2, 3))
+    pattern = "^" + KEY_FRONT + "([A-Za-z0-9+/=]*)@([0-9]{20})$"
+    name, number = (F.regexp_extract(key, pattern, k) for k in (1, 2))
     met = key.rlike(pattern)
-    ts = number.try_cast("long")
-    return F.when(met, F.decode(F.unbase64(name), "UTF-8")), F.when(met, F.when(sign == "0", ts - F.lit(I64_MAX) - 1).otherwise(ts))
+    ts = (number.try_cast("decimal(20,0)") - _biased()).try_cast("long")
+    return F.when(met, F.decode(F.unbase64(F.when(met, name)), "UTF-8")), F.when(met, ts)

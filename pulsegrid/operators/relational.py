@@ -223,6 +223,7 @@ def first_unused(left: DataFrame, right: DataFrame, matches: Column, left_order:
     import pandas as pd
 
     pairs = F.broadcast(right.select(F.col(right_order).alias("__r"), *[c for c in right.columns if c != right_order])).join(left, matches).select(F.col(left_order).alias("l"), F.col("__r").alias("r"))
+    kinds = pairs.schema
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
@@ -231,9 +232,9 @@ def first_unused(left: DataFrame, right: DataFrame, matches: Column, left_order:
             if free is not None:
                 used.add(free)
                 out.append((l, free))
-        return pd.DataFrame(out, columns=["l", "r"]).astype(pdf.dtypes.to_dict())
+        return pd.DataFrame(out, columns=["l", "r"]).astype(pdf[["l", "r"]].dtypes.to_dict())
 
-    taken = pairs.groupBy(F.lit(0)).applyInPandas(walk, pairs.schema)
+    taken = pairs.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(walk, kinds)
     return left.join(taken.withColumnRenamed("l", left_order), left_order, "left").withColumnRenamed("r", right_order)
 
 
@@ -252,3 +253,31 @@ def usage_by_pid(rows: DataFrame, interval_s: float) -> DataFrame:
     same = both.where((F.col("pid") == F.col("__pid")) & (F.col("queues") == F.col("__queues")) & (F.col("gpu_ns") >= F.col("__gpu")))
     share = (F.col("gpu_ns") - F.col("__gpu")) / F.col("__elapsed") * 100
     return same.groupBy("tick_ns", "pid").agg(F.min_by("name", "client").alias("name"), significant(F.sum(share)).alias("usage"))
+
+
+def network_top(rows: DataFrame, a: str, b: str, time: str, key: str, k: int) -> DataFrame:
+    """The k rows of largest (greater, lesser) of two values, then latest; ties by key, the largest first."""
+    return rows.orderBy(F.greatest(a, b).desc(), F.least(a, b).desc(), F.col(time).desc(), F.col(key).desc()).limit(k)
+
+
+def top(rows: DataFrame, value: str, key: str, k: int) -> DataFrame:
+    """The k rows of largest value; ties by key."""
+    return rows.orderBy(F.desc(value), key).limit(k)
+
+
+def flag_ranked(rows: DataFrame, flag: Column, key: str, name: str) -> DataFrame:
+    """rows with their place: those without the flag first, each part by key. For lists that a person looks at: one ordered sequence."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(flag, key)))
+
+
+def group_order(rows: DataFrame, group: str, order: str, known: list[str]) -> DataFrame:
+    """group, position: groups in the order that is known, the others behind by their first appearance. One row a group is ordered."""
+    place = F.array_position(F.array(*[F.lit(x) for x in known]), F.col(group))
+    firsts = rows.groupBy(group).agg(F.min(order).alias("__f"))
+    ranked = Window.partitionBy(F.lit(0)).orderBy(F.when(place > 0, place).otherwise(len(known) + 1), "__f")
+    return firsts.withColumn("position", F.row_number().over(ranked)).select(group, "position")
+
+
+def active_by(rows: DataFrame, active: Column, value: str, key: str) -> DataFrame:
+    """Active rows by value, the largest first; ties by key."""
+    return rows.where(active).orderBy(F.desc(value), key)

@@ -194,3 +194,11 @@ def driver_counters(volumes: DataFrame, drivers: DataFrame, tick: str = "tick")
     kept = [c for c in drivers.columns if c not in (tick, "driver")]
     once = drivers.groupBy(tick, "driver").agg(F.min_by(F.struct(*kept), "ord").alias("__r")).select(tick, "driver", "__r.*")
     return volumes.join(once, [tick, "driver"])
+
+
+def emitted_by(rows: DataFrame, reader: str, metric: str, rules: dict[str, str]) -> DataFrame:
+    """Rows whose metric comes from the reader that the rules name for it; other readers' values of it, and metrics without a rule, are left out."""
+    right = F.lit(False)
+    for name, source in rules.items():
+        right = right | ((F.col(metric) == name) & (F.col(reader) == source))
+    return rows.where(right)

@@ -34,7 +34,7 @@ DIGITS = 12
 
 def significant(value: Column) -> Column:
     """value with DIGITS significant digits."""
-    return F.format_string(f"%.{DIGITS - 1}e", value).cast("double")
+    return F.when(value.isNotNull(), F.format_string(f"%.{DIGITS - 1}e", value)).cast("double")
 
 
 def total(value: Column | str) -> Column:

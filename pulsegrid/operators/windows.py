@@ -289,3 +289,11 @@ def confirmed_changes(rows: DataFrame, key: str, value: str, times: int) -> Data
     narrow = rows.where(F.col(value).isNotNull()).select(key, F.col("us").cast("long").alias("us"), F.col("seq").cast("long").alias("seq"), value)
     told = narrow.repartition(key).sortWithinPartitions(key, "us", "seq").mapInArrow(walk, f"key {narrow.schema[key].dataType.simpleString()}, us long, seq long, before {kind}, after {kind}")
     return told.withColumnRenamed("key", key)
+
+
+def conflate_from_first(rows: DataFrame, key: str, value: str, seconds: float) -> DataFrame:
+    """key, opened_us, value (the last), merged of windows that each open with the first row that waits and close `seconds` later."""
+    opened = throttled(rows, key, seconds).select(key, F.col("us").alias("us"), "seq").withColumn("__open", F.col("us"))
+    marked = rows.join(opened, [key, "us", "seq"], "left")
+    window = F.last("__open", ignorenulls=True).over(_by(key, "us", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("opened_us", window).groupBy(key, "opened_us").agg(F.max_by(value, F.struct("us", "seq")).alias(value), F.count(F.lit(1)).alias("merged"))

@@ -225,4 +225,4 @@ def archive_files(slots: DataFrame, lanes: DataFrame, tier: str, shard: str) ->
         data = encode_archive(tier, right.sort_values("lane").to_dict("records"), rows, last)
         return pd.DataFrame({"path": [f"{key[0]}/{tier}"], "content": [data]})
 
-    return slots.groupBy(shard).cogroup(lanes.groupBy(shard)).applyInPandas(build, "path string, content binary")
+    return slots.groupBy(shard).cogroup(lanes.withColumnRenamed(shard, "__shard").groupBy("__shard")).applyInPandas(build, "path string, content binary")

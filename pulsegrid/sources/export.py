@@ -24,7 +24,7 @@ def two_places(value: Column, unit: Column | None = None) -> Column:
 
 def stamp(seconds: Column, zone: str = "UTC") -> Column:
     """Local time of a zone with its offset in figures, +00:00 for UTC; not bound to the session's zone."""
-    utc = F.call_function("timestamp_ntz", F.call_function("date_add", F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")))
+    utc = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")).cast("timestamp_ntz")
     utc = utc + F.make_dt_interval(secs=(seconds % 86400).cast("decimal(18,6)"))
     wall = in_zone(utc, zone)
     offset = _minutes(wall) - _minutes(utc)
