@@ -133,7 +133,7 @@ def test_quality_score(spark):
     from collections import Counter
 
     d = "/root/testdata/sf0.001"
-    docs, labels = spark.read.parquet(f"{d}/documents.parquet").where("n_chars < 4000"), spark.read.parquet(f"{d}/labels.parquet")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").where("n_chars < 900"), spark.read.parquet(f"{d}/labels.parquet")
     buckets, prior = 1 << 17, quality.PRIOR
     trusted = {r["doc_id"] for r in quality.trusted_ids(labels).collect()}
     rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
