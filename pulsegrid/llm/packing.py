@@ -5,8 +5,9 @@ up among single lengths, sums of pairs and sums of triples of lengths still avai
 often as the counts allow; what has no exact partner is placed best-fit, all pieces of one length and all sequences with one gap at a time. The plan
 is a list of runs (length, ranks from-to, first sequence, offset); it has a few rows for each length, however many pieces there are.
 
-Each piece gets its rank among the pieces of its length from its place in its task plus the counts of earlier tasks; a join with the runs, without
-a shuffle of the ids, gives sequence and offset.
+Each piece gets its rank among the pieces of its length from its place in its task plus the counts of earlier tasks: one array a task, by length. Up to
+BROADCAST_CELLS of these arrays' cells they are broadcast and the ids stay where they are; beyond that (some thousand tasks) pieces and ids move once, to the
+counts of their task and length. A broadcast join with the runs gives sequence and offset.
 
 Defined results: a null text is a document of the end id alone. Rows that share a doc_id are packed like any others. Extra columns are ignored,
 whatever their names. An empty table gives an empty result.
@@ -26,8 +27,8 @@ from .common import materialise
 from .word_tokens import encoder as word_encoder
 
 CAPACITY = 4096
-#: Rows of (task, length) counts that are broadcast at most (24 bytes each); beyond, that join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Cells (task, length) of earlier tasks' counts that are broadcast at most, 8 bytes each.
+BROADCAST_CELLS = 16_000_000
 
 Run = tuple[int, int, int, int, int]
 
@@ -145,7 +146,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary, task long, place long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
     """doc_id, piece, start, length, ids, sequence_id, offset of every piece of every document."""
     spark = docs.sparkSession
     cut = materialise(pieces(docs, tokenizer, end_id, capacity), "pieces")
@@ -153,9 +154,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("task", "length", before.alias("before"))
-    if counts.count() <= broadcast_rows:
-        offsets = F.broadcast(offsets)
+    if counts.select("task").distinct().count() * (capacity + 1) <= broadcast_cells:
+        by_length = F.map_from_entries(F.collect_list(F.struct("length", "before")))  # `capacity` entries at most
+        dense = F.transform(F.sequence(F.lit(0), F.lit(capacity)), lambda k: F.coalesce(F.try_element_at("m", k.cast("long")), F.lit(0)))
+        tasks = offsets.groupBy("task").agg(by_length.alias("m")).select("task", dense.alias("before"))
+        ranked = cut.join(F.broadcast(tasks), "task").withColumn("rank", F.get("before", F.col("length").cast("int")) + F.col("place"))
+    else:
+        ranked = cut.join(offsets, ["task", "length"]).withColumn("rank", F.col("before") + F.col("place"))
     runs = spark.createDataFrame(plan(totals, capacity), "run_length long, low long, high long, first long, offset long")
-    ranked = cut.join(offsets, ["task", "length"]).withColumn("rank", F.col("before") + F.col("place"))
     placed = ranked.join(F.broadcast(runs), (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     return placed.select("doc_id", "piece", "start", "length", "ids", (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")

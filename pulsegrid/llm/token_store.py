@@ -8,6 +8,9 @@ block of 512 bits. Token i is read as byte i of level 0; if bit i is set, the ne
     then for each level: n: u64 | n bytes | bitmap: ceil(n / 8) bytes | directory: u64 for each started 512 bits
 All numbers are little-endian.
 
+Texts are encoded where they are read; only their ids move, two bytes each where the vocabulary allows it, to the range of their doc_id. The manifest is a table
+with a row a file, and the first token of each file a sum over the files before it in its range and over the ranges before; it never reaches the driver.
+
 Defined results: a null text has only the end id. Documents lie in ascending doc_id order (null ids first; rows that share an id by the hash of
 their text). Files go to the shared folder through pyarrow's file systems; each task attempt writes files of its own, and only those of the
 attempts that Spark accepted are in the manifest. Extra columns are ignored, whatever their names. An empty table gives no files and no rows.
@@ -20,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import materialise, new_path, scratch
 from .word_tokens import encoder as word_encoder
 
 MAGIC = b"PGDAC001"
@@ -110,17 +113,38 @@ class TokenFile:
         return out
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, file_tokens: int = FILE_TOKENS) -> list[tuple[str, int, int, int]]:
-    """Encode docs and write the files; returns (path, first token, documents, tokens) of each file in order: one entry for some MB of ids."""
-    folder = folder or new_path(docs.sparkSession, "tokens")
-    tie = F.xxhash64("text")
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
+def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """doc_id, tie, ids (little-endian, of the width that width_of() gives) of every row."""
+    width = width_of(tokenizer, end_id)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = word_encoder(tokenizer)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                ids = [np.append(x, np.uint32(end_id)).astype(width).tobytes() for x in encoder.encode(some.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(ids, pa.binary())], names=["doc_id", "tie", "ids"])
+        encoder.forget()
+
+    return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(encode, "doc_id long, tie long, ids binary")
+
+
+def width_of(tokenizer: str, end_id: int) -> str:
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, file_tokens: int = FILE_TOKENS) -> DataFrame:
+    """Encode docs and write the files; returns the manifest: path, first (token), docs, tokens of each file."""
+    spark, width = docs.sparkSession, width_of(tokenizer, end_id)
+    folder = folder or new_path(spark, "tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
-        encoder, task = word_encoder(tokenizer), TaskContext.get()
+        task = TaskContext.get()
         files, root = fs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
         doc_ids: list[int | None] = []
@@ -134,33 +158,31 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
             return pa.RecordBatch.from_pydict({"part": [task.partitionId()], "n": [n], "path": [f"{folder}/{name}"], "docs": [len(doc_ids)], "tokens": [held]})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for d, x in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
-                    doc_ids.append(d)
-                    ids.append(np.append(x, np.uint32(end_id)))
-                    held += len(ids[-1])
-                    if held >= file_tokens:
-                        yield close()
-                        doc_ids, ids, held, n = [], [], 0, n + 1
+            for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                doc_ids.append(d)
+                ids.append(np.frombuffer(x.as_buffer(), width).astype("<u4"))
+                held += len(ids[-1])
+                if held >= file_tokens:
+                    yield close()
+                    doc_ids, ids, held, n = [], [], 0, n + 1
         if doc_ids:
             yield close()
-        encoder.forget()
 
-    made = sorted(tuple(r) for r in ordered.mapInArrow(write, "part long, n long, path string, docs long, tokens long").collect())
-    manifest, first = [], 0
-    for _, _, path, n_docs, tokens in made:
-        manifest.append((path, first, n_docs, tokens))
-        first += tokens
-    return manifest
+    with scratch(spark):
+        encoded = materialise(_encoded(docs, tokenizer, end_id), "encoded")  # the ranges are drawn from it, so it is read twice
+        ordered = encoded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+        made = materialise(ordered.mapInArrow(write, "part long, n long, path string, docs long, tokens long"), "manifest", outer=True)
+    running = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    parts = made.groupBy("part").agg(F.sum("tokens").alias("all"))  # a row a range of documents
+    parts = parts.select("part", F.coalesce(F.sum("all").over(running(F.lit(0)).orderBy("part")), F.lit(0)).alias("before"))
+    first = F.col("before") + F.coalesce(F.sum("tokens").over(running("part").orderBy("n")), F.lit(0))
+    return made.join(F.broadcast(parts), "part").select("path", first.alias("first"), "docs", "tokens")
 
 
-def read_tokens(spark: SparkSession, manifest: list[tuple[str, int, int, int]]) -> DataFrame:
+def read_tokens(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) of every document in the files."""
-    schema = "path string, first long, docs long, tokens long"
-    files = spark.createDataFrame(manifest, schema)
-    if manifest:
-        files = files.repartition(min(len(manifest), 10_000))
+    files = manifest.select("path", "first", "docs", "tokens")
+    files = files.repartition(max(1, min(files.count(), 10_000)), "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs

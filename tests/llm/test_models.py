@@ -35,15 +35,15 @@ def word_ids(docs):
 
 def test_token_store(spark, docs, word_ids):
     manifest = token_store.write_tokens(docs, queries.WORD_TOKENIZER, 2, file_tokens=5000)
-    got = token_store.read_tokens(spark, manifest).collect()
+    got = token_store.read_tokens(manifest).collect()
     rows = docs.collect()
-    assert len(got) == len(rows) and len(manifest) > 3
+    assert len(got) == len(rows) and manifest.count() > 3
     want = Counter((r["doc_id"], word_ids(r["text"], 2).tobytes()) for r in rows)
     assert Counter((r["doc_id"], bytes(r["ids"])) for r in got) == want
     got.sort(key=lambda r: r["start"])
     assert [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got])[:-1].tolist()
     assert [-1 if r["doc_id"] is None else r["doc_id"] for r in got] == sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in rows)
-    assert token_store.read_tokens(spark, token_store.write_tokens(docs.limit(0), queries.WORD_TOKENIZER, 2)).count() == 0
+    assert token_store.read_tokens(token_store.write_tokens(docs.limit(0), queries.WORD_TOKENIZER, 2)).count() == 0
 
 
 @settings(max_examples=40, deadline=None)
@@ -58,8 +58,9 @@ def test_random_access(lists, data):
     assert f.tokens(a, b).tolist() == flat[a:b]
 
 
-def test_packing(spark, docs, word_ids):
-    got = packing.pack(docs, queries.WORD_TOKENIZER, 1, broadcast_rows=0).collect()
+@pytest.mark.parametrize("cells", [packing.BROADCAST_CELLS, 0])
+def test_packing(spark, docs, word_ids, cells):
+    got = packing.pack(docs, queries.WORD_TOKENIZER, 1, broadcast_cells=cells).collect()
     want = Counter()
     for r in docs.collect():
         x = word_ids(r["text"], 1)
