@@ -69,8 +69,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words(text: Column) -> Column:
     """Maximal runs of characters other than WS_CHARS, in order; an empty array for a text without one."""
-    trimmed = F.btrim(text, F.lit(WS_CHARS))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WS_CLASS + "+", -1))
+
+    def inner(parts: Column) -> Column:  # only the first and the last part can be empty
+        first = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0)
+        last = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+        return F.slice(parts, first + 1, F.size(parts) - first - last)
+
+    return let(F.split(text, WS_CLASS + "+", -1), inner)
 
 
 def spans(text: Column, pattern: str, context: int = 0, chunk: int = 128) -> Column:
