@@ -514,7 +514,7 @@ def smc_decode(s, d):
 
 
 @query("""WITH v AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN value WHEN 1 THEN -value / 1000 ELSE floor(value / 100) * 0 END AS v FROM events),
-  n AS (SELECT event_id, v, pow(10, floor(log10(abs(v)))) AS p, abs(v) / pow(10, floor(log10(abs(v)))) AS x FROM v WHERE v <> 0),
+  n AS (SELECT event_id, v, pow(10, floor(log10(abs(v)))) AS p, round(abs(v) / pow(10, floor(log10(abs(v)))), 12) AS x FROM v WHERE v <> 0),
   o AS (SELECT event_id, v, p, CASE WHEN x <= 1 THEN 1 WHEN x <= 2 THEN 2 WHEN x <= 2.5 THEN 2.5 WHEN x <= 5 THEN 5 ELSE 10 END::DOUBLE AS up,
                CASE WHEN x >= 10 THEN 10 WHEN x >= 5 THEN 5 WHEN x >= 2.5 THEN 2.5 WHEN x >= 2 THEN 2 ELSE 1 END::DOUBLE AS down FROM n)
   SELECT event_id, sign(v) * CASE WHEN v > 0 THEN up ELSE down END * p AS upper, sign(v) * CASE WHEN v < 0 THEN up ELSE down END * p AS lower FROM o

@@ -87,7 +87,7 @@ _NICE = "CASE WHEN x <= 1 THEN 1 WHEN x <= 2 THEN 2 WHEN x <= 2.5 THEN 2.5 WHEN
 
 
 @query(f"""WITH g AS (SELECT user_id, CASE user_id % 3 WHEN 0 THEN 'percent' WHEN 1 THEN 'celsius' END AS unit, min(value - 10) AS low, max(value) AS high FROM events GROUP BY 1),
-  n AS (SELECT *, pow(10, floor(log10(high))) AS ph, high / pow(10, floor(log10(high))) AS xh, pow(10, floor(log10(abs(low)))) AS pl, abs(low) / pow(10, floor(log10(abs(low)))) AS xl FROM g),
+  n AS (SELECT *, pow(10, floor(log10(high))) AS ph, round(high / pow(10, floor(log10(high))), 12) AS xh, pow(10, floor(log10(abs(low)))) AS pl, round(abs(low) / pow(10, floor(log10(abs(low)))), 12) AS xl FROM g),
   b AS (SELECT user_id, unit, low, ph * {_NICE.replace("x", "xh")} AS up,
      CASE WHEN low > 0 THEN pl * CASE WHEN xl >= 10 THEN 10 WHEN xl >= 5 THEN 5 WHEN xl >= 2.5 THEN 2.5 WHEN xl >= 2 THEN 2 ELSE 1 END ELSE -pl * {_NICE.replace("x", "xl")} END AS down FROM n),
   l AS (SELECT *, CASE WHEN unit = 'percent' THEN 0 WHEN unit = 'celsius' OR low < 0 THEN down ELSE 0 END::DOUBLE AS lower FROM b)

@@ -306,7 +306,7 @@ def nice_bound(value: Column, up: bool = True) -> Column:
     """An axis bound of 1, 2, 2.5, 5 or 10 times a power of ten, outward of the value: up for the upper bound, down for the lower. 0 for 0 and for what isn't finite."""
     size = F.abs(value)
     power = F.pow(F.lit(10.0), F.floor(F.log10(size)))
-    share = size / power
+    share = F.round(size / power, 12)
     above = F.when(share <= 1, 1.0).when(share <= 2, 2.0).when(share <= 2.5, 2.5).when(share <= 5, 5.0).otherwise(10.0)
     below = F.when(share >= 10, 10.0).when(share >= 5, 5.0).when(share >= 2.5, 2.5).when(share >= 2, 2.0).otherwise(1.0)
     outward = (value > 0) if up else (value < 0)
