@@ -6,9 +6,12 @@
    chunk with at most one error, so each chunk gives CHUNK keys, each leaving one symbol out. Classes that share a key are neighbours. (At a
    similarity of 0.8 the chance that no chunk has at most one error is 3e-5, and falls steeply above.)
 3. Clusters. Keys are range-sorted, and neighbours in that order linked: a key held by a third of all rows spans many tasks. The connected
-   components of these links hold every pair that the join guarantees, and far fewer pairs than the buckets.
-4. Confirmation. Each cluster is cut into blocks of bounded size, and each pair of blocks is compared in one task: pairs whose signatures
-   are near, nearest first, are confirmed on the full sets, but for pairs already connected there. A pair of blocks gives fewer links than members.
+   components of these links hold every pair that the join guarantees, and far fewer pairs than the buckets. They are cut into blocks of bounded size whose
+   pairs are compared by signature alone; the components of what is near (NEAR symbols at most) are the clusters that go on, so that texts
+   which only share a passage don't hang together.
+4. Confirmation on the full sets, which are made once. First each cluster's least class against its others: that links most near copies. Then only classes outside
+   the largest linked group of a cluster are compared with the rest of it, block by block: pairs whose signatures are near, nearest first, but for pairs
+   already connected. So a group of n copies of one text costs n comparisons, and one more text among them n more.
 5. Components of the confirmed links; each class takes the smallest doc_id of its component.
 
 Defined results: null text, or text without words, has an empty set, is linked with nothing and stays. A text with fewer words than a shingle has one
@@ -32,8 +35,8 @@ from .common import materialise, scratch
 SHINGLE = 5
 SYMBOLS = 60
 CHUNK = 6
-#: Signatures that differ in more symbols than this are not confirmed: at similarity 0.8 more have a chance below 1e-6.
-NEAR = 28
+#: Signatures that differ in more symbols than this are not confirmed: at similarity 0.8 more have a chance below 1e-6. None: whatever is in a cluster is.
+NEAR: int | None = 28
 SIMILARITY_PERCENT = 80
 #: Members of a block, and shingles that the sets of a block's members hold together (a longer text is a block of its own).
 BLOCK_MEMBERS = 256
@@ -256,67 +259,139 @@ def components(links: DataFrame) -> DataFrame:
     return labels if labels is not None else spark.createDataFrame([], "node long, root long")
 
 
-def _confirmed(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between classes of a cluster that span its components. members: cluster, class, signature, shingles, i, j, left, right
-    (the pair of blocks, and whether the row belongs to either)."""
-
-    def compare(pdf):
-        import pandas as pd
-
-        names, left, right = pdf["class"].tolist(), pdf["left"].to_numpy(), pdf["right"].to_numpy()
-        sig = np.frombuffer(b"".join(pdf["signature"]), dtype=np.uint16).reshape(-1, SYMBOLS)
-        sets = [np.frombuffer(x, dtype=_U) for x in pdf["shingles"]]
-        sizes = np.array([len(x) for x in sets])
-        found, forest = [], Forest()
-        rows = np.flatnonzero(left)
-        columns = np.flatnonzero(right)
-        pairs = []
-        for i in rows:
-            others = columns[columns > i] if left[columns].all() else columns
-            far = (sig[others] != sig[i]).sum(axis=1)
-            small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-            ok = (far <= NEAR) & (100 * small >= percent * large)
-            pairs.append(np.stack([far[ok], np.full(ok.sum(), i), others[ok]], axis=1))
-        near = np.concatenate(pairs) if pairs else np.zeros((0, 3), dtype=np.int64)
-        for _, i, j in near[np.argsort(near[:, 0], kind="stable")].tolist():
-            if forest.find(i) != forest.find(j):
-                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
-                    forest.union(i, j)
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each run of equal values in the first columns (integers), as one batch."""
+    held: list[pa.RecordBatch] = []
+    now = None
+
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy() for k in range(keys)], axis=1)
+        starts = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))), batch.num_rows)
+        for at, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if held and tuple(key[at]) != now:
+                yield whole()
+                held = []
+            now = tuple(key[at])
+            held.append(batch.slice(at, end - at))
+    if held:
+        yield whole()
+
+
+def _links(members: DataFrame, percent: int, near: int | None) -> DataFrame:
+    """Links (a, b) between classes of a group that connect what belongs together and isn't connected yet, each group by itself.
+
+    members: cluster, i, j (the group), class, comp (what a class is connected with), n, signature, left, right (which pairs are to be looked at), and shingles, if
+    they decide; without that column, near signatures and sizes do.
+    """
+    exact = "shingles" in members.columns
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches, 3):
+            names, comps, sizes = (group.column(k).to_pylist() for k in (3, 4, 5))
+            left, right = np.array(group.column(7).to_pylist()), np.array(group.column(8).to_pylist())
+            sig, n = np.frombuffer(b"".join(group.column(6).to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS), np.array(sizes)
+            sets = [np.frombuffer(x, dtype=_U) for x in group.column(9).to_pylist()] if exact else []
+            label, found, forest, pairs = np.array(comps), [], Forest(), []
+            columns = np.flatnonzero(right)
+            for i in np.flatnonzero(left).tolist():
+                others = columns[(label[columns] != label[i]) & ((columns > i) | ~left[columns] | ~right[i])]
+                others = others[others != i]
+                far = (sig[others] != sig[i]).sum(axis=1)
+                ok = 100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])
+                if near is not None:
+                    ok &= far <= near
+                pairs.append(np.stack([far[ok], np.full(ok.sum(), i), others[ok]], axis=1))
+            close = np.concatenate(pairs) if pairs else np.zeros((0, 3), dtype=np.int64)
+            for _, i, j in close[np.argsort(close[:, 0], kind="stable")].tolist():
+                if forest.find(comps[i]) != forest.find(comps[j]):
+                    if exact:
+                        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        if 100 * common < percent * (len(sets[i]) + len(sets[j]) - common):
+                            continue
+                    forest.union(comps[i], comps[j])
                     found.append((names[i], names[j]))
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+            if found:
+                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
-    return members.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
+    order = ["cluster", "i", "j"]
+    columns = ["class", "comp", "n", "signature", "left", "right", *(["shingles"] if exact else [])]
+    return members.select(*order, *columns).repartition(*order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long")
 
 
-def _grouped(sketches: DataFrame, size: int, percent: int) -> DataFrame:
-    """class, component_id, keep_row of each class that has more than one row, or links: the component's smallest doc_id, and the number of the row that has it."""
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    classes = sketches.where(F.col("class").isNotNull()).groupBy("class")
-    classes = materialise(classes.agg(F.min(first).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")), "classes")
-    clusters = components(_neighbours(_keys(classes)))
-    # blocks: members of a cluster in order of size, cut by number of members and of shingles
-    sized = clusters.join(classes.select(F.col("class").alias("node"), "n", "signature", "least"), "node").select(F.col("root").alias("cluster"), F.col("node").alias("class"), "n", "signature", F.col("least.row").alias("row"))
-    sized = materialise(sized, "clusters")
-    weights = sized.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.max("n").alias("longest"))
-    per = F.greatest(F.lit(1), F.least(F.lit(BLOCK_MEMBERS), F.floor(F.lit(BLOCK_SHINGLES) / F.col("longest"))))
-    weights = materialise(weights.select("cluster", F.ceil(F.col("members") / per).cast("int").alias("blocks")), "weights")
-    blocked = sized.join(weights, "cluster").withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")).cast("int"))
-    # the texts of the members' representatives; their sets are made again, those of other texts are not kept
-    texts = sketches.select("row", "text").join(blocked, "row").select("cluster", "class", "signature", "block", "blocks", "text")
+def _blocks(rows: DataFrame, name: str, *keys: str) -> DataFrame:
+    """rows with name (a block of its keys) and name_n (how many there are): bounded by members and by the shingles that they can have together."""
+    weights = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m"), F.max("n").alias("__longest"))
+    per = F.greatest(F.lit(1), F.least(F.lit(BLOCK_MEMBERS), F.floor(F.lit(BLOCK_SHINGLES) / F.col("__longest"))))
+    weights = weights.select(*keys, F.ceil(F.col("__m") / per).cast("int").alias(f"{name}_n"))
+    return rows.join(weights, [*keys]).withColumn(name, F.pmod(F.xxhash64("class", F.lit(1)), F.col(f"{name}_n")).cast("int"))
+
+
+def _all_pairs(rows: DataFrame) -> DataFrame:
+    """Every pair of a cluster's blocks as a group: i, j, left, right. rows: cluster, block, block_n, ..."""
+    pair = F.transform(F.sequence(F.lit(0), F.col("block_n") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    spread = rows.withColumn("__p", F.explode(pair))
+    return spread.select("*", "__p.i", "__p.j", (F.col("block") == F.col("__p.i")).alias("left"), (F.col("block") == F.col("__p.j")).alias("right"))
+
+
+def _clustered(rooted: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows of classes that have company, with their cluster. rooted: node, root."""
+    return rooted.select(F.col("node").alias("class"), F.col("root").alias("cluster")).join(rows, "class").withColumn("comp", F.col("class"))
+
+
+def _sets(sketches: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """class, shingles of members(class, row): their texts' sets, made again."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                sets = [shingle_set(x, size).tobytes() for x in some.column(5).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*some.columns[:5], pa.array(sets, pa.binary())], names=["cluster", "class", "signature", "block", "blocks", "shingles"])
-
-    made = texts.mapInArrow(shingles, "cluster long, class long, signature binary, block int, blocks int, shingles binary")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    members = made.select("cluster", "class", "signature", "shingles", "block", F.explode(pair).alias("p"))
-    members = members.select("cluster", "class", "signature", "shingles", "p.i", "p.j", (F.col("block") == F.col("p.i")).alias("left"), (F.col("block") == F.col("p.j")).alias("right"))
-    roots = components(materialise(_confirmed(members, percent), "confirmed"))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_set(x, size).tobytes() for x in some.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["class", "shingles"])
+
+    return sketches.select("row", "text").join(members.select("class", "row"), "row").select("class", "text").mapInArrow(shingles, "class long, shingles binary")
+
+
+def _grouped(sketches: DataFrame, size: int, percent: int, near: int | None) -> DataFrame:
+    """class, component_id, keep_row of each class that has more than one row, or links: the component's smallest doc_id, and the number of the row that has it."""
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = sketches.where(F.col("class").isNotNull()).groupBy("class")
+    classes = materialise(classes.agg(F.min(first).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")), "classes")
+    narrow = classes.select("class", "n", "signature", F.col("least.row").alias("row"))
+    members = materialise(_clustered(components(_neighbours(_keys(classes))), narrow), "clusters")
+    if near is not None:
+        close = _links(_all_pairs(_blocks(members, "block", "cluster")), percent, near)
+        members = materialise(_clustered(components(materialise(close, "close")), narrow), "near-clusters")
+    sets = materialise(_sets(sketches, members, size), "sets")
+    # the least class of each cluster against the others, which it meets block by block
+    blocked = _blocks(members, "block", "cluster")
+    heads = members.groupBy("cluster").agg(F.min("class").alias("head"))
+    star = materialise(blocked.join(heads, "cluster").join(sets, "class"), "star")
+    head = star.where("class = head").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block_n") - 1)))
+    group = lambda rows, is_head: rows.select("cluster", "i", F.lit(0).alias("j"), "class", "comp", "n", "signature", F.lit(is_head).alias("left"), F.lit(not is_head).alias("right"), "shingles")
+    rays = group(head, True).unionByName(group(star.where("class <> head").withColumn("i", F.col("block")), False))
+    linked = materialise(_links(rays, percent, near), "rays")
+    # what is outside the largest group of each cluster against all of the cluster
+    roots = components(linked).select(F.col("node").alias("class"), F.col("root").alias("__root"))
+    told = materialise(members.drop("comp").join(roots, "class", "left").withColumn("comp", F.coalesce("__root", "class")).drop("__root"), "told")
+    sizes = told.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("m"))
+    largest = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups")
+    open_ = materialise(told.join(largest, "cluster").withColumn("inside", F.col("comp") == F.col("main")), "open")
+    outside = materialise(_blocks(open_.where("not inside"), "block", "cluster"), "outside")
+    inside = _blocks(open_.where("inside"), "block", "cluster")
+    counts = outside.select("cluster", F.col("block_n").alias("outside_n")).distinct()
+    inside = materialise(inside.join(counts, "cluster"), "inside")
+    met = inside.select("cluster", F.col("block_n").alias("inside_n")).distinct()
+    line = lambda rows, i, j, left, right: rows.select("cluster", i.alias("i"), j.alias("j"), "class", "comp", "n", "signature", F.lit(left).alias("left"), F.lit(right).alias("right"))
+    among = _all_pairs(outside).select("cluster", "i", "j", "class", "comp", "n", "signature", "left", "right")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # groups of outside block i and inside block j have -1 - j, so that none is taken for a pair of outside blocks
+    across = line(outside.join(met, "cluster").withColumn("o", each("inside_n")), F.col("block"), -1 - F.col("o"), True, False).unionByName(line(inside.withColumn("o", each("outside_n")), F.col("o"), -1 - F.col("block"), False, True))
+    rest = materialise(_links(among.unionByName(across).join(sets, "class"), percent, near), "rest")
+    roots = components(materialise(linked.unionByName(rest), "confirmed"))
     # the least row of each component, for classes that have company
     named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "least", "copies", F.coalesce("root", "class").alias("root"), F.col("root").isNotNull().alias("linked"))
     named = materialise(named.where("linked or copies > 1"), "named")
@@ -324,21 +399,21 @@ def _grouped(sketches: DataFrame, size: int, percent: int) -> DataFrame:
     return named.join(least, "root").select("class", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("keep_row"))
 
 
-def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILARITY_PERCENT) -> DataFrame:
+def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILARITY_PERCENT, near: int | None = NEAR) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
     sketches = materialise(_sketches(docs, size, []), "sketches")
     with scratch(docs.sparkSession):
-        final = materialise(_grouped(sketches, size, percent), "final", outer=True)
+        final = materialise(_grouped(sketches, size, percent, near), "final", outer=True)
     out = sketches.select("doc_id", "n_shingles", "class").join(final.withColumn("known", F.lit(True)), "class", "left")
     component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def survivors(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILARITY_PERCENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def survivors(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILARITY_PERCENT, broadcast_rows: int = BROADCAST_ROWS, near: int | None = NEAR) -> DataFrame:
     """The rows of docs that stay, one of each component; rows are told apart by a number of their own."""
     sketches = materialise(_sketches(docs, size, docs.columns), "sketches")
     with scratch(docs.sparkSession):
-        final = _grouped(sketches, size, percent).select("class", "keep_row")
+        final = _grouped(sketches, size, percent, near).select("class", "keep_row")
         gone = sketches.select("row", "class").join(final, "class").where("row != keep_row").select("row")
         gone = materialise(gone, "gone", outer=True)
     if gone.count() <= broadcast_rows:

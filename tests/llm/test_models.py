@@ -143,8 +143,8 @@ def components(texts, size, percent):
     return [find(i) for i in range(len(sets))], [len(s) for s in sets]
 
 
-@pytest.mark.parametrize("members", [256, 7])
-def test_near_dedup(spark, monkeypatch, members):
+@pytest.mark.parametrize(("members", "near"), [(256, near_dedup.NEAR), (7, near_dedup.NEAR), (7, None)])
+def test_near_dedup(spark, monkeypatch, members, near):
     monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", members)
     rng = random.Random(5)
     texts = [None, "", " \n", "one two", "ONE two", "one two three", "É x y z", "é x y z"]
@@ -157,7 +157,7 @@ def test_near_dedup(spark, monkeypatch, members):
             texts.append(" ".join(copy))
     texts += texts[20:40]
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n int").repartition(3)
-    got = {r["doc_id"]: r for r in near_dedup.near_dedup(docs, 4, 80).collect()}
+    got = {r["doc_id"]: r for r in near_dedup.near_dedup(docs, 4, 80, near).collect()}
     roots, sizes = components(texts, 4, 80)
     assert [got[i]["n_shingles"] for i in range(len(texts))] == sizes
     assert [got[i]["component_id"] for i in range(len(texts))] == roots
