@@ -6,6 +6,9 @@ It is trained when the query starts, on at most TRAIN_PAGES pages (the lowest by
 elements give (inside article or main, outside navigation, adverts, forms, comments and the like), with such blocks mixed in from names that the sample
 may lack and with semantic elements hidden at random, so that paths, words and neighbours all carry weight. Same pages, same model.
 
+A block's path counts with its innermost PATH_NAMES names. Pages of over LONG_BLOCKS blocks are read in stretches, the network's state carried from one to the next
+in each direction, so that a page of any length takes a few MB beside its text.
+
 Defined results: null html counts as empty and gives empty text, as does a page without article blocks. Broken markup never fails: an unclosed tag or
 comment is text or runs to the end. Rows that share a page_id are handled alike. Extra columns are ignored, whatever their names. An empty table gives an
 empty result.
@@ -24,8 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_PAGES = 300
+#: Characters of a page that training reads at most; prediction reads all.
+TRAIN_CHARS = 200_000
 #: Blocks of a page used in training; prediction reads all.
 TRAIN_BLOCKS = 120
+LONG_BLOCKS = 20_000
+PATH_NAMES = 24
 PATH_DIMS, WORD_DIMS, HIDDEN = 48, 24, 12
 EPOCHS, RATE, SEED = 14, 0.01, 7
 
@@ -63,7 +70,7 @@ class _Node:
         self.article = (up.article if up else 0) + (tag in ("article", "main"))
         self.hidden = bool(up and up.hidden) or tag in HIDDEN_TEXT
         self.link = bool(up and up.link) or tag == "a"
-        self.path = ((up.path if up else ()) + names)[-24:]
+        self.path = ((up.path if up else ()) + names)[-PATH_NAMES:]
         self.inline = tag in INLINE
         self.below: dict[str, _Node] = {}
 
@@ -226,9 +233,11 @@ class Labeller:
         self.p["o"] = rng.normal(0, 0.2, 2 * HIDDEN)
         self.p["k"] = np.zeros(1)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list]:
+        """Hidden values in one direction, and what training needs of each step, or else the state at the end."""
         n, steps, _ = x.shape
-        h, c, saved, out = np.zeros((n, HIDDEN), x.dtype), np.zeros((n, HIDDEN), x.dtype), [], np.zeros((n, steps, HIDDEN), x.dtype)
+        h, c = state or (np.zeros((n, HIDDEN), x.dtype), np.zeros((n, HIDDEN), x.dtype))
+        saved, out = [], np.zeros((n, steps, HIDDEN), x.dtype)
         order = range(steps) if d == "f" else range(steps - 1, -1, -1)
         w, bias = self.p["w" + d].astype(x.dtype), self.p["c" + d].astype(x.dtype)
         inputs = x @ w[:DIMS] + bias
@@ -245,7 +254,7 @@ class Labeller:
             c = m * new + (1 - m) * c
             h = m * (o * tc) + (1 - m) * h
             out[:, t] = h
-        return out, saved
+        return out, saved if keep else [h, c]
 
     def _forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
         hf, sf = self._run(x, mask, "f", keep)
@@ -269,6 +278,17 @@ class Labeller:
                 out[i] = p[k, : len(pages[i])]
         return out
 
+    def predict_long(self, found: list[tuple[str, _Node, float]], memo: dict[str, int], stretch: int = LONG_BLOCKS) -> np.ndarray:
+        """As predict() for one page, without the vectors of more than one stretch at a time."""
+        cuts = [(a, min(a + stretch, len(found))) for a in range(0, len(found), stretch)]
+        both = np.zeros((len(found), 2 * HIDDEN), np.float32)
+        for d, order, at in (("f", cuts, slice(0, HIDDEN)), ("b", cuts[::-1], slice(HIDDEN, 2 * HIDDEN))):
+            state = None
+            for a, b in order:
+                out, state = self._run(vectors(found[a:b], memo)[None], np.ones((1, b - a), np.float32), d, False, state and tuple(state))
+                both[a:b, at] = out[0]
+        return 1 / (1 + np.exp(-np.clip(both @ self.p["o"] + self.p["k"], -30, 30)))
+
     def train(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCHS, rate: float = RATE) -> None:
         rng = np.random.default_rng(SEED + 1)
         m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -360,7 +380,8 @@ def train_labeller(pages: list[str]) -> Labeller:
 def extract(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages."""
     ids = F.broadcast(pages.where("page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages))
-    sample = pages.select("page_id", "html").where("html is not null").join(ids, "page_id", "left_semi").orderBy("page_id").limit(train_pages).collect()
+    sample = pages.select("page_id", "html").where("html is not null").join(ids, "page_id", "left_semi")
+    sample = sample.select("page_id", F.substring("html", 1, TRAIN_CHARS).alias("html")).orderBy("page_id", "html").limit(train_pages).collect()
     model = train_labeller([r["html"] for r in sample])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +390,8 @@ def extract(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 found = [blocks(x or "") for x in some.column(2).to_pylist()]
-                chances = model.predict([vectors(f, memo) for f in found])
+                chances = model.predict([vectors(f, memo) if len(f) <= LONG_BLOCKS else vectors([], memo) for f in found])
+                chances = [c if len(f) <= LONG_BLOCKS else model.predict_long(f, memo) for c, f in zip(chances, found, strict=True)]
                 texts = ["\n".join(t for (t, _, _), p in zip(f, c, strict=True) if p >= 0.5) for f, c in zip(found, chances, strict=True)]
                 if len(memo) > 500_000:
                     memo = {}

@@ -148,9 +148,9 @@ def test_near_dedup(spark, monkeypatch, members, near):
     monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", members)
     rng = random.Random(5)
     texts = [None, "", " \n", "one two", "ONE two", "one two three", "É x y z", "é x y z"]
-    for group in range(5):
+    for group in range(6):
         base = [f"w{rng.randrange(5000)}" for _ in range(60 + 40 * group)]
-        for _ in range(30):
+        for _ in range(30 if group < 5 else 400):
             copy = list(base)
             for _ in range(rng.randrange(0, 4 + group)):
                 copy[rng.randrange(len(copy))] = f"v{rng.randrange(5000)}"
@@ -246,6 +246,44 @@ def test_extraction(spark):
     assert wrong == 0
 
 
+def test_extraction_edges(spark, monkeypatch):
+    rows = [(1, "u", "<article><p>one</article>", "clash"), (1, "u", "<article><p>one</article>", "x"), (None, None, "<article><p>no id</article>", "x"), (2, "v", "", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = Counter(tuple(r) for r in html_extract.extract(pages).collect())
+    assert sum(got.values()) == 4 and got[(2, "v", "", 0)] == 1
+    assert html_extract.extract(pages.limit(0)).count() == 0
+    found = html_extract.blocks("<article>" + "".join(f"<p>{'word ' * (i % 9)}{i}</p>" for i in range(500)) + "</article><nav>" + "<li>x" * 50 + "</nav>")
+    model = html_extract.train_labeller(["<nav>a</nav><article><p>b c d</p></article>"] * 4)
+    whole = model.predict([html_extract.vectors(found, {})])[0]
+    assert np.allclose(whole, model.predict_long(found, {}, stretch=37), atol=1e-5) and np.allclose(whole, model.predict_long(found, {}, stretch=10_000), atol=1e-5)
+
+
+def test_extraction_without_names(spark):
+    """With the elements and names that mark an article taken out of the pages, the network still tells it by words, sizes and neighbours."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    model = html_extract.train_labeller([r["html"] for r in pages[:150]])
+    right = n = 0
+    for r in pages[150:]:
+        body = re.search(r"<article>(.*?)</article>", r["html"], re.S)
+        bare = re.sub(r"<(/?)(?:article|main)\b[^>]*>", r"<\1div>", r["html"])
+        found = html_extract.blocks(re.sub(r"(class|id|role)=(\"[^\"]*\"|'[^']*')", "", bare))
+        want = {t for t, _, _ in html_extract.blocks(body[1])} if body else set()
+        p = model.predict([html_extract.vectors(found, {})])[0]
+        right += sum((x >= 0.5) == (t in want) for (t, _, _), x in zip(found, p, strict=True))
+        n += len(found)
+    assert right >= 0.9 * n
+
+
+def test_near_dedup_of_odd_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, a + " x"), (None, a + " y"), (None, b), (None, b), (7, None), (None, ""), (3, b + " z")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_dedup(docs).collect())
+    assert got == Counter({(5, 5, True): 2, (None, 5, False): 1, (None, 3, False): 2, (7, 7, True): 1, (None, None, True): 1, (3, 3, True): 1})
+    left = Counter((r["doc_id"], r["text"]) for r in near_dedup.survivors(docs).collect())
+    assert left[(3, b + " z")] == 1 and left[(7, None)] == 1 and left[(None, "")] == 1 and sum(left.values()) == 4
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = corpus_pipeline.run(spark, SF).collect()
