@@ -443,3 +443,76 @@ def active_gpus(s, d):
 def first_unused_match(s, d):
     n, r = _t(s, d, "nation").select("n_nationkey", "n_name"), _t(s, d, "supplier").select("s_suppkey", "s_nationkey")
     return R.first_unused(n, r, F.col("s_nationkey") <= F.col("n_nationkey"), "n_nationkey", "s_suppkey").select("n_nationkey", "s_suppkey")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal * 10000 END IS NULL OR c_acctbal * 10000 >= 50000000 AS may_write,
+    CASE WHEN c_nationkey = 3 AND c_custkey % 2 = 0 THEN 'compact' WHEN c_custkey % 2 = 0 AND (c_nationkey = 5 OR c_custkey % 600 >= 300) AND c_custkey * 20 > 2000 THEN 'compact'
+         WHEN c_custkey % 2 = 0 AND (c_nationkey = 5 OR c_custkey % 600 >= 300) THEN 'append' ELSE 'nothing' END AS action FROM customer""")
+def write_guards(s, d):
+    n, k = F.col("c_nationkey"), F.col("c_custkey")
+    free = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal") * 10000)
+    return _t(s, d, "customer").select("c_custkey", K.may_write(free).alias("may_write"), K.daily_action(k * 20, n == 3, k % 2 == 0, k % 600, n == 5).alias("action"))
+
+
+@query("SELECT 'p' || o_orderkey AS path, CASE WHEN o_orderstatus = 'P' THEN 'acquired' WHEN o_custkey > 100 THEN 'held' ELSE 'taken over' END AS outcome, CASE WHEN o_orderstatus <> 'P' AND o_custkey > 100 THEN o_custkey ELSE 220 END AS until_s FROM orders")
+def writer_lock(s, d):
+    owner = F.when(F.col("o_orderstatus") != "P", F.lit("x"))
+    return K.writer_lock(_t(s, d, "orders").select(F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("path"), owner.alias("owner"), F.col("o_custkey").alias("until_s")), 100)
+
+
+@query("""SELECT o_orderkey, k::INT AS ord, CASE k WHEN 0 THEN 'GPU' ELSE 'g' || o_custkey END AS id, CASE WHEN k = 0 OR o_orderstatus = 'F' THEN least((o_custkey % 130) / 100, 1) END AS utilization, CASE k WHEN 0 THEN NULL ELSE 0.25 END AS render
+  FROM orders, (SELECT unnest(range(2)) AS k)""")
+def gpu_scan(s, d):
+    u = (F.col("o_custkey") % 130).cast("double")
+    one = lambda name, state, render: F.struct(name.alias("id"), state.alias("state"), u.alias("utilization"), F.lit(render).cast("double").alias("render"))
+    gpus = F.array(one(F.lit(""), F.lit(True), None), one(F.concat(F.lit("g"), F.col("o_custkey").cast("string")), F.col("o_orderstatus") == "F", 25.0))
+    return K.gpu_rows(_t(s, d, "orders").select("o_orderkey", gpus.alias("gpus")), "gpus")
+
+
+@query("SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INT AS ord, 'T' || l_linenumber AS key FROM lineitem QUALIFY l_tax > 0.01")
+def key_enumeration(s, d):
+    x = _t(s, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_tax") > 0.01, F.concat(F.lit("T"), F.col("l_linenumber").cast("string"))).alias("key")).alias("k"))
+    lists = x.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list("k")), lambda v: v["key"]).alias("keys"))
+    return K.readable_keys(lists, "keys")
+
+
+@query(f"""WITH {EV}, p AS (SELECT seq, user_id, us, event_type <> 'error' AS status, value FROM ev),
+  b AS (SELECT *, last_value(CASE WHEN status THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p)
+  SELECT seq, user_id AS key, status, value AS latency, CASE WHEN status THEN abs(value - before) END AS step FROM b""")
+def connectivity_steps(s, d):
+    e = _ev(s, d).select(F.col("user_id").alias("key"), "us", "seq", (F.col("event_type") != "error").alias("status"), F.col("value").alias("latency"))
+    return K.connectivity(e).select("seq", "key", "status", "latency", "step")
+
+
+@query("""SELECT 'm' || k AS path, CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN 'badMagic' WHEN 2 THEN 'truncated' ELSE 'badChecksum' END AS damage FROM (SELECT DISTINCT user_id // 10 AS k FROM events)""")
+def archive_damage(s, d):
+    """Archives of ten users each, some of them spoilt; what is wrong with each decides whether it is kept aside."""
+    from .sources import archive
+
+    users = _t(s, d, "events").select("user_id").distinct()
+    shard = F.concat(F.lit("m"), F.floor(F.col("user_id") / 10).cast("string"))
+    slots = users.select(shard.alias("shard"), (F.col("user_id") % 10).cast("int").alias("lane"), F.lit(1000).alias("bucket"), F.lit(1).alias("count"), F.lit(1.0).alias("min"), F.lit(1.0).alias("max"), F.lit(1.0).alias("sum"), F.lit(1).alias("reason"))
+    lanes = slots.select("shard").distinct().select("shard", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("lane"))
+    lanes = lanes.select("shard", "lane", F.substring(F.sha2(F.col("lane").cast("string"), 256), 1, 32).alias("identity"), F.lit("cpu").alias("module"), F.lit("percent").alias("unit"), F.lit("gauge").alias("kind"), F.lit(0).alias("flags"), F.lit(1000).alias("first_valid"), F.lit(0).alias("last_used"), F.lit("l").alias("label"))
+    files = archive.archive_files(slots, lanes, "t0", "shard")
+    kind = F.regexp_extract("path", "^m([0-9]+)/", 1).cast("int") % 4
+    spoilt = F.when(kind == 0, F.col("content")).when(kind == 1, F.concat(F.lit(b"X"), F.expr("substr(content, 2)"))).when(kind == 2, F.expr("substr(content, 1, octet_length(content) - 1)")).otherwise(F.concat(F.expr("substr(content, 1, 4200)"), F.lit(b"?"), F.expr("substr(content, 4202)")))
+    lanes_found = archive.lanes_of(files.select(F.regexp_replace("path", "/.*", "").alias("path"), spoilt.alias("content")))
+    return lanes_found.select("path", "damage").distinct()
+
+
+@query(f"""WITH {EV}, d AS ({fold_sql(10, "user_id")}) SELECT lane, bucket, count, min, max, sum FROM d
+  WHERE bucket * 10 + 10 <= (SELECT epoch_us(max(ts)) // 1000000 - 3600 FROM events)""")
+def stream_commits(s, d):
+    """Closed windows of the stream, committed batch by batch to a table kept by day; each batch also goes to a table of the newest slot of each lane."""
+    import uuid
+
+    from .catalogue import _stream
+    from .sources.shared import shared_folder
+    from .streaming import commits
+    from .streaming.folds import stream_fold
+
+    folder = f"{shared_folder(s)}/commits-{uuid.uuid4().hex}"
+    slots = stream_fold(_stream(s, d), 10, "1 hour").select("lane", F.floor(F.unix_seconds("start") / 10).alias("bucket"), "count", "min", "max", "sum")
+    commits.start(slots, f"{folder}/state", commits.table_sink(f"{folder}/t0", 8640), commits.snapshot_sink(f"{folder}/latest", "lane", "bucket"), seconds=None).awaitTermination()
+    return s.read.parquet(f"{folder}/t0").drop("part").withColumn("sum", T.significant(F.col("sum")))

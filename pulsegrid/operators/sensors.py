@@ -46,7 +46,7 @@ def dead_band(key: Column, value: Column) -> Column:
 
 
 def clamped(value: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
 
 
 def halved_in_tunnel(value: Column, connected: Column, mode: Column) -> Column:
@@ -67,8 +67,8 @@ def pressure_level(level: Column) -> Column:
 
 
 def disk_used(size: Column, free: Column) -> Column:
-    """Used share of a volume: 0 without a size, and none below 0."""
-    return F.when(size == 0, 0.0).otherwise(F.greatest(size - free, F.lit(0)) / size)
+    """Used share of a volume: 0 without a size, and none below 0; NULL if one isn't known."""
+    return F.when(size == 0, 0.0).when(size.isNotNull() & free.isNotNull(), F.greatest(size - free, F.lit(0)) / size)
 
 
 def battery_power(volts: Column, milliamps: Column) -> Column:
@@ -77,7 +77,8 @@ def battery_power(volts: Column, milliamps: Column) -> Column:
 
 def battery_health(capacity: Column, design: Column) -> Column:
     """Whole percent of the design capacity, half to even, 100 at most."""
-    return F.least(F.bround(100.0 * capacity / design, 0).cast("int"), F.lit(100))
+    share = F.bround(100.0 * capacity / design, 0).cast("int")
+    return F.when(share.isNotNull(), F.least(share, F.lit(100)))
 
 
 def expand_templates(templates: DataFrame, available: DataFrame) -> DataFrame:

@@ -291,3 +291,46 @@ def cached(reads: DataFrame, ttl_s: int) -> DataFrame:
     timed = reads.select("lane", (F.col("at_s") * 1_000_000).cast("long").alias("us"), F.lit(0).cast("long").alias("seq")).distinct()
     fetched = throttled(timed, "lane", ttl_s).select("lane", (F.col("us") / 1_000_000).cast("long").alias("at_s"), F.lit(True).alias("fetched"))
     return reads.join(fetched, ["lane", "at_s"], "left").withColumn("fetched", F.coalesce("fetched", F.lit(False)))
+
+
+# guards of a writer
+#: Bytes that must be free, records of a daily file, seconds between its writes. Fixed values.
+FREE_FLOOR, DAILY_RECORDS, DAILY_SECONDS = 50_000_000, 2_000, 300
+
+
+def may_write(free_bytes: Column) -> Column:
+    """Is there room? Unknown isn't full."""
+    return free_bytes.isNull() | (free_bytes >= FREE_FLOOR)
+
+
+def daily_action(records: Column, torn: Column, changed: Column, since_s: Column, force: Column) -> Column:
+    """What the writer of a daily file does: nothing, append, or write it anew."""
+    due = changed & (force | (since_s >= DAILY_SECONDS))
+    return F.when(torn & changed, "compact").when(due & (records > DAILY_RECORDS), "compact").when(due, "append").otherwise("nothing")
+
+
+def writer_lock(holders: DataFrame, now_s: int, lease_s: int = 120) -> DataFrame:
+    """path, outcome of a writer that wants each path: acquired, held by another (a lease that still runs), or taken over (one that ran out). holders: path, owner, until_s; owner NULL is none."""
+    outcome = F.when(F.col("owner").isNull(), "acquired").when(F.col("until_s") > now_s, "held").otherwise("taken over")
+    return holders.select("path", outcome.alias("outcome"), F.when(outcome != "held", now_s + lease_s).otherwise(F.col("until_s")).cast("long").alias("until_s"))
+
+
+def gpu_rows(rows: DataFrame, gpus: str) -> DataFrame:
+    """The GPUs of each reading as rows: id and shares of 1 at most (NULL stays NULL); those that are off have no utilization."""
+    keep = [c for c in rows.columns if c != gpus]
+    each = rows.select(*keep, F.posexplode(gpus).alias("ord", "__g"))
+    share = lambda c: F.when(F.col(f"__g.{c}").isNotNull(), F.least(F.col(f"__g.{c}") / 100, F.lit(1.0)))
+    return each.select(*keep, "ord", F.coalesce(F.nullif(F.col("__g.id"), F.lit("")), F.lit("GPU")).alias("id"), F.when(F.col("__g.state"), share("utilization")).alias("utilization"), share("render").alias("render"))
+
+
+def readable_keys(rows: DataFrame, keys: str) -> DataFrame:
+    """Keys of each reading by index, without those that couldn't be read (NULL); what comes behind them keeps its index."""
+    keep = [c for c in rows.columns if c != keys]
+    return rows.select(*keep, F.posexplode(keys).alias("ord", "key")).where("key is not null")
+
+
+def connectivity(rows: DataFrame) -> DataFrame:
+    """key, us, seq, status, latency, step of probes (key, us, seq, status, latency): the difference to the last probe that was answered, which a lost one doesn't change."""
+    w = Window.partitionBy("key").orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(F.col("status"), F.col("latency")), ignorenulls=True).over(w)
+    return rows.withColumn("step", F.when(F.col("status"), F.abs(F.col("latency") - before)))
