@@ -8,8 +8,10 @@ block of 512 bits. Token i is read as byte i of level 0; if bit i is set, the ne
     then for each level: n: u64 | n bytes | bitmap: ceil(n / 8) bytes | directory: u64 for each started 512 bits
 All numbers are little-endian.
 
-Texts are encoded where they are read; only their ids move, two bytes each where the vocabulary allows it, to the range of their doc_id. The manifest is a table
-with a row a file, and the first token of each file a sum over the files before it in its range and over the ranges before; it never reaches the driver.
+Texts are encoded where they are read; only their ids move, two bytes each where the vocabulary allows it, to the range of their doc_id. Ranges are cut by a
+sample of ids (SAMPLE_ROWS at most; it decides how even they are, and nothing else), and an id that fills several ranges is dealt over them by the
+hash of its texts. The manifest is a table with a row a file, and the first token of each file a sum over the files before it in its range and over the ranges
+before; it never reaches the driver.
 
 Defined results: a null text has only the end id. Documents lie in ascending doc_id order (null ids first; rows that share an id by the hash of
 their text). Files go to the shared folder through pyarrow's file systems; each task attempt writes files of its own, and only those of the
@@ -26,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, scratch
+from .common import materialise, new_path
 from .word_tokens import encoder as word_encoder
 
 MAGIC = b"PGDAC001"
 BLOCK = 512
 #: A file is closed at so many tokens, so that writer and reader hold a few MB.
 FILE_TOKENS = 4_000_000
+SAMPLE_ROWS = 20_000
 
 
 def encode_levels(ids: np.ndarray) -> list[bytes]:
@@ -113,8 +116,25 @@ class TokenFile:
         return out
 
 
-def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, tie, ids (little-endian, of the width that width_of() gives) of every row."""
+_LEAST = np.iinfo(np.int64).min
+
+
+def range_of(doc_ids: np.ndarray, ties: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The range of each (doc_id, tie), in their order; an id that is several bounds is dealt over their ranges by its tie, a uniform 64-bit hash."""
+    low, high = np.searchsorted(bounds, doc_ids, "left"), np.searchsorted(bounds, doc_ids, "right")
+    share = ties.astype(np.float64) / 2.0**64 + 0.5
+    return np.minimum(low + (share * (high - low + 1)).astype(np.int64), high).astype(np.int32)
+
+
+def _bounds(docs: DataFrame, ranges: int) -> np.ndarray:
+    """ranges - 1 doc_ids that cut the table into about equal parts (null ids as the least number)."""
+    share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
+    drawn = np.sort(np.array([_LEAST if r[0] is None else r[0] for r in docs.select("doc_id").sample(fraction=share, seed=7).collect()], np.int64))
+    return drawn[np.arange(1, ranges) * len(drawn) // ranges] if len(drawn) else np.zeros(0, np.int64)
+
+
+def _encoded(docs: DataFrame, tokenizer: str, end_id: int, bounds: np.ndarray) -> DataFrame:
+    """doc_id, tie, ids (little-endian, of the width that width_of() gives), part (the range) of every row."""
     width = width_of(tokenizer, end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,10 +143,11 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 ids = [np.append(x, np.uint32(end_id)).astype(width).tobytes() for x in encoder.encode(some.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(ids, pa.binary())], names=["doc_id", "tie", "ids"])
+                part = range_of(some.column(0).fill_null(_LEAST).to_numpy(), some.column(1).to_numpy(), bounds)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(ids, pa.binary()), pa.array(part)], names=["doc_id", "tie", "ids", "part"])
         encoder.forget()
 
-    return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(encode, "doc_id long, tie long, ids binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(encode, "doc_id long, tie long, ids binary, part int")
 
 
 def width_of(tokenizer: str, end_id: int) -> str:
@@ -168,10 +189,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
         if doc_ids:
             yield close()
 
-    with scratch(spark):
-        encoded = materialise(_encoded(docs, tokenizer, end_id), "encoded")  # the ranges are drawn from it, so it is read twice
-        ordered = encoded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
-        made = materialise(ordered.mapInArrow(write, "part long, n long, path string, docs long, tokens long"), "manifest", outer=True)
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    encoded = _encoded(docs, tokenizer, end_id, _bounds(docs, ranges))
+    ordered = encoded.repartitionById(ranges, F.col("part")).sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+    made = materialise(ordered.mapInArrow(write, "part long, n long, path string, docs long, tokens long"), "manifest")
     running = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     parts = made.groupBy("part").agg(F.sum("tokens").alias("all"))  # a row a range of documents
     parts = parts.select("part", F.coalesce(F.sum("all").over(running(F.lit(0)).orderBy("part")), F.lit(0)).alias("before"))

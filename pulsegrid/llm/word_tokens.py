@@ -2,7 +2,7 @@
 
 White space separates tokens in these files and is dropped. A text of plain characters (PLAIN: ASCII and the letters of Latin-1, all of them unchanged by
 NFC) is lower-cased and cut here by the file's own pattern, and each distinct word goes through the file's BPE model once. In other texts the pieces
-between blanks that aren't plain go through the library. Ids are remembered in memos that hold MEMO_BYTES at most and end with the task; the encoder itself
+between blanks that aren't plain go through the library. Ids are remembered in memos that hold MEMO_BYTES together and end with the task; the encoder itself
 stays with the worker.
 
 The strings of the file's special tokens in a text are ordinary text (encode_special_tokens), as the tokenizer files' own README has it: a document can't
@@ -17,8 +17,8 @@ import re
 
 import numpy as np
 
-#: Bytes that each of the two memos holds, about; an entry counts its key, its ids and ENTRY_BYTES of Python's own.
-MEMO_BYTES = 32_000_000
+#: Bytes that the two memos hold together, about; an entry counts its key, its ids and ENTRY_BYTES of Python's own.
+MEMO_BYTES = 80_000_000
 ENTRY_BYTES = 180
 MEMO_CHARS = 64
 
@@ -111,9 +111,8 @@ class WordEncoder:
         """uint32 ids of each text; none for null."""
         out = []
         for text in texts:
-            for memo in (self.words, self.pieces):
-                if memo.held > MEMO_BYTES:
-                    memo.forget()
+            if self.words.held + self.pieces.held > MEMO_BYTES:
+                self.forget()
             out.append(np.frombuffer(self.encode_one(text or ""), dtype="<u4"))
         return out
 

@@ -46,6 +46,18 @@ def test_token_store(spark, docs, word_ids):
     assert token_store.read_tokens(token_store.write_tokens(docs.limit(0), queries.WORD_TOKENIZER, 2)).count() == 0
 
 
+def test_ranges_keep_the_order(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = sorted((rng.choice([-(2**63), 7, 7, 7, rng.randrange(100)]), rng.randrange(-(2**63), 2**63)) for _ in range(3000))
+    ids, ties = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    part = token_store.range_of(ids, ties, np.array([-(2**63), 3, 7, 7, 7, 50]))
+    assert (np.diff(part) >= 0).all() and set(part.tolist()) == set(range(7))
+    docs = spark.range(600).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 5, id)) AS doc_id", "concat('word ', id) AS text").repartition(3)
+    got = token_store.read_tokens(token_store.write_tokens(docs, queries.WORD_TOKENIZER, 2, file_tokens=50)).orderBy("start").collect()
+    assert [r["doc_id"] for r in got[:200]] == [None] * 200 and [r["doc_id"] for r in got[200:]] == sorted(r["doc_id"] for r in got[200:])
+    assert [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got])[:-1].tolist()
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=700), max_size=4), st.data())
 def test_random_access(lists, data):
