@@ -76,7 +76,8 @@ def rollup_t1_t2(s, d):
     return T.rollup(_fold(s, d, 120), 15)
 
 
-@query(f"""WITH {EV}, few AS (SELECT *, us // 86400000000 AS bucket, row_number() OVER (PARTITION BY event_type, us // 86400000000 ORDER BY us, seq) AS k FROM ev)
+@query(f"""WITH {EV},
+    few AS (SELECT *, us // 86400000000 AS bucket, row_number() OVER (PARTITION BY event_type, us // 86400000000 ORDER BY us, seq) AS k FROM ev)
   SELECT event_type AS lane, bucket, least(count(*), 30)::BIGINT AS count, min(value) AS min, max(value) AS max, {sig("sum(value) FILTER (k <= 30)")} AS sum
   FROM few GROUP BY 1, 2""")
 def bucket_fold_saturating(s, d):
@@ -85,7 +86,8 @@ def bucket_fold_saturating(s, d):
 
 
 _COLUMNS = f"""cols AS (SELECT l.lane, c.c AS "column", (c.c * {MONTH.per_column} + {MONTH.lower}) * {MONTH.step} AS start_s, f.count, f.min, f.sum / f.count AS avg, f.max
-  FROM (SELECT DISTINCT lane FROM fold) l CROSS JOIN (SELECT unnest(range({MONTH.columns})) AS c) c LEFT JOIN fold f ON f.lane = l.lane AND f.bucket = {MONTH.lower} + c.c)"""
+  FROM (SELECT DISTINCT lane FROM fold) l CROSS JOIN (SELECT unnest(range({MONTH.columns})) AS c) c
+    LEFT JOIN fold f ON f.lane = l.lane AND f.bucket = {MONTH.lower} + c.c)"""
 
 
 @query(f"WITH {EV}, {_FOLD}, {_COLUMNS} SELECT * FROM cols")
@@ -93,19 +95,24 @@ def column_resample_month(s, d):
     return T.columns(_fold(s, d, 1800), MONTH)
 
 
-@query(f"WITH {EV}, {_FOLD}, {_COLUMNS} SELECT lane, sum(count)::BIGINT AS count, min(min) AS min, max(max) AS max, {sig('sum(avg * count) / sum(count)')} AS avg FROM cols WHERE count > 0 GROUP BY lane")
+@query(f"""WITH {EV}, {_FOLD}, {_COLUMNS} SELECT lane, sum(count)::BIGINT AS count, min(min) AS min, max(max) AS max, {sig('sum(avg * count) / sum(count)')} AS avg
+    FROM cols WHERE count > 0 GROUP BY lane""")
 def lane_summary(s, d):
     return T.summary(T.columns(_fold(s, d, 1800), MONTH))
 
 
-@query("SELECT strftime(ts::TIMESTAMP AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Berlin', '%Y%m%d')::INT AS day, sum(greatest((value * 100)::BIGINT, 0))::BIGINT AS upload, sum(greatest(user_id, 0))::BIGINT AS download FROM events GROUP BY 1")
+@query("""SELECT strftime(ts::TIMESTAMP AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Berlin', '%Y%m%d')::INT AS day, sum(greatest((value * 100)::BIGINT, 0))::BIGINT AS upload, sum(greatest(user_id, 0))::BIGINT AS download
+    FROM events GROUP BY 1""")
 def daily_totals_local(s, d):
     return R.daily_totals(_t(s, d, "events"), F.col("ts"), "Europe/Berlin", F.round(F.col("value") * 100).cast("long"), F.col("user_id"))
 
 
-@query(f"""WITH {EV}, {_FOLD}, spans(f, t, r) AS (VALUES {_SPAN_SQL}), spine AS (SELECT lane, b FROM (SELECT DISTINCT lane FROM fold) CROSS JOIN (SELECT unnest(range({MONTH.lower}, {MONTH.upper})) AS b)),
-  cover AS (SELECT b, arg_max(r, CASE r WHEN 4 THEN 3 WHEN 2 THEN 2 ELSE 1 END) AS r FROM (SELECT DISTINCT b FROM spine) JOIN spans ON b * 1800 < t AND b * 1800 + 1800 > f GROUP BY b), firsts AS (SELECT lane, min(bucket) AS fb FROM fold GROUP BY lane)
-  SELECT s.lane, s.b AS bucket, CASE WHEN f.bucket IS NOT NULL THEN 1 WHEN s.b < x.fb THEN 0 WHEN c.r IS NOT NULL THEN c.r WHEN s.b > {MONTH.upper - 20} THEN 3 ELSE 0 END::BIGINT AS reason
+@query(f"""WITH {EV}, {_FOLD}, spans(f, t, r) AS (VALUES {_SPAN_SQL}), spine AS (SELECT lane, b FROM (SELECT DISTINCT lane
+    FROM fold) CROSS JOIN (SELECT unnest(range({MONTH.lower}, {MONTH.upper})) AS b)),
+  cover AS (SELECT b, arg_max(r, CASE r WHEN 4 THEN 3 WHEN 2 THEN 2 ELSE 1 END) AS r FROM (SELECT DISTINCT b
+    FROM spine) JOIN spans ON b * 1800 < t AND b * 1800 + 1800 > f GROUP BY b), firsts AS (SELECT lane, min(bucket) AS fb FROM fold GROUP BY lane)
+  SELECT s.lane, s.b AS bucket, CASE WHEN f.bucket IS NOT NULL THEN 1 WHEN s.b < x.fb THEN 0 WHEN c.r IS NOT NULL THEN c.r
+    WHEN s.b > {MONTH.upper - 20} THEN 3 ELSE 0 END::BIGINT AS reason
   FROM spine s LEFT JOIN fold f ON f.lane = s.lane AND f.bucket = s.b LEFT JOIN firsts x ON x.lane = s.lane LEFT JOIN cover c ON c.b = s.b""")
 def gap_reasons(s, d):
     slots = _fold(s, d, 1800)
@@ -114,12 +121,15 @@ def gap_reasons(s, d):
     return T.gap_reasons(slots, spine, spans, 1800, MONTH.upper - 20)
 
 
-@query(f"WITH {EV}, r AS (SELECT *, us - lag(us) OVER w AS d FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)) SELECT seq, user_id::VARCHAR AS lane, value / CASE WHEN d IS NULL THEN 60 ELSE least(d / 1000000, 60) END AS rate FROM r WHERE d IS NULL OR d > 0")
+@query(f"""WITH {EV}, r AS (SELECT *, us - lag(us) OVER w AS d FROM ev
+    WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)) SELECT seq, user_id::VARCHAR AS lane, value / CASE
+    WHEN d IS NULL THEN 60 ELSE least(d / 1000000, 60) END AS rate FROM r WHERE d IS NULL OR d > 0""")
 def rate_from_counter(s, d):
     return T.rates(_ev(s, d, "user_id").withColumn("interval_s", F.lit(60))).select("seq", "lane", F.col("value").alias("rate"))
 
 
-_ATTR = "attr AS (SELECT user_id::VARCHAR AS lane, us, seq, value, greatest((us - 60000000) // 10000000, coalesce(lag(us) OVER w // 10000000, 0)) AS lo, us // 10000000 AS hi FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, seq))"
+_ATTR = """attr AS (SELECT user_id::VARCHAR AS lane, us, seq, value, greatest((us - 60000000) // 10000000, coalesce(lag(us) OVER w // 10000000, 0)) AS lo, us // 10000000 AS hi
+    FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, seq))"""
 _SPREAD = "SELECT lane, b AS bucket, count(*) AS count, min(value) AS min, max(value) AS max, " + sig("sum(value)") + " AS sum FROM (SELECT lane, value, unnest(range(lo, hi + 1)) AS b FROM attr) GROUP BY 1, 2"
 
 
@@ -128,7 +138,8 @@ def span_attribution(s, d):
     return T.attribute_spans(_ev(s, d, "user_id").withColumn("interval_s", F.lit(60)), 10)
 
 
-@query(f"""WITH {EV}, {_ATTR}, nx AS (SELECT *, coalesce(lead(lo) OVER (PARTITION BY lane ORDER BY us, seq), {NOW} // 10) AS n FROM attr), held AS (SELECT lane, value, unnest(range(hi + 1, least(n - 1, (us + 899999999) // 10000000) + 1)) AS b FROM nx)
+@query(f"""WITH {EV}, {_ATTR}, nx AS (SELECT *, coalesce(lead(lo) OVER (PARTITION BY lane ORDER BY us, seq), {NOW} // 10) AS n FROM attr),
+    held AS (SELECT lane, value, unnest(range(hi + 1, least(n - 1, (us + 899999999) // 10000000) + 1)) AS b FROM nx)
   SELECT *, 1::BIGINT AS reason FROM ({_SPREAD}) UNION ALL SELECT lane, b, 1, value, value, value, 5 FROM held""")
 def step_hold(s, d):
     return T.hold(_ev(s, d, "user_id").withColumn("interval_s", F.lit(60)), 10, NOW * T.MICRO)
@@ -158,7 +169,7 @@ def retention_days(s, d):
     return R.newest(days, "day", 14)
 
 
-@query(f"WITH {EV}, {_FOLD}, m AS (SELECT lane, max(bucket) AS m FROM fold GROUP BY 1) SELECT fold.* FROM fold JOIN m USING (lane) WHERE bucket > m - 100")
+@query(f"""WITH {EV}, {_FOLD}, m AS (SELECT lane, max(bucket) AS m FROM fold GROUP BY 1) SELECT fold.* FROM fold JOIN m USING (lane) WHERE bucket > m - 100""")
 def ring_retention(s, d):
     return T.retained(_fold(s, d, 1800), 100)
 
@@ -171,38 +182,47 @@ def last_record_wins(s, d):
 _SHUFFLED = "late AS (SELECT event_type AS lane, us - (seq % 7) * 600000000 AS us, seq FROM ev)"
 
 
-@query(f"WITH {EV}, {_SHUFFLED}, m AS (SELECT *, max(us // 10000000) OVER (PARTITION BY lane ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM late) SELECT seq, lane, us FROM m WHERE m IS NULL OR us // 10000000 >= m - 16")
+@query(f"""WITH {EV}, {_SHUFFLED},
+    m AS (SELECT *, max(us // 10000000) OVER (PARTITION BY lane ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m
+    FROM late) SELECT seq, lane, us FROM m WHERE m IS NULL OR us // 10000000 >= m - 16""")
 def late_data_drop(s, d):
     e = _ev(s, d).withColumn("us", F.col("us") - (F.col("seq") % 7) * 600_000_000)
     return T.drop_late(e, 10, 16).select("seq", "lane", "us")
 
 
-@query(f"WITH {EV}, c AS (SELECT seq, user_id, (us + CASE WHEN seq % 50 < 25 THEN 0 ELSE 5000000 END) AS wall, us AS mono FROM ev), s AS (SELECT *, (wall - lag(wall) OVER w) - (mono - lag(mono) OVER w) AS step_us FROM c WINDOW w AS (PARTITION BY user_id ORDER BY seq)) SELECT seq, user_id, step_us FROM s WHERE abs(step_us) > 2000000")
+@query(f"""WITH {EV}, c AS (SELECT seq, user_id, (us + CASE WHEN seq % 50 < 25 THEN 0 ELSE 5000000 END) AS wall, us AS mono FROM ev),
+    s AS (SELECT *, (wall - lag(wall) OVER w) - (mono - lag(mono) OVER w) AS step_us FROM c
+    WINDOW w AS (PARTITION BY user_id ORDER BY seq)) SELECT seq, user_id, step_us FROM s WHERE abs(step_us) > 2000000""")
 def clock_steps(s, d):
     e = _ev(s, d).withColumn("wall", F.col("us") + F.when(F.col("seq") % 50 < 25, 0).otherwise(5_000_000))
     return W.clock_steps(e, "user_id", "wall", "us").select("seq", "user_id", "step_us")
 
 
-@query(f"""WITH {EV}, k AS (SELECT user_id, us, seq, CASE WHEN event_type = 'signup' THEN 1 WHEN event_type = 'error' THEN 0 END AS kind FROM ev), e AS (SELECT *, lag(kind) OVER w AS p FROM k WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)),
-  c AS (SELECT *, lead(us) OVER (PARTITION BY user_id ORDER BY us, seq) AS to_us FROM e WHERE p IS DISTINCT FROM kind) SELECT user_id, us AS from_us, to_us FROM c WHERE kind = 1 AND to_us IS NOT NULL AND us // 1000000 < to_us // 1000000""")
+@query(f"""WITH {EV}, k AS (SELECT user_id, us, seq, CASE WHEN event_type = 'signup' THEN 1 WHEN event_type = 'error' THEN 0 END AS kind FROM ev),
+    e AS (SELECT *, lag(kind) OVER w AS p FROM k WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)),
+  c AS (SELECT *, lead(us) OVER (PARTITION BY user_id ORDER BY us, seq) AS to_us FROM e WHERE p IS DISTINCT
+    FROM kind) SELECT user_id, us AS from_us, to_us FROM c WHERE kind = 1 AND to_us IS NOT NULL AND us // 1000000 < to_us // 1000000""")
 def sleep_spans(s, d):
     return W.session_spans(_ev(s, d), "user_id", F.col("event_type") == "signup", F.col("event_type") == "error")
 
 
-@query(f"WITH {EV}, {_FOLD}, done AS (SELECT lane, min(bucket) + 700 AS done FROM fold GROUP BY 1) SELECT fold.* FROM fold JOIN done USING (lane) WHERE bucket >= done")
+@query(f"""WITH {EV}, {_FOLD}, done AS (SELECT lane, min(bucket) + 700 AS done FROM fold GROUP BY 1) SELECT fold.* FROM fold JOIN done USING (lane)
+    WHERE bucket >= done""")
 def catchup_rollup(s, d):
     fine = _fold(s, d, 120)
     done = fine.groupBy("lane").agg((F.floor(F.min("bucket") / 15) + 700).cast("long").alias("done"))
     return T.catch_up(fine, done, 15)
 
 
-@query(f"""WITH {EV}, {_FOLD}, p AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY bucket) - 1 AS i, count(*) OVER (PARTITION BY lane) AS n FROM fold), c AS (SELECT DISTINCT lane, n, unnest(range(400)) AS c FROM p)
-  SELECT c.lane, c.c AS "column", sum(p.count)::BIGINT AS count, min(p.min) AS min, {sig("sum(p.sum)")} / sum(p.count) AS avg, max(p.max) AS max FROM c LEFT JOIN p ON p.lane = c.lane AND p.i >= c.c * c.n // 400 AND p.i < (c.c + 1) * c.n // 400 GROUP BY 1, 2""")
+@query(f"""WITH {EV}, {_FOLD}, p AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY bucket) - 1 AS i, count(*) OVER (PARTITION BY lane) AS n
+    FROM fold), c AS (SELECT DISTINCT lane, n, unnest(range(400)) AS c FROM p)
+  SELECT c.lane, c.c AS "column", sum(p.count)::BIGINT AS count, min(p.min) AS min, {sig("sum(p.sum)")} / sum(p.count) AS avg, max(p.max) AS max
+    FROM c LEFT JOIN p ON p.lane = c.lane AND p.i >= c.c * c.n // 400 AND p.i < (c.c + 1) * c.n // 400 GROUP BY 1, 2""")
 def resample_fractional(s, d):
     return T.resample_fractional(_fold(s, d, 1800), 400)
 
 
-@query("SELECT * FROM (VALUES (3600, 't0', 360, 10), (21600, 't0', 720, 30), (86400, 't1', 720, 120), (604800, 't1', 504, 1200), (2592000, 't2', 1440, 1800), (31536000, 't2', 1460, 21600)) AS t(range_s, tier, columns, seconds)")
+@query("""SELECT * FROM (VALUES (3600, 't0', 360, 10), (21600, 't0', 720, 30), (86400, 't1', 720, 120), (604800, 't1', 504, 1200), (2592000, 't2', 1440, 1800), (31536000, 't2', 1460, 21600)) AS t(range_s, tier, columns, seconds)""")
 def column_plan_table(s, d):
     rows = [(r, p.tier, p.columns, p.seconds) for r in (3600, 21600, 86400, 604800, 2592000, 31536000) for p in [plan(r, 1_700_000_000)]]
     return s.createDataFrame(rows, "range_s int, tier string, columns int, seconds int")
@@ -213,38 +233,44 @@ _W = "WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)"
 _COUNTER = "(value * 100)::BIGINT"
 
 
-@query(f"WITH {EV}, c AS (SELECT seq, user_id, us, {_COUNTER} AS c FROM ev), l AS (SELECT *, lag(c) OVER w AS p, (us - lag(us) OVER w) / 1000000 AS dt FROM c {_W}) SELECT seq, user_id, CASE WHEN c >= p AND dt > 0 THEN trunc((c - p) / dt)::BIGINT ELSE 0 END AS rate FROM l")
+@query(f"""WITH {EV}, c AS (SELECT seq, user_id, us, {_COUNTER} AS c FROM ev), l AS (SELECT *, lag(c) OVER w AS p, (us - lag(us) OVER w) / 1000000 AS dt
+    FROM c {_W}) SELECT seq, user_id, CASE WHEN c >= p AND dt > 0 THEN trunc((c - p) / dt)::BIGINT ELSE 0 END AS rate FROM l""")
 def counter_rate_rebaseline(s, d):
     e = _ev(s, d).withColumn("c", F.round(F.col("value") * 100).cast("long"))
     return W.counter_rate(e, "user_id", "c").select("seq", "user_id", "rate")
 
 
-@query(f"WITH {EV}, c AS (SELECT seq, user_id, us, (seq * 2654435761) % 4294967296 AS c FROM ev) SELECT seq, user_id, (c - lag(c) OVER w + 4294967296) % 4294967296 AS delta FROM c {_W}")
+@query(f"""WITH {EV}, c AS (SELECT seq, user_id, us, (seq * 2654435761) % 4294967296 AS c
+    FROM ev) SELECT seq, user_id, (c - lag(c) OVER w + 4294967296) % 4294967296 AS delta FROM c {_W}""")
 def counter_wrap(s, d):
     e = _ev(s, d).withColumn("c", F.col("seq") * F.lit(2654435761) % F.lit(1 << 32))
     return W.wrapped_delta(e, "user_id", "c").select("seq", "user_id", "delta")
 
 
-@query("SELECT event_id, CASE WHEN value * 1000000 > (CASE WHEN user_id % 2 > 0 THEN 1000 * 1e6 / 8 * 1.5 ELSE 12.5e9 END) * 1 OR value < 0 THEN 0 ELSE value * 1000000 END AS guarded FROM events")
+@query("""SELECT event_id, CASE WHEN value * 1000000 > (CASE
+    WHEN user_id % 2 > 0 THEN 1000 * 1e6 / 8 * 1.5 ELSE 12.5e9 END) * 1 OR value < 0 THEN 0 ELSE value * 1000000 END AS guarded FROM events""")
 def outlier_guard(s, d):
     e = _t(s, d, "events").withColumn("delta", F.col("value") * 1000000)
     return W.outlier_guard(e, "delta", (F.col("user_id") % 2) * 1000, F.lit(1)).select("event_id", "guarded")
 
 
-@query(f"""WITH {EV}, p AS (SELECT seq, user_id, us, coalesce(value * (us - lag(us) OVER w) / 3600000000, 0) AS p, us - min(us) OVER w AS since FROM ev {_W}),
+@query(f"""WITH {EV}, p AS (SELECT seq, user_id, us, coalesce(value * (us - lag(us) OVER w) / 3600000000, 0) AS p, us - min(us) OVER w AS since
+    FROM ev {_W}),
   t AS (SELECT *, {sig("sum(p) OVER (PARTITION BY user_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING)")} AS watt_hours FROM p)
   SELECT seq, user_id, watt_hours, CASE WHEN since > 0 THEN {sig("watt_hours * 3600 / (since / 1000000)")} END AS average_watts FROM t""")
 def energy_integral(s, d):
     return W.energy_integral(_ev(s, d), "user_id", "value").select("seq", "user_id", "watt_hours", "average_watts")
 
 
-@query(f"WITH {EV} SELECT seq, user_id, coalesce((value - lag(value) OVER w) / ((us - lag(us) OVER w) / 1000000) / (CASE seq % 5 WHEN 0 THEN 1e3::DOUBLE WHEN 1 THEN 1e6::DOUBLE WHEN 2 THEN 1e9::DOUBLE WHEN 3 THEN 1e12::DOUBLE END), 0) AS watts FROM ev {_W}")
+@query(f"""WITH {EV} SELECT seq, user_id, coalesce((value - lag(value) OVER w) / ((us - lag(us) OVER w) / 1000000) / (CASE seq % 5 WHEN 0 THEN 1e3::DOUBLE
+    WHEN 1 THEN 1e6::DOUBLE WHEN 2 THEN 1e9::DOUBLE WHEN 3 THEN 1e12::DOUBLE END), 0) AS watts FROM ev {_W}""")
 def energy_to_power(s, d):
     e = _ev(s, d).withColumn("unit", F.expr("element_at(array('mJ', 'uJ', 'nJ', 'pJ', '?'), cast(seq % 5 + 1 as int))"))
     return W.energy_to_power(e, "user_id", "value", "unit").select("seq", "user_id", "watts")
 
 
-@query(f"WITH {EV}, a AS (SELECT user_id, us, seq, abs(value - lag(value) OVER w) AS a FROM ev {_W}), l AS (SELECT user_id, list(a ORDER BY us, seq) AS l FROM a WHERE a IS NOT NULL GROUP BY 1) SELECT user_id, round(list_reduce(l, lambda j, x: j + (x - j) / 16), 6) AS jitter, len(l) AS steps FROM l")
+@query(f"""WITH {EV}, a AS (SELECT user_id, us, seq, abs(value - lag(value) OVER w) AS a FROM ev {_W}), l AS (SELECT user_id, list(a ORDER BY us, seq) AS l
+    FROM a WHERE a IS NOT NULL GROUP BY 1) SELECT user_id, round(list_reduce(l, lambda j, x: j + (x - j) / 16), 6) AS jitter, len(l) AS steps FROM l""")
 def ewma_jitter(s, d):
     return W.ewma_jitter(_ev(s, d), "user_id", "value")
 
@@ -255,8 +281,11 @@ def weighted_mean(s, d):
     return e.groupBy("user_id").agg(T.significant(F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("mean"))
 
 
-@query(f"""WITH {EV}, p AS (SELECT user_id, value, us, us - (seq % 200 + 1) * 1000000 AS st FROM ev), m AS (SELECT *, unnest(range(st // 60000000, (us - 1) // 60000000 + 1)) AS minute FROM p), x AS (SELECT user_id, minute, value, (least(us, (minute + 1) * 60000000) - greatest(st, minute * 60000000)) / 1000000 AS sec FROM m)
-  SELECT user_id, minute, sum((value * sec)::DECIMAL(28,8))::DOUBLE / nullif(sum(sec::DECIMAL(28,8))::DOUBLE, 0) AS average, min(value) AS minimum, max(value) AS maximum, count(*) AS count, sum(sec::DECIMAL(28,8))::DOUBLE AS duration FROM x GROUP BY 1, 2""")
+@query(f"""WITH {EV}, p AS (SELECT user_id, value, us, us - (seq % 200 + 1) * 1000000 AS st FROM ev),
+    m AS (SELECT *, unnest(range(st // 60000000, (us - 1) // 60000000 + 1)) AS minute FROM p),
+    x AS (SELECT user_id, minute, value, (least(us, (minute + 1) * 60000000) - greatest(st, minute * 60000000)) / 1000000 AS sec FROM m)
+  SELECT user_id, minute, sum((value * sec)::DECIMAL(28,8))::DOUBLE / nullif(sum(sec::DECIMAL(28,8))::DOUBLE, 0) AS average, min(value) AS minimum, max(value) AS maximum, count(*) AS count, sum(sec::DECIMAL(28,8))::DOUBLE AS duration
+    FROM x GROUP BY 1, 2""")
 def duration_weighted_minutes(s, d):
     x = R.split_minutes(_ev(s, d), F.col("seq") % 200 + 1)
     x = x.select("user_id", "minute", F.col("value").alias("average"), F.col("value").alias("minimum"), F.col("value").alias("maximum"), F.lit(1).alias("count"), F.col("seconds").alias("duration"))
@@ -276,13 +305,18 @@ def rolling_mean_90(s, d):
     return W.rolling_mean(_ev(s, d), "user_id", "value", 90, F.col("event_type") != "error").select("seq", "user_id", "rolling")
 
 
-@query(f"WITH {EV}, b AS (SELECT user_id, value, us, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, seq DESC) AS b FROM ev), sp AS (SELECT DISTINCT user_id, unnest(range(1, 121)) AS slot FROM ev) SELECT sp.user_id, sp.slot::INT AS slot, us, value FROM sp LEFT JOIN b ON b.user_id = sp.user_id AND 121 - b.b = sp.slot")
+@query(f"""WITH {EV}, b AS (SELECT user_id, value, us, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, seq DESC) AS b FROM ev),
+    sp AS (SELECT DISTINCT user_id, unnest(range(1, 121)) AS slot FROM ev) SELECT sp.user_id, sp.slot::INT AS slot, us, value FROM sp
+    LEFT JOIN b ON b.user_id = sp.user_id AND 121 - b.b = sp.slot""")
 def ring_last_n(s, d):
     return W.ring(_ev(s, d).select("user_id", "us", "seq", "value"), "user_id", 120).select("user_id", "slot", "us", "value")
 
 
-@query(f"""WITH {EV}, g AS (SELECT seq, user_id, us, (us - lag(us) OVER w) / 1000000 AS dd FROM ev {_W}), r AS (SELECT user_id, dd, row_number() OVER (PARTITION BY user_id ORDER BY dd) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM g WHERE dd > 0), t AS (SELECT user_id, dd AS t FROM r WHERE n >= 2 AND r = n // 2 + 1)
-  SELECT seq, user_id, CASE WHEN dd >= 2 AND dd > 1.5 * t THEN least(round(dd / t) - 1, 119) ELSE 0 END::BIGINT AS empty_before FROM g LEFT JOIN t USING (user_id)""")
+@query(f"""WITH {EV}, g AS (SELECT seq, user_id, us, (us - lag(us) OVER w) / 1000000 AS dd FROM ev {_W}),
+    r AS (SELECT user_id, dd, row_number() OVER (PARTITION BY user_id ORDER BY dd) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM g WHERE dd > 0),
+    t AS (SELECT user_id, dd AS t FROM r WHERE n >= 2 AND r = n // 2 + 1)
+  SELECT seq, user_id, CASE WHEN dd >= 2 AND dd > 1.5 * t THEN least(round(dd / t) - 1, 119) ELSE 0 END::BIGINT AS empty_before FROM g
+    LEFT JOIN t USING (user_id)""")
 def gap_insertion(s, d):
     return W.gap_insertion(_ev(s, d), "user_id", 120).select("seq", "user_id", "empty_before")
 
@@ -294,23 +328,29 @@ def sample_lifetime(s, d):
     return W.sample_lifetime(_ev(s, d), "user_id", 10, NOW * T.MICRO, 864_000).select("seq", "user_id", "end_us")
 
 
-_ISLAND = "i AS (SELECT *, (lag(state) OVER w IS DISTINCT FROM state)::INT AS c FROM st WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)), r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS run FROM i)"
+_ISLAND = """i AS (SELECT *, (lag(state) OVER w IS DISTINCT FROM state)::INT AS c FROM st WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)),
+    r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS run FROM i)"""
 
 
-@query(f"WITH {EV}, st AS (SELECT *, value > 20 AS state FROM ev), {_ISLAND} SELECT user_id, any_value(state) AS state, min(us) AS from_us, max(us) AS to_us, count(*) AS rows FROM r GROUP BY user_id, run")
+@query(f"""WITH {EV}, st AS (SELECT *, value > 20 AS state
+    FROM ev), {_ISLAND} SELECT user_id, any_value(state) AS state, min(us) AS from_us, max(us) AS to_us, count(*) AS rows FROM r GROUP BY user_id, run""")
 def empty_runs(s, d):
     return W.islands(_ev(s, d).withColumn("state", F.col("value") > 20), "user_id", "state")
 
 
-@query(f"""WITH {EV}, sp AS (SELECT user_id, seq, us AS start_us, CASE WHEN seq % 3 > 0 THEN lead(us) OVER w ELSE us + 1 END AS end_us FROM ev {_W}), n AS (SELECT *, CASE WHEN lag(end_us) OVER v = start_us THEN 0 ELSE 1 END AS n FROM sp WHERE end_us IS NOT NULL WINDOW v AS (PARTITION BY user_id ORDER BY start_us, end_us)),
-  r AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY start_us, end_us ROWS UNBOUNDED PRECEDING) AS run FROM n) SELECT user_id, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS parts FROM r GROUP BY user_id, run""")
+@query(f"""WITH {EV}, sp AS (SELECT user_id, seq, us AS start_us, CASE WHEN seq % 3 > 0 THEN lead(us) OVER w ELSE us + 1 END AS end_us FROM ev {_W}),
+    n AS (SELECT *, CASE WHEN lag(end_us) OVER v = start_us THEN 0 ELSE 1 END AS n FROM sp WHERE end_us IS NOT NULL
+    WINDOW v AS (PARTITION BY user_id ORDER BY start_us, end_us)),
+  r AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY start_us, end_us ROWS UNBOUNDED PRECEDING) AS run
+    FROM n) SELECT user_id, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS parts FROM r GROUP BY user_id, run""")
 def coalesce_intervals(s, d):
     nxt = F.expr("lead(us) over (partition by user_id order by us, seq)")
     spans = _ev(s, d).select("user_id", F.col("us").alias("start_us"), F.when(F.col("seq") % 3 > 0, nxt).otherwise(F.col("us") + 1).alias("end_us")).where("end_us is not null")
     return W.coalesce_intervals(spans, "user_id")
 
 
-@query(f"WITH {EV}, p AS (SELECT *, lag(event_type) OVER w AS p, row_number() OVER w AS n FROM ev {_W}) SELECT seq, user_id, event_type FROM p WHERE n = 1 OR p IS DISTINCT FROM event_type")
+@query(f"""WITH {EV}, p AS (SELECT *, lag(event_type) OVER w AS p, row_number() OVER w AS n FROM ev {_W}) SELECT seq, user_id, event_type FROM p
+    WHERE n = 1 OR p IS DISTINCT FROM event_type""")
 def change_only(s, d):
     return W.change_only(_ev(s, d), "user_id", "event_type").select("seq", "user_id", "event_type")
 
@@ -321,20 +361,27 @@ def running_total_reset(s, d):
     return W.running_total(_ev(s, d), "user_id", "value", F.weekofyear("ts")).select("seq", "user_id", "total")
 
 
-@query(f"WITH {EV} SELECT seq, user_id, last_value(CASE WHEN value BETWEEN 10 AND 120 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS held FROM ev")
+@query(f"""WITH {EV} SELECT seq, user_id, last_value(CASE
+    WHEN value BETWEEN 10 AND 120 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS held FROM ev""")
 def hold_previous(s, d):
     return W.hold_previous(_ev(s, d), "user_id", "value", 10, 120).select("seq", "user_id", "held")
 
 
-@query(f"WITH {EV}, st AS (SELECT *, value >= 50 AS state FROM ev), {_ISLAND}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY us, seq) AS k FROM r WHERE state) SELECT seq, user_id, value FROM k WHERE k = 2")
+@query(f"""WITH {EV}, st AS (SELECT *, value >= 50 AS state FROM ev), {_ISLAND},
+    k AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY us, seq) AS k FROM r WHERE state) SELECT seq, user_id, value FROM k WHERE k = 2""")
 def alert_streak(s, d):
     return W.alert_streak(_ev(s, d), "user_id", "value", 50.0).select("seq", "user_id", "value")
 
 
-@query(f"""WITH {EV}, i AS (SELECT seq, user_id, us, value, value <= 30 AS bad, (us - lag(us) OVER w) / 1000000 AS gap, lag(value <= 30) OVER w AS was FROM ev {_W}),
-  g AS (SELECT *, last_value(CASE WHEN gap >= 0.5 THEN gap END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i),
-  c AS (SELECT *, (was IS DISTINCT FROM bad)::INT AS turned, (was IS DISTINCT FROM bad OR coalesce(before IS NOT NULL AND gap > greatest(5, before * 2.5), false))::INT AS fresh FROM g),
-  r AS (SELECT *, sum(fresh) OVER w AS run, sum(turned) OVER w AS stretch FROM c WINDOW w AS (PARTITION BY user_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING)),
+@query(f"""WITH {EV}, i AS (SELECT seq, user_id, us, value, value <= 30 AS bad, (us - lag(us) OVER w) / 1000000 AS gap, lag(value <= 30) OVER w AS was
+    FROM ev {_W}),
+  g AS (SELECT *, last_value(CASE
+    WHEN gap >= 0.5 THEN gap END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+    FROM i),
+  c AS (SELECT *, (was IS DISTINCT FROM bad)::INT AS turned, (was IS DISTINCT
+    FROM bad OR coalesce(before IS NOT NULL AND gap > greatest(5, before * 2.5), false))::INT AS fresh FROM g),
+  r AS (SELECT *, sum(fresh) OVER w AS run, sum(turned) OVER w AS stretch FROM c
+    WINDOW w AS (PARTITION BY user_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING)),
   t AS (SELECT *, min(us) OVER (PARTITION BY user_id, run) AS start FROM r WHERE bad),
   k AS (SELECT *, row_number() OVER (PARTITION BY user_id, stretch ORDER BY us, seq) AS k FROM t WHERE us - start >= 3600000000)
   SELECT seq, user_id, value FROM k WHERE k = 1""")
@@ -342,7 +389,8 @@ def alert_sustained(s, d):
     return W.alert_sustained(_ev(s, d), "user_id", "value", 30.0, 3600, less=True).select("seq", "user_id", "value")
 
 
-@query(f"WITH {EV}, st AS (SELECT *, value <= 20 AS state FROM ev), {_ISLAND}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY us, seq) AS k FROM r WHERE state) SELECT seq, user_id, value FROM k WHERE k = 3")
+@query(f"""WITH {EV}, st AS (SELECT *, value <= 20 AS state FROM ev), {_ISLAND},
+    k AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY us, seq) AS k FROM r WHERE state) SELECT seq, user_id, value FROM k WHERE k = 3""")
 def alert_streak_less(s, d):
     return W.alert_streak(_ev(s, d), "user_id", "value", 20.0, 3, less=True).select("seq", "user_id", "value")
 
@@ -363,26 +411,29 @@ def topk_cpu(s, d):
     return _t(s, d, "events").select("event_id", "value").orderBy(F.desc("value"), "event_id").limit(8)
 
 
-@query("SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity, l_discount * 100 AS disc FROM lineitem ORDER BY greatest(l_quantity, l_discount * 100) DESC, least(l_quantity, l_discount * 100) DESC, id LIMIT 12")
+@query("""SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity, l_discount * 100 AS disc
+    FROM lineitem ORDER BY greatest(l_quantity, l_discount * 100) DESC, least(l_quantity, l_discount * 100) DESC, id LIMIT 12""")
 def topk_disk(s, d):
     x = _t(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_quantity", (F.col("l_discount") * 100).alias("disc"))
     return R.pair_top(x, "id", "l_quantity", "disc", 12)
 
 
-@query(f"WITH {EV}, l AS (SELECT user_id AS lane, max(us) AS last_us FROM ev GROUP BY 1) SELECT lane, last_us FROM l WHERE last_us <= {NOW}000000 - 86400000000 ORDER BY last_us, lane LIMIT 1")
+@query(f"""WITH {EV}, l AS (SELECT user_id AS lane, max(us) AS last_us FROM ev GROUP BY 1) SELECT lane, last_us FROM l
+    WHERE last_us <= {NOW}000000 - 86400000000 ORDER BY last_us, lane LIMIT 1""")
 def lru_victim(s, d):
     lanes = _ev(s, d).groupBy(F.col("user_id").alias("lane")).agg(F.max("us").alias("last_us"))
     return R.lru_victim(lanes, NOW * T.MICRO, 86_400_000_000)
 
 
-@query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND value > 55), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND value > 65)
+@query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND value > 55), b AS (SELECT DISTINCT user_id FROM events
+    WHERE event_type = 'error' AND value > 65)
   (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def symmetric_difference(s, d):
     e = _t(s, d, "events")
     return R.symmetric_difference(e.where("event_type = 'signup' and value > 55").select("user_id"), e.where("event_type = 'error' and value > 65").select("user_id"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')""")
 def anti_join_removed(s, d):
     gone = _t(s, d, "orders").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'")
     return R.without(_t(s, d, "customer").select("c_custkey"), gone.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
@@ -394,9 +445,11 @@ def semi_join_live(s, d):
     return R.only(_t(s, d, "customer").select("c_custkey"), live, "c_custkey")
 
 
-@query("""WITH a AS (SELECT c_custkey AS k, c_name AS n, NULL AS v FROM customer), b AS (SELECT s_suppkey AS k, 'b' || s_name AS n, s_acctbal AS v FROM supplier),
+@query("""WITH a AS (SELECT c_custkey AS k, c_name AS n, NULL AS v FROM customer), b AS (SELECT s_suppkey AS k, 'b' || s_name AS n, s_acctbal AS v
+    FROM supplier),
   c AS (SELECT o_orderkey AS k, NULL AS n, o_totalprice AS v FROM orders)
-  SELECT coalesce(a.k, b.k, c.k) AS k, coalesce(a.n, b.n, c.n) AS n, coalesce(a.v, b.v, c.v) AS v FROM a FULL JOIN b ON a.k = b.k FULL JOIN c ON coalesce(a.k, b.k) = c.k""")
+  SELECT coalesce(a.k, b.k, c.k) AS k, coalesce(a.n, b.n, c.n) AS n, coalesce(a.v, b.v, c.v) AS v
+    FROM a FULL JOIN b ON a.k = b.k FULL JOIN c ON coalesce(a.k, b.k) = c.k""")
 def full_outer_upsert(s, d):
     a = _t(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"), F.lit(None).cast("double").alias("v"))
     b = _t(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("b"), "s_name").alias("n"), F.col("s_acctbal").alias("v"))
@@ -404,11 +457,15 @@ def full_outer_upsert(s, d):
     return R.upsert([a, b, c], "k", ["n", "v"])
 
 
-_RESOLVE = "t AS (SELECT p_partkey AS target_id, p_name AS a, p_brand || p_type AS b FROM part), it AS (SELECT p_partkey AS item_id, CASE WHEN p_retailprice > 1000 THEN p_name END AS a, p_brand || p_type AS b FROM part)"
+_RESOLVE = """t AS (SELECT p_partkey AS target_id, p_name AS a, p_brand || p_type AS b FROM part), it AS (SELECT p_partkey AS item_id, CASE
+    WHEN p_retailprice > 1000 THEN p_name END AS a, p_brand || p_type AS b FROM part)"""
 
 
-@query(f"""WITH {_RESOLVE}, ua AS (SELECT a, min(target_id) AS x FROM t WHERE a IS NOT NULL GROUP BY a HAVING count(*) = 1), ub AS (SELECT b, min(target_id) AS x FROM t WHERE b IS NOT NULL GROUP BY b HAVING count(*) = 1),
-  m AS (SELECT item_id, coalesce(ua.x, ub.x) AS x, CASE WHEN ua.x IS NOT NULL THEN 0 WHEN ub.x IS NOT NULL THEN 1 END AS r FROM it LEFT JOIN ua USING (a) LEFT JOIN ub ON ub.b = it.b), k AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY r, item_id) AS k FROM m) SELECT item_id, CASE WHEN x IS NOT NULL AND k = 1 THEN x END AS target_id FROM k""")
+@query(f"""WITH {_RESOLVE}, ua AS (SELECT a, min(target_id) AS x FROM t WHERE a IS NOT NULL GROUP BY a HAVING count(*) = 1),
+    ub AS (SELECT b, min(target_id) AS x FROM t WHERE b IS NOT NULL GROUP BY b HAVING count(*) = 1),
+  m AS (SELECT item_id, coalesce(ua.x, ub.x) AS x, CASE WHEN ua.x IS NOT NULL THEN 0 WHEN ub.x IS NOT NULL THEN 1 END AS r FROM it
+    LEFT JOIN ua USING (a) LEFT JOIN ub ON ub.b = it.b), k AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY r, item_id) AS k
+    FROM m) SELECT item_id, CASE WHEN x IS NOT NULL AND k = 1 THEN x END AS target_id FROM k""")
 def entity_resolution(s, d):
     p = _t(s, d, "part").select("p_partkey", "p_retailprice", F.col("p_name").alias("a"), F.concat("p_brand", "p_type").alias("b"))
     items = p.select(F.col("p_partkey").alias("item_id"), F.when(F.col("p_retailprice") > 1000, F.col("a")).alias("a"), "b")
@@ -416,7 +473,8 @@ def entity_resolution(s, d):
 
 
 @query("""SELECT s_suppkey, coalesce(g.n_name, 'ungrouped') AS grp
-  FROM supplier LEFT JOIN (SELECT n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name LIKE 'A%') g ON s_nationkey = g.n_nationkey""")
+  FROM supplier LEFT JOIN (SELECT n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey
+    WHERE r_name LIKE 'A%') g ON s_nationkey = g.n_nationkey""")
 def group_membership(s, d):
     """Members of groups that aren't there any more (nations of other regions) count as ungrouped; a group without members has no row."""
     n, r = _t(s, d, "nation"), _t(s, d, "region").where("r_name like 'A%'")
@@ -424,9 +482,11 @@ def group_membership(s, d):
     return R.grouped(_t(s, d, "supplier"), groups, "s_nationkey", "n_nationkey", "n_name").select("s_suppkey", "grp")
 
 
-@query("""WITH RECURSIVE n AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_regionkey AS ord FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey FROM nation
+@query("""WITH RECURSIVE n AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_regionkey AS ord FROM region
+    UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey FROM nation
     UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_suppkey FROM supplier),
-  h AS (SELECT id, 0::BIGINT AS depth, [ord::BIGINT] AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.id, h.depth + 1, list_append(h.path, n.ord::BIGINT) FROM n JOIN h ON n.parent = h.id)
+  h AS (SELECT id, 0::BIGINT AS depth, [ord::BIGINT] AS path FROM n WHERE parent IS NULL
+    UNION ALL SELECT n.id, h.depth + 1, list_append(h.path, n.ord::BIGINT) FROM n JOIN h ON n.parent = h.id)
   SELECT id, depth, array_to_string(path, '/') AS path FROM h""")
 def hierarchy_dfs(s, d):
     r = _t(s, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_regionkey").cast("long").alias("ord"))
@@ -435,27 +495,31 @@ def hierarchy_dfs(s, d):
     return R.hierarchy(r.unionByName(n).unionByName(p)).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "/"))
 
 
-@query("""WITH n AS (SELECT s_nationkey, count(*) FILTER (s_acctbal > 0) AS up, count(*) FILTER (s_acctbal < -300) AS down, count(*) AS total FROM supplier GROUP BY 1)
+@query("""WITH n AS (SELECT s_nationkey, count(*) FILTER (s_acctbal > 0) AS up, count(*) FILTER (s_acctbal < -300) AS down, count(*) AS total
+    FROM supplier GROUP BY 1)
   SELECT *, CASE WHEN up = total THEN 'green' WHEN down = total THEN 'red' ELSE 'orange' END AS colour FROM n""")
 def status_rollup(s, d):
     """Suppliers between -300 and 0 are neither up nor down."""
     return R.status_rollup(_t(s, d, "supplier"), "s_nationkey", F.col("s_acctbal") > 0, F.col("s_acctbal") < -300)
 
 
-@query("SELECT n_nationkey, row_number() OVER (ORDER BY CASE WHEN n_name < 'J' THEN 100 - n_nationkey ELSE 2147483647 END, lower(n_name), n_nationkey)::INT AS position FROM nation")
+@query("""SELECT n_nationkey, row_number() OVER (ORDER BY CASE
+    WHEN n_name < 'J' THEN 100 - n_nationkey ELSE 2147483647 END, lower(n_name), n_nationkey)::INT AS position FROM nation""")
 def custom_order(s, d):
     n = _t(s, d, "nation")
     order = n.where("n_name < 'J'").select("n_nationkey", (100 - F.col("n_nationkey")).alias("idx"))
     return R.custom_order(n.select("n_nationkey", "n_name"), order, "n_nationkey", "n_name").select("n_nationkey", "position")
 
 
-@query("WITH c AS (SELECT user_id, floor(value / 25)::BIGINT AS code, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, code, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, code) AS k FROM c) WHERE k = 1")
+@query("""WITH c AS (SELECT user_id, floor(value / 25)::BIGINT AS code, count(*) AS n FROM events
+    GROUP BY 1, 2) SELECT user_id, code, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, code) AS k FROM c) WHERE k = 1""")
 def mode_tiebreak(s, d):
     return R.mode(_t(s, d, "events").select("user_id", F.floor(F.col("value") / 25).cast("long").alias("code")), "user_id", "code")
 
 
 # scalars
-@query("""SELECT event_id, CASE WHEN v < 1e3 THEN '0 KB/s' WHEN v < 1e6 THEN printf('%.0f KB/s', v / 1e3) WHEN v < 1e8 THEN printf('%.1f MB/s', v / 1e6) WHEN v < 1e9 THEN printf('%.0f MB/s', v / 1e6)
+@query("""SELECT event_id, CASE WHEN v < 1e3 THEN '0 KB/s' WHEN v < 1e6 THEN printf('%.0f KB/s', v / 1e3)
+    WHEN v < 1e8 THEN printf('%.1f MB/s', v / 1e6) WHEN v < 1e9 THEN printf('%.0f MB/s', v / 1e6)
     WHEN v < 1e12 THEN printf('%.1f GB/s', v / 1e9) ELSE printf('%.1f TB/s', v / 1e12) END AS speed,
   CASE WHEN b < 1e3 THEN '0 Kb/s' WHEN b < 1e6 THEN printf('%.0f Kb/s', b / 1e3) WHEN b < 1e8 THEN printf('%.1f Mb/s', b / 1e6) WHEN b < 1e9 THEN printf('%.0f Mb/s', b / 1e6)
     WHEN b < 1e12 THEN printf('%.1f Gb/s', b / 1e9) ELSE printf('%.1f Tb/s', b / 1e12) END AS bits, printf('%.2f M', v / 1e6) || 'B/s' AS fixed
@@ -465,15 +529,19 @@ def units_speed(s, d):
     return _t(s, d, "events").select("event_id", S.speed(v).alias("speed"), S.speed(v, "bit").alias("bits"), S.speed(v, unit="MB").alias("fixed"))
 
 
-@query("""WITH t AS (SELECT event_id, s, trunc(s / 3600)::BIGINT AS h, trunc((s % 3600) / 60)::BIGINT AS m FROM (SELECT event_id, event_id * 7 - 2000 AS s FROM events)),
+@query("""WITH t AS (SELECT event_id, s, trunc(s / 3600)::BIGINT AS h, trunc((s % 3600) / 60)::BIGINT AS m FROM (SELECT event_id, event_id * 7 - 2000 AS s
+    FROM events)),
   x AS (SELECT *, CASE WHEN m > 9 THEN '' ELSE '0' END || m AS mm, s = 0 OR h < 0 OR m < 0 AS none FROM t)
-  SELECT event_id, CASE WHEN none THEN 'n/a' WHEN h = 0 THEN mm || 'min' WHEN m = 0 THEN h || 'h' ELSE h || 'h ' || mm || 'min' END AS text, CASE WHEN none THEN 'n/a' ELSE h || ':' || mm END AS short FROM x""")
+  SELECT event_id, CASE WHEN none THEN 'n/a' WHEN h = 0 THEN mm || 'min' WHEN m = 0 THEN h || 'h' ELSE h || 'h ' || mm || 'min' END AS text, CASE
+    WHEN none THEN 'n/a' ELSE h || ':' || mm END AS short FROM x""")
 def duration_text(s, d):
     v = F.col("event_id") * 7 - 2000
     return _t(s, d, "events").select("event_id", S.duration_text(v).alias("text"), S.duration_text(v, short=True).alias("short"))
 
 
-@query("WITH l AS (SELECT p_partkey, p_partkey || '  ' || p_name || '  ' || (p_size * 40) || ['K','M','G'][p_partkey % 3 + 1] AS line, (p_size * 40)::VARCHAR AS sz, p_partkey % 3 AS u, p_name FROM part) SELECT p_partkey AS pid, trim(p_name) AS name, CASE WHEN u = 2 THEN sz::DOUBLE * 1024 WHEN u = 0 THEN sz::DOUBLE / 1024 WHEN length(sz) = 4 THEN sz::DOUBLE / 1024 * 1000 ELSE sz::DOUBLE END * 1e6 AS bytes FROM l")
+@query("""WITH l AS (SELECT p_partkey, p_partkey || '  ' || p_name || '  ' || (p_size * 40) || ['K','M','G'][p_partkey % 3 + 1] AS line, (p_size * 40)::VARCHAR AS sz, p_partkey % 3 AS u, p_name
+    FROM part) SELECT p_partkey AS pid, trim(p_name) AS name, CASE WHEN u = 2 THEN sz::DOUBLE * 1024 WHEN u = 0 THEN sz::DOUBLE / 1024
+    WHEN length(sz) = 4 THEN sz::DOUBLE / 1024 * 1000 ELSE sz::DOUBLE END * 1e6 AS bytes FROM l""")
 def parse_top_line(s, d):
     line = F.concat(F.col("p_partkey").cast("string"), F.lit("  "), "p_name", F.lit("  "), (F.col("p_size") * 40).cast("string"), F.expr("element_at(array('K','M','G'), cast(p_partkey % 3 + 1 as int))"))
     return _t(s, d, "part").select(*[c.alias(n) for n, c in S.top_line(line).items()])
@@ -489,10 +557,12 @@ def _version(k: Column) -> Column:
     return F.concat(F.when(k % 2 == 0, "v").otherwise(""), F.concat_ws(".", F.col("p_size") % 3, F.floor(k / 2) % 4, F.col("p_size") % 5), tail)
 
 
-@query(f"""WITH k AS (SELECT p_partkey, p_size, p_partkey AS a, p_partkey * 7 + p_size AS b FROM part), v AS (SELECT p_partkey, {_version_sql("a")}, {_version_sql("b")} FROM k),
+@query(f"""WITH k AS (SELECT p_partkey, p_size, p_partkey AS a, p_partkey * 7 + p_size AS b FROM part),
+    v AS (SELECT p_partkey, {_version_sql("a")}, {_version_sql("b")} FROM k),
   j AS (SELECT *, majorb > majora AS m1, minorb > minora AND majorb >= majora AS m2, patchb > patcha AND minorb >= minora AND majorb >= majora AS m3,
                patchb >= patcha AND minorb >= minora AND majorb >= majora AS m4 FROM v)
-  SELECT p_partkey, CASE WHEN betaa IS NULL AND betab IS NULL THEN m1 OR m2 OR m3 OR (forkb > forka AND m4) WHEN betaa IS NULL THEN false ELSE m1 OR m2 OR m4 END AS newer FROM j""")
+  SELECT p_partkey, CASE WHEN betaa IS NULL AND betab IS NULL THEN m1 OR m2 OR m3 OR (forkb > forka AND m4)
+    WHEN betaa IS NULL THEN false ELSE m1 OR m2 OR m4 END AS newer FROM j""")
 def version_compare(s, d):
     k = F.col("p_partkey")
     return _t(s, d, "part").select("p_partkey", S.is_newer(_version(k), _version(k * 7 + F.col("p_size"))).alias("newer"))
@@ -505,7 +575,8 @@ def media_rate(s, d):
 
 
 @query("""WITH x AS (SELECT p_partkey, p_partkey % 8 AS k, (p_size - 1) % 256 AS hi, p_partkey % 256 AS lo FROM part)
-  SELECT p_partkey, CASE WHEN hi = 0 AND lo = 0 THEN NULL WHEN k = 0 THEN hi * 256 + lo WHEN k = 1 THEN (hi * 256 + lo) / 256 WHEN k = 2 THEN hi * 64 + lo // 4 WHEN k = 3 THEN hi
+  SELECT p_partkey, CASE WHEN hi = 0 AND lo = 0 THEN NULL WHEN k = 0 THEN hi * 256 + lo WHEN k = 1 THEN (hi * 256 + lo) / 256
+    WHEN k = 2 THEN hi * 64 + lo // 4 WHEN k = 3 THEN hi
     WHEN k = 4 THEN (hi * 256 + lo) / 16384 WHEN k = 5 THEN (hi * 256 + lo) * 65536 WHEN k = 6 THEN (hi * 256 + lo) / 32 END::DOUBLE AS value FROM x""")
 def smc_decode(s, d):
     kind = F.expr("element_at(array('ui16', 'sp78', 'fpe2', 'ui8', 'sp1e', 'ui32', 'spa5', '????'), cast(p_partkey % 8 + 1 as int))")
@@ -534,7 +605,8 @@ def bands(s, d):
     return _t(s, d, "events").select("event_id", S.band(F.col("value") / 100).alias("band"))
 
 
-@query("SELECT event_id, list_filter([CASE WHEN event_id & 1 > 0 THEN 'spare' END, CASE WHEN event_id & 2 > 0 THEN 'temperature' END, CASE WHEN event_id & 4 > 0 THEN 'reliability' END], lambda x: x IS NOT NULL).array_to_string(',') AS flags FROM events")
+@query("""SELECT event_id, list_filter([CASE WHEN event_id & 1 > 0 THEN 'spare' END, CASE WHEN event_id & 2 > 0 THEN 'temperature' END, CASE
+    WHEN event_id & 4 > 0 THEN 'reliability' END], lambda x: x IS NOT NULL).array_to_string(',') AS flags FROM events""")
 def bitmask(s, d):
     return _t(s, d, "events").select("event_id", S.flag_names(F.col("event_id"), ["spare", "temperature", "reliability"]).alias("flags"))
 
@@ -544,12 +616,14 @@ def escape_codec(s, d):
     return _t(s, d, "part").select("p_partkey", S.escape_field(F.concat("p_type", F.lit(",$%"))).alias("field"))
 
 
-@query("SELECT event_id, 'history@v2@' || base64(encode(event_type)) || '@' || lpad((event_id::HUGEINT - 500 + 9223372036854775808)::VARCHAR, 20, '0') AS key FROM events")
+@query("""SELECT event_id, 'history@v2@' || base64(encode(event_type)) || '@' || lpad((event_id::HUGEINT - 500 + 9223372036854775808)::VARCHAR, 20, '0') AS key
+    FROM events""")
 def keyed_store_codec(s, d):
     return _t(s, d, "events").select("event_id", S.bucket_key(F.col("event_type"), F.col("event_id") - 500).alias("key"))
 
 
-@query("SELECT event_id, date_trunc('day', ts) + INTERVAL 1 DAY AS next_day, date_trunc('week', ts) + INTERVAL 7 DAY AS next_week, date_trunc('month', ts) + INTERVAL 1 MONTH AS next_month FROM events")
+@query("""SELECT event_id, date_trunc('day', ts) + INTERVAL 1 DAY AS next_day, date_trunc('week', ts) + INTERVAL 7 DAY AS next_week, date_trunc('month', ts) + INTERVAL 1 MONTH AS next_month
+    FROM events""")
 def local_boundaries(s, d):
     return _t(s, d, "events").select("event_id", *[F.expr(f"cast(date_trunc('{u}', ts) + INTERVAL {n} as timestamp_ntz) AS next_{u}") for u, n in (("day", "1 DAY"), ("week", "7 DAY"), ("month", "1 MONTH"))])
 

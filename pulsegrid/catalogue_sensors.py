@@ -17,7 +17,8 @@ def _lines(s, d):
     return _t(s, d, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
 
 
-@query(f"""WITH x AS (SELECT {_LINE}, CASE l_returnflag WHEN 'A' THEN 'temperature' WHEN 'N' THEN 'current' ELSE 'voltage' END AS kind, floor(l_quantity / 2) * 5 AS value FROM lineitem)
+@query(f"""WITH x AS (SELECT {_LINE}, CASE l_returnflag WHEN 'A' THEN 'temperature'
+    WHEN 'N' THEN 'current' ELSE 'voltage' END AS kind, floor(l_quantity / 2) * 5 AS value FROM lineitem)
   SELECT id, kind, value, value >= 0 AND value < 300 AS hid FROM x
   WHERE NOT (kind = 'temperature' AND (value = 0 OR value > 110)) AND NOT (kind = 'current' AND value > 100)""")
 def sensor_plausible(s, d):
@@ -25,7 +26,8 @@ def sensor_plausible(s, d):
     return x.where(P.plausible(F.col("kind"), F.col("value"))).withColumn("hid", P.plausible_hid(F.col("value")))
 
 
-_SENSOR = """sensor AS (SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'TA' || (p_partkey % 10) || 'P' WHEN 1 THEN 'Average CPU' WHEN 2 THEN 'TB1T' WHEN 3 THEN 'TA' || (p_partkey % 10) || 'X' ELSE p_brand END AS key,
+_SENSOR = """sensor AS (SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'TA' || (p_partkey % 10) || 'P' WHEN 1 THEN 'Average CPU'
+    WHEN 2 THEN 'TB1T' WHEN 3 THEN 'TA' || (p_partkey % 10) || 'X' ELSE p_brand END AS key,
     CASE p_partkey % 4 WHEN 0 THEN 'temperature' WHEN 1 THEN 'fan' WHEN 2 THEN 'voltage' ELSE 'current' END AS type, (p_size - 25)::DOUBLE AS value, p_size % 2 = 0 AS computed FROM part)"""
 
 
@@ -35,7 +37,8 @@ def _sensors(s, d):
     return _t(s, d, "part").select(F.col("p_partkey").alias("id"), key.alias("key"), kind.alias("type"), (F.col("p_size") - 25).cast("double").alias("value"), (F.col("p_size") % 2 == 0).alias("computed"))
 
 
-@query(f"WITH {_SENSOR} SELECT id, key FROM sensor WHERE key IN ('Average CPU', 'Average GPU', 'TB1T', 'TB2T') OR (key LIKE 'TA_P' AND substr(key, 3, 1) BETWEEN '0' AND '9')")
+@query(f"""WITH {_SENSOR} SELECT id, key FROM sensor
+    WHERE key IN ('Average CPU', 'Average GPU', 'TB1T', 'TB2T') OR (key LIKE 'TA_P' AND substr(key, 3, 1) BETWEEN '0' AND '9')""")
 def curated_keys(s, d):
     x = _sensors(s, d)
     return x.where(P.curated(F.col("key"))).select("id", "key")
@@ -62,7 +65,7 @@ def sensor_clamps(s, d):
     return _t(s, d, "events").select("event_id", P.clamped(v / 100, 0.0, 1.0).alias("share"), F.least(v, F.lit(100.0)).alias("percent"))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'view' AND user_id < 100 THEN (value * 100)::BIGINT // 2 ELSE (value * 100)::BIGINT END AS bytes FROM events")
+@query("""SELECT event_id, CASE WHEN event_type = 'view' AND user_id < 100 THEN (value * 100)::BIGINT // 2 ELSE (value * 100)::BIGINT END AS bytes FROM events""")
 def vpn_halving(s, d):
     bytes_ = F.round(F.col("value") * 100).cast("long")
     return _t(s, d, "events").select("event_id", P.halved_in_tunnel(bytes_, F.col("event_type") == "view", F.col("user_id") < 100).alias("bytes"))
@@ -71,7 +74,8 @@ def vpn_halving(s, d):
 _PAGES = "l_partkey AS active, l_suppkey AS inactive, l_linenumber AS speculative, l_orderkey % 1000 AS wired, l_quantity::BIGINT AS compressed, l_partkey % 7 AS purgeable, l_suppkey % 5 AS external"
 
 
-@query(f"""WITH x AS (SELECT {_LINE}, {_PAGES} FROM lineitem), u AS (SELECT *, (active + inactive + speculative + wired + compressed - purgeable - external) * 4096.0::DOUBLE AS used FROM x)
+@query(f"""WITH x AS (SELECT {_LINE}, {_PAGES} FROM lineitem),
+    u AS (SELECT *, (active + inactive + speculative + wired + compressed - purgeable - external) * 4096.0::DOUBLE AS used FROM x)
   SELECT id, used, 17179869184 - used AS free, used - (wired + compressed) * 4096 AS app, (purgeable + external) * 4096::DOUBLE AS cache,
     CASE active % 5 WHEN 2 THEN 'warning' WHEN 4 THEN 'critical' ELSE 'normal' END AS pressure FROM u""")
 def memory_columns(s, d):
@@ -80,7 +84,9 @@ def memory_columns(s, d):
     return P.memory_columns(x).select("id", "used", "free", "app", "cache", P.pressure_level(F.col("active") % 5).alias("pressure"))
 
 
-@query("SELECT o_orderkey, CASE WHEN size = 0 THEN 0 ELSE greatest(size - free, 0) / size END::DOUBLE AS used FROM (SELECT o_orderkey, o_custkey % 50 AS size, o_orderkey % 70 AS free FROM orders)")
+@query("""SELECT o_orderkey, CASE
+    WHEN size = 0 THEN 0 ELSE greatest(size - free, 0) / size END::DOUBLE AS used FROM (SELECT o_orderkey, o_custkey % 50 AS size, o_orderkey % 70 AS free
+    FROM orders)""")
 def disk_used(s, d):
     return _t(s, d, "orders").select("o_orderkey", P.disk_used(F.col("o_custkey") % 50, F.col("o_orderkey") % 70).alias("used"))
 
@@ -91,7 +97,8 @@ def battery_health(s, d):
     return _lines(s, d).select("id", P.battery_health(F.col("l_partkey") % 300, F.col("l_suppkey") % 40 + 200).alias("health"), P.battery_power(F.col("l_discount"), F.col("l_quantity")).alias("power"))
 
 
-@query("SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, CASE WHEN c_mktsegment = 'BUILDING' THEN c_nationkey END, -1)::DOUBLE AS charge FROM customer")
+@query("""SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, CASE WHEN c_mktsegment = 'BUILDING' THEN c_nationkey END, -1)::DOUBLE AS charge
+    FROM customer""")
 def fallback_chain(s, d):
     c = _t(s, d, "customer")
     return c.select("c_custkey", F.coalesce(F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")), F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_nationkey").cast("double")), F.lit(-1.0)).alias("charge"))
@@ -104,7 +111,8 @@ def active_devices(s, d):
 
 
 @query("""WITH x AS (SELECT event_id, user_id * 3 AS a, event_id % 300 AS b FROM events)
-  SELECT event_id, CASE event_id % 4 WHEN 3 THEN false ELSE a < 256 AND b < 256 END AS valid, CASE event_id % 3 WHEN 0 THEN '10.0.0.' || b WHEN 1 THEN NULL ELSE '2001:db8::' || b END AS shown FROM x""")
+  SELECT event_id, CASE event_id % 4 WHEN 3 THEN false ELSE a < 256 AND b < 256 END AS valid, CASE event_id % 3 WHEN 0 THEN '10.0.0.' || b
+    WHEN 1 THEN NULL ELSE '2001:db8::' || b END AS shown FROM x""")
 def address_validity(s, d):
     b = F.col("event_id") % 300
     tail = F.when(F.col("event_id") % 4 == 0, "").when(F.col("event_id") % 4 == 3, ".x").otherwise(".")
@@ -115,7 +123,8 @@ def address_validity(s, d):
 
 
 @query(f"""WITH {EV}, c AS (SELECT seq, user_id, us AS up, us + CASE WHEN value > 60 THEN 4000000000 ELSE 0 END AS wall FROM ev),
-  l AS (SELECT seq, user_id, (up - lag(up) OVER w) / 1000000 AS elapsed, (wall - lag(wall) OVER w) / 1000000 AS walled FROM c WINDOW w AS (PARTITION BY user_id ORDER BY seq))
+  l AS (SELECT seq, user_id, (up - lag(up) OVER w) / 1000000 AS elapsed, (wall - lag(wall) OVER w) / 1000000 AS walled FROM c
+    WINDOW w AS (PARTITION BY user_id ORDER BY seq))
   SELECT seq, user_id, elapsed AS elapsed_s FROM l WHERE elapsed > 0 AND elapsed <= 3 * 3600 AND abs(walled - elapsed) < 3600""")
 def legacy_acceptance(s, d):
     e = _ev(s, d).withColumn("wall", F.col("us") + F.when(F.col("value") > 60, 4_000_000_000).otherwise(0))
@@ -133,10 +142,11 @@ def reader_dispatch(s, d):
     return P.emitted_by(e, "reader", "event_type", {"view": "capacity", "click": "activity"}).select("event_id")
 
 
-_TICKS = "SELECT seq, user_id, us, (seq * 2654435761) % 4294967296 AS u, (seq * 40503) % 4294967296 AS y, (seq * 97) % 4294967296 AS i, 0::BIGINT AS n FROM ev"
+_TICKS = """SELECT seq, user_id, us, (seq * 2654435761) % 4294967296 AS u, (seq * 40503) % 4294967296 AS y, (seq * 97) % 4294967296 AS i, 0::BIGINT AS n FROM ev"""
 
 
-@query(f"""WITH {EV}, t AS ({_TICKS}), l AS (SELECT seq, user_id, us, (u - lag(u) OVER w + 4294967296) % 4294967296 AS u, (y - lag(y) OVER w + 4294967296) % 4294967296 AS y,
+@query(f"""WITH {EV}, t AS ({_TICKS}),
+    l AS (SELECT seq, user_id, us, (u - lag(u) OVER w + 4294967296) % 4294967296 AS u, (y - lag(y) OVER w + 4294967296) % 4294967296 AS y,
     (i - lag(i) OVER w + 4294967296) % 4294967296 AS i FROM t {_W})
   SELECT seq, user_id, u / (u + y + i) + y / (u + y + i) AS usage, i / (u + y + i) AS idle FROM l""")
 def cpu_ratio(s, d):
@@ -158,7 +168,8 @@ def core_type_mean(s, d):
     return P.group_mean(_t(s, d, "lineitem"), "l_returnflag", value="l_discount")
 
 
-@query(f"""WITH x AS (SELECT l_orderkey, CASE l_linenumber WHEN 1 THEN 'IDLE' WHEN 2 THEN 'DOWN' ELSE 'V' || l_linenumber END AS state, l_quantity AS r, l_partkey % 40 * 100 AS mhz FROM lineitem)
+@query(f"""WITH x AS (SELECT l_orderkey, CASE l_linenumber WHEN 1 THEN 'IDLE'
+    WHEN 2 THEN 'DOWN' ELSE 'V' || l_linenumber END AS state, l_quantity AS r, l_partkey % 40 * 100 AS mhz FROM lineitem)
   SELECT l_orderkey, greatest({sig("sum(r * mhz) / sum(r)")}, 600) AS mhz FROM x WHERE state NOT IN ('IDLE', 'DOWN', 'OFF') GROUP BY 1""")
 def residency_frequency(s, d):
     state = F.when(F.col("l_linenumber") == 1, "IDLE").when(F.col("l_linenumber") == 2, "DOWN").otherwise(F.concat(F.lit("V"), F.col("l_linenumber").cast("string")))
@@ -166,16 +177,20 @@ def residency_frequency(s, d):
     return P.residency_frequency(x, "l_orderkey", floor_mhz=F.lit(600.0))
 
 
-@query(f"""WITH x AS (SELECT l_orderkey, l_returnflag AS c, avg(l_partkey) AS mhz, CASE l_returnflag WHEN 'A' THEN 4 WHEN 'N' THEN 6 ELSE 2 END AS n FROM lineitem GROUP BY 1, 2)
+@query(f"""WITH x AS (SELECT l_orderkey, l_returnflag AS c, avg(l_partkey) AS mhz, CASE l_returnflag WHEN 'A' THEN 4 WHEN 'N' THEN 6 ELSE 2 END AS n
+    FROM lineitem GROUP BY 1, 2)
   SELECT l_orderkey, {sig("sum(mhz * n) / sum(n)")} AS mhz FROM x GROUP BY 1""")
 def weighted_frequency(s, d):
     x = _t(s, d, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("cluster")).agg(F.avg("l_partkey").alias("mhz"))
     return P.weighted_frequency(x, "l_orderkey", clusters={"A": 4, "N": 6, "R": 2})
 
 
-@query(f"""WITH x AS (SELECT l_orderkey, 'k' || l_linenumber AS key, CASE l_returnflag WHEN 'A' THEN 'CPU' WHEN 'N' THEN 'GPU' ELSE 'SOC' END AS g, CASE WHEN l_linenumber > 4 THEN 'fan' ELSE 'temperature' END AS type, l_quantity AS value, l_tax > 0.02 AS averaged FROM lineitem),
+@query(f"""WITH x AS (SELECT l_orderkey, 'k' || l_linenumber AS key, CASE l_returnflag WHEN 'A' THEN 'CPU'
+    WHEN 'N' THEN 'GPU' ELSE 'SOC' END AS g, CASE
+    WHEN l_linenumber > 4 THEN 'fan' ELSE 'temperature' END AS type, l_quantity AS value, l_tax > 0.02 AS averaged FROM lineitem),
   a AS (SELECT l_orderkey, g, {sig("avg(value)")} AS mean, max(value) AS top FROM x WHERE type = 'temperature' AND averaged GROUP BY 1, 2)
-  SELECT l_orderkey, key, type, value FROM x UNION ALL SELECT l_orderkey, 'Average ' || g, 'temperature', mean FROM a UNION ALL SELECT l_orderkey, 'Hottest ' || g, 'temperature', top FROM a
+  SELECT l_orderkey, key, type, value FROM x UNION ALL SELECT l_orderkey, 'Average ' || g, 'temperature', mean FROM a
+    UNION ALL SELECT l_orderkey, 'Hottest ' || g, 'temperature', top FROM a
   UNION ALL SELECT l_orderkey, 'Fastest fan', 'fan', max(value) FROM x WHERE type = 'fan' GROUP BY 1 HAVING count(*) > 1""")
 def computed_sensors(s, d):
     group = F.when(F.col("l_returnflag") == "A", "CPU").when(F.col("l_returnflag") == "N", "GPU").otherwise("SOC")
@@ -183,31 +198,37 @@ def computed_sensors(s, d):
     return P.computed_rows(x, "l_orderkey")
 
 
-@query(f"""WITH {EV}, c AS (SELECT seq, user_id, us, (value * 100)::BIGINT AS c FROM ev), l AS (SELECT seq, user_id, c - lag(c) OVER w AS dc, (us - lag(us) OVER w) / 1000000 AS dt FROM c {_W})
+@query(f"""WITH {EV}, c AS (SELECT seq, user_id, us, (value * 100)::BIGINT AS c FROM ev),
+    l AS (SELECT seq, user_id, c - lag(c) OVER w AS dc, (us - lag(us) OVER w) / 1000000 AS dt FROM c {_W})
   SELECT seq, user_id, CASE WHEN dc >= 0 AND dt > 0 THEN dc / dt END AS fps FROM l""")
 def frame_rate(s, d):
     e = _ev(s, d).withColumn("c", F.round(F.col("value") * 100).cast("long"))
     return W.frame_rate(e, "user_id", "c").select("seq", "user_id", "fps")
 
 
-@query(f"""WITH {EV}, c AS (SELECT seq, user_id, us, floor(value / 10)::BIGINT AS c FROM ev), l AS (SELECT seq, user_id, c, lag(c) OVER w AS p FROM c {_W})
+@query(f"""WITH {EV}, c AS (SELECT seq, user_id, us, floor(value / 10)::BIGINT AS c FROM ev), l AS (SELECT seq, user_id, c, lag(c) OVER w AS p
+    FROM c {_W})
   SELECT seq, user_id, CASE WHEN p IS NULL THEN 0 WHEN p = 0 THEN greatest(c, 0) ELSE greatest(c - p, 0) END AS step FROM l""")
 def network_step(s, d):
     e = _ev(s, d).withColumn("c", F.floor(F.col("value") / 10).cast("long"))
     return W.step_per_row(e, "user_id", "c").select("seq", "user_id", F.col("step").cast("long").alias("step"))
 
 
-@query(f"WITH {EV}, r AS (SELECT seq, user_id, us, value, us // 259200000000 AS run FROM ev) SELECT seq, user_id, value - lag(value) OVER (PARTITION BY user_id, run ORDER BY us, seq) AS step FROM r")
+@query(f"""WITH {EV}, r AS (SELECT seq, user_id, us, value, us // 259200000000 AS run
+    FROM ev) SELECT seq, user_id, value - lag(value) OVER (PARTITION BY user_id, run ORDER BY us, seq) AS step FROM r""")
 def run_bases(s, d):
     e = _ev(s, d).withColumn("run", F.floor(F.col("us") / 259_200_000_000))
     return W.run_bases(e, "user_id", "value", "run").select("seq", "user_id", "step")
 
 
-_CLIENTS = """c AS (SELECT user_id AS client, user_id % 40 AS pid, 'p' || user_id AS name, CASE WHEN value > 90 THEN 2 ELSE 1 END AS queues, event_id * 1000000 + (value * 1000)::BIGINT AS gpu_ns,
-    (us // 3600000000) * 1000000000 AS tick_ns, row_number() OVER (PARTITION BY user_id, us // 3600000000 ORDER BY us) AS k FROM (SELECT *, epoch_us(ts) AS us FROM events))"""
+_CLIENTS = """c AS (SELECT user_id AS client, user_id % 40 AS pid, 'p' || user_id AS name, CASE
+    WHEN value > 90 THEN 2 ELSE 1 END AS queues, event_id * 1000000 + (value * 1000)::BIGINT AS gpu_ns,
+    (us // 3600000000) * 1000000000 AS tick_ns, row_number() OVER (PARTITION BY user_id, us // 3600000000 ORDER BY us) AS k FROM (SELECT *, epoch_us(ts) AS us
+    FROM events))"""
 
 
-@query(f"""WITH {_CLIENTS}, o AS (SELECT * EXCLUDE (k) FROM c WHERE k = 1), t AS (SELECT tick_ns, lag(tick_ns) OVER (ORDER BY tick_ns) AS before FROM (SELECT DISTINCT tick_ns FROM o)),
+@query(f"""WITH {_CLIENTS}, o AS (SELECT * EXCLUDE (k) FROM c WHERE k = 1),
+    t AS (SELECT tick_ns, lag(tick_ns) OVER (ORDER BY tick_ns) AS before FROM (SELECT DISTINCT tick_ns FROM o)),
   u AS (SELECT *, tick_ns - before AS elapsed FROM t WHERE tick_ns - before >= 250000000 AND tick_ns - before <= 3000000000)
   SELECT o.tick_ns, o.pid, arg_min(o.name, o.client) AS name, {sig("sum((o.gpu_ns - p.gpu_ns) / u.elapsed * 100)")} AS usage
   FROM o JOIN u ON o.tick_ns = u.tick_ns JOIN o p ON p.client = o.client AND p.tick_ns = u.before AND p.pid = o.pid AND p.queues = o.queues AND o.gpu_ns >= p.gpu_ns GROUP BY 1, 2""")
@@ -219,7 +240,8 @@ def gpu_usage_by_pid(s, d):
     return R.usage_by_pid(one, 1.0)
 
 
-@query("""WITH e AS (SELECT o_orderkey AS ord, o_orderpriority AS name, o_custkey AS capacity, 'a' || o_orderkey AS address, CASE WHEN o_orderstatus = 'F' THEN 'Case' WHEN o_totalprice > 200000 THEN 'Combined' END AS part,
+@query("""WITH e AS (SELECT o_orderkey AS ord, o_orderpriority AS name, o_custkey AS capacity, 'a' || o_orderkey AS address, CASE
+    WHEN o_orderstatus = 'F' THEN 'Case' WHEN o_totalprice > 200000 THEN 'Combined' END AS part,
     CASE WHEN o_custkey % 9 > 0 THEN o_custkey % 200 END AS grp, o_orderstatus = 'O' AS charging FROM orders),
   g AS (SELECT grp, arg_min(name, ord) FILTER (part = 'Combined') AS cn, arg_min(address, ord) FILTER (part = 'Combined') AS ca, arg_min(capacity, ord) FILTER (part = 'Combined') AS cc, arg_min(charging, ord) FILTER (part = 'Combined') AS cg,
      arg_min(capacity, ord) FILTER (part = 'Case') AS kc, arg_min(charging, ord) FILTER (part = 'Case') AS kg, arg_min(name, ord) AS an, arg_min(address, ord) AS aa, arg_min(capacity, ord) AS ac, arg_min(charging, ord) AS ag FROM e WHERE grp IS NOT NULL GROUP BY 1)
@@ -237,7 +259,8 @@ def accessory_groups(s, d):
     return P.accessory_levels(e).select("name", "address", levels.alias("levels"))
 
 
-@query(f"""WITH l AS (SELECT l_orderkey, l_linenumber, max(l_discount) AS v FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, {sig("avg(v)")} AS mean FROM l GROUP BY 1""")
+@query(f"""WITH l AS (SELECT l_orderkey, l_linenumber, max(l_discount) AS v FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, {sig("avg(v)")} AS mean
+    FROM l GROUP BY 1""")
 def machine_cpu_mean(s, d):
     x = _t(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_discount").alias("v"))
     m = x.groupBy("l_orderkey").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("l_linenumber", "v")))).alias("m"))
@@ -247,23 +270,30 @@ def machine_cpu_mean(s, d):
 
 
 _TEMPLATES = [(0, "TC0P", "CPU proximity", "temperature"), (1, "T%P", "Sensor %", "temperature"), (2, "VC0C", "CPU core", "voltage"), (3, "TC%C", "Core %", "temperature"), (4, "T0P", "Again", "temperature")]
-_AVAILABLE = "SELECT DISTINCT substr('TVPIX', (p_partkey % 5 + 1)::INT, 1) || CASE p_size % 3 WHEN 0 THEN 'C' || (p_partkey % 12) || 'C' WHEN 1 THEN (p_partkey % 10) || 'P' ELSE 'C0P' END AS key FROM part"
+_AVAILABLE = """SELECT DISTINCT substr('TVPIX', (p_partkey % 5 + 1)::INT, 1) || CASE p_size % 3 WHEN 0 THEN 'C' || (p_partkey % 12) || 'C'
+    WHEN 1 THEN (p_partkey % 10) || 'P' ELSE 'C0P' END AS key FROM part"""
 _TEMPLATE_SQL = ", ".join(str(t) for t in _TEMPLATES)
 
 
-@query(f"""WITH a AS (SELECT key FROM ({_AVAILABLE}) WHERE substr(key, 1, 1) IN ('T', 'V', 'P', 'I')), t(pos, key, name, type) AS (VALUES {_TEMPLATE_SQL}),
-  x AS (SELECT pos, 0 AS d, key, name, type FROM t WHERE NOT contains(key, '%') UNION ALL SELECT pos + 1000, d, replace(key, '%', d::VARCHAR), name, type FROM t, (SELECT unnest(range(10)) AS d) WHERE contains(key, '%')),
-  f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos, d) AS k FROM x WHERE key IN (SELECT key FROM a)), g AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY d) AS i FROM f WHERE k = 1)
+@query(f"""WITH a AS (SELECT key FROM ({_AVAILABLE}) WHERE substr(key, 1, 1) IN ('T', 'V', 'P', 'I')),
+    t(pos, key, name, type) AS (VALUES {_TEMPLATE_SQL}),
+  x AS (SELECT pos, 0 AS d, key, name, type FROM t WHERE NOT contains(key, '%')
+    UNION ALL SELECT pos + 1000, d, replace(key, '%', d::VARCHAR), name, type FROM t, (SELECT unnest(range(10)) AS d) WHERE contains(key, '%')),
+  f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos, d) AS k FROM x WHERE key IN (SELECT key FROM a)),
+    g AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY d) AS i FROM f WHERE k = 1)
   SELECT key, replace(name, '%', i::VARCHAR) AS name, type FROM g
-  UNION ALL SELECT key, key, CASE substr(key, 1, 1) WHEN 'T' THEN 'temperature' WHEN 'V' THEN 'voltage' WHEN 'P' THEN 'power' ELSE 'current' END FROM a WHERE key NOT IN (SELECT key FROM g)""")
+  UNION ALL SELECT key, key, CASE substr(key, 1, 1) WHEN 'T' THEN 'temperature' WHEN 'V' THEN 'voltage' WHEN 'P' THEN 'power' ELSE 'current' END
+    FROM a WHERE key NOT IN (SELECT key FROM g)""")
 def sensor_templates(s, d):
     key = F.concat(F.expr("substr('TVPIX', cast(p_partkey % 5 + 1 as int), 1)"), F.expr("CASE p_size % 3 WHEN 0 THEN concat('C', p_partkey % 12, 'C') WHEN 1 THEN concat(p_partkey % 10, 'P') ELSE 'C0P' END"))
     templates = s.createDataFrame(_TEMPLATES, "pos int, key string, name string, type string")
     return P.expand_templates(templates, _t(s, d, "part").select(key.alias("key")))
 
 
-@query("""WITH known AS (SELECT c_custkey AS bsd, c_acctbal AS p, c_nationkey * 10 AS m FROM customer), mounted AS (SELECT o_custkey AS bsd, max(o_totalprice) AS size, min(o_totalprice) AS free, count(*)::DOUBLE AS p FROM orders GROUP BY 1)
-  SELECT x.bsd, x.size, x.free, CASE WHEN 100 - k.m < 60 THEN k.p ELSE x.p END AS purgeable, CASE WHEN 100 - k.m < 60 THEN k.m ELSE 100 END AS measured_s FROM mounted x LEFT JOIN known k USING (bsd)""")
+@query("""WITH known AS (SELECT c_custkey AS bsd, c_acctbal AS p, c_nationkey * 10 AS m FROM customer),
+    mounted AS (SELECT o_custkey AS bsd, max(o_totalprice) AS size, min(o_totalprice) AS free, count(*)::DOUBLE AS p FROM orders GROUP BY 1)
+  SELECT x.bsd, x.size, x.free, CASE WHEN 100 - k.m < 60 THEN k.p ELSE x.p END AS purgeable, CASE
+    WHEN 100 - k.m < 60 THEN k.m ELSE 100 END AS measured_s FROM mounted x LEFT JOIN known k USING (bsd)""")
 def volume_upsert(s, d):
     known = _t(s, d, "customer").select(F.col("c_custkey").alias("bsd"), F.col("c_acctbal").alias("purgeable"), (F.col("c_nationkey") * 10).alias("measured_s"))
     mounted = _t(s, d, "orders").groupBy(F.col("o_custkey").alias("bsd")).agg(F.max("o_totalprice").alias("size"), F.min("o_totalprice").alias("free"), F.count(F.lit(1)).cast("double").alias("purgeable"))

@@ -19,8 +19,10 @@ def _v():
 
 
 # scalars
-@query(f"""WITH x AS (SELECT event_id, {_V} AS v FROM events), r AS (SELECT *, sign(v * 100) * floor(abs(v * 100) + 0.5) AS p, CASE WHEN v > 0 THEN trunc(v) ELSE 0 END AS b FROM x)
-  SELECT event_id, p::BIGINT || '%' AS percent, printf('%.0f°C', v) AS celsius, printf('%.0f°F', v * 9 / 5 + 32) AS fahrenheit, CASE WHEN v >= 100 THEN trunc(v)::BIGINT || ' W' ELSE printf('%.2f W', v) END AS watts,
+@query(f"""WITH x AS (SELECT event_id, {_V} AS v FROM events), r AS (SELECT *, sign(v * 100) * floor(abs(v * 100) + 0.5) AS p, CASE
+    WHEN v > 0 THEN trunc(v) ELSE 0 END AS b FROM x)
+  SELECT event_id, p::BIGINT || '%' AS percent, printf('%.0f°C', v) AS celsius, printf('%.0f°F', v * 9 / 5 + 32) AS fahrenheit, CASE
+    WHEN v >= 100 THEN trunc(v)::BIGINT || ' W' ELSE printf('%.2f W', v) END AS watts,
     CASE WHEN v >= 100 THEN trunc(v)::BIGINT || ' V' ELSE printf('%.3f V', v) END AS volts, trunc(v)::BIGINT || ' RPM' AS rpm,
     CASE WHEN b < 1e3 THEN '0 KB/s' WHEN b < 1e6 THEN printf('%.0f KB/s', b / 1e3) ELSE printf('%.1f MB/s', b / 1e6) END AS rate, '—' AS nothing FROM r""")
 def unit_texts(s, d):
@@ -29,13 +31,17 @@ def unit_texts(s, d):
     return _t(s, d, "events").select("event_id", *[S.unit_text(v, u).alias(n) for n, u in named.items()], S.unit_text(v, "celsius", True).alias("fahrenheit"), S.unit_text(F.lit(float("nan")), "watts").alias("nothing"))
 
 
-@query("""SELECT event_id, CASE WHEN v < 0 THEN printf('%.0f KB', v / 1e3) WHEN v < 1e3 THEN '0 KB' WHEN v < 1e6 THEN printf('%.0f KB', v / 1e3) WHEN v < 1e9 THEN printf('%.0f MB', v / 1e6)
-    WHEN v < 1e12 THEN printf('%.1f GB', v / 1e9) ELSE printf('%.1f TB', v / 1e12) END AS size FROM (SELECT event_id, floor(value * pow(10, event_id % 13)) - 5000 AS v FROM events)""")
+@query("""SELECT event_id, CASE WHEN v < 0 THEN printf('%.0f KB', v / 1e3) WHEN v < 1e3 THEN '0 KB' WHEN v < 1e6 THEN printf('%.0f KB', v / 1e3)
+    WHEN v < 1e9 THEN printf('%.0f MB', v / 1e6)
+   
+    WHEN v < 1e12 THEN printf('%.1f GB', v / 1e9) ELSE printf('%.1f TB', v / 1e12) END AS size FROM (SELECT event_id, floor(value * pow(10, event_id % 13)) - 5000 AS v
+    FROM events)""")
 def disk_sizes(s, d):
     return _t(s, d, "events").select("event_id", S.disk_size(F.floor(F.col("value") * F.pow(F.lit(10.0), F.col("event_id") % 13)).cast("double") - 5000).alias("size"))
 
 
-@query(f"SELECT event_id, printf('%.3f', v) AS three, printf('%.0f', v) AS none, sign(v * 100) * floor(abs(v * 100) + 0.5) / 100 AS two FROM (SELECT event_id, {_V} AS v FROM events)")
+@query(f"""SELECT event_id, printf('%.3f', v) AS three, printf('%.0f', v) AS none, sign(v * 100) * floor(abs(v * 100) + 0.5) / 100 AS two FROM (SELECT event_id, {_V} AS v
+    FROM events)""")
 def roundings(s, d):
     return _t(s, d, "events").select("event_id", S.fixed(_v(), 3).alias("three"), S.fixed(_v(), 0).alias("none"), S.half_away(_v(), 2).alias("two"))
 
@@ -49,7 +55,8 @@ def regex_find(s, d):
 
 
 @query("""SELECT p_partkey, p_size || '' || p_partkey AS digits, p_brand || ' x ' || p_size AS condensed, p_brand || '  x' || chr(10) || p_size AS trimmed, p_brand || 'x' || chr(10) || p_size AS joined
-  FROM (SELECT p_partkey, p_size, replace(replace(p_brand, 'Brand#', 'b'), ' ', '') AS p_brand FROM (SELECT p_partkey, p_size, regexp_replace(p_brand, '[0-9]', 'n', 'g') AS p_brand FROM part))""")
+  FROM (SELECT p_partkey, p_size, replace(replace(p_brand, 'Brand#', 'b'), ' ', '') AS p_brand FROM (SELECT p_partkey, p_size, regexp_replace(p_brand, '[0-9]', 'n', 'g') AS p_brand
+    FROM part))""")
 def text_cleaning(s, d):
     brand = F.replace(F.replace(F.regexp_replace("p_brand", "[0-9]", "n"), F.lit("Brand#"), F.lit("b")), F.lit(" "), F.lit(""))
     size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
@@ -60,7 +67,8 @@ def text_cleaning(s, d):
     )
 
 
-@query("""SELECT p_partkey, CASE WHEN strlen(t) <= 20 THEN t ELSE (SELECT max(left(t, i)) FROM (SELECT unnest(range(0, 21)) AS i) WHERE strlen(left(t, i)) <= 20) END AS label, strlen(t) AS bytes
+@query("""SELECT p_partkey, CASE WHEN strlen(t) <= 20 THEN t ELSE (SELECT max(left(t, i)) FROM (SELECT unnest(range(0, 21)) AS i)
+    WHERE strlen(left(t, i)) <= 20) END AS label, strlen(t) AS bytes
   FROM (SELECT p_partkey, p_name || repeat('é', p_size % 9) || repeat('日本', p_size % 4) AS t FROM part)""")
 def label_truncated(s, d):
     text = F.concat("p_name", F.expr("repeat('é', p_size % 9)"), F.expr("repeat('日本', p_size % 4)"))
@@ -76,7 +84,8 @@ def voltage_states(s, d):
 
 
 @query("""WITH x AS (SELECT event_id, value AS v, 500.0::DOUBLE AS m FROM events)
-  SELECT event_id, CASE WHEN v > 1 THEN v / m ELSE v END * 100 AS none, 100 * v / m AS linear, 100 * sqrt(v) / sqrt(m) AS square, 100 * cbrt(v) / cbrt(m) AS cube,
+  SELECT event_id, CASE
+    WHEN v > 1 THEN v / m ELSE v END * 100 AS none, 100 * v / m AS linear, 100 * sqrt(v) / sqrt(m) AS square, 100 * cbrt(v) / cbrt(m) AS cube,
     100 * greatest(ln(v / 0.01), 0) / ln(m / 0.01) AS logarithmic, 100 * least(v, 50) / 50 AS fixed FROM x""")
 def chart_scales(s, d):
     scales = ("none", "linear", "square", "cube", "logarithmic", "fixed")
@@ -86,8 +95,10 @@ def chart_scales(s, d):
 _NICE = "CASE WHEN x <= 1 THEN 1 WHEN x <= 2 THEN 2 WHEN x <= 2.5 THEN 2.5 WHEN x <= 5 THEN 5 ELSE 10 END"
 
 
-@query(f"""WITH g AS (SELECT user_id, CASE user_id % 3 WHEN 0 THEN 'percent' WHEN 1 THEN 'celsius' END AS unit, min(value - 10) AS low, max(value) AS high FROM events GROUP BY 1),
-  n AS (SELECT *, pow(10, floor(log10(high))) AS ph, round(high / pow(10, floor(log10(high))), 12) AS xh, pow(10, floor(log10(abs(low)))) AS pl, round(abs(low) / pow(10, floor(log10(abs(low)))), 12) AS xl FROM g),
+@query(f"""WITH g AS (SELECT user_id, CASE user_id % 3 WHEN 0 THEN 'percent'
+    WHEN 1 THEN 'celsius' END AS unit, min(value - 10) AS low, max(value) AS high FROM events GROUP BY 1),
+  n AS (SELECT *, pow(10, floor(log10(high))) AS ph, round(high / pow(10, floor(log10(high))), 12) AS xh, pow(10, floor(log10(abs(low)))) AS pl, round(abs(low) / pow(10, floor(log10(abs(low)))), 12) AS xl
+    FROM g),
   b AS (SELECT user_id, unit, low, ph * {_NICE.replace("x", "xh")} AS up,
      CASE WHEN low > 0 THEN pl * CASE WHEN xl >= 10 THEN 10 WHEN xl >= 5 THEN 5 WHEN xl >= 2.5 THEN 2.5 WHEN xl >= 2 THEN 2 ELSE 1 END ELSE -pl * {_NICE.replace("x", "xl")} END AS down FROM n),
   l AS (SELECT *, CASE WHEN unit = 'percent' THEN 0 WHEN unit = 'celsius' OR low < 0 THEN down ELSE 0 END::DOUBLE AS lower FROM b)
@@ -99,13 +110,15 @@ def axis_bounds(s, d):
     return g.select("user_id", lower.alias("lower"), upper.alias("upper"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN ts - INTERVAL 210 MINUTE WHEN 1 THEN timezone('America/New_York', timezone('UTC', ts)) WHEN 2 THEN ts + INTERVAL 5 HOUR ELSE ts END AS wall FROM events""")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN ts - INTERVAL 210 MINUTE WHEN 1 THEN timezone('America/New_York', timezone('UTC', ts))
+    WHEN 2 THEN ts + INTERVAL 5 HOUR ELSE ts END AS wall FROM events""")
 def zone_conversion(s, d):
     zone = S.zone_id(F.expr("element_at(array('-3:30', 'America/New_York', '5', 'local'), cast(event_id % 4 + 1 as int))"))
     return _t(s, d, "events").select("event_id", S.in_zone(F.col("ts"), zone).alias("wall"))
 
 
-@query("SELECT n_nationkey, chr(127397 + ascii(upper(substr(n_name, 1, 1)))) || chr(127397 + ascii(upper(substr(n_name, 2, 1)))) AS flag, NULL AS none FROM nation")
+@query("""SELECT n_nationkey, chr(127397 + ascii(upper(substr(n_name, 1, 1)))) || chr(127397 + ascii(upper(substr(n_name, 2, 1)))) AS flag, NULL AS none
+    FROM nation""")
 def country_flags(s, d):
     return _t(s, d, "nation").select("n_nationkey", S.country_flag(F.substring("n_name", 1, 2)).alias("flag"), S.country_flag(F.col("n_name").substr(1, 3)).alias("none"))
 
@@ -116,7 +129,8 @@ def label_fallback(s, d):
     return _t(s, d, "customer").select("c_custkey", S.label(F.when(k == 0, F.col("c_name")).otherwise(""), F.when(k == 1, F.col("c_mktsegment")), F.concat(F.lit("id"), F.col("c_custkey").cast("string"))).alias("label"))
 
 
-@query("SELECT event_id, least(9223372036854775000::HUGEINT + event_id, 9223372036854775807)::BIGINT AS total, (event_id % 5) / 2 AS pressure, CASE WHEN user_id % 7 = 0 THEN 0 ELSE 100 * trunc(value)::BIGINT // ((user_id % 7) * 100) END::BIGINT AS fan FROM events")
+@query("""SELECT event_id, least(9223372036854775000::HUGEINT + event_id, 9223372036854775807)::BIGINT AS total, (event_id % 5) / 2 AS pressure, CASE
+    WHEN user_id % 7 = 0 THEN 0 ELSE 100 * trunc(value)::BIGINT // ((user_id % 7) * 100) END::BIGINT AS fan FROM events""")
 def normalisations(s, d):
     return _t(s, d, "events").select("event_id", S.add_saturating(F.lit(9223372036854775000), F.col("event_id")).alias("total"), S.pressure_share(F.col("event_id") % 5).alias("pressure"), S.fan_percent(F.col("value"), (F.col("user_id") % 7) * 100).alias("fan"))
 
@@ -142,7 +156,8 @@ def ps_lines(s, d):
     return _t(s, d, "events").select("event_id", *[v.alias(k) for k, v in parts.items()])
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 4 > 0 THEN p_partkey END AS pid, CASE WHEN p_size % 4 > 0 THEN CASE WHEN p_size % 5 = 0 THEN p_partkey::VARCHAR ELSE replace(p_name, ' ', '.') END END AS name,
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 > 0 THEN p_partkey END AS pid, CASE WHEN p_size % 4 > 0 THEN CASE
+    WHEN p_size % 5 = 0 THEN p_partkey::VARCHAR ELSE replace(p_name, ' ', '.') END END AS name,
     CASE WHEN p_size % 4 > 0 THEN p_size * 100 END AS download, CASE WHEN p_size % 4 > 0 THEN CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size END END AS upload FROM part""")
 def nettop_lines(s, d):
     name = F.when(F.col("p_size") % 5 == 0, "").otherwise(F.concat(F.replace("p_name", F.lit(" "), F.lit(".")), F.lit(".")))
@@ -170,7 +185,8 @@ def thermal_limits(s, d):
     return _t(s, d, "events").select("event_id", X.thermal_limits(text).alias("l")).select("event_id", "l.scheduler", "l.cpus", "l.speed")
 
 
-@query("""SELECT c_custkey, c_name AS name, 'aa-' || c_custkey AS address, true AS connected, 'device_batteryLevelLeft=' || c_nationkey || CASE WHEN c_custkey % 2 = 0 THEN ',device_batteryLevelMain=7' ELSE '' END AS levels FROM customer
+@query("""SELECT c_custkey, c_name AS name, 'aa-' || c_custkey AS address, true AS connected, 'device_batteryLevelLeft=' || c_nationkey || CASE
+    WHEN c_custkey % 2 = 0 THEN ',device_batteryLevelMain=7' ELSE '' END AS levels FROM customer
   UNION ALL SELECT c_custkey, c_mktsegment, 'bb-' || c_custkey, false, '' FROM customer""")
 def profiler_devices(s, d):
     c = _t(s, d, "customer")
@@ -181,7 +197,9 @@ def profiler_devices(s, d):
     return X.profiler_devices(c.select("c_custkey", json.alias("json")), "json").select("c_custkey", "name", "address", "connected", levels.alias("levels"))
 
 
-@query("""SELECT c_custkey, 0 AS ord, c_name AS name, c_nationkey AS capacity, 'id' || c_custkey AS address, CASE WHEN c_custkey % 2 = 0 THEN 'Combined' END AS part, c_custkey % 3 = 0 AS charging, CASE WHEN c_custkey % 2 = 0 THEN 'Left:' || c_nationkey || ':true,Right:50:false' ELSE '' END AS parts FROM customer""")
+@query("""SELECT c_custkey, 0 AS ord, c_name AS name, c_nationkey AS capacity, 'id' || c_custkey AS address, CASE
+    WHEN c_custkey % 2 = 0 THEN 'Combined' END AS part, c_custkey % 3 = 0 AS charging, CASE
+    WHEN c_custkey % 2 = 0 THEN 'Left:' || c_nationkey || ':true,Right:50:false' ELSE '' END AS parts FROM customer""")
 def plist_accessories(s, d):
     c = _t(s, d, "customer")
     text = lambda k, v: F.concat(F.lit(f"<key>{k}</key><string>"), v, F.lit("</string>"))
@@ -195,14 +213,17 @@ def plist_accessories(s, d):
     return X.plist_entries(c.select("c_custkey", body.alias("xml")), "xml").select("c_custkey", "ord", "name", "capacity", "address", "part", "charging", parts.alias("parts"))
 
 
-@query("SELECT o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS ord, 'h' || o_orderkey AS id, o_orderstatus = 'F' AS online, o_totalprice AS load FROM orders")
+@query("""SELECT o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS ord, 'h' || o_orderkey AS id, o_orderstatus = 'F' AS online, o_totalprice AS load
+    FROM orders""")
 def rest_list(s, d):
     item = F.struct("o_orderkey", F.concat(F.lit("h"), F.col("o_orderkey").cast("string")).alias("id"), (F.col("o_orderstatus") == "F").alias("online"), F.col("o_totalprice").alias("load"))
     lists = _t(s, d, "orders").groupBy("o_custkey").agg(F.to_json(F.sort_array(F.collect_list(item))).alias("json"))
     return X.list_items(lists, "json", "id string, online boolean, load double")
 
 
-@query("SELECT event_id, list_filter(['{\"a\":' || user_id || '}', CASE WHEN event_id % 2 = 0 THEN 'two' END], lambda x: x IS NOT NULL) AS data, 'data: rest' AS kept, least(pow(2, event_id % 9), 60)::DOUBLE AS delay FROM events")
+@query("""SELECT event_id, list_filter(['{\"a\":' || user_id || '}', CASE
+    WHEN event_id % 2 = 0 THEN 'two' END], lambda x: x IS NOT NULL) AS data, 'data: rest' AS kept, least(pow(2, event_id % 9), 60)::DOUBLE AS delay
+    FROM events""")
 def sse_stream(s, d):
     buffer = F.concat(F.lit("event: x\n data: {\"a\":"), F.col("user_id").cast("string"), F.lit("}\ndata:\n\n"), F.when(F.col("event_id") % 2 == 0, F.lit("id: 1\ndata:two\n\n")).otherwise(F.lit(": ping\n\n")), F.lit("data: rest"))
     frames, rest = X.sse_frames(buffer)
@@ -211,7 +232,9 @@ def sse_stream(s, d):
 
 # codecs
 @query("""SELECT event_id, '1,1,' || (round(value / 100 * 10000) / 10000)::VARCHAR || ',2,0.5,' || (user_id / 8)::VARCHAR || '$' AS cpu, '1,1,' || value::VARCHAR || ',0.5,' || (user_id + 0.25)::DOUBLE::VARCHAR || '$' AS load,
-    CASE WHEN value = floor(value) THEN NULL ELSE user_id * 1024 || ',' || event_id || ',,0$' END AS memory, '1,en' || user_id % 3 || ',1,' || event_id || ',' || user_id || ',10.0.0.1,,,$' AS net FROM (SELECT event_id, user_id, value + 0.5 AS value FROM events WHERE value + 0.5 <> floor(value + 0.5))""")
+    CASE
+    WHEN value = floor(value) THEN NULL ELSE user_id * 1024 || ',' || event_id || ',,0$' END AS memory, '1,en' || user_id % 3 || ',1,' || event_id || ',' || user_id || ',10.0.0.1,,,$' AS net FROM (SELECT event_id, user_id, value + 0.5 AS value
+    FROM events WHERE value + 0.5 <> floor(value + 0.5))""")
 def remote_records(s, d):
     e = _t(s, d, "events").withColumn("value", F.col("value") + 0.5).where("value <> floor(value)")
     no = F.lit(None).cast("string")
@@ -236,8 +259,10 @@ def remote_device_records(s, d):
     return o.select("o_orderkey", C.gpu_records(gpus).alias("gpu"), C.disk_records(F.array(disk(False), disk(True))).alias("disk"), battery.alias("battery"), C.sensor_records(F.array(sensor(True, 1.5), sensor(False, 1.0), sensor(True, float("nan")))).alias("sensors"))
 
 
-@query("""SELECT c_custkey, path, number FROM (SELECT c_custkey, '/field:a~1b' AS path, c_nationkey::DOUBLE AS number FROM customer UNION ALL SELECT c_custkey, '/field:l/index:1', c_acctbal FROM customer
-  UNION ALL SELECT c_custkey, '/field:d/item:id:x~0' || c_custkey || '/field:v', 1.5 FROM customer UNION ALL SELECT c_custkey, '/field:d/item:IOClass:1:CM/field:w', 2 FROM customer)""")
+@query("""SELECT c_custkey, path, number FROM (SELECT c_custkey, '/field:a~1b' AS path, c_nationkey::DOUBLE AS number FROM customer
+    UNION ALL SELECT c_custkey, '/field:l/index:1', c_acctbal FROM customer
+  UNION ALL SELECT c_custkey, '/field:d/item:id:x~0' || c_custkey || '/field:v', 1.5 FROM customer
+    UNION ALL SELECT c_custkey, '/field:d/item:IOClass:1:CM/field:w', 2 FROM customer)""")
 def json_flatten_nested(s, d):
     k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
     json = F.concat(
@@ -247,13 +272,20 @@ def json_flatten_nested(s, d):
 
 
 # reads, exports
-_GAPS = f"""spans(f, t, r) AS (VALUES {_SPAN_SQL}), cover AS (SELECT b, arg_max(r, CASE r WHEN 4 THEN 3 WHEN 2 THEN 2 ELSE 1 END) AS r FROM (SELECT unnest(range({MONTH.lower}, {MONTH.upper})) AS b) JOIN spans ON b * 1800 < t AND b * 1800 + 1800 > f GROUP BY b),
+_GAPS = f"""spans(f, t, r) AS (VALUES {_SPAN_SQL}), cover AS (SELECT b, arg_max(r, CASE r WHEN 4 THEN 3
+    WHEN 2 THEN 2 ELSE 1 END) AS r FROM (SELECT unnest(range({MONTH.lower}, {MONTH.upper})) AS b) JOIN spans ON b * 1800 < t AND b * 1800 + 1800 > f
+    GROUP BY b),
   firsts AS (SELECT lane, min(bucket) AS fb FROM fold GROUP BY lane),
-  spine AS (SELECT l.lane, c.c AS "column", x.b FROM (SELECT DISTINCT lane FROM fold) l, (SELECT unnest(range({MONTH.columns // 4})) AS c) c, (SELECT unnest(range({MONTH.lower}, {MONTH.upper})) AS b) x WHERE (x.b - {MONTH.lower}) // 4 = c.c),
-  why AS (SELECT s.*, CASE WHEN s.b < x.fb THEN 0 WHEN c.r IS NOT NULL THEN c.r WHEN s.b > {MONTH.upper - 20} THEN 3 ELSE 0 END AS r FROM spine s LEFT JOIN fold f ON f.lane = s.lane AND f.bucket = s.b LEFT JOIN firsts x ON x.lane = s.lane LEFT JOIN cover c ON c.b = s.b WHERE f.bucket IS NULL),
+  spine AS (SELECT l.lane, c.c AS "column", x.b FROM (SELECT DISTINCT lane
+    FROM fold) l, (SELECT unnest(range({MONTH.columns // 4})) AS c) c, (SELECT unnest(range({MONTH.lower}, {MONTH.upper})) AS b) x
+    WHERE (x.b - {MONTH.lower}) // 4 = c.c),
+  why AS (SELECT s.*, CASE WHEN s.b < x.fb THEN 0 WHEN c.r IS NOT NULL THEN c.r WHEN s.b > {MONTH.upper - 20} THEN 3 ELSE 0 END AS r FROM spine s
+    LEFT JOIN fold f ON f.lane = s.lane AND f.bucket = s.b LEFT JOIN firsts x ON x.lane = s.lane LEFT JOIN cover c ON c.b = s.b WHERE f.bucket IS NULL),
   hole AS (SELECT lane, "column", arg_min(r, b) AS r FROM why WHERE r <> 0 GROUP BY 1, 2),
-  data AS (SELECT lane, (bucket - {MONTH.lower}) // 4 AS "column", sum(count)::BIGINT AS count, min(min) AS min, {sig("sum(sum)")} / sum(count) AS avg, max(max) AS max FROM fold WHERE bucket >= {MONTH.lower} AND bucket < {MONTH.upper} GROUP BY 1, 2),
-  col AS (SELECT s.lane, s."column", ({MONTH.lower} + s."column" * 4) * 1800 AS start_s, CASE WHEN d.count > 0 THEN d.count WHEN h.r IS NOT NULL THEN 0 END::BIGINT AS count, d.min, d.avg, d.max, CASE WHEN d.count > 0 THEN 1 ELSE h.r END::BIGINT AS reason
+  data AS (SELECT lane, (bucket - {MONTH.lower}) // 4 AS "column", sum(count)::BIGINT AS count, min(min) AS min, {sig("sum(sum)")} / sum(count) AS avg, max(max) AS max
+    FROM fold WHERE bucket >= {MONTH.lower} AND bucket < {MONTH.upper} GROUP BY 1, 2),
+  col AS (SELECT s.lane, s."column", ({MONTH.lower} + s."column" * 4) * 1800 AS start_s, CASE WHEN d.count > 0 THEN d.count
+    WHEN h.r IS NOT NULL THEN 0 END::BIGINT AS count, d.min, d.avg, d.max, CASE WHEN d.count > 0 THEN 1 ELSE h.r END::BIGINT AS reason
     FROM (SELECT DISTINCT lane, "column" FROM spine) s LEFT JOIN data d USING (lane, "column") LEFT JOIN hole h USING (lane, "column"))"""
 
 
@@ -283,8 +315,11 @@ def engine_query(s, d):
     return _engine(s, d).query(2592000, NOW - 1, ["view", "error", "unknown"], MONTH.columns // 4)
 
 
-@query(f"""WITH {EV}, {_FOLD}, {_GAPS}, r AS (SELECT "column", start_s, CASE WHEN max(coalesce(count, 0)) > 0 THEN 1 ELSE arg_min(coalesce(reason, 0), CASE lane WHEN 'error' THEN 1 ELSE 2 END) END AS reason FROM col WHERE lane IN ('view', 'error') GROUP BY 1, 2)
-  SELECT r."column", r.start_s, r.reason, min(f) AS from_s, arg_min(t, f) AS to_s FROM r LEFT JOIN spans ON spans.r = r.reason AND r.start_s >= f AND r.start_s < t GROUP BY 1, 2, 3""")
+@query(f"""WITH {EV}, {_FOLD}, {_GAPS}, r AS (SELECT "column", start_s, CASE
+    WHEN max(coalesce(count, 0)) > 0 THEN 1 ELSE arg_min(coalesce(reason, 0), CASE lane WHEN 'error' THEN 1 ELSE 2 END) END AS reason FROM col
+    WHERE lane IN ('view', 'error') GROUP BY 1, 2)
+  SELECT r."column", r.start_s, r.reason, min(f) AS from_s, arg_min(t, f) AS to_s FROM r
+    LEFT JOIN spans ON spans.r = r.reason AND r.start_s >= f AND r.start_s < t GROUP BY 1, 2, 3""")
 def engine_sentences(s, d):
     e = _engine(s, d)
     return e.sentences(e.query(2592000, NOW - 1, ["view", "error"], MONTH.columns // 4))
@@ -294,11 +329,16 @@ def _csv_cell(c: str) -> str:
     return f"CASE WHEN count > 0 THEN printf('%.2f', {c} * 100) ELSE '' END"
 
 
-@query(f"""WITH {EV}, {_FOLD}, {_GAPS}, cell AS (SELECT *, CASE lane WHEN 'view' THEN 0 ELSE 1 END AS pos, {_csv_cell("min")} || ',' || {_csv_cell("avg")} || ',' || {_csv_cell("max")} AS cells FROM col WHERE lane IN ('view', 'error')),
-  line AS (SELECT "column", start_s, string_agg(cells, ',' ORDER BY pos) AS cells, CASE WHEN bool_or(coalesce(count, 0) > 0) THEN '' ELSE CASE coalesce(arg_min(reason, pos) FILTER (reason <> 0), 0) WHEN 2 THEN 'asleep' WHEN 3 THEN 'not_running' WHEN 4 THEN 'clock_step' ELSE 'no_data' END END AS gap FROM cell GROUP BY 1, 2),
+@query(f"""WITH {EV}, {_FOLD}, {_GAPS}, cell AS (SELECT *, CASE lane
+    WHEN 'view' THEN 0 ELSE 1 END AS pos, {_csv_cell("min")} || ',' || {_csv_cell("avg")} || ',' || {_csv_cell("max")} AS cells FROM col
+    WHERE lane IN ('view', 'error')),
+  line AS (SELECT "column", start_s, string_agg(cells, ',' ORDER BY pos) AS cells, CASE
+    WHEN bool_or(coalesce(count, 0) > 0) THEN '' ELSE CASE coalesce(arg_min(reason, pos) FILTER (reason <> 0), 0) WHEN 2 THEN 'asleep'
+    WHEN 3 THEN 'not_running' WHEN 4 THEN 'clock_step' ELSE 'no_data' END END AS gap FROM cell GROUP BY 1, 2),
   stamp AS (SELECT *, timezone('Europe/Berlin', timezone('UTC', make_timestamp(start_s * 1000000))) AS w FROM line)
   SELECT -1::BIGINT AS "column", 'timestamp,view min (%),view avg (%),view max (%),"e,r" min (%),"e,r" avg (%),"e,r" max (%),gap' AS line
-  UNION ALL SELECT "column", strftime(w, '%Y-%m-%dT%H:%M:%S') || '+01:00,' || cells || ',' || gap FROM stamp""".replace('"e,r" min (%)', '"e,r min (%)"').replace('"e,r" avg (%)', '"e,r avg (%)"').replace('"e,r" max (%)', '"e,r max (%)"'))
+  UNION ALL SELECT "column", strftime(w, '%Y-%m-%dT%H:%M:%S') || '+01:00,' || cells || ',' || gap
+    FROM stamp""".replace('"e,r" min (%)', '"e,r min (%)"').replace('"e,r" avg (%)', '"e,r avg (%)"').replace('"e,r" max (%)', '"e,r max (%)"'))
 def csv_rows(s, d):
     from .sources.export import csv_lines
 
@@ -326,7 +366,8 @@ def poll_source(s, d):
     return rows.select("tick", F.timestamp_seconds(F.unix_timestamp("ts")).cast("timestamp_ntz").alias("ts"), "lane", "value")
 
 
-@query("""SELECT event_id, 'net' AS module, '' AS source, 'total' AS metric, user_id::DOUBLE AS value FROM events UNION ALL SELECT event_id, 'net', event_type, 'up', value FROM events""")
+@query("""SELECT event_id, 'net' AS module, '' AS source, 'total' AS metric, user_id::DOUBLE AS value FROM events
+    UNION ALL SELECT event_id, 'net', event_type, 'up', value FROM events""")
 def emitted_lanes(s, d):
     from .sources.poll import EmitHistory
 
@@ -337,8 +378,11 @@ def emitted_lanes(s, d):
 
 
 @query(f"""WITH {EV}, x AS (SELECT user_id::VARCHAR AS lane, date_trunc('day', ts) AS day, value, ts FROM events)
-  SELECT lane, make_timestamp((epoch_us(ts) // 1800000000) * 1800000000) AS start, count(*) AS count, min(value) AS min, max(value) AS max, {sig("sum(value)")} AS sum FROM x
-  GROUP BY 1, 2 HAVING make_timestamp((epoch_us(any_value(ts)) // 1800000000) * 1800000000 + 1800000000) <= (SELECT make_timestamp(epoch_us(max(ts)) // 1000 * 1000) - INTERVAL 1 HOUR FROM events)""")
+  SELECT lane, make_timestamp((epoch_us(ts) // 1800000000) * 1800000000) AS start, count(*) AS count, min(value) AS min, max(value) AS max, {sig("sum(value)")} AS sum
+    FROM x
+ 
+    GROUP BY 1, 2 HAVING make_timestamp((epoch_us(any_value(ts)) // 1800000000) * 1800000000 + 1800000000) <= (SELECT make_timestamp(epoch_us(max(ts)) // 1000 * 1000) - INTERVAL 1 HOUR
+    FROM events)""")
 def stream_fold(s, d):
     """Windows that the watermark (an hour behind the newest sample) has closed."""
     from .streaming.folds import stream_fold as f
@@ -347,8 +391,10 @@ def stream_fold(s, d):
     return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("sum", T.significant(F.col("sum")))
 
 
-@query(f"""WITH {EV}, st AS (SELECT *, value >= 50 AS state FROM ev), i AS (SELECT *, (lag(state) OVER w IS DISTINCT FROM state)::INT AS c FROM st WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)),
-  r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS run FROM i), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY us, seq) AS k FROM r WHERE state)
+@query(f"""WITH {EV}, st AS (SELECT *, value >= 50 AS state FROM ev), i AS (SELECT *, (lag(state) OVER w IS DISTINCT FROM state)::INT AS c FROM st
+    WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)),
+  r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS run FROM i),
+    k AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY us, seq) AS k FROM r WHERE state)
   SELECT user_id::VARCHAR AS lane, ts, value FROM k WHERE k = 2""")
 def stream_alerts(s, d):
     from .streaming.folds import stream_streaks
@@ -356,17 +402,20 @@ def stream_alerts(s, d):
     return _drained(s, stream_streaks(_stream(s, d), 50.0, 2), "alerts").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query(f"WITH {EV} SELECT user_id::VARCHAR AS lane, ts, value, lag(value) OVER w AS previous FROM ev {'WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)'}")
+@query(f"""WITH {EV} SELECT user_id::VARCHAR AS lane, ts, value, lag(value) OVER w AS previous FROM ev {'WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)'}""")
 def stream_previous(s, d):
     from .streaming.folds import stream_hold as f
 
     return _drained(s, f(_stream(s, d)), "previous").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query(f"""WITH {EV}, m AS ({fold_sql(10, "user_id")}), e AS (SELECT user_id::VARCHAR AS lane, us, value, lead(us) OVER w AS n FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)),
-  h AS (SELECT lane, value, unnest(range(us // 10000000 + 1, least(n // 10000000 - 1, (us + 899999999) // 10000000) + 1)) AS bucket FROM e WHERE n // 10000000 > us // 10000000),
+@query(f"""WITH {EV}, m AS ({fold_sql(10, "user_id")}), e AS (SELECT user_id::VARCHAR AS lane, us, value, lead(us) OVER w AS n FROM ev
+    WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)),
+  h AS (SELECT lane, value, unnest(range(us // 10000000 + 1, least(n // 10000000 - 1, (us + 899999999) // 10000000) + 1)) AS bucket FROM e
+    WHERE n // 10000000 > us // 10000000),
   t AS (SELECT lane, max(bucket) AS t FROM m GROUP BY 1)
-  SELECT lane, bucket, count, min, max, sum, 1::BIGINT AS reason FROM m JOIN t USING (lane) WHERE bucket < t UNION ALL SELECT lane, bucket, 1, value, value, value, 5 FROM h""")
+  SELECT lane, bucket, count, min, max, sum, 1::BIGINT AS reason FROM m JOIN t USING (lane) WHERE bucket < t
+    UNION ALL SELECT lane, bucket, 1, value, value, value, 5 FROM h""")
 def stream_stateful_hold(s, d):
     """Slots of step lanes before each lane's last sample, whose bucket is still open or has just been closed by the timer."""
     from .streaming.steps import stream_step_lanes
