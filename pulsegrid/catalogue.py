@@ -605,6 +605,20 @@ def bands(s, d):
     return _t(s, d, "events").select("event_id", S.band(F.col("value") / 100).alias("band"))
 
 
+@query("SELECT event_id, CASE WHEN value / 200 < 0.2 THEN 'critical' WHEN value / 200 < 0.4 THEN 'warning' ELSE 'normal' END AS band FROM events")
+def battery_bands(s, d):
+    return _t(s, d, "events").select("event_id", S.battery_band(F.col("value") / 200).alias("band"))
+
+
+@query(f"""WITH {EV}, {_FOLD}, done AS (SELECT lane, max(bucket) AS done FROM fold GROUP BY 1)
+    SELECT fold.* FROM fold JOIN done USING (lane) WHERE bucket >= done OR bucket >= {(NOW - 86400 * 4) // 1800}""")
+def catchup_rebuild(s, d):
+    """All is rolled up to the newest bucket; the last four days are made again."""
+    fine = _fold(s, d, 120)
+    done = fine.groupBy("lane").agg(F.floor(F.max("bucket") / 15).cast("long").alias("done"))
+    return T.catch_up(fine, done, 15, (NOW - 86400 * 4) // 120)
+
+
 @query("""SELECT event_id, list_filter([CASE WHEN event_id & 1 > 0 THEN 'spare' END, CASE WHEN event_id & 2 > 0 THEN 'temperature' END, CASE
     WHEN event_id & 4 > 0 THEN 'reliability' END], lambda x: x IS NOT NULL).array_to_string(',') AS flags FROM events""")
 def bitmask(s, d):

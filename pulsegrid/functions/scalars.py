@@ -111,6 +111,10 @@ def band(share: Column, low: float = 0.6, high: float = 0.8) -> Column:
     return F.when(share < low, "normal").when(share < high, "warning").otherwise("critical")
 
 
+def battery_band(share: Column, low: float = 0.2, high: float = 0.4) -> Column:
+    return F.when(share < low, "critical").when(share < high, "warning").otherwise("normal")
+
+
 def flag_names(mask: Column, names: list[str]) -> Column:
     """Names of the bits that are set, lowest first, comma-joined."""
     return F.array_join(F.filter(F.array(*[F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names)]), lambda x: x.isNotNull()), ",")

@@ -76,10 +76,16 @@ def rollup(slots: DataFrame, factor: int) -> DataFrame:
     return slots.groupBy("lane", F.floor(F.col("bucket") / factor).cast("long").alias("bucket")).agg(F.sum("count").cast("long").alias("count"), F.min("min").alias("min"), F.max("max").alias("max"), total("sum").alias("sum"), *reasons)
 
 
-def catch_up(fine: DataFrame, coarse_done: DataFrame, factor: int) -> DataFrame:
-    """Coarse slots that the high-water mark of each lane (lane, done) does not cover yet; the mark's own bucket is made again."""
-    todo = fine.join(coarse_done, "lane", "left").where(F.floor(F.col("bucket") / factor) >= F.coalesce("done", F.lit(0)))
-    return rollup(todo, factor)
+def catch_up(fine: DataFrame, coarse_done: DataFrame, factor: int, rebuild_from: int | None = None) -> DataFrame:
+    """Coarse slots that the high-water mark of each lane (lane, done) does not cover yet; the mark's own bucket is made again.
+
+    rebuild_from: a fine bucket from which on all are made again, as after a start (the last day); fine slots that are gone make nothing.
+    """
+    coarse = F.floor(F.col("bucket") / factor)
+    due = coarse >= F.coalesce("done", F.lit(0))
+    if rebuild_from is not None:
+        due = due | (coarse >= rebuild_from // factor)
+    return rollup(fine.join(coarse_done, "lane", "left").where(due), factor)
 
 
 def rates(samples: DataFrame) -> DataFrame:

@@ -24,6 +24,15 @@ class ColumnPlan:
         """First bucket that a tier whose newest bucket is this one still holds."""
         return max(self.lower, newest - TIERS[self.tier][1] + 1)
 
+    def retained_columns(self, newest: int) -> int:
+        """Columns of which the ring still holds something."""
+        return -(-max(0, self.upper - self.retained_from(newest)) // self.per_column)
+
+    def column_at(self, seconds: int) -> int | None:
+        """The column that a time falls in."""
+        column = (seconds // self.step - self.lower) // self.per_column
+        return column if 0 <= column < self.columns else None
+
     def column_start(self, column: int) -> int:
         return (self.lower + column * self.per_column) * self.step
 

@@ -25,7 +25,8 @@ def test_plan_widens():
     p = plan(86400, NOW, tiers=("t0",))
     assert (p.tier, p.per_column, p.columns) == ("t0", 12, 720)
     p = plan(2592000, NOW, tiers=("t0",))
-    assert (p.per_column, p.columns) == (180, 1440)
+    assert (p.per_column, p.columns, p.retained_columns(NOW // 10)) == (180, 1440, 48)
+    assert [plan(3600, NOW).column_at(t) for t in (NOW, NOW - 3590, NOW - 3600, NOW + 10)] == [359, 0, None, None]
 
 
 def samples(spark, rows):
