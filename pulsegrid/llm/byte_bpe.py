@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import let
 
 HEAD_DOCS = 16_000
-HEAD_WORDS = 120_000
-MEMO_WORDS = 120_000
-CHUNK_CHARS = 1_000_000
+HEAD_WORDS = 100_000
+MEMO_WORDS = 80_000
+CHUNK_CHARS = 500_000
 SHORT_WORD = 64
 ID_BITS = 20
 #: Stands for no id and for no rank.
@@ -425,6 +425,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, head_docs: int
                 restarted = numbers.n > numbers.known + MEMO_WORDS
                 numbers.taken(restarted)
                 yield pa.RecordBatch.from_arrays(columns, names=["restarted", "doc_ids", "counts", "codes", "words"])
+            batch = texts = words = codes = ids = columns = None
+            pa.default_memory_pool().release_unused()
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The documents of each chunk. The chunks of a task come in the order in which their words were numbered."""
@@ -442,6 +444,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, head_docs: int
                 codes, ends = pa.array(np.frombuffer(codes.as_buffer(), "<i4")), np.cumsum(np.frombuffer(counts.as_buffer(), "<i8"))
                 joined, sizes = _joined(ids, codes, ends)
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([doc_ids.values]), pa.array(sizes // 4), joined, _joined(spelt, codes, ends)[0]], names=["doc_id", "n_tokens", "ids", "decoded"])
+            batch = doc_ids = counts = codes = folded = joined = None
+            pa.default_memory_pool().release_unused()
 
     chunks = docs.select("doc_id", "text").mapInArrow(number_words, f"restarted boolean, doc_ids array<{id_type}>, counts binary, codes binary, words array<array<bigint>>")
     folded = chunks.withColumn("words", pairs.fold_all(F.col("words")))

@@ -146,6 +146,18 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary, task long, place long")
 
 
+def _dense(offsets: DataFrame, capacity: int) -> DataFrame:
+    """task, before: an array by length, from rows (task, length, before), `capacity` a task at most."""
+    import pandas as pd
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(capacity + 1, dtype=np.int64)
+        out[pdf["length"].to_numpy()] = pdf["before"].to_numpy()
+        return pd.DataFrame({"task": [pdf["task"].iloc[0]], "before": [out]})
+
+    return offsets.groupBy("task").applyInPandas(fill, "task long, before array<long>")
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
     """doc_id, piece, start, length, ids, sequence_id, offset of every piece of every document."""
     spark = docs.sparkSession
@@ -155,10 +167,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("task", "length", before.alias("before"))
     if counts.select("task").distinct().count() * (capacity + 1) <= broadcast_cells:
-        by_length = F.map_from_entries(F.collect_list(F.struct("length", "before")))  # `capacity` entries at most
-        dense = F.transform(F.sequence(F.lit(0), F.lit(capacity)), lambda k: F.coalesce(F.try_element_at("m", k.cast("long")), F.lit(0)))
-        tasks = offsets.groupBy("task").agg(by_length.alias("m")).select("task", dense.alias("before"))
-        ranked = cut.join(F.broadcast(tasks), "task").withColumn("rank", F.get("before", F.col("length").cast("int")) + F.col("place"))
+        ranked = cut.join(F.broadcast(_dense(offsets, capacity)), "task").withColumn("rank", F.get("before", F.col("length").cast("int")) + F.col("place"))
     else:
         ranked = cut.join(offsets, ["task", "length"]).withColumn("rank", F.col("before") + F.col("place"))
     runs = spark.createDataFrame(plan(totals, capacity), "run_length long, low long, high long, first long, offset long")
