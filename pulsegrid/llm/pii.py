@@ -98,7 +98,7 @@ def _found(text: Column, kind: str) -> Column:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, a count for each base kind, base_sha256, spans, and scores ('kind:start:score')."""
+    """doc_id, a count for each base kind, base_sha256, spans, n_spans (how many), and scores ('kind:start:score')."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     each = rows.select("doc_id", *[_found(F.col("text"), k).alias(k) for k in KINDS])
     kept = lambda k: F.filter(k, lambda x: x["score"] >= ACCEPT)
@@ -108,5 +108,6 @@ def personal_data(docs: DataFrame) -> DataFrame:
         *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(joined_spans(base), 256).alias("base_sha256"),
         joined_spans(F.concat(base, *[kept(k) for k in KINDS[4:]])).alias("spans"),
+        F.size(F.concat(base, *[kept(k) for k in KINDS[4:]])).cast("long").alias("n_spans"),
         F.array_join(F.transform(F.sort_array(F.concat(base, *[kept(k) for k in KINDS[4:]])), lambda x: F.concat_ws(":", x["name"], x["s"], F.format_number(x["score"], 1))), ",").alias("scores"),
     )

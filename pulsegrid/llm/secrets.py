@@ -69,7 +69,7 @@ def _verdicts(scanned: DataFrame, example_owners: int) -> DataFrame:
 
 
 def secret_scan(docs: DataFrame, repo: Column | None = None, owner: Column | None = None, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256, spans, n_live and n_example, for every row of docs.
+    """doc_id, counts of the base kinds, base_sha256, spans, n_spans (how many), n_live and n_example, for every row of docs.
 
     repo and owner tell whose a document is; by default its source is the owner, and its source and language the repository.
     """
@@ -83,6 +83,7 @@ def secret_scan(docs: DataFrame, repo: Column | None = None, owner: Column | Non
         *[count(k).alias(f"n_{k}") for k in BASE],
         F.sha2(joined_spans(F.col("base")), 256).alias("base_sha256"),
         joined_spans(F.concat("base", kept)).alias("spans"),
+        F.size(F.concat("base", kept)).cast("long").alias("n_spans"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
         F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
     )

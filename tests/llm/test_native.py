@@ -62,7 +62,7 @@ def test_pii(docs):
     for r in rows:
         base = matches((TEXTS + TEXTS)[r["doc_id"]] or "", PII, pii_passes)
         assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest(), (r["doc_id"], base, r["spans"])
-        assert held(base, r["spans"])
+        assert held(base, r["spans"]) and r["n_spans"] == len([x for x in r["spans"].split(",") if x])
         assert [r[f"n_{k}"] for k in pii.BASE] == [base.count(k + ":") for k in pii.BASE]
     spans = {r["doc_id"]: r["spans"] for r in rows}
     assert spans[10] == "national_id:4:15"  # only the one after its context word
