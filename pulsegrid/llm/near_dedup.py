@@ -42,7 +42,7 @@ SIMILARITY_PERCENT = 80
 BLOCK_MEMBERS = 256
 BLOCK_SHINGLES = 400_000
 MAX_ROUNDS = 60
-#: Row numbers that survivors() broadcasts at most (8 bytes each).
+#: Rows of numbers (8 or 16 bytes each) that are broadcast at most: representatives whose texts are fetched, and rows that survivors() drops.
 BROADCAST_ROWS = 500_000
 
 _U = np.uint64
@@ -352,7 +352,10 @@ def _sets(sketches: DataFrame, members: DataFrame, size: int) -> DataFrame:
                 some = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_set(x, size).tobytes() for x in some.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["class", "shingles"])
 
-    return sketches.select("row", "text").join(members.select("class", "row"), "row").select("class", "text").mapInArrow(shingles, "class long, shingles binary")
+    wanted = members.select("class", "row")
+    if members.count() <= BROADCAST_ROWS:  # else texts move once, to their numbers
+        wanted = F.broadcast(wanted)
+    return sketches.select("row", "text").join(wanted, "row").select("class", "text").mapInArrow(shingles, "class long, shingles binary")
 
 
 def _grouped(sketches: DataFrame, size: int, percent: int, near: int | None) -> DataFrame:
