@@ -349,7 +349,8 @@ class _Pieces:
 def head(docs: DataFrame, pairs: PairRanks, ranks_path: str, pattern: str, n_docs: int, n_words: int) -> tuple[pa.Array, pa.Array]:
     """Words and their ids: at most n_words of the words met most often in a sample of about n_docs documents (by hash of doc_id, all if there are fewer)."""
     total = docs.count()  # from Parquet footers
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, n_docs / max(1, total)))
+    drawn = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text"))
+    share = F.pmod(drawn, F.lit(1 << 40)) < int((1 << 40) * min(1.0, n_docs / max(1, total)))
     sample = docs.where(share & F.col("text").isNotNull()).select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
