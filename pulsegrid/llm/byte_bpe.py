@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import let
 
 HEAD_DOCS = 16_000
-HEAD_WORDS = 100_000
-MEMO_WORDS = 80_000
+HEAD_WORDS = 130_000
+MEMO_WORDS = 150_000
 CHUNK_CHARS = 500_000
 SHORT_WORD = 64
 ID_BITS = 20

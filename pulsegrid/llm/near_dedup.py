@@ -372,11 +372,11 @@ def _grouped(sketches: DataFrame, size: int, percent: int, near: int | None) ->
     # the least class of each cluster against the others, which it meets block by block
     blocked = _blocks(members, "block", "cluster")
     heads = members.groupBy("cluster").agg(F.min("class").alias("head"))
-    star = materialise(blocked.join(heads, "cluster").join(sets, "class"), "star")
+    star = materialise(blocked.join(heads, "cluster"), "star")
     head = star.where("class = head").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block_n") - 1)))
-    group = lambda rows, is_head: rows.select("cluster", "i", F.lit(0).alias("j"), "class", "comp", "n", "signature", F.lit(is_head).alias("left"), F.lit(not is_head).alias("right"), "shingles")
+    group = lambda rows, is_head: rows.select("cluster", "i", F.lit(0).alias("j"), "class", "comp", "n", "signature", F.lit(is_head).alias("left"), F.lit(not is_head).alias("right"))
     rays = group(head, True).unionByName(group(star.where("class <> head").withColumn("i", F.col("block")), False))
-    linked = materialise(_links(rays, percent, near), "rays")
+    linked = materialise(_links(rays.join(sets, "class"), percent, near), "rays")
     # what is outside the largest group of each cluster against all of the cluster
     roots = components(linked).select(F.col("node").alias("class"), F.col("root").alias("__root"))
     told = materialise(members.drop("comp").join(roots, "class", "left").withColumn("comp", F.coalesce("__root", "class")).drop("__root"), "told")
