@@ -234,7 +234,7 @@ def components(links: DataFrame) -> DataFrame:
             nodes = [(x, r) for x, r in nodes if x != r]
             yield pa.RecordBatch.from_pydict({"a": pa.array([r for _, r in nodes], pa.int64()), "b": pa.array([x for x, _ in nodes], pa.int64())})
 
-    labels = None
+    steps: list[DataFrame] = []
     edges = materialise(links.where("a != b").mapInArrow(shrink, local).distinct(), "links")
     for _ in range(MAX_ROUNDS):
         if edges.isEmpty():
@@ -242,21 +242,23 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         choice = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))
         # a node that is less than all its neighbours stays; the others go where their least neighbour goes
-        choice = materialise(choice.select("node", F.least("node", "to").alias("to")), "choice")
+        choice = choice.select("node", F.least("node", "to").alias("to"))
         hop = choice.select(F.col("node").alias("to"), F.col("to").alias("root"))
         step = materialise(choice.join(hop, "to").select("node", "root"), "step")
         a = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         b = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         moved = edges.join(a, "a").join(b, "b").where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         edges = materialise(moved.mapInArrow(shrink, local).distinct(), "links")
-        if labels is None:
-            labels = step
-        else:
-            nxt = step.select(F.col("node").alias("root"), F.col("root").alias("later"))
-            labels = materialise(labels.join(nxt, "root", "left").select("node", F.coalesce("later", "root").alias("root")), "labels")
+        steps.append(step)
     else:
         raise RuntimeError("components did not settle")
-    return labels if labels is not None else spark.createDataFrame([], "node long, root long")
+    if not steps:
+        return spark.createDataFrame([], "node long, root long")
+    labels = steps[0]
+    for step in steps[1:]:  # each names roots of the one before
+        nxt = step.select(F.col("node").alias("root"), F.col("root").alias("later"))
+        labels = labels.join(nxt, "root", "left").select("node", F.coalesce("later", "root").alias("root"))
+    return materialise(labels, "labels") if len(steps) > 1 else labels
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
@@ -367,7 +369,7 @@ def _grouped(sketches: DataFrame, size: int, percent: int, near: int | None) ->
     members = materialise(_clustered(components(_neighbours(_keys(classes))), narrow), "clusters")
     if near is not None:
         close = _links(_all_pairs(_blocks(members, "block", "cluster")), percent, near)
-        members = materialise(_clustered(components(materialise(close, "close")), narrow), "near-clusters")
+        members = materialise(_clustered(components(close), narrow), "near-clusters")
     sets = materialise(_sets(sketches, members, size), "sets")
     # the least class of each cluster against the others, which it meets block by block
     blocked = _blocks(members, "block", "cluster")
@@ -393,8 +395,8 @@ def _grouped(sketches: DataFrame, size: int, percent: int, near: int | None) ->
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # groups of outside block i and inside block j have -1 - j, so that none is taken for a pair of outside blocks
     across = line(outside.join(met, "cluster").withColumn("o", each("inside_n")), F.col("block"), -1 - F.col("o"), True, False).unionByName(line(inside.withColumn("o", each("outside_n")), F.col("o"), -1 - F.col("block"), False, True))
-    rest = materialise(_links(among.unionByName(across).join(sets, "class"), percent, near), "rest")
-    roots = components(materialise(linked.unionByName(rest), "confirmed"))
+    rest = _links(among.unionByName(across).join(sets, "class"), percent, near)
+    roots = components(linked.unionByName(rest))
     # the least row of each component, for classes that have company
     named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "least", "copies", F.coalesce("root", "class").alias("root"), F.col("root").isNotNull().alias("linked"))
     named = materialise(named.where("linked or copies > 1"), "named")

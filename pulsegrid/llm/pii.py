@@ -28,7 +28,7 @@ IBAN_COUNTRIES = {
     15: "NO", 16: "BE", 18: "DK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ XK LT LU", 21: "HR LV LI CH", 22: "BH BG CR GE DE IE ME RS GB VA", 23: "TL GI IQ IL AE", 24: "AD CZ MD PK RO SA SK ES SE TN VG",
     25: "PT ST LY", 26: "IS TR", 27: "FR GR IT MR MC SM BI", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR PS QA UA EG", 30: "JO KW MU", 31: "MT SC", 32: "LC",
 }
-IBAN = r"(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_COUNTRIES.items()) + r")(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_COUNTRIES.items()) + r")(?![A-Za-z0-9])"
 NATIONAL_ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
 #: Score of a confirmed span; a context word before it adds LIFT; added kinds need ACCEPT.
