@@ -188,8 +188,9 @@ def daily_totals(rows: DataFrame, utc: Column, zone: str, up: Column, down: Colu
 
 
 def saturating_sum(value: Column) -> Column:
-    """Sum of whole numbers, negatives as none, held at the largest 64-bit integer (adding is monotonous, so holding the exact sum is the same)."""
-    exact = F.sum(F.greatest(value, F.lit(0)).cast("decimal(20,0)"))
+    """Sum of whole numbers, negatives as none, held at the largest 64-bit integer (adding is monotonous, so holding each number and the exact sum is the same)."""
+    held = F.least(F.greatest(value, F.lit(0)), F.lit(I64_MAX))
+    exact = F.sum(held.cast("decimal(28,0)"))  # a decimal(38,0): 10^19 of the largest
     return F.least(exact, F.lit(I64_MAX).cast("decimal(38,0)")).cast("long")
 
 

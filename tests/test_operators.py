@@ -239,3 +239,11 @@ def test_poll_stream(spark, tmp_path):
     query.stop()
     got = spark.read.parquet(f"{tmp_path}/out")
     assert got.count() == 80 and got.select("tick").distinct().count() == 40
+
+
+def test_saturating_sum_of_numbers_beyond_64_bits(spark):
+    values = [("a", "450560000000000000000"), ("a", "-7"), ("b", "99999999999999999999999999999999999999"), ("b", "99999999999999999999999999999999999999"), ("c", "9223372036854775806"), ("c", None), ("d", "-1")]
+    rows = spark.createDataFrame(values, "k string, v string").withColumn("v", F.col("v").cast("decimal(38,0)"))
+    got = dict(rows.groupBy("k").agg(R.saturating_sum(F.col("v"))).collect())
+    assert got == {"a": 2**63 - 1, "b": 2**63 - 1, "c": 2**63 - 2, "d": 0}
+    assert rows.groupBy("k").agg(R.saturating_sum(F.col("v").try_cast("long")).alias("x")).where("k = 'c'").first()["x"] == 2**63 - 2
