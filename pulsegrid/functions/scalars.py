@@ -293,8 +293,8 @@ def float_of_bits(bits: Column) -> Column:
     return F.when(exponent == 255, F.lit(None)).when(exponent == 0, sign * fraction * 2.0**-149).otherwise(sign * normal).cast("double")
 
 
-def voltage_states(hexed: Column, divisor: int = 1_000_000) -> Column:
-    """MHz of each 8-byte state: its first four bytes, little-endian, through the divisor (1,000,000, or 1,000 on newer chips). A last piece of under 4 bytes is none."""
+def voltage_states(hexed: Column, divisor: int | Column = 1_000_000) -> Column:
+    """MHz of each 8-byte state: its first four bytes, little-endian, through the divisor (1,000,000, or 1,000 on newer chips; a column where rows are of several chips). A last piece of under 4 bytes is none."""
     starts = F.sequence(F.lit(0), F.floor((F.length(hexed) / 2 - 4) / 8).cast("int"))
     word = lambda i: F.conv(F.concat(*[F.substring(hexed, i * 16 + 2 * k + 1, F.lit(2)) for k in (3, 2, 1, 0)]), 16, 10).cast("long")
     return F.when(F.length(hexed) < 8, F.array().cast("array<int>")).otherwise(F.transform(starts, lambda i: F.floor(word(i) / divisor).cast("int")))

@@ -145,3 +145,8 @@ def test_text_sources(spark):
     assert run(spark, X.retry_delay, [0, 1, 5, 6, 20], "v int") == [1, 2, 32, 60, 60]
     got = run(spark, lambda v: F.struct(*[c.alias(k) for k, c in X.nettop_line(v).items()]), ["name.with.dots.12,5,7", "12,5,7", "x.y,5", "a.3,z,9"], "v string")
     assert [tuple(r) for r in got] == [(12, "name.with.dots", 5, 7), (12, "12", 5, 7), (None, None, None, None), (3, "a", 0, 9)]
+
+
+def test_voltage_of_several_chips(spark):
+    rows = [(struct.pack("<II", 600_000_000, 9).hex(), 1_000_000), (struct.pack("<II", 4_512_000, 9).hex(), 1_000)]
+    assert run(spark, S.voltage_states, rows, "v string, d long") == [[600], [4512]]
