@@ -18,8 +18,36 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def fixed(value: Column, places: int) -> Column:
-    """The exact binary value in so many places, half to even, as C's %.nf prints it."""
-    return F.call_function("format_number", value.cast("double"), F.lit("0" + ("." + "0" * places if places else "")))
+    """The exact binary value in so many places (four at most), half to even, as C's %.nf prints it. From 2^63 on, and for what isn't finite, as format_number prints it.
+
+    The part below one is cut at 26 bits: both pieces times 10^places are exact wherever a tie is near, so that the rest is compared with one half exactly.
+    """
+    if not 0 <= places <= 4:
+        raise ValueError("0 to 4 places")
+    scale, cut = 10**places, float(1 << 26)
+    pattern = F.lit("0" + ("." + "0" * places if places else ""))
+
+    def text(v: Column) -> Column:
+        size = F.abs(v)
+        minus = F.when((v < 0) | ((v == 0) & v.cast("string").startswith("-")), "-").otherwise("")
+        return F.when(size < 2.0**63, F.concat(minus, let(size, digits_of))).otherwise(F.call_function("format_number", v, pattern))
+
+    def digits_of(size: Column) -> Column:
+        return let(F.struct(F.floor(size).alias("n"), (size - F.floor(size)).alias("f")), lambda x: let(F.struct(x["n"].alias("n"), x["f"].alias("f"), (F.floor(x["f"] * cut) / cut).alias("high")), rounded))
+
+    def rounded(x: Column) -> Column:
+        scaled = x["high"] * scale
+        half = 0.5 - (scaled - F.floor(scaled))
+        low = (x["f"] - x["high"]) * scale
+        odd = (F.floor(scaled) if places else x["n"]) % 2 == 1
+        up = F.when((low > half) | ((low == half) & odd), 1).otherwise(0)
+        return let(F.struct(x["n"].alias("n"), (F.floor(scaled) + up).alias("q")), joined)
+
+    def joined(x: Column) -> Column:
+        whole = (x["n"] + F.when(x["q"] >= scale, 1).otherwise(0)).cast("string")
+        return F.concat(whole, F.lit("."), F.lpad((x["q"] % scale).cast("string"), places, "0")) if places else whole
+
+    return let(value.cast("double"), text)
 
 
 def half_away(value: Column, places: int = 0) -> Column:

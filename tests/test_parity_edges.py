@@ -24,3 +24,12 @@ def same(spark, tmp_path):
 def test_states_beyond_four_bytes_of_hz(same):
     keys = "1, 4294, 4295, 20000, 1200000, 4294954, 4294955, 2147477000"
     same("voltage_states", "part", f"SELECT unnest([{keys}])::BIGINT AS p_partkey, unnest(range(1, 9))::INT AS p_size")
+
+
+#: (value - 20) * 10^(id % 9 - 4), every value with every power: ties in doubles above and below them, and exact ones
+TIES = """SELECT row_number() OVER (ORDER BY value, i)::BIGINT AS event_id, value
+  FROM range(9) r(i), (SELECT unnest([25.0, 15.0, 35.0, 5.0, 22.5, 20.5, 19.5, 20.0, 20.005, 488.15])::DOUBLE AS value)"""
+
+
+def test_roundings_of_ties(same):
+    same("roundings", "events", TIES)

@@ -150,3 +150,12 @@ def test_text_sources(spark):
 def test_voltage_of_several_chips(spark):
     rows = [(struct.pack("<II", 600_000_000, 9).hex(), 1_000_000), (struct.pack("<II", 4_512_000, 9).hex(), 1_000)]
     assert run(spark, S.voltage_states, rows, "v string, d long") == [[600], [4512]]
+
+
+@pytest.mark.parametrize("places", [0, 1, 2, 3, 4])
+def test_fixed_as_c_prints_it(spark, places):
+    ties = [(2 * k + 1) * 5 / 10 ** (places + 1) for k in [0, 1, 2, 3, 7, 49, 499, 4999, 123_456, 10**9, 10**11]]
+    near = [x for t in ties for x in (t, math.nextafter(t, 0), math.nextafter(t, math.inf))]
+    values = [0.0, 0.0005, 0.99995, 9.9999, 2.0**62, 2.0**52 - 0.5, 5e-324, 1.005, 0.375, 1e15, *near]
+    values += [-x for x in values]
+    assert run(spark, lambda v: S.fixed(v, places), values) == [f"{x:.{places}f}" for x in values]
