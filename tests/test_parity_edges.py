@@ -33,3 +33,7 @@ TIES = """SELECT row_number() OVER (ORDER BY value, i)::BIGINT AS event_id, valu
 
 def test_roundings_of_ties(same):
     same("roundings", "events", TIES)
+
+
+def test_unit_texts_of_ties(same):
+    same("unit_texts", "events", TIES)
