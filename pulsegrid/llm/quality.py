@@ -3,11 +3,11 @@
 Corpus pass: the n-grams of all documents' words are counted in BUCKETS hash buckets, once for the raw corpus and once for the trusted
 documents; only BUCKETS sums leave the executors. The trusted multinomial is smoothed towards the raw one (PRIOR n-grams of it), so that a bucket, or a corpus,
 without trusted evidence has a ratio of 1, however large the corpus is. The two give one log ratio a bucket, a table of fixed size that is part of the
-scoring expression. Document pass: the mean ratio over a document's n-grams, against a threshold.
+scoring expression. Document pass: the mean ratio over a document's n-grams, written once to the shared folder; then its comparison with a threshold.
 
 The threshold is where labelled documents that don't fail the base rules are told apart with the fewest errors, each kind counting alike: the middle of the
-widest such stretch between their scores. They are at most CALIBRATION_LIMIT of each quality by hash of doc_id, the good ones from a quarter of the ids that
-the trusted multinomial leaves out. Without both kinds nothing is rejected but by the base rules.
+widest such stretch between their scores. Every labelled document has its part: of the good ones a quarter (by hash of doc_id) in the threshold and the others in the
+trusted multinomial, all poor ones in the threshold. Without both kinds nothing is rejected but by the base rules.
 
 Defined results: a null text counts as empty; a text without words has zero counts and fails the base rules; a document without n-grams,
 or a corpus without trusted documents, scores 0. Repeated rows are scored alike. Input columns beside doc_id and text are ignored, whatever
@@ -18,18 +18,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import let, materialise, words
 
 BUCKETS = 1 << 17
 #: Orders of the n-grams: words and pairs of neighbours.
 ORDERS = (1, 2)
-#: Trusted documents used for the target multinomial: at most so many, the lowest by hash of doc_id.
-TRUSTED_LIMIT = 20_000
-#: Labelled documents of each quality that the threshold is taken from, at most.
-CALIBRATION_LIMIT = 1_000
+#: Trusted ids are broadcast as words of 64 bits while there are so many words at most (32 million ids without gaps); beyond that the join shuffles.
+BROADCAST_WORDS = 500_000
 #: N-grams of the raw corpus that the trusted ones are mixed with.
 PRIOR = 2_000.0
 MIN_WORDS = 50
@@ -49,16 +47,25 @@ def _part(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(7)), F.lit(4))
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED_LIMIT) -> DataFrame:
-    """doc_ids labelled quality 1 but for the quarter kept for the threshold: at most `limit`, so small enough to broadcast."""
-    ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & (_part(F.col("doc_id")) > 0)).select("doc_id").distinct()
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_ids labelled quality 1 but for the quarter kept for the threshold."""
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & (_part(F.col("doc_id")) > 0)).select("doc_id").distinct()
 
 
-def fit_log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, limit: int = TRUSTED_LIMIT, orders: tuple[int, ...] = ORDERS, prior: float = PRIOR) -> list[float]:
+def _flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """t (1 for a trusted document) and text of every row of docs. 64 neighbouring ids are one word of bits, so that all trusted ids can be broadcast; where they have too many gaps for that, texts move."""
+    place = lambda: F.col("doc_id").bitwiseAND(F.lit(63)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place())
+    trusted = materialise(trusted_ids(labels).groupBy(F.shiftright("doc_id", 6).alias("__word")).agg(F.bit_or(bit).alias("__bits")), "trusted")
+    if trusted.count() <= BROADCAST_WORDS:
+        trusted = F.broadcast(trusted)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.shiftright("doc_id", 6).alias("__word")).join(trusted, "__word", "left")
+    return rows.select(F.coalesce(F.getbit("__bits", place()).cast("int"), F.lit(0)).alias("t"), "text")
+
+
+def fit_log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS, prior: float = PRIOR) -> list[float]:
     """log(p_trusted / p_raw) for each bucket. Each text is split once; its words and their pairs become buckets in generated code."""
-    trusted = F.broadcast(trusted_ids(labels, limit).withColumn("__trusted", F.lit(1)))
-    flagged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(trusted, "doc_id", "left").select(F.coalesce("__trusted", F.lit(0)).alias("t"), words(F.col("text")).alias("w"))
+    flagged = _flagged(docs, labels).select("t", words(F.col("text")).alias("w"))
     each = flagged.select("t", F.inline(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))).alias("a", "b"))
     hashes = each.select("t", F.xxhash64("a").alias("a"), F.when(F.col("b").isNotNull(), F.xxhash64("b")).alias("b"))
     grams = ([F.col("a")] if 1 in orders else []) + ([F.when(F.col("b").isNotNull(), F.xxhash64("a", "b"))] if 2 in orders else [])
@@ -76,7 +83,7 @@ def fit_log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, l
 
 
 def threshold_between(good: list[float], poor: list[float]) -> float:
-    """The least error, each kind counting alike: the middle of the widest stretch between scores that has it. Minus infinity without both kinds."""
+    """The least error, each kind counting alike: the middle of the widest stretch between scores that has it. Minus infinity without both kinds. best_cut is the same for tables."""
     if not good or not poor:
         return float("-inf")
     scored = sorted([(x, 1 / len(good), 0.0) for x in good] + [(x, 0.0, 1 / len(poor)) for x in poor])
@@ -140,22 +147,45 @@ def _scored(docs: DataFrame, ratios: list[float], orders: tuple[int, ...]) -> Da
     return counted.withColumn("base_failed", failed)
 
 
-def fit_threshold(docs: DataFrame, labels: DataFrame, ratios: list[float], orders: tuple[int, ...] = ORDERS, limit: int = CALIBRATION_LIMIT) -> float:
-    """The threshold between the scores of labelled documents, of which `limit` of each quality are looked at."""
+def best_cut(scores: DataFrame) -> float:
+    """threshold_between of the scores of rows (score, good: 1 or 0), any number of them.
+
+    Errors are whole numbers: good ones up to the cut times all poor ones, and poor ones beyond it times all good ones. Equal scores are one row; a score has six
+    places, so a bin of a hundredth has 10,000 such rows at most and is summed by itself, from the sums of the bins before it (some thousands: log ratios are short).
+    """
+    counts = materialise(scores.groupBy("score").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("poor")).withColumn("bin", F.floor(F.col("score") * 100)), "cuts")
+    good, poor, lowest = counts.agg(F.sum("good"), F.sum("poor"), F.min("score")).first()
+    if not good or not poor:
+        return float("-inf")
+    order, inside = Window.orderBy("bin"), Window.partitionBy("bin").orderBy("score")
+    before = lambda c: F.coalesce(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = counts.groupBy("bin").agg(F.sum("good").alias("g"), F.sum("poor").alias("p"), F.min("score").alias("first"))
+    bins = F.broadcast(bins.select("bin", before("g").alias("g"), before("p").alias("p"), F.lead("first").over(order).alias("first")))
+    so_far = lambda c: F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    each = counts.select("bin", "score", so_far("good").alias("lost"), so_far("poor").alias("caught"), F.lead("score").over(inside).alias("next")).join(bins, "bin")
+    error = (F.col("g") + F.col("lost")) * poor + (poor - F.col("p") - F.col("caught")) * good
+    cuts = each.withColumn("next", F.coalesce("next", "first")).where("next IS NOT NULL")
+    best = cuts.agg(F.min(F.struct(error.alias("error"), (F.col("score") - F.col("next")).alias("stretch"), "score", "next"))).first()[0]
+    return lowest if best is None else (best["score"] + best["next"]) / 2
+
+
+def _threshold(scored: DataFrame, labels: DataFrame) -> float:
+    """The threshold between the scores of all labelled documents; of the good ones, the quarter that is not trusted."""
     known = labels.where(F.col("doc_id").isNotNull() & ((F.col("quality") == 0) | ((F.col("quality") == 1) & (_part(F.col("doc_id")) == 0))))
-    known = known.groupBy("doc_id").agg(F.max("quality").alias("__quality"), F.min("quality").alias("__least")).where("__quality = __least").drop("__least")
-    some = [known.where(F.col("__quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for q in (0, 1)]
-    some = F.broadcast(some[0].unionByName(some[1]).select("doc_id", "__quality"))
-    chosen = docs.select("doc_id", "text").join(some.select("doc_id"), "doc_id", "left_semi")
-    each = _scored(chosen, ratios, orders).groupBy("doc_id").agg(F.min("score").alias("score"), F.min("base_failed").alias("base_failed"))
-    rows = each.join(some, "doc_id").select("score", "__quality", "base_failed").collect()  # 2 * limit rows at most
-    return threshold_between([r[0] for r in rows if r[1] == 1 and not r[2]], [r[0] for r in rows if r[1] == 0 and not r[2]])
+    known = known.groupBy("doc_id").agg(F.max("quality").alias("good"), F.min("quality").alias("__least")).where("good = __least").drop("__least")
+    each = scored.select("doc_id", "score", "base_failed").join(known, "doc_id").groupBy("doc_id", "good").agg(F.min("score").alias("score"), F.min("base_failed").alias("base_failed"))
+    return best_cut(each.where(~F.col("base_failed")).select("score", "good"))
+
+
+def fit_threshold(docs: DataFrame, labels: DataFrame, ratios: list[float], orders: tuple[int, ...] = ORDERS) -> float:
+    """The threshold between the scores of the labelled documents of docs."""
+    return _threshold(_scored(docs, ratios, orders), labels)
 
 
-def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float | None = None, limit: int = TRUSTED_LIMIT, orders: tuple[int, ...] = ORDERS, prior: float = PRIOR) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float | None = None, orders: tuple[int, ...] = ORDERS, prior: float = PRIOR) -> DataFrame:
     """doc_id, the counts, base_failed, score (mean log ratio) and kept, for every row of docs. threshold: by default from the labels."""
-    ratios = fit_log_ratios(docs, labels, buckets, limit, orders, prior)
+    out = _scored(docs, fit_log_ratios(docs, labels, buckets, orders, prior), orders)
     if threshold is None:
-        threshold = fit_threshold(docs, labels, ratios, orders)
-    out = _scored(docs, ratios, orders)
+        out = materialise(out, "scores")
+        threshold = _threshold(out, labels)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score")

@@ -175,6 +175,49 @@ def test_threshold():
         assert least is None or abs(error(quality.threshold_between(good, poor)) - least) < 1e-9
 
 
+def test_best_cut(spark):
+    rng = __import__("random").Random(4)
+    for step in (0.5, 0.01, 0.000001):
+        for _ in range(6):
+            good, poor = ([round(rng.randrange(-40, 12 + shift) * step, 6) for _ in range(rng.randrange(1, 40))] for shift in (9, 0))
+            rows = spark.createDataFrame([(x, 1) for x in good] + [(x, 0) for x in poor], "score double, good int")
+            assert quality.best_cut(rows) == quality.threshold_between(good, poor), (good, poor)
+    one = spark.createDataFrame([(1.5, 1)], "score double, good int")
+    assert quality.best_cut(one) == float("-inf") == quality.best_cut(one.where("false"))
+    assert quality.best_cut(one.unionByName(one.selectExpr("score", "0 AS good"))) == 1.5 == quality.threshold_between([1.5], [1.5])
+
+
+def test_every_label_counts(spark):
+    """More labelled documents than any sample that there once was: all trusted ids, and a threshold of all others."""
+    many = spark.range(30_000).selectExpr("id * 3 - 40000 AS doc_id", "1 AS quality", "0 AS toxic")
+    assert quality.trusted_ids(many).count() == many.where("pmod(xxhash64(doc_id, 7), 4) > 0").count() > 20_000
+    rng = __import__("random").Random(5)
+    rows = []
+    for i in range(8_000):
+        good = i % 4 > 0
+        share = rng.gauss(0.6 if good else 0.4, 0.15)
+        rows.append((i * 5 - 9_000, " ".join(("fine" if rng.random() < share else "junk") + str(rng.randrange(300)) for _ in range(60)), int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4).cache()
+    labels = docs.selectExpr("doc_id", "quality", "0 AS toxic")
+    ratios = quality.fit_log_ratios(docs, labels)
+    known = quality.quality(docs, labels, threshold=0.0).join(labels, "doc_id").where("not base_failed AND (quality = 0 OR pmod(xxhash64(doc_id, 7), 4) = 0)").collect()
+    good, poor = ([r["score"] for r in known if r["quality"] == q] for q in (1, 0))
+    assert min(len(good), len(poor)) > 1_000
+    assert quality.fit_threshold(docs, labels, ratios) == quality.threshold_between(good, poor)
+
+
+def test_trusted_ids_with_gaps(spark, monkeypatch):
+    """Sparse, negative and unknown ids; the join with and without a broadcast."""
+    ids = [-(2**63), -65, -64, -1, 0, 1, 63, 64, 2**40, 2**63 - 1, None]
+    docs = spark.createDataFrame([(i, f"w{k} x{k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k % 3 > 0), 0) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    trusted = {r["doc_id"] for r in quality.trusted_ids(labels).collect()}
+    for most in (500_000, 0):
+        monkeypatch.setattr(quality, "BROADCAST_WORDS", most)
+        got = {r["text"]: r["t"] for r in quality._flagged(docs, labels).collect()}
+        assert got == {f"w{k} x{k}": int(i in trusted) for k, i in enumerate(ids)} and 0 < sum(got.values()) < len(ids)
+
+
 @pytest.mark.parametrize("options", [{}, {"bits": 1 << 16}, {"broadcast_bits": 0}])
 def test_exact_dedup(spark, docs, options):
     extra = docs.unionByName(spark.createDataFrame([(None, "one", None, None, None, None), (None, "alone", None, None, None, None)], docs.schema))
