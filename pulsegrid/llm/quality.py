@@ -151,9 +151,9 @@ def best_cut(scores: DataFrame) -> float:
     """threshold_between of the scores of rows (score, good: 1 or 0), any number of them.
 
     Errors are whole numbers: good ones up to the cut times all poor ones, and poor ones beyond it times all good ones. Equal scores are one row; a score has six
-    places, so a bin of a hundredth has 10,000 such rows at most and is summed by itself, from the sums of the bins before it (some thousands: log ratios are short).
+    places, so a bin of a thousandth has 1,000 such rows at most and is summed by itself, from the sums of the bins before it (some ten thousand at most: log ratios are short).
     """
-    counts = materialise(scores.groupBy("score").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("poor")).withColumn("bin", F.floor(F.col("score") * 100)), "cuts")
+    counts = materialise(scores.groupBy("score").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("poor")).withColumn("bin", F.floor(F.col("score") * 1000)), "cuts")
     good, poor, lowest = counts.agg(F.sum("good"), F.sum("poor"), F.min("score")).first()
     if not good or not poor:
         return float("-inf")
